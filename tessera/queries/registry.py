@@ -47,4 +47,10 @@ def with_tables(use: str, sql: str) -> str:
     for n in use.split():
         need(n)
     parts = ", ".join(f"{n} AS ({SQL_TABLES[n][1]})" for n in wanted)
-    return f"WITH RECURSIVE {parts} {sql}" if parts else sql
+    if not parts:
+        return sql
+    # A query with tables of its own continues the same WITH list.
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if sql.startswith(head):
+            return f"WITH RECURSIVE {parts}, {sql[len(head):]}"
+    return f"WITH RECURSIVE {parts} {sql}"
