@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..plans.asof import asof, closer
 from ..plans.quantile import quantiles, with_quantiles
-from ..plans.scan import halo, indexed, own, scan
+from ..plans.scan import halo, indexed, largest, own, scan
 from ..plans.stats import join_stats
 from ..session import durable
 
@@ -73,29 +73,30 @@ def detect_triggers(signal: DataFrame, keys: list[str], threshold: float, min_ga
     A crossing closer than ``min_gap`` positions to the crossing before it, kept or not, is dropped.
     The length of a running first pulse is taken as the median pulse length (cut to a whole number).
     """
-    on = F.col("y") >= threshold
-    s = scan(signal.select(*keys, "i", "t", "y"), keys, ["i"], _p=("prev", F.col("y")), _off=("after", F.when(~on, F.col("i"))))
+    on, big = F.col("y") >= threshold, largest(signal, keys)
+    s = scan(signal.select(*keys, "i", "t", "y"), keys, ["i"], big, _p=("prev", F.col("y")), _off=("after", F.when(~on, F.col("i"))))
     cross = s.filter(on & (F.col("_p") < threshold))
-    cross = scan(cross, keys, ["i"], _pi=("prev", F.col("i")))
-    kept = cross.filter(F.col("_pi").isNull() | (F.col("i") - F.col("_pi") >= min_gap))
+    cross = scan(cross, keys, ["i"], big, _pi=("prev", F.col("i")))
+    kept = durable(cross.filter(F.col("_pi").isNull() | (F.col("i") - F.col("_pi") >= min_gap)))
     dur = kept.select(*keys, F.coalesce(F.col("_off") - F.col("i") - 1, F.lit(0)).alias("_d"))
-    dur = quantiles(dur, keys, "_d", _dur=0.5)
+    dur = quantiles(dur, keys, "_d", big, _dur=0.5)
     first = s.filter((F.col("i") == 0) & on & F.col("_off").isNotNull()).join(dur, keys)
     first = first.select(*keys, F.greatest(F.col("_off") - F.floor("_dur"), F.lit(0)).alias("i"))
     first = first.join(signal.select(*keys, "i", "t", "y"), [*keys, "i"])
     out = kept.select(*keys, "i", "t", "y").unionByName(first.select(*keys, "i", "t", "y"))
-    return indexed(out, keys, ["i"], "k").select(*keys, "k", "i", (F.col("t") + delay).alias("t"), F.col("y").alias("v"))
+    return indexed(out, keys, ["i"], "k", big).select(*keys, "k", "i", (F.col("t") + delay).alias("t"), F.col("y").alias("v"))
 
 
-def nearest_index(points: DataFrame, samples: DataFrame, keys: list[str], tol: float | None = None, side: str = "nearest") -> DataFrame:
+def nearest_index(points: DataFrame, samples: DataFrame, keys: list[str], tol: float | None = None, side: str = "nearest", bound: int | None = None) -> DataFrame:
     """Index of the sample nearest to each point in time (``si``); null beyond the tolerance."""
     s = samples.select(*keys, "t", "i")
+    both = (largest(points, keys) if bound is None else bound) + largest(samples, keys)
     if side == "before":
-        d = asof(points, s, keys, "t", _ns="before")
+        d = asof(points, s, keys, "t", both, _ns="before")
     elif side == "after":
-        d = asof(points, s, keys, "t", _ns="after")
+        d = asof(points, s, keys, "t", both, _ns="after")
     else:
-        d = asof(points, s, keys, "t", _nb="before", _na="after_open")
+        d = asof(points, s, keys, "t", both, _nb="before", _na="after_open")
         d = d.withColumn("_ns", closer(F.col("_nb"), F.col("_na"), F.col("t"))).drop("_nb", "_na")
     near = F.lit(True) if tol is None else F.abs(F.col("_ns.t") - F.col("t")) <= tol
     return d.withColumn("si", F.when(near, F.col("_ns.i"))).drop("_ns")
@@ -109,9 +110,11 @@ def repetition_starts(samples: DataFrame, triggers: DataFrame, keys: list[str],
     """
     first = triggers.filter(F.col("k") % n_per_rep == 0)
     first = first.select(*keys, F.expr(f"k div {n_per_rep}").alias("rep"), F.col("t").alias("t0"), (F.col("t") + delay).alias("t"))
-    at = nearest_index(first, samples, keys, tol, "before" if pad else "nearest").filter("si is not null")
-    at = scan(at.select(*keys, "rep", "t0", F.col("si").alias("i0")), keys, ["rep"], _p=("prev", F.col("i0")))
-    gap = quantiles(at.withColumn("_g", F.col("i0") - F.col("_p")), keys, "_g", _len=0.5)
+    big = largest(triggers, keys)
+    at = nearest_index(first, samples, keys, tol, "before" if pad else "nearest", big).filter("si is not null")
+    at = scan(at.select(*keys, "rep", "t0", F.col("si").alias("i0")), keys, ["rep"], big, _p=("prev", F.col("i0")))
+    at = durable(at)  # one row per repetition, read several times below
+    gap = quantiles(at.withColumn("_g", F.col("i0") - F.col("_p")), keys, "_g", big, _len=0.5)
     size = samples.groupBy(*keys).agg((F.max("i") + 1).alias("_n"))
     last = at.groupBy(*keys).agg(F.max("rep").alias("_last"))
     d = at.join(size, keys).join(last, keys).join(gap, keys, "left")
@@ -139,7 +142,7 @@ def snippets(samples: DataFrame, triggers: DataFrame, keys: list[str], n_per_rep
         return snips
     ends = starts.select(*keys, "rep", F.col("t0").alias("_t0"))
     for n, off in zip(("_a", "_b"), base):
-        ends = nearest_index(ends.withColumn("t", F.col("_t0") + off), samples, keys, tol).withColumnRenamed("si", n).drop("t")
+        ends = nearest_index(ends.withColumn("t", F.col("_t0") + off), samples, keys, tol, bound=largest(triggers, keys)).withColumnRenamed("si", n).drop("t")
     win = ends.select(*keys, "rep", F.col("_a").alias("i0"), (F.col("_b") - F.col("_a")).alias("n_frames"))
     mean = snippet_join(win, samples, keys).groupBy(*keys, "rep").agg(F.avg("y").alias("_base"))
     return snips.join(mean, [*keys, "rep"]).withColumn("y", F.col("y") - F.col("_base")).drop("_base")
@@ -163,14 +166,15 @@ def group_snippets(samples: DataFrame, triggers: DataFrame, keys: list[str], tri
         off += n
     lookup = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(nm).alias("name"), F.lit(sp).alias("split")) for o, _, nm, sp in pieces])
     hit = F.filter(lookup, lambda p: p["o"] == F.col("k") % off)
-    at = nearest_index(triggers.select(*keys, "k", "t"), samples, keys, tol).filter("si is not null")
+    big = largest(triggers, keys)
+    at = durable(nearest_index(triggers.select(*keys, "k", "t"), samples, keys, tol, bound=big).filter("si is not null"))
     start = at.withColumn("_p", F.get(hit, 0)).filter("_p is not null")
     start = start.select(*keys, "k", F.col("si").alias("i0"), "_p.name", (F.col("k") + F.col("_p.split")).alias("_next"))
     end = at.select(*keys, F.col("k").alias("_next"), F.col("si").alias("_end"))
     size = samples.groupBy(*keys).agg(F.max("i").alias("_last_i"))
     d = start.join(end, [*keys, "_next"], "left").join(size, keys)
     d = d.withColumn("n_frames", F.coalesce("_end", "_last_i") - F.col("i0")).filter("n_frames > 0")
-    d = indexed(d, [*keys, "name"], ["k"], "rep")
+    d = indexed(d, [*keys, "name"], ["k"], "rep", big)
     last = d.groupBy(*keys, "name").agg(F.max("rep").alias("_lr"))
     d = d.join(last, [*keys, "name"])
     most = d.filter(F.col("rep") < F.col("_lr")).groupBy(*keys, "name").agg(F.max("n_frames").alias("_most"))
@@ -289,15 +293,16 @@ def baseline(samples: DataFrame, t0: DataFrame, keys: list[str], max_dt: float |
     return d.select(*samples.columns)
 
 
-def subtract_baseline(samples: DataFrame, t0: DataFrame, keys: list[str], max_dt: float | None = None) -> DataFrame:
+def subtract_baseline(samples: DataFrame, t0: DataFrame, keys: list[str], max_dt: float | None = None, bound: int | None = None) -> DataFrame:
     """Subtract the median of the baseline; keys without one drop out."""
-    med = quantiles(baseline(samples, t0, keys, max_dt), keys, "y", _med=0.5)
+    bound = largest(samples, keys) if bound is None else bound
+    med = quantiles(baseline(samples, t0, keys, max_dt), keys, "y", bound, _med=0.5)
     return samples.join(med, keys).withColumn("y", F.col("y") - F.col("_med")).select(*samples.columns)
 
 
-def clip_low_percentile(samples: DataFrame, keys: list[str], q: float = 2.5) -> DataFrame:
+def clip_low_percentile(samples: DataFrame, keys: list[str], q: float = 2.5, bound: int | None = None) -> DataFrame:
     """Clip below a percentile and shift it to zero."""
-    d = with_quantiles(samples, keys, "y", _clip=q / 100)
+    d = with_quantiles(samples, keys, "y", bound, _clip=q / 100)
     return d.withColumn("y", F.greatest(F.col("y"), F.col("_clip")) - F.col("_clip")).select(*samples.columns)
 
 
@@ -317,7 +322,7 @@ def preprocess(samples: DataFrame, t0: DataFrame, keys: list[str], params: list[
     ``window`` (samples), ``poly_order``, ``sigma``, ``subtract_baseline``, ``max_dt``,
     ``non_negative``, ``standardize``, ``down``.
     """
-    out = None
+    out, big = None, largest(samples, keys)
     for p in params:
         d = clamp_edges(samples, keys)
         if p.get("sigma"):
@@ -325,9 +330,9 @@ def preprocess(samples: DataFrame, t0: DataFrame, keys: list[str], params: list[
         if p.get("window"):
             d = detrend_poly(d, keys, p["window"], p.get("poly_order", 3)).drop("smooth")
         if p.get("subtract_baseline"):
-            d = subtract_baseline(d, t0, keys, p.get("max_dt"))
+            d = subtract_baseline(d, t0, keys, p.get("max_dt"), big)
         if p.get("non_negative"):
-            d = clip_low_percentile(d, keys)
+            d = clip_low_percentile(d, keys, bound=big)
         d = standardize(d, keys, p.get("standardize", 0), t0)
         if p.get("down", 1) > 1:
             d = downsample_blocks(d, keys, p["down"])
@@ -336,10 +341,10 @@ def preprocess(samples: DataFrame, t0: DataFrame, keys: list[str], params: list[
     return out
 
 
-def interpolate(grid: DataFrame, samples: DataFrame, keys: list[str]) -> DataFrame:
+def interpolate(grid: DataFrame, samples: DataFrame, keys: list[str], bound: int | None = None) -> DataFrame:
     """Linear interpolation of the samples at the grid times, ends held."""
     s = samples.select(*keys, "t", "y")
-    d = asof(grid, s, keys, "t", _b="before", _a="after_open")
+    d = asof(grid, s, keys, "t", bound, _b="before", _a="after_open")
     f = (F.col("t") - F.col("_b.t")) / (F.col("_a.t") - F.col("_b.t"))
     y = F.when(F.col("_a").isNull(), F.col("_b.y")).when(F.col("_b").isNull(), F.col("_a.y"))
     return d.withColumn("y", y.otherwise(F.col("_b.y") + (F.col("_a.y") - F.col("_b.y")) * f)).drop("_a", "_b")
@@ -352,8 +357,9 @@ def resample_linear(samples: DataFrame, keys: list[str], dt: float | None = None
     ends = ends.withColumn("_dt", step)
     # A hair of tolerance keeps the last point when the span is a whole number of steps.
     n = F.coalesce(F.floor((F.col("_t1") - F.col("_t0")) / F.col("_dt") + 1e-9) + 1, F.lit(1))
+    longest = ends.agg(F.max(n).alias("m")).first()["m"] or 0
     grid = explode_range(ends, n, "i").select(*keys, "i", (F.col("_t0") + F.coalesce(F.col("i") * F.col("_dt"), F.lit(0.0))).alias("t"))
-    return interpolate(grid, samples, keys).select(*keys, "i", "t", "y")
+    return interpolate(grid, samples, keys, longest + largest(samples, keys)).select(*keys, "i", "t", "y")
 
 
 def upsample_linear(samples: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -382,12 +388,14 @@ def downsample_blocks(samples: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 def resampled_average(snips: DataFrame, starts: DataFrame, keys: list[str], fs: float) -> DataFrame:
     """Mean over repetitions after interpolating each to one grid of ``fs`` points per second."""
-    w = scan(starts.select(*keys, "rep", "t0"), keys, ["rep"], _p=("prev", F.col("t0")))
-    dur = quantiles(w.withColumn("_g", F.col("t0") - F.col("_p")), keys, "_g", _dur=0.5)
+    big = largest(starts, keys)
+    w = scan(starts.select(*keys, "rep", "t0"), keys, ["rep"], big, _p=("prev", F.col("t0")))
+    dur = quantiles(w.withColumn("_g", F.col("t0") - F.col("_p")), keys, "_g", big, _dur=0.5)
+    longest = dur.agg(F.max(F.ceil(F.col("_dur") * fs)).alias("m")).first()["m"] or 0
     g = starts.select(*keys, "rep").join(dur, keys)
     g = explode_range(g, F.ceil(F.col("_dur") * fs), "j").select(*keys, "rep", "j", (F.col("j") / fs).alias("t"))
     rel = snips.join(starts.select(*keys, "rep", "t0"), [*keys, "rep"]).withColumn("t", F.col("t") - F.col("t0"))
-    r = interpolate(g, rel, [*keys, "rep"])
+    r = interpolate(g, rel, [*keys, "rep"], longest + largest(snips, [*keys, "rep"]))
     return r.groupBy(*keys, "j").agg(F.first("t").alias("t"), F.avg("y").alias("avg"))
 
 
@@ -402,7 +410,7 @@ def expand_frame_times(triggers: DataFrame, keys: list[str], n: int, n_frames: i
 def runs(series: DataFrame, keys: list[str]) -> DataFrame:
     """Collapse equal neighbouring values: ``run, y, i0, i1`` with the values before and after."""
     s = with_neighbours(series.select(*keys, "i", "y"), keys, _p=("y", -1))
-    s = scan(s, keys, ["i"], run=("sum", F.when(F.col("_p").eqNullSafe(F.col("y")), 0).otherwise(1)))
+    s = scan(s, keys, ["i"], largest(series, keys), run=("sum", F.when(F.col("_p").eqNullSafe(F.col("y")), 0).otherwise(1)))
     r = s.groupBy(*keys, "run").agg(F.first("y").alias("y"), F.min("i").alias("i0"), F.max("i").alias("i1"))
     r = r.withColumn("i", F.col("run") - 1)
     return with_neighbours(r, keys, before=("y", -1), after=("y", 1)).drop("i")
@@ -421,20 +429,19 @@ def find_peaks(series: DataFrame, keys: list[str], height: str | float | None =
     if prominence is None:
         out = tops.filter("_inner")
     else:
-        tops = indexed(tops, keys, ["run"], "p")
-        low = scan(r.join(tops.select(*keys, "run", "p"), [*keys, "run"], "left"), keys, ["run"], _gap=("after", F.col("p")))
+        big = largest(series, keys)
+        tops = durable(indexed(tops, keys, ["run"], "p", big))
+        low = scan(r.join(tops.select(*keys, "run", "p"), [*keys, "run"], "left"), keys, ["run"], big, _gap=("after", F.col("p")))
         last = tops.groupBy(*keys).agg((F.max("p") + 1).alias("_m"))
         low = low.filter("p is null").join(last, keys).withColumn("p", F.coalesce("_gap", "_m"))
         valley = low.groupBy(*keys, "p").agg(F.min("y").alias("v"))
         inf = F.lit(float("inf"))
-        left = tops.join(valley, [*keys, "p"], "left").select(*keys, "p", "y", (F.col("p") - 1).alias("q"), F.coalesce("v", inf).alias("m"))
         nxt = valley.withColumn("p", F.col("p") - 1)
-        right = tops.join(nxt, [*keys, "p"], "left").select(*keys, "p", "y", (F.col("p") + 1).alias("q"), F.coalesce("v", inf).alias("m"))
-        base = _climb(left, keys).select(*keys, "p", F.col("m").alias("_ml")).join(
-            _climb(right, keys).select(*keys, "p", F.col("m").alias("_mr")), [*keys, "p"]
-        )
+        sides = [tops.join(v, [*keys, "p"], "left").select(*keys, F.lit(o).alias("side"), "p", "y", (F.col("p") + o).alias("q"), F.coalesce("v", inf).alias("m")) for v, o in ((valley, -1), (nxt, 1))]
+        base = _climb(sides[0].unionByName(sides[1]), [*keys, "side"])
+        base = base.groupBy(*keys, "p").agg(F.max("m").alias("_base"))
         out = tops.filter("_inner").join(base, [*keys, "p"])
-        out = out.withColumn("prominence", F.col("y") - F.greatest("_ml", "_mr")).filter(F.col("prominence") >= prominence)
+        out = out.withColumn("prominence", F.col("y") - F.col("_base")).filter(F.col("prominence") >= prominence)
     if height is not None:
         out = out.filter(F.col("y") >= (F.col(height) if isinstance(height, str) else F.lit(height)))
     return out.select(*keys, F.expr("(i0 + i1) div 2").alias("i"), "y", *(["prominence"] if prominence is not None else []))
@@ -465,7 +472,7 @@ def event_signal(samples: DataFrame, keys: list[str], kind: str = "trace") -> Da
         return d.withColumn("y", F.greatest(F.col("y"), F.lit(0.0)))
     if kind != "events":
         raise ValueError(kind)
-    mad = quantiles(d.withColumn("_a", F.abs("y")), keys, "_a", _mad=0.5)
+    mad = quantiles(d.withColumn("_a", F.abs("y")), keys, "_a", largest(samples, keys), _mad=0.5)
     peaks = find_peaks(d, keys).withColumnRenamed("y", "_h").join(mad, keys).filter(F.col("_h") >= F.col("_mad") / 0.6745)
     out = d.join(peaks.select(*keys, "i", "_h"), [*keys, "i"], "left")
     return out.withColumn("y", F.coalesce("_h", F.lit(0.0))).select(*samples.columns)
@@ -478,7 +485,8 @@ def stim_to_trace(frames: DataFrame, samples: DataFrame, keys: list[str], resamp
     s = samples.join(span, keys).filter((F.col("t") >= F.col("_a")) & (F.col("t") < F.col("_b"))).select(*keys, "i", "t", "y")
     if resample:
         s = resample_linear(s, keys)
-    d = asof(s, frames.select(*keys, "t", "frame"), keys, "t", _f="before")
+    big = largest(samples, keys) + largest(frames, keys)
+    d = asof(s, frames.select(*keys, "t", "frame"), keys, "t", None if resample else big, _f="before")
     return d.select(*keys, "i", "t", "y", F.col("_f.frame").alias("frame"))
 
 
@@ -487,7 +495,8 @@ def trace_to_stim(frames: DataFrame, samples: DataFrame, keys: list[str]) -> Dat
     f = frames.select(*keys, F.col("frame").alias("i"), "t")
     end = f.join(mean_step(f, keys), keys).groupBy(*keys).agg((F.max("t") + F.first("dt")).alias("_end"))
     s = samples.join(end, keys).filter(F.col("t") < F.col("_end")).select(*keys, "t", "y")
-    d = asof(s, frames.select(*keys, "t", "frame"), keys, "t", _f="before").filter("_f is not null")
+    big = largest(samples, keys) + largest(frames, keys)
+    d = asof(s, frames.select(*keys, "t", "frame"), keys, "t", big, _f="before").filter("_f is not null")
     sums = d.groupBy(*keys, F.col("_f.frame").alias("frame")).agg(F.sum("y").alias("y"))
     return frames.select(*keys, "frame", "t").join(sums, [*keys, "frame"], "left").fillna(0.0, ["y"])
 
@@ -500,7 +509,7 @@ def align_for_regression(frames: DataFrame, samples: DataFrame, keys: list[str],
         s = upsample_linear(s, keys, up)
     if ref == "trace":
         d = stim_to_trace(frames, s, keys).select(*keys, "i", "t", "y", "frame")
-        d = indexed(d.drop("i"), keys, ["t"])
+        d = indexed(d.drop("i"), keys, ["t"], bound=up * largest(samples, keys))
     else:
         d = trace_to_stim(frames, s, keys).withColumn("i", F.col("frame"))
     d = join_stats(d, keys, _sd=F.stddev_pop("y"))
@@ -552,11 +561,11 @@ def rank_tags(df: DataFrame, group: str, order: list[str], name: str) -> DataFra
 def significant_intervals(curve: DataFrame, keys: list[str], x: str, est: str, ci: str) -> DataFrame:
     """Runs where the confidence band excludes zero: from the point before the run to its last."""
     pos, neg = (F.col(est) - F.col(ci) > 0).cast("int"), (F.col(est) + F.col(ci) < 0).cast("int")
-    out = None
+    out, big = None, largest(curve, keys)
     for sign, flag in ((1, pos), (-1, neg)):
-        d = scan(curve.withColumn("_f", flag), keys, [x], _pf=("prev", F.col("_f")), _px=("prev", F.col(x)))
+        d = scan(curve.withColumn("_f", flag), keys, [x], big, _pf=("prev", F.col("_f")), _px=("prev", F.col(x)))
         start = (F.col("_f") == 1) & (F.coalesce("_pf", F.lit(0)) == 0)
-        d = scan(d.withColumn("_s", start.cast("int")), keys, [x], _run=("sum", F.col("_s"))).filter("_f = 1")
+        d = scan(d.withColumn("_s", start.cast("int")), keys, [x], big, _run=("sum", F.col("_s"))).filter("_f = 1")
         d = d.groupBy(*keys, "_run").agg(
             F.max(F.when(F.col("_s") == 1, F.coalesce(F.col("_px"), F.col(x)))).alias("x0"), F.max(x).alias("x1")
         )
@@ -576,7 +585,7 @@ def cut_at_index(samples: DataFrame, fixes: DataFrame, keys: list[str], used: Da
 def blank_repetitions(samples: DataFrame, triggers: DataFrame, edits: DataFrame, keys: list[str], n_per_rep: int) -> DataFrame:
     """``+n`` keeps the first n repetitions (and the sample that ends them), ``-x`` blanks repetition x."""
     first = triggers.filter(F.col("k") % n_per_rep == 0).select(*keys, F.expr(f"k div {n_per_rep}").alias("rep"), "t")
-    at = nearest_index(first, samples, keys, side="after").filter("si is not null").select(*keys, "rep", F.col("si").alias("_i"))
+    at = nearest_index(first, samples, keys, side="after", bound=largest(triggers, keys)).filter("si is not null").select(*keys, "rep", F.col("si").alias("_i"))
     e = edits.select(*keys, "edit", F.abs("edit").alias("rep")).join(at, [*keys, "rep"], "left").withColumnRenamed("_i", "_hi")
     e = e.withColumn("rep", F.col("rep") - 1).join(at, [*keys, "rep"], "left").withColumnRenamed("_i", "_lo")
     e = e.withColumn("_from", F.when(F.col("edit") > 0, F.col("_hi") + 1).otherwise(F.col("_lo")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .scan import scan
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], on: str, **take: str) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys: list[str], on: str, bound: int | None = None, **take: str) -> DataFrame:
     """Match every left row with right rows before and after it in ``on``.
 
     ``take`` maps a new column to ``before``, ``after``, ``before_open`` or ``after_open``; the
@@ -28,7 +28,7 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], on: str, **take: st
             continue
         src = both if out is None else out
         specs = {n: ("last" if k.startswith("before") else "after", F.col("_r")) for n, k in take.items() if k in wanted}
-        out = scan(src.withColumn("_o", F.col("_tag") * tag_order), keys, ["_t", "_o"], **specs).drop("_o")
+        out = scan(src.withColumn("_o", F.col("_tag") * tag_order), keys, ["_t", "_o"], bound, **specs).drop("_o")
     out = out.filter("_tag = 1")
     return out.select(*keys, F.col("_t").alias(on), *[F.col(f"_l.{c}").alias(c) for c in lcols], *take)
 

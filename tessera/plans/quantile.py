@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from .scan import is_hot, scan
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, **qs: float) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, bound: int | None = None, **qs: float) -> DataFrame:
     """Linear-interpolation percentiles per key as columns ``name=q``."""
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    if not is_hot(rows, keys):
+    if not is_hot(rows, keys, bound):
         arr = F.percentile("_v", F.array(*[F.lit(float(q)) for q in qs.values()]))
         out = rows.groupBy(*keys).agg(arr.alias("_q"))
         return out.select(*keys, *[F.col("_q")[n].alias(c) for n, c in enumerate(qs)])
@@ -34,9 +34,9 @@ def quantiles(df: DataFrame, keys: list[str], value: str, **qs: float) -> DataFr
     )
 
 
-def with_quantiles(df: DataFrame, keys: list[str], value: str, **qs: float) -> DataFrame:
+def with_quantiles(df: DataFrame, keys: list[str], value: str, bound: int | None = None, **qs: float) -> DataFrame:
     """Percentiles joined back to the rows (skewed keys are split by AQE)."""
-    q = quantiles(df, keys, value, **qs)
+    q = quantiles(df, keys, value, bound, **qs)
     return df.join(q, keys, "left") if keys else df.crossJoin(F.broadcast(q))
 
 

@@ -37,13 +37,25 @@ def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
     return _seen[tag]
 
 
-def is_hot(df: DataFrame, keys: list[str]) -> bool:
-    """True if one key holds more rows than a task should sort."""
-    return group_sizes(df, keys)[0] > task_rows(df)
+def largest(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest key, to pass on as a bound for tables derived from ``df``."""
+    return group_sizes(df, keys)[0]
 
 
-def _blocks(df: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, bool]:
-    if not is_hot(df, keys):
+def is_hot(df: DataFrame, keys: list[str], bound: int | None = None) -> bool:
+    """True if one key holds more rows than a task should sort.
+
+    ``bound`` is a known upper limit of the rows per key; only if it is too high, or missing, are
+    the rows counted.
+    """
+    limit = task_rows(df)
+    if bound is not None and bound <= limit:
+        return False
+    return group_sizes(df, keys)[0] > limit
+
+
+def _blocks(df: DataFrame, keys: list[str], order: list[str], bound: int | None) -> tuple[DataFrame, bool]:
+    if not is_hot(df, keys, bound):
         return df.withColumn("_blk", F.lit(0)), False
     n = -(-group_sizes(df, keys)[1] // task_rows(df)) * 2
     cut = df.repartitionByRange(n, *keys, *order).withColumn("_blk", F.spark_partition_id())
@@ -51,7 +63,7 @@ def _blocks(df: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame
     return durable(cut), True
 
 
-def scan(df: DataFrame, keys: list[str], order: list[str], **cols: tuple[str, Column]) -> DataFrame:
+def scan(df: DataFrame, keys: list[str], order: list[str], bound: int | None = None, **cols: tuple[str, Column]) -> DataFrame:
     """Add one column per ``name=(kind, expr)`` along ``order`` within ``keys``.
 
     Kinds: ``index`` (0-based position), ``sum`` (running sum), ``max`` (running maximum),
@@ -59,7 +71,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], **cols: tuple[str, Co
     ``next`` (value of the neighbouring row). ``order`` must be a total order of non-null columns.
     """
     made = {f"_v_{n}": e for n, (k, e) in cols.items() if k != "index"}
-    blocks, hot = _blocks(df.withColumns(made) if made else df, keys, order)
+    blocks, hot = _blocks(df.withColumns(made) if made else df, keys, order, bound)
     parts = [*keys, "_blk"]
     up = Window.partitionBy(*parts).orderBy(*order)
     so_far = up.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -130,9 +142,9 @@ def scan(df: DataFrame, keys: list[str], order: list[str], **cols: tuple[str, Co
     return out.drop("_blk", *made, *[f"_k_{p}" for p in parts], *[f"_c_{n}" for n in cols])
 
 
-def indexed(df: DataFrame, keys: list[str], order: list[str], name: str = "i") -> DataFrame:
+def indexed(df: DataFrame, keys: list[str], order: list[str], name: str = "i", bound: int | None = None) -> DataFrame:
     """Dense 0-based position within the key."""
-    return scan(df, keys, order, **{name: ("index", F.lit(1))})
+    return scan(df, keys, order, bound, **{name: ("index", F.lit(1))})
 
 
 def halo(df: DataFrame, keys: list[str], before: int, after: int, i: str = "i", chunk: int = 65_536) -> tuple[DataFrame, Window]:

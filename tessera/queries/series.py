@@ -88,9 +88,9 @@ def snippet_join(spark, sf):
 @query(
     f"WITH {_STARTS}, b AS (SELECT user_id, rep, i0, n_frames, (SELECT arg_min(s.i, (abs(s.t - st.t0 + 90000), s.i)) FROM samples s WHERE s.user_id = st.user_id) AS b0, "
     "(SELECT arg_min(s.i, (abs(s.t - st.t0 - 90000), s.i)) FROM samples s WHERE s.user_id = st.user_id) AS b1 FROM starts st WHERE NOT short), "
-    "m AS (SELECT b.user_id, rep, avg(y) AS base FROM b JOIN samples s ON s.user_id = b.user_id AND s.i >= b0 AND s.i < b1 GROUP BY 1, 2), "
+    "bm AS (SELECT b.user_id, rep, avg(y) AS base FROM b JOIN samples s ON s.user_id = b.user_id AND s.i >= b0 AND s.i < b1 GROUP BY 1, 2), "
     "w AS (SELECT user_id, rep, i0, unnest(range(n_frames)) AS j FROM starts WHERE NOT short) "
-    "SELECT w.user_id, w.rep, j, round(s.t, 6) AS t, round(y - base, 6) + 0.0 AS y FROM w JOIN samples s ON s.user_id = w.user_id AND s.i = w.i0 + j JOIN m ON m.user_id = w.user_id AND m.rep = w.rep",
+    "SELECT w.user_id, w.rep, j, round(s.t, 6) AS t, round(y - base, 6) + 0.0 AS y FROM w JOIN samples s ON s.user_id = w.user_id AND s.i = w.i0 + j JOIN bm ON bm.user_id = w.user_id AND bm.rep = w.rep",
     use="samples triggers",
 )
 def snippets(spark, sf):
@@ -246,7 +246,7 @@ def downsample_blocks(spark, sf):
 
 
 @query(
-    "WITH st AS (SELECT user_id, k AS rep, t AS t0, i AS i0 FROM triggers JOIN samples USING (user_id, t)), gaps AS (SELECT user_id, t0 - lag(t0) OVER (PARTITION BY user_id ORDER BY rep) AS g FROM st), "
+    "WITH st AS (SELECT user_id, k AS rep, t AS t0, i AS i0 FROM triggers JOIN samples USING (user_id, t)), gaps AS (SELECT user_id, t0 - lag(t0) OVER (PARTITION BY user_id ORDER BY rep) AS g FROM st WHERE i0 + 8 <= (SELECT count(*) FROM samples x WHERE x.user_id = st.user_id)), "
     "dur AS (SELECT user_id, median(g) AS dur FROM gaps GROUP BY 1), sn AS (SELECT st.user_id, st.rep, s.t - st.t0 AS t, s.y FROM st JOIN samples s ON s.user_id = st.user_id AND s.i >= st.i0 AND s.i < st.i0 + 8 "
     "WHERE st.i0 + 8 <= (SELECT count(*) FROM samples x WHERE x.user_id = st.user_id)), reps AS (SELECT DISTINCT user_id, rep FROM sn), "
     "grid AS (SELECT user_id, rep, j, j / (1 / 20000.0::DOUBLE) AS t FROM (SELECT user_id, rep, unnest(range(ceil(dur / 20000)::BIGINT)) AS j FROM reps JOIN dur USING (user_id))), "
@@ -257,13 +257,8 @@ def downsample_blocks(spark, sf):
 def resampled_average(spark, sf):
     s = samples(spark, sf)
     st = T.repetition_starts(s, triggers(spark, sf), U, 1)
-    # The grid takes its length from all triggers, also from a dropped last one.
-    gaps = T.resampled_average(T.snippet_join(st, s, U), _all_starts(spark, sf, st), U, 1 / 20000.0)
-    return _r(_r(gaps, 4, "t"), 6, "avg")
-
-
-def _all_starts(spark, sf, kept):
-    return kept.select("user_id", "rep", "t0")
+    avg = T.resampled_average(T.snippet_join(st, s, U), st, U, 1 / 20000.0)
+    return _r(_r(avg, 4, "t"), 6, "avg")
 
 
 @query("SELECT user_id, k * 3 + j AS frame, round(t + j / 3.0::DOUBLE, 6) AS t FROM (SELECT *, unnest([0, 1, 2]) AS j FROM triggers)", use="triggers")
