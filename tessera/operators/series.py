@@ -219,14 +219,21 @@ def clamp_edges(samples: DataFrame, keys: list[str], nmin: tuple[int, int] = (0,
     return d.select(*samples.columns)
 
 
-def fir(samples: DataFrame, keys: list[str], kernel: list[float], name: str = "y") -> DataFrame:
-    """Centred weighted sum over an odd number of samples; the edge value is held outside."""
+def fir(samples: DataFrame, keys: list[str], kernel: list[float], name: str = "y", value: str = "y", i: str = "i", reflect: bool = False) -> DataFrame:
+    """Centred weighted sum over an odd number of samples; outside, the edge is held or mirrored."""
     m = len(kernel) // 2
-    cut, w = halo(samples, keys, m, m)
+    cut, w = halo(samples, keys, m, m, i)
     ker = F.array(*[F.lit(float(c)) for c in kernel])
     frame = w.rowsBetween(-m, m)
-    cut = cut.withColumn("_a", F.collect_list("y").over(frame)).withColumn("_p", F.least(F.col("i"), F.lit(m)).cast("int"))
-    at = lambda k: F.greatest(F.lit(0), F.least(F.size("_a") - 1, F.col("_p") + k - m))
+    cut = cut.withColumn("_a", F.collect_list(value).over(frame)).withColumn("_p", F.least(F.col(i), F.lit(m)).cast("int"))
+    n = F.size("_a")
+
+    def at(k: Column) -> Column:
+        p = F.col("_p") + k - m
+        if reflect:
+            return F.when(p < 0, -p - 1).when(p >= n, 2 * n - 1 - p).otherwise(p)
+        return F.greatest(F.lit(0), F.least(n - 1, p))
+
     terms = F.transform(F.sequence(F.lit(0), F.lit(2 * m)), lambda k: F.get(ker, k) * F.get(F.col("_a"), at(k)))
     return own(cut.withColumn(name, F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)).drop("_a", "_p"))
 

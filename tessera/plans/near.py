@@ -15,19 +15,21 @@ def _sq(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, [p * p for p in parts])
 
 
-def nearest_point(points: DataFrame, cloud: DataFrame, pid: list[str], axes: list[str], cid: str, scale: dict[str, float] | None = None) -> DataFrame:
+def nearest_point(points: DataFrame, cloud: DataFrame, pid: list[str], axes: list[str], cid: str, scale: dict[str, float] | None = None, keys: list[str] | None = None) -> DataFrame:
     """For each point the nearest cloud row (smallest ``cid`` on ties) and its distance.
 
     Copies in the cloud collapse to their smallest id. The occupied cells of a grid over both tables
     are halved level by level; a point keeps the cells that can still hold its nearest row (lower
     bound not above the smallest upper bound), so it never meets the whole cloud. The levels together
     hold at most ``2 ** 16`` cells per level and are broadcast; cloud rows join by finest cell.
+    With ``keys`` points meet only cloud rows of their key, and Spark chooses how to join the cells.
     """
-    scale = scale or {}
+    scale, keys = scale or {}, keys or []
+    send = (lambda df: df) if keys else F.broadcast
     d = len(axes)
     levels = SENT_BITS // d
     s = {a: float(scale.get(a, 1.0)) for a in axes}
-    uniq = cloud.groupBy(*axes).agg(F.min(cid).alias(cid))
+    uniq = cloud.groupBy(*keys, *axes).agg(F.min(cid).alias(cid))
     box = uniq.agg(*[f(a).alias(f"{n}_{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))]).first()
     if box[f"lo_{axes[0]}"] is None:
         raise ValueError("empty cloud")
@@ -37,14 +39,14 @@ def nearest_point(points: DataFrame, cloud: DataFrame, pid: list[str], axes: lis
     def cell(level: int, a: str) -> Column:
         return F.floor((F.col(a) * s[a] - lo[a]) * (2**level / width)).cast("long")
 
-    leaf = uniq.select(*[F.col(a).alias(f"c_{a}") for a in axes], F.col(cid).alias("_cid"), *[cell(levels, a).alias(f"g_{a}") for a in axes])
-    cells = leaf.select(*[f"g_{a}" for a in axes]).distinct()
-    cand = points.select(*pid, *axes, *[F.lit(0).cast("long").alias(f"g_{a}") for a in axes])
+    leaf = uniq.select(*keys, *[F.col(a).alias(f"c_{a}") for a in axes], F.col(cid).alias("_cid"), *[cell(levels, a).alias(f"g_{a}") for a in axes])
+    cells = leaf.select(*keys, *[f"g_{a}" for a in axes]).distinct()
+    cand = points.select(*pid, *[k for k in keys if k not in pid], *axes, *[F.lit(0).cast("long").alias(f"g_{a}") for a in axes])
     for lv in range(1, levels + 1):
         step = 2 ** (levels - lv)
-        kids = cells.select(*[F.floor(F.col(f"g_{a}") / step).alias(f"k_{a}") for a in axes]).distinct()
+        kids = cells.select(*keys, *[F.floor(F.col(f"g_{a}") / step).alias(f"k_{a}") for a in axes]).distinct()
         kids = kids.select("*", *[F.floor(F.col(f"k_{a}") / 2).alias(f"g_{a}") for a in axes])
-        cand = cand.join(F.broadcast(kids), [f"g_{a}" for a in axes])
+        cand = cand.join(send(kids), [*keys, *[f"g_{a}" for a in axes]])
         size = width / 2**lv
         near, far = [], []
         for a in axes:
@@ -56,8 +58,8 @@ def nearest_point(points: DataFrame, cloud: DataFrame, pid: list[str], axes: lis
         best = F.min("_ub").over(Window.partitionBy(*pid))
         # A hair of slack keeps rounding at cell borders from dropping the right cell.
         cand = cand.withColumn("_best", best).filter(F.col("_lb") <= F.col("_best") * (1 + 1e-9) + 1e-12)
-        cand = cand.select(*pid, *axes, *[F.col(f"k_{a}").alias(f"g_{a}") for a in axes])
-    hit = cand.join(leaf, [f"g_{a}" for a in axes])
+        cand = cand.select(*pid, *[k for k in keys if k not in pid], *axes, *[F.col(f"k_{a}").alias(f"g_{a}") for a in axes])
+    hit = cand.join(leaf, [*keys, *[f"g_{a}" for a in axes]])
     dist = F.sqrt(_sq([(F.col(a) - F.col(f"c_{a}")) * s[a] for a in axes]))
     hit = hit.withColumn("dist", dist)
     out = hit.groupBy(*pid).agg(F.min_by(F.struct("_cid", "dist", *[f"c_{a}" for a in axes]), F.struct("dist", "_cid")).alias("_m"))
