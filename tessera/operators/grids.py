@@ -287,9 +287,9 @@ def int_downscale(img: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 
 def keep_lost_labels(before: DataFrame, after: DataFrame, keys: list[str], shape_b: tuple[int, int], shape_a: tuple[int, int], rings: int = 10) -> DataFrame:
-    """Labels lost by resizing come back as one free pixel nearest their centre.
+    """Labels lost by resizing come back as one pixel nearest their centre.
 
-    Each round every lost label asks for its best free pixel (in a ring wider each time) and the
+    A free pixel is preferred, else one of a label that has more than one. Each round every lost label asks for its best pixel (in a ring wider each time) and the
     smallest label asking for a pixel gets it; a label without a place after all rings is an error.
     """
     cols = [*keys, "x", "y", "roi_id"]
@@ -305,10 +305,16 @@ def keep_lost_labels(before: DataFrame, after: DataFrame, keys: list[str], shape
         d = F.pow(F.col("x") - F.col("_mx"), 2) + F.pow(F.col("y") - F.col("_my"), 2)
         tx = F.greatest(F.least(F.round(F.col("x") * shape_a[0] / shape_b[0]).cast("int"), F.lit(shape_a[0] - 1)), F.lit(0))
         ty = F.greatest(F.least(F.round(F.col("y") * shape_a[1] / shape_b[1]).cast("int"), F.lit(shape_a[1] - 1)), F.lit(0))
-        c = c.select(*keys, "roi_id", tx.alias("x"), ty.alias("y"), F.round(d, 9).alias("_d")).join(out, [*keys, "x", "y"], "left_anti")
-        ask = c.groupBy(*keys, "roi_id").agg(F.min(F.struct("_d", "x", "y")).alias("_b")).select(*keys, "roi_id", "_b.x", "_b.y")
-        won = ask.groupBy(*keys, "x", "y").agg(F.min("roi_id").alias("roi_id"))
-        out = durable(out.unionByName(won.select(*cols)))
+        held = join_stats(out, [*keys, "roi_id"], _n=F.count("*")).select(*keys, "x", "y", F.col("roi_id").alias("_held"), "_n")
+        c = c.select(*keys, "roi_id", tx.alias("x"), ty.alias("y"), F.round(d, 9).alias("_d")).join(held, [*keys, "x", "y"], "left")
+        c = c.filter(F.col("_held").isNull() | (F.col("_n") > 1))
+        ask = c.groupBy(*keys, "roi_id").agg(F.min(F.struct(F.col("_held").isNotNull().alias("_t"), "_d", "x", "y", "_held")).alias("_b"))
+        won = ask.select(*keys, "roi_id", "_b.x", "_b.y", "_b._held").groupBy(*keys, "x", "y", "_held").agg(F.min("roi_id").alias("roi_id"))
+        # A label gives up one pixel per round, so it cannot vanish itself.
+        one = won.filter("_held is not null").groupBy(*keys, "_held").agg(F.min(F.struct("x", "y", "roi_id")).alias("_b"))
+        won = won.filter("_held is null").select(*cols).unionByName(one.select(*keys, "_b.x", "_b.y", "_b.roi_id").select(*cols))
+        won = durable(won)
+        out = durable(out.join(won, [*keys, "x", "y"], "left_anti").select(*cols).unionByName(won))
     raise RuntimeError("no free pixel for a lost label")
 
 

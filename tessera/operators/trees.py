@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..plans.near import nearest_point
 from ..plans.quantile import quantiles
@@ -245,7 +246,7 @@ def hull_points(points: DataFrame, keys: list[str]) -> DataFrame:
         out["k"] = range(len(out))
         return out
 
-    return part.groupBy(*keys).applyInPandas(last, schema.add("k", "int"))
+    return part.groupBy(*keys).applyInPandas(last, StructType([*schema.fields, StructField("k", IntegerType())]))
 
 
 def hull_area(points: DataFrame, keys: list[str]) -> DataFrame:
