@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.quantile import with_quantiles
-from ..plans.stats import join_stats
+from ..plans.stats import join_stats, pearson
 
 
 def normalize(df: DataFrame, keys: list[str], value: str, kind: str, name: str) -> DataFrame:
@@ -168,7 +168,7 @@ def skew_inverse(z: Column) -> Column:
 def mixed_loss(y: str, p: str, alpha: float = 0.5) -> Column:
     """Weighted sum of half the mean squared error and of one minus the correlation."""
     diff = F.abs(F.avg(F.pow(F.col(y) - F.col(p), 2))) / 2.0
-    return alpha * diff + (1 - alpha) * (1.0 - F.corr(y, p))
+    return alpha * diff + (1 - alpha) * (1.0 - pearson(y, p))
 
 
 def radial_profile(d: Column, std: float, cut: float | None = None, scale: float = 1.0) -> Column:

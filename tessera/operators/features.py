@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from ..plans.components import components
 from ..plans.scan import indexed
-from ..plans.stats import join_stats
+from ..plans.stats import join_stats, nz, pearson
 from ..session import durable
-from .stats import nz, pairwise_corr
+from .stats import pairwise_corr
 
 
 def feature_table(rois: DataFrame, averages: DataFrame, keys: list[str], stims: list[str], rtol: float = 0.15) -> DataFrame:
@@ -221,7 +221,7 @@ def order_clusters(assigned: DataFrame, traces: DataFrame, keys: list[str], clus
     mean = traces.join(a.select(*keys, cluster), keys).groupBy(cluster, "j").agg(F.avg("v").alias("m"))
     big = a.groupBy(cluster).agg(F.count("*").alias("_n")).agg(F.max_by(cluster, F.struct("_n", -F.col(cluster))).alias("_b"))
     ref = mean.crossJoin(F.broadcast(big)).filter(F.col(cluster) == F.col("_b")).select("j", F.col("m").alias("_r"))
-    cc = mean.join(ref, "j").groupBy(cluster).agg(F.round(F.corr("m", "_r"), 9).alias("_cc"))
+    cc = mean.join(ref, "j").groupBy(cluster).agg(F.round(pearson("m", "_r"), 9).alias("_cc"))
     rank = cc.select(cluster, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("_cc").desc(), cluster)).alias("_k"))
     return assigned.join(rank, cluster, "left").withColumn(cluster, F.coalesce("_k", F.lit(-1))).drop("_k")
 

@@ -14,11 +14,10 @@ from pyspark.sql import functions as F
 from ..plans.components import components
 from ..plans.quantile import quantiles, with_quantiles
 from ..plans.scan import indexed, scan
-from ..plans.stats import join_stats
+from ..plans.stats import join_stats, nz, pearson
 from ..session import durable
 from .joins import compare_masks, label_iou
 from .series import fir, gauss_kernel
-from .stats import nz
 
 FOUR = [(1, 0), (0, 1)]
 EIGHT = [(1, 0), (0, 1), (1, 1), (1, -1)]
@@ -95,7 +94,7 @@ def similar_region(seeds: DataFrame, stack: DataFrame, keys: list[str], radius:
     """Connected pixels around each seed ``(keys, sx, sy)`` whose series correlates with the seed's."""
     near = stack.join(seeds, keys).filter(F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")) <= radius)
     seed = near.filter("x = sx and y = sy").select(*keys, "frame", F.col("v").alias("_s"))
-    r = near.join(seed, [*keys, "frame"]).groupBy(*keys, "x", "y").agg(F.corr("v", "_s").alias("_r"))
+    r = near.join(seed, [*keys, "frame"]).groupBy(*keys, "x", "y").agg(pearson("v", "_s").alias("_r"))
     m = r.filter(F.col("_r") >= threshold).select(*keys, "x", "y", F.lit(1).alias("roi_id"))
     lab = connected_components(m, keys, 4)
     hit = lab.join(seeds.select(*keys, F.col("sx").alias("x"), F.col("sy").alias("y")), [*keys, "x", "y"], "left_semi")
@@ -165,7 +164,8 @@ def assign_to_centres(pixels: DataFrame, keys: list[str], cell_min: float, centr
 
     best = F.array_min(F.transform("_c", dist))
     j = j.withColumn("_b", best).select(*keys, "x", "y", F.col("_b.cx").alias("cx"), F.col("_b.cy").alias("cy"))
-    return j.select(*keys, "x", "y", F.dense_rank().over(Window.partitionBy(*keys).orderBy("cx", "cy")).alias("roi_id"))
+    used = indexed(j.select(*keys, "cx", "cy").distinct(), keys, ["cx", "cy"], "_k")
+    return j.join(used, [*keys, "cx", "cy"]).select(*keys, "x", "y", (F.col("_k") + 1).cast("int").alias("roi_id"))
 
 
 def add_labels(new: DataFrame, old: DataFrame, keys: list[str], n_min: int = 3, connectivity: int = 8) -> DataFrame:

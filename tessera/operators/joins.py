@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.asof import asof
 from ..plans.near import nearest_point
+from ..plans.stats import pearson
 
 
 def asof_setting(keys: DataFrame, settings: DataFrame, date: str, setup: str, columns: dict[str, str]) -> DataFrame:
@@ -131,7 +132,7 @@ def shift_scores(img: DataFrame, ref: DataFrame, keys: list[str], ref_keys: list
     sh = img.select(*keys, "x", "y", "v", F.explode(_shifts(max_shift)).alias("_s"))
     sh = sh.select(*keys, "_s.dx", "_s.dy", (F.col("x") + F.col("_s.dx")).alias("x"), (F.col("y") + F.col("_s.dy")).alias("y"), "v")
     j = sh.join(ref.select(*ref_keys, "x", "y", F.col("v").alias("_w")), [*ref_keys, "x", "y"])
-    score = F.corr("v", "_w") if metric == "corr" else -F.avg((F.col("v") - F.col("_w")) * (F.col("v") - F.col("_w")))
+    score = pearson("v", "_w") if metric == "corr" else -F.avg((F.col("v") - F.col("_w")) * (F.col("v") - F.col("_w")))
     return j.groupBy(*keys, "dx", "dy").agg(score.alias("score"))
 
 

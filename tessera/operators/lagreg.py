@@ -16,10 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scan import halo, indexed, own
-from ..plans.stats import join_stats
+from ..plans.stats import join_stats, nz, pearson
 from ..session import durable
 from .series import blocked_kfold, find_peaks, lag_matrix, ordered_split, top2_peaks_by_time, with_neighbours
-from .stats import nz
 
 
 def _lagged_response(resp: DataFrame, keys: list[str], n_lag: int, shift: int) -> DataFrame:
@@ -70,7 +69,7 @@ def fit_sta_table(resp: DataFrame, stim: DataFrame, keys: list[str], n_lag: int,
     every = rf.join(d.select(*parts).distinct(), keys)
     pred = predict_linear(every, slocal, local, parts, n_lag, shift).filter(F.col("i") >= n_lag + shift)
     e = F.col("y") - F.col("y_pred")
-    return rf, pred.groupBy(*parts).agg(F.corr("y", "y_pred").alias("cc"), F.avg(e * e).alias("mse"))
+    return rf, pred.groupBy(*parts).agg(pearson("y", "y_pred").alias("cc"), F.avg(e * e).alias("mse"))
 
 
 def design(resp: DataFrame, stim: DataFrame, keys: list[str], pixels: list, n_lag: int, shift: int = 0) -> DataFrame:
@@ -201,7 +200,7 @@ def permutation_scores(pred: DataFrame, keys: list[str], n: int, seed: int) -> D
     shuffled = base.join(ranked, [*keys, "i"]).select(*keys, "perm", "y", F.col("_p").alias("y_pred"))
     every = shuffled.unionByName(d.select(*keys, F.lit(-1).alias("perm"), "y", "y_pred"))
     e = F.col("y") - F.col("y_pred")
-    return every.groupBy(*keys, "perm").agg(F.corr("y", "y_pred").alias("corrcoef"), F.avg(e * e).alias("mse"))
+    return every.groupBy(*keys, "perm").agg(pearson("y", "y_pred").alias("corrcoef"), F.avg(e * e).alias("mse"))
 
 
 def quality_columns(df: DataFrame, m: str, names: list[str]) -> DataFrame:

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..plans.quantile import quantiles
 from ..plans.scan import indexed, largest
-from ..plans.stats import join_stats
+from ..plans.stats import join_stats, nz
 from .series import nearest_index, resample_linear, snippet_join
-from .stats import nz, repeat_quality
+from .stats import repeat_quality
 
 
 def _in(lo: int, hi: int) -> Column:
@@ -74,7 +74,7 @@ def step_surround(local: DataFrame, glob: DataFrame, keys: list[str], n_base: in
     """The same index from the step of two stimuli; their sampling must match (checked per key)."""
 
     def step(s: DataFrame, name: str) -> DataFrame:
-        one = s.groupBy(*keys, "rep").agg(((F.max("t") - F.min("t")) / (F.max("j") - F.min("j"))).alias("_d"))
+        one = s.groupBy(*keys, "rep").agg(((F.max("t") - F.min("t")) / nz((F.max("j") - F.min("j")).cast("double"))).alias("_d"))
         return one.groupBy(*keys).agg(F.avg("_d").alias(name))
 
     r = spot_responses(local, keys, n_base, n_spot, 1).withColumn("spot", F.lit(0))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..plans.asof import asof, closer
 from ..plans.quantile import quantiles, with_quantiles
 from ..plans.scan import halo, indexed, largest, own, scan
-from ..plans.stats import join_stats
+from ..plans.stats import join_stats, nz
 from ..session import durable
 
 CHUNK = 65_536
@@ -41,7 +41,7 @@ def sampling_step(samples: DataFrame, keys: list[str], rtol_error: float = 2.0,
     """Mean step, worst relative deviation and its level (ok, warning, error) per key."""
     d = with_neighbours(samples.select(*keys, "i", "t"), keys, _p=("t", -1)).withColumn("_d", F.col("t") - F.col("_p"))
     s = d.groupBy(*keys).agg(F.avg("_d").alias("dt"), F.min("_d").alias("_a"), F.max("_d").alias("_b")).dropna(subset=["dt"])
-    rel = F.greatest(F.col("_b") - F.col("dt"), F.col("dt") - F.col("_a")) / F.col("dt")
+    rel = F.greatest(F.col("_b") - F.col("dt"), F.col("dt") - F.col("_a")) / nz(F.col("dt"))
     level = F.when(rel >= rtol_error, "error").when(rel >= rtol_warning, "warning").otherwise("ok")
     return s.select(*keys, "dt", rel.alias("rel_error"), level.alias("level"))
 
@@ -352,7 +352,7 @@ def interpolate(grid: DataFrame, samples: DataFrame, keys: list[str], bound: int
     """Linear interpolation of the samples at the grid times, ends held."""
     s = samples.select(*keys, "t", "y")
     d = asof(grid, s, keys, "t", bound, _b="before", _a="after_open")
-    f = (F.col("t") - F.col("_b.t")) / (F.col("_a.t") - F.col("_b.t"))
+    f = (F.col("t") - F.col("_b.t")) / nz(F.col("_a.t") - F.col("_b.t"))
     y = F.when(F.col("_a").isNull(), F.col("_b.y")).when(F.col("_b").isNull(), F.col("_a.y"))
     return d.withColumn("y", y.otherwise(F.col("_b.y") + (F.col("_a.y") - F.col("_b.y")) * f)).drop("_a", "_b")
 
@@ -363,7 +363,7 @@ def resample_linear(samples: DataFrame, keys: list[str], dt: float | None = None
     step = F.lit(dt) if dt is not None else (F.col("_t1") - F.col("_t0")) / F.nullif(F.col("_n") - 1, F.lit(0))
     ends = ends.withColumn("_dt", step)
     # A hair of tolerance keeps the last point when the span is a whole number of steps.
-    n = F.coalesce(F.floor((F.col("_t1") - F.col("_t0")) / F.col("_dt") + 1e-9) + 1, F.lit(1))
+    n = F.coalesce(F.floor((F.col("_t1") - F.col("_t0")) / nz(F.col("_dt")) + 1e-9) + 1, F.lit(1))
     longest = ends.agg(F.max(n).alias("m")).first()["m"] or 0
     grid = explode_range(ends, n, "i").select(*keys, "i", (F.col("_t0") + F.coalesce(F.col("i") * F.col("_dt"), F.lit(0.0))).alias("t"))
     return interpolate(grid, samples, keys, longest + largest(samples, keys)).select(*keys, "i", "t", "y")
@@ -374,7 +374,7 @@ def upsample_linear(samples: DataFrame, keys: list[str], n: int) -> DataFrame:
     d = with_neighbours(samples, keys, _y2=("y", 1), _t2=("t", 1)).join(mean_step(samples, keys), keys)
     d = d.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     add = F.coalesce(F.col("dt"), F.lit(0.0)) * F.col("_j") / n
-    f = F.least(add / (F.col("_t2") - F.col("t")), F.lit(1.0))
+    f = F.least(add / nz(F.col("_t2") - F.col("t")), F.lit(1.0))
     y = F.when(F.col("_t2").isNull(), F.col("y")).otherwise(F.col("y") + (F.col("_y2") - F.col("y")) * f)
     return d.select(*keys, (F.col("i") * n + F.col("_j")).alias("i"), (F.col("t") + add).alias("t"), y.alias("y"))
 

@@ -13,12 +13,7 @@ from ..functions.scalar import rotate
 from ..functions.special import chi2_sf, normal_sf, t_sf
 from ..plans.quantile import quantiles, rank_table, with_quantiles
 from ..plans.scan import indexed, largest
-from ..plans.stats import join_stats
-
-
-def nz(c: Column) -> Column:
-    """The column, null where it is zero (a divisor)."""
-    return F.nullif(c, F.lit(0.0))
+from ..plans.stats import join_stats, nz, pearson
 
 
 def largest_first(df: DataFrame, by: list[str], col: str, ties: list[str], first: int) -> DataFrame:
@@ -185,7 +180,7 @@ def padded_range(df: DataFrame, by: list[str], col: str, q: float = 0.01) -> Dat
 def correlation(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Pearson r, its square and the regression line, rows with a null left out."""
     d = df.dropna(subset=[x, y])
-    r = F.corr(x, y)
+    r = pearson(x, y)
     return d.groupBy(*by).agg(
         F.count("*").alias("n"), r.alias("r"), (r * r).alias("r2"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept")
     )
@@ -305,7 +300,7 @@ def score_predictions(df: DataFrame, by: list[str], y: str, p: str) -> DataFrame
     """Correlation, mean squared and absolute error, and error of the 0.5 threshold per split."""
     e = F.col(y) - F.col(p)
     binary = F.abs(F.col(y).cast("int") - (F.col(p) > 0.5).cast("int"))
-    return df.groupBy(*by).agg(F.corr(y, p).alias("cc"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.avg(binary).alias("binary_error"))
+    return df.groupBy(*by).agg(pearson(y, p).alias("cc"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.avg(binary).alias("binary_error"))
 
 
 def explained_fraction(df: DataFrame, by: list[str], a: str, fit: str) -> DataFrame:

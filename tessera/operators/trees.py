@@ -16,11 +16,11 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from ..plans.near import nearest_point
 from ..plans.quantile import quantiles
 from ..plans.scan import scan, task_rows
-from ..plans.stats import join_stats
+from ..plans.stats import join_stats, nz
 from ..session import durable
 from .joins import locate_on_path
 from .series import with_neighbours
-from .stats import bin_index, nz
+from .stats import bin_index
 
 
 def _dist(a: list[Column], b: list[Column]) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 
-TASK_ROWS = 4_000_000
+TASK_ROWS = 2_000_000
 _seen: dict = {}
 
 

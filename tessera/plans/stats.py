@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def nz(c: Column) -> Column:
+    """The column, null where it is zero (a divisor)."""
+    return F.nullif(c, F.lit(0.0))
+
+
 def join_stats(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
     """Add per-key aggregates as columns.
 
@@ -16,3 +21,8 @@ def join_stats(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
     if not keys:
         return df.crossJoin(F.broadcast(df.agg(*one)))
     return df.join(df.groupBy(*keys).agg(*one), keys)
+
+
+def pearson(x: str, y: str) -> Column:
+    """Correlation aggregate that is null, not an error, where a side does not vary."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))

@@ -79,7 +79,7 @@ def column_callables(spark, sf):
     return apply(img, cval=F.median, norm=lambda v: F.max(F.abs(v)))
 
 
-@query("SELECT vec_id, round(sqrt(sum(v * v)), 6) AS norm FROM vectors GROUP BY 1", use="vectors")
+@query("SELECT vec_id, round(sqrt(sum(v * v)), 6) AS norm FROM vectors GROUP BY 1", use="vectors", name="vector_aggregate")
 def vector_aggregate_query(spark, sf):
     e = table(spark, sf, "embeddings")
     v = vector_aggregate(lambda a: (a * a).sum() ** 0.5, F.col("embedding").cast("array<double>"))

@@ -118,9 +118,8 @@ def surface_distance(spark, sf):
 
 
 @query(
-    "WITH pp AS (SELECT l_suppkey % 20 AS x, l_linenumber AS y, l_orderkey % 50 AS path_id, l_partkey AS j FROM lineitem), f AS (SELECT x, y, min((path_id, j)) AS m FROM (SELECT x, y, {'path_id': path_id, 'j': j} AS s, path_id, j FROM pp) GROUP BY 1, 2) "
-    "SELECT c_custkey, (SELECT min(path_id) FROM pp WHERE x = c_custkey % 20 AND y = c_nationkey % 9) AS path_id, "
-    "(SELECT min(j) FROM pp WHERE x = c_custkey % 20 AND y = c_nationkey % 9 AND path_id = (SELECT min(path_id) FROM pp WHERE x = c_custkey % 20 AND y = c_nationkey % 9)) AS j FROM customer WHERE c_nationkey % 9 BETWEEN 1 AND 7"
+    "WITH pp AS (SELECT l_suppkey % 20 AS x, l_linenumber AS y, l_orderkey % 50 AS path_id, l_partkey AS j FROM lineitem), f AS (SELECT x, y, min({'p': path_id, 'j': j}) AS m FROM pp GROUP BY 1, 2) "
+    "SELECT c_custkey, m.p AS path_id, m.j AS j FROM customer JOIN f ON x = c_custkey % 20 AND y = c_nationkey % 9"
 )
 def locate_on_path(spark, sf):
     l = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 20).alias("x"), F.col("l_linenumber").cast("long").alias("y"), (F.col("l_orderkey") % 50).alias("path_id"), F.col("l_partkey").alias("j"))

@@ -10,6 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+# Times are UTC. Joins on skewed keys are split at run time, also where a later step of the plan
+# would have liked to reuse the partitioning of the join.
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
 
 def query(sql: str | None = None, use: str = "", name: str | None = None):
     """Register ``fn(spark, sf_dir)`` under its name; ``use`` names the shared SQL tables."""
@@ -19,7 +28,8 @@ def query(sql: str | None = None, use: str = "", name: str | None = None):
 
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            for name, value in SETTINGS.items():
+                spark.conf.set(name, value)
             return fn(spark, sf_dir)
 
         if key in QUERIES:

@@ -303,7 +303,7 @@ def dataset_norm(spark, sf):
 
 
 @query(
-    "WITH p AS (SELECT quality::DOUBLE AS y, n_chars / 2000.0::DOUBLE AS p, lang FROM documents JOIN labels USING (doc_id)) SELECT lang, round(corr(y, p), 6) AS cc, round(avg((y - p) * (y - p)), 6) AS mse, round(avg(abs(y - p)), 6) AS mae, "
+    "WITH p AS (SELECT quality::DOUBLE AS y, n_chars / 2000.0::DOUBLE AS p, lang FROM documents JOIN labels USING (doc_id)) SELECT lang, CASE WHEN isnan(corr(y, p)) THEN NULL ELSE round(corr(y, p), 6) END AS cc, round(avg((y - p) * (y - p)), 6) AS mse, round(avg(abs(y - p)), 6) AS mae, "
     "round(avg(abs(y::INTEGER - (p > 0.5)::INTEGER)), 6) AS binary_error FROM p GROUP BY 1"
 )
 def score_predictions(spark, sf):

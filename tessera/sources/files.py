@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.keys import antijoin
@@ -144,9 +144,3 @@ def export_datasets(df: DataFrame, by: list[str], path: str, existing: DataFrame
     if combos:
         d.write.mode("append").partitionBy(*by).parquet(path)
     return combos
-
-
-def with_first(files: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """First file of every group in an order."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return files.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")

@@ -1,4 +1,4 @@
-"""Compare registered queries with their SQL on the given tables: ``python -m tests.oracle [sf] [names...]``."""
+"""Compare registered queries with their SQL on the given tables: ``python -m tests.oracle [--task-rows=n] [sf] [names...]``."""
 
 from __future__ import annotations
 
@@ -53,11 +53,17 @@ def main(argv):
     from __spark_entry__ import oracle_sql, queries
     from tessera.session import local_session
 
+    task_rows = None
+    if argv and argv[0].startswith("--task-rows="):
+        task_rows = argv[0].split("=")[1]
+        argv = argv[1:]
     sf = argv[0] if argv else "0.01"
     q, o = queries(), oracle_sql()
     names = [n for n in q if not argv[1:] or any(n == a or (a.endswith("*") and n.startswith(a[:-1])) for a in argv[1:])]
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
+    if task_rows:
+        spark.conf.set("tessera.task.rows", task_rows)
     d = f"/root/testdata/sf{sf}"
     con = connect(d)
     bad = 0
