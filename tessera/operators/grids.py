@@ -192,10 +192,10 @@ def mask_format(img: DataFrame, keys: list[str]) -> DataFrame:
     Negative labels with background 0 or 1, or positive labels with background 0.
     """
     s = join_stats(img, keys, _lo=F.min("v"), _hi=F.max("v"))
-    igor = F.col("_hi").isin(0, 1) & (F.col("_lo") <= 1)
-    python = (F.col("_lo") == 0) & (F.col("_hi") >= 0)
-    kind = F.when(python, "python").when(igor, "igor").otherwise(F.raise_error(F.lit("unknown mask format")).cast("string"))
-    label = F.when(python, F.col("v")).when(F.col("v") == F.col("_hi"), 0).otherwise(-F.col("v"))
+    negative = F.col("_hi").isin(0, 1) & (F.col("_lo") <= 1)
+    positive = (F.col("_lo") == 0) & (F.col("_hi") >= 0)
+    kind = F.when(positive, "positive").when(negative, "negative").otherwise(F.raise_error(F.lit("unknown mask format")).cast("string"))
+    label = F.when(positive, F.col("v")).when(F.col("v") == F.col("_hi"), 0).otherwise(-F.col("v"))
     return s.withColumn("format", kind).withColumn("roi_id", label).filter("roi_id != 0").select(*keys, "x", "y", "roi_id", "format")
 
 

@@ -171,7 +171,7 @@ def suggest_labels(spark, sf):
 
 @query(
     "WITH f AS (SELECT vec_id, x, y, CASE WHEN vec_id % 3 = 0 THEN coalesce(roi_id, 0) WHEN vec_id % 3 = 1 THEN coalesce(-roi_id, 1) ELSE coalesce(-roi_id, 0) END AS v FROM pixels LEFT JOIN mask USING (vec_id, x, y)) "
-    "SELECT vec_id, x, y, abs(v) AS roi_id, CASE WHEN vec_id % 3 = 0 THEN 'python' ELSE 'igor' END AS format FROM f WHERE CASE WHEN vec_id % 3 = 1 THEN v <> 1 ELSE v <> 0 END",
+    "SELECT vec_id, x, y, abs(v) AS roi_id, CASE WHEN vec_id % 3 = 0 THEN 'positive' ELSE 'negative' END AS format FROM f WHERE CASE WHEN vec_id % 3 = 1 THEN v <> 1 ELSE v <> 0 END",
     use="mask",
 )
 def mask_format(spark, sf):
@@ -369,7 +369,13 @@ def region_moments(spark, sf):
     return _r(G.region_moments(mask(spark, sf).filter("roi_id = 1"), V), 8, "cx", "cy")
 
 
-@query()
+@query(
+    "WITH co AS (SELECT DISTINCT vec_id, x + a AS x, y + b AS y FROM mask, range(2) q(a), range(2) r(b) WHERE roi_id = 1), e AS (SELECT a.vec_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM co a JOIN co b ON a.vec_id = b.vec_id AND (a.x <> b.x OR a.y <> b.y) "
+    "WHERE NOT EXISTS (SELECT 1 FROM co c WHERE c.vec_id = a.vec_id AND ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0 OR ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND (b.x - a.x) * (c.x - b.x) + (b.y - a.y) * (c.y - b.y) > 0) "
+    "OR ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND (b.x - a.x) * (c.x - a.x) + (b.y - a.y) * (c.y - a.y) < 0)))), h AS (SELECT vec_id, sum(ax * by_ - ay * bx) / 2.0::DOUBLE AS hull_area FROM e GROUP BY 1), "
+    "m AS (SELECT vec_id, count(*) AS area, avg(x) AS cx, avg(y) AS cy FROM mask WHERE roi_id = 1 GROUP BY 1) SELECT vec_id, area, round(cx, 8) AS cx, round(cy, 8) AS cy, hull_area, round(1 - area / hull_area, 8) + 0.0 AS irregularity FROM m JOIN h USING (vec_id)",
+    use="mask",
+)
 def region_irregularity(spark, sf):
     return _r(G.region_irregularity(mask(spark, sf).filter("roi_id = 1"), V), 8, "irregularity", "cx", "cy")
 

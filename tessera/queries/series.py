@@ -16,12 +16,12 @@ def _r(df, digits=6, *cols):
 
 
 @query(
-    "SELECT user_id, round(dt, 6) AS dt, round(greatest(b - dt, dt - a) / dt, 6) AS rel_error, CASE WHEN greatest(b - dt, dt - a) / dt >= 4 THEN 'error' WHEN greatest(b - dt, dt - a) / dt >= 3 THEN 'warning' ELSE 'ok' END AS level "
+    "SELECT user_id, round(dt, 3) AS dt, round(greatest(b - dt, dt - a) / dt, 6) AS rel_error, CASE WHEN greatest(b - dt, dt - a) / dt >= 4 THEN 'error' WHEN greatest(b - dt, dt - a) / dt >= 3 THEN 'warning' ELSE 'ok' END AS level "
     "FROM (SELECT user_id, avg(d) AS dt, min(d) AS a, max(d) AS b FROM (SELECT user_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY i) AS d FROM samples) GROUP BY 1) WHERE dt IS NOT NULL",
     use="samples",
 )
 def sampling_step(spark, sf):
-    return _r(T.sampling_step(samples(spark, sf), U, 4.0, 3.0), 6, "dt", "rel_error")
+    return _r(_r(T.sampling_step(samples(spark, sf), U, 4.0, 3.0), 3, "dt"), 6, "rel_error")
 
 
 _SCAN = "SELECT p_partkey, p_size AS n_frames, p_retailprice / 100 AS pixel_us, p_partkey % 5 + 3 AS nx, p_partkey % 3 + 1 AS ny FROM part"
@@ -224,20 +224,20 @@ _DT = "dt AS (SELECT user_id, (max(t) - min(t)) / (count(*) - 1) AS dt FROM samp
 
 @query(
     f"WITH {_DT}, n AS (SELECT *, lead(y) OVER w AS y2, lead(t) OVER w AS t2 FROM samples WINDOW w AS (PARTITION BY user_id ORDER BY i)), u AS (SELECT *, unnest([0, 1, 2]) AS j FROM n) "
-    "SELECT user_id, i * 3 + j AS i, round(t + dt * j / 3, 6) AS t, round(CASE WHEN t2 IS NULL THEN y ELSE y + (y2 - y) * least(dt * j / 3 / (t2 - t), 1) END, 6) AS y FROM u JOIN dt USING (user_id)",
+    "SELECT user_id, i * 3 + j AS i, round(t + dt * j / 3, 3) AS t, round(CASE WHEN t2 IS NULL THEN y ELSE y + (y2 - y) * least(dt * j / 3 / (t2 - t), 1) END, 6) AS y FROM u JOIN dt USING (user_id)",
     use="samples",
 )
 def upsample_linear(spark, sf):
-    return _r(T.upsample_linear(samples(spark, sf), U, 3), 6, "t", "y")
+    return _r(_r(T.upsample_linear(samples(spark, sf), U, 3), 3, "t"), 6, "y")
 
 
 @query(
-    f"WITH {_DT} SELECT user_id, i * 2 + j AS i, round(t + dt * j / 2, 6) AS t, event_type FROM (SELECT *, unnest([0, 1]) AS j FROM typed_samples) JOIN dt USING (user_id)",
+    f"WITH {_DT} SELECT user_id, i * 2 + j AS i, round(t + dt * j / 2, 3) AS t, event_type FROM (SELECT *, unnest([0, 1]) AS j FROM typed_samples) JOIN dt USING (user_id)",
     use="samples",
 )
 def upsample_hold(spark, sf):
     s = typed_samples(spark, sf).select("user_id", "i", "t", "event_type")
-    return _r(T.upsample_hold(s, U, 2), 6, "t")
+    return _r(T.upsample_hold(s, U, 2), 3, "t")
 
 
 @query("SELECT user_id, i // 5 AS i, round(arg_min(t, i), 6) AS t, round(avg(y), 6) AS y FROM samples GROUP BY user_id, i // 5 HAVING count(*) = 5", use="samples")
@@ -371,12 +371,12 @@ def lag_matrix(spark, sf):
 
 @query(
     f"WITH {_DT}, n AS (SELECT user_id, dt, ceil(200000 / dt)::BIGINT AS p, ceil(50000 / dt)::BIGINT AS f FROM dt) "
-    "SELECT user_id, -f AS shift, p AS burn_in, lag::INTEGER AS lag, round((lag + 1 - p) * dt, 6) + 0.0 AS t FROM (SELECT *, unnest(range(p + f)) AS lag FROM n)",
+    "SELECT user_id, -f AS shift, p AS burn_in, lag::INTEGER AS lag, round((lag + 1 - p) * dt, 3) + 0.0 AS t FROM (SELECT *, unnest(range(p + f)) AS lag FROM n)",
     use="samples",
 )
 def lag_axis(spark, sf):
     d = T.mean_step(samples(spark, sf), U)
-    return _r(T.lag_axis(d, F.lit(200000.0), F.lit(50000.0), F.col("dt")), 6, "t").drop("dt")
+    return _r(T.lag_axis(d, F.lit(200000.0), F.lit(50000.0), F.col("dt")), 3, "t").drop("dt")
 
 
 @query("SELECT c_custkey, c_mktsegment || '_' || row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS tag FROM customer")

@@ -76,30 +76,30 @@ def stack_median(spark, sf):
 
 
 @query(
-    f"WITH {SNIPS}, r AS (SELECT *, t - min(t) OVER (PARTITION BY user_id, rep) AS dt FROM sn) SELECT user_id, j, round(avg(dt), 5) AS t, stddev_pop(dt) <= 90000 AS consistent FROM r GROUP BY 1, 2",
+    f"WITH {SNIPS}, r AS (SELECT *, t - min(t) OVER (PARTITION BY user_id, rep) AS dt FROM sn) SELECT user_id, j, round(avg(dt), 2) AS t, stddev_pop(dt) <= 90000 AS consistent FROM r GROUP BY 1, 2",
     use="samples triggers",
 )
 def aligned_times(spark, sf):
-    return _r(A.aligned_times(snips(spark, sf), U, 90000.0), 5, "t")
+    return _r(A.aligned_times(snips(spark, sf), U, 90000.0), 2, "t")
 
 
 @query(
     f"WITH {SNIPS}, r AS (SELECT *, t - min(t) OVER (PARTITION BY user_id, rep) AS dt FROM sn), a AS (SELECT user_id, j, avg(dt) AS t, avg(y) AS avg FROM r GROUP BY 1, 2) "
-    "SELECT user_id, j, round(t, 5) AS t, round(avg, 6) AS avg, round(avg / max(abs(avg)) OVER (PARTITION BY user_id), 6) AS avg_norm FROM a",
+    "SELECT user_id, j, round(t, 2) AS t, round(avg, 6) AS avg, round(avg / max(abs(avg)) OVER (PARTITION BY user_id), 6) AS avg_norm FROM a",
     use="samples triggers",
 )
 def average_snippets(spark, sf):
-    return _r(_r(A.average_snippets(snips(spark, sf), U), 5, "t"), 6, "avg", "avg_norm")
+    return _r(_r(A.average_snippets(snips(spark, sf), U), 2, "t"), 6, "avg", "avg_norm")
 
 
 @query(
-    "WITH g AS (SELECT user_id, k // 2 AS rep, k % 2 AS k, t FROM triggers), z AS (SELECT user_id, rep, min(t) FILTER (WHERE k = 0) AS t0 FROM g GROUP BY 1, 2) SELECT user_id, k, round(avg(t - t0), 5) AS t FROM g JOIN z USING (user_id, rep) GROUP BY 1, 2",
+    "WITH g AS (SELECT user_id, k // 2 AS rep, k % 2 AS k, t FROM triggers), z AS (SELECT user_id, rep, min(t) FILTER (WHERE k = 0) AS t0 FROM g GROUP BY 1, 2) SELECT user_id, k, round(avg(t - t0), 2) AS t FROM g JOIN z USING (user_id, rep) GROUP BY 1, 2",
     use="triggers",
 )
 def relative_triggers(spark, sf):
     g = triggers(spark, sf)
     g = T.snippet_triggers(g, g.select("user_id", F.expr("k div 2").alias("rep")).distinct(), U, 2)
-    return _r(A.relative_triggers(g, U), 5, "t")
+    return _r(A.relative_triggers(g, U), 2, "t")
 
 
 _QI = (

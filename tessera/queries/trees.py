@@ -181,7 +181,11 @@ def density_center(spark, sf):
     return _r(T.density_center(d, C, 120.0, 20), 6, "mx", "my", "cx", "cy", "asymmetry")
 
 
-@query()
+@query(
+    f"WITH {_CLOUD}, u AS (SELECT DISTINCT * FROM cl), e AS (SELECT a.cell, a.x AS ax, a.y AS ay FROM u a JOIN u b ON a.cell = b.cell AND (a.x <> b.x OR a.y <> b.y) WHERE NOT EXISTS (SELECT 1 FROM u c WHERE c.cell = a.cell AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0)), "
+    "ct AS (SELECT cell, avg(x) AS cx, avg(y) AS cy FROM cl GROUP BY 1), r AS (SELECT e.cell, sqrt(pow(ax - cx, 2) + pow(ay - cy, 2)) AS r, row_number() OVER (PARTITION BY e.cell ORDER BY ax, ay) AS k FROM e JOIN ct USING (cell)) "
+    "SELECT cell, round(sum(r * CASE WHEN k = 1 THEN 2 ELSE 1 END) / (count(*) + 1), 6) AS radius FROM r GROUP BY 1"
+)
 def mean_radius(spark, sf):
     p = _cloud(spark, sf)
     c = p.groupBy("cell").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
