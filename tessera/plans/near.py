@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 # Cells of the finest level sent to every task: at most 2 ** SENT_BITS rows of a few numbers.
 SENT_BITS = 16
+# The grid is refined until a finest cell holds at most this many distinct positions.
+LEAF_ROWS = 64
+MOST_LEVELS = 48
 
 
 def _sq(parts: list[Column]) -> Column:
@@ -25,9 +28,8 @@ def nearest_point(points: DataFrame, cloud: DataFrame, pid: list[str], axes: lis
     With ``keys`` points meet only cloud rows of their key, and Spark chooses how to join the cells.
     """
     scale, keys = scale or {}, keys or []
-    send = (lambda df: df) if keys else F.broadcast
     d = len(axes)
-    levels = SENT_BITS // d
+    sent = levels = SENT_BITS // d
     s = {a: float(scale.get(a, 1.0)) for a in axes}
     uniq = cloud.groupBy(*keys, *axes).agg(F.min(cid).alias(cid))
     box = uniq.agg(*[f(a).alias(f"{n}_{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))]).first()
@@ -39,6 +41,11 @@ def nearest_point(points: DataFrame, cloud: DataFrame, pid: list[str], axes: lis
     def cell(level: int, a: str) -> Column:
         return F.floor((F.col(a) * s[a] - lo[a]) * (2**level / width)).cast("long")
 
+    while levels < MOST_LEVELS:
+        dense = uniq.groupBy(*keys, *[cell(levels, a).alias(f"g_{a}") for a in axes]).count().agg(F.max("count")).first()[0]
+        if dense <= LEAF_ROWS:
+            break
+        levels += 4
     leaf = uniq.select(*keys, *[F.col(a).alias(f"c_{a}") for a in axes], F.col(cid).alias("_cid"), *[cell(levels, a).alias(f"g_{a}") for a in axes])
     cells = leaf.select(*keys, *[f"g_{a}" for a in axes]).distinct()
     cand = points.select(*pid, *[k for k in keys if k not in pid], *axes, *[F.lit(0).cast("long").alias(f"g_{a}") for a in axes])
@@ -46,7 +53,8 @@ def nearest_point(points: DataFrame, cloud: DataFrame, pid: list[str], axes: lis
         step = 2 ** (levels - lv)
         kids = cells.select(*keys, *[F.floor(F.col(f"g_{a}") / step).alias(f"k_{a}") for a in axes]).distinct()
         kids = kids.select("*", *[F.floor(F.col(f"k_{a}") / 2).alias(f"g_{a}") for a in axes])
-        cand = cand.join(send(kids), [*keys, *[f"g_{a}" for a in axes]])
+        small = lv <= sent and not keys
+        cand = cand.join(F.broadcast(kids) if small else kids, [*keys, *[f"g_{a}" for a in axes]])
         size = width / 2**lv
         near, far = [], []
         for a in axes:

@@ -57,7 +57,7 @@ def is_hot(df: DataFrame, keys: list[str], bound: int | None = None) -> bool:
 def _blocks(df: DataFrame, keys: list[str], order: list[str], bound: int | None) -> tuple[DataFrame, bool]:
     if not is_hot(df, keys, bound):
         return df.withColumn("_blk", F.lit(0)), False
-    n = -(-group_sizes(df, keys)[1] // task_rows(df)) * 2
+    n = -(-group_sizes(df, keys)[1] // task_rows(df)) + 1
     cut = df.repartitionByRange(n, *keys, *order).withColumn("_blk", F.spark_partition_id())
     # The block of a row must not change between the two reads below: write it once.
     return durable(cut), True

@@ -74,7 +74,8 @@ def test_nearest_in_time_takes_the_earlier_on_ties(either):
 
 def test_nearest_point_against_all_pairs(spark):
     rng = np.random.default_rng(0)
-    cloud = np.concatenate([rng.normal(size=(150, 2)), np.tile([[3.0, 3.0]], (60, 1))])
+    # Copies, and a dense spot far smaller than a broadcast cell.
+    cloud = np.concatenate([rng.normal(size=(150, 2)), np.tile([[3.0, 3.0]], (60, 1)), 1 + 1e-4 * rng.normal(size=(200, 2)), [[400.0, 400.0]]])
     pts = rng.normal(size=(80, 2)) * 3
     c = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(cloud)], "id int, x double, y double")
     p = spark.createDataFrame([(i, *map(float, q)) for i, q in enumerate(pts)], "pid int, x double, y double")
