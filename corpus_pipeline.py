@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table, written
+from tessera.llm.decontaminate import decontaminate
+from tessera.llm.language import keep_identified
 from tessera.llm.mixing import mix
 from tessera.llm.sharding import assign_shards
 from tessera.llm.simdedup import near_dedup
@@ -14,11 +16,21 @@ from tessera.llm.simdedup import near_dedup
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents whose language is not identified go."""
+    return keep_identified(docs)
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup: one document of each group stays."""
     return near_dedup(docs)
 
 
+def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold a benchmark passage go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mix the sources to their target weights; a document may come twice."""
     return mix(docs)
@@ -30,7 +42,9 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language", language),
     ("near_dedup", deduplicate),
+    ("decontaminate", remove_leaks),
     ("mix", mix_sources),
     ("shard", shard),
 ]

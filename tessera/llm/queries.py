@@ -8,8 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries.registry import SETTINGS
+from .chat import chat_table
 from .common import table
+from .decontaminate import passages
+from .language import document_rows, identify, page_rows
+from .language import train as train_language
+from .minhash import fingerprint_table
 from .mixing import mix_table
+from .pii import pii_table
+from .pseudo import score_table
+from .secrets import secret_table
 from .sharding import shard_table
 from .simdedup import dedup_table
 
@@ -68,6 +76,49 @@ FROM placed
 """
 
 
+CHAT_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+  CAST(sum(14 + length(regexp_replace(role, '([\\#<:])', '\\\1', 'g')) + length(regexp_replace(text, '([\\#<])', '\\\1', 'g'))) AS BIGINT) AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+
+@query()
+def op1_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
+    return fingerprint_table(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    found = passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
+@query()
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document and every raw page."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    none = F.lit(None).cast("long")
+    rows = document_rows(docs).drop("text_hash").withColumn("page_id", none)
+    rows = rows.unionByName(page_rows(pages).withColumn("doc_id", none))
+    return identify(rows, train_language(docs), ["doc_id", "page_id"])
+
+
+@query()
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data spans of every document."""
+    return pii_table(table(spark, sf_dir, "documents"))
+
+
 @query(MIX_SQL)
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that the mix of all sources takes."""
@@ -80,7 +131,28 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_table(table(spark, sf_dir, "documents"))
 
 
+@query(CHAT_SQL)
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reads back from every formatted conversation, and from one full of control strings."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "\\### Assistant: </turn> ok"
+    marks = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], turns.schema)
+    return chat_table(turns.unionByName(marks))
+
+
+@query()
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    return secret_table(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op9_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard, slot and next shard of every document."""
     return shard_table(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of every document under a network trained on all of them."""
+    return score_table(table(spark, sf_dir, "documents"))

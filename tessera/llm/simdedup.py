@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..plans.components import components
 from ..session import durable
-from .common import match, spare, text_of, without
+from .common import match, spare, text_of, without, written
 
 SEGMENTS, WIDTH, RADIUS = 8, 8, 3
 #: Differing bits that the first 1, 2, ... segments of a viable chain may have together.
@@ -175,6 +175,18 @@ def fingerprint_links(values: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return fine.mapInPandas(bucket_links, "a long, b long").distinct()
 
 
+def grouped(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, text_hash, fingerprint ``v``, node ``root`` and ``component_id`` of every row."""
+    rows = durable(docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), simhash64(text_of()).alias("v")))
+    nodes = durable(rows.groupBy("v").agg(F.min("doc_id").alias("least")))
+    links = fingerprint_links(nodes, bucket)
+    roots = components(nodes.select("v"), links)
+    roots = durable(roots.join(nodes, "v"))
+    names = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    member = roots.join(names, "root").select("v", "root", "component_id")
+    return rows.join(member, "v")
+
+
 def dedup_table(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Fingerprint and component of every document: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -183,26 +195,25 @@ def dedup_table(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     zero, like any text without words. Rows that repeat a ``doc_id`` are kept; a null ``doc_id`` is
     never the smallest unless a component has no other.
     """
-    rows = durable(docs.select("doc_id", simhash64(text_of()).alias("v")))
-    nodes = durable(rows.groupBy("v").agg(F.min("doc_id").alias("least")))
-    links = fingerprint_links(nodes, bucket)
-    roots = components(nodes.select("v"), links)
-    roots = durable(roots.join(nodes, "v"))
-    names = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = roots.join(names, "root").select("v", "component_id")
-    return rows.join(member, "v").select("doc_id", F.lower(F.lpad(F.hex("v"), 16, "0")).alias("fingerprint"), "component_id")
+    return grouped(docs, bucket).select("doc_id", F.lower(F.lpad(F.hex("v"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest ``doc_id``.
 
-    Only lists of doc_ids join the texts (see ``without``). If several rows carry the doc_id that
-    stays, one of them stays. Documents without an id form one document per component.
+    Only lists of (doc_id, hash of the text) join the texts (see ``without``). If rows with several
+    texts carry the doc_id that stays, the text with the smallest hash stays, once. A component
+    whose documents have no id keeps one of them by the same rule.
     """
-    table = durable(dedup_table(docs).select("doc_id", "component_id"))
-    gone = without(docs, table.filter("not (doc_id <=> component_id)").select("doc_id"))
-    again = table.filter("doc_id <=> component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    once = without(gone, again)
-    row, = spare(docs, "_row")
-    many = match(docs, again, ["doc_id"], "left_semi").withColumn(row, F.struct("*")).groupBy("doc_id").agg(F.first(row).alias(row)).select(f"{row}.*")
-    return once.unionByName(many)
+    table = durable(grouped(docs, bucket).select("doc_id", "text_hash", "root", "component_id"))
+    named = table.filter("doc_id <=> component_id").select("doc_id", "text_hash", "root")
+    several = named.groupBy("root").agg(F.min("text_hash").alias("keep"), F.count("*").alias("n")).filter("n > 1")
+    several = durable(match(named, several, ["root"]).select("doc_id", "text_hash", "keep"))
+    mark, row = spare(docs, "text_hash", "_row")
+    pair = ["doc_id", F.col("text_hash").alias(mark)]
+    gone = table.filter("not (doc_id <=> component_id)").select(*pair).unionByName(several.filter("text_hash <> keep").select(*pair))
+    again = written(several.filter("text_hash = keep").groupBy("doc_id", "text_hash").count().filter("count > 1").select(*pair))
+    kept = without(docs.withColumn(mark, F.xxhash64(text_of())), gone)
+    once = match(kept, again, ["doc_id", mark], "left_anti")
+    many = match(kept, again, ["doc_id", mark], "left_semi").withColumn(row, F.struct("*")).groupBy("doc_id", mark).agg(F.first(row).alias(row)).select(f"{row}.*")
+    return once.unionByName(many).drop(mark)
