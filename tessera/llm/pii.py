@@ -83,13 +83,22 @@ def valid(kind: str, v: Column) -> Column:
 
 
 def label(kind: str, c: Column) -> Column:
-    """Distant label of a wide candidate: it is what the base rules accept. No feature tells this outright."""
+    """Distant label of a wide candidate: 1 if the base rules accept it, 0 if it is plainly something else, null if open.
+
+    No feature tells this outright. Open are what the base rules cannot see: written-out addresses,
+    the long form of network addresses, and grouped numbers without a plus sign.
+    """
     v = c["v"]
     if kind == "email":
-        return v.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$")
-    if kind == "phone":
-        return F.rtrim(c["l"]).rlike(r"\+(?:[0-9]{1,3})?$") & F.length(digits(v)).between(7, 15)
-    return valid(kind, v)
+        whole = v.rlike(r"^[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++$")
+        return F.when(whole, 1).when(v.rlike(r"[\[(\x20]"), F.lit(None)).otherwise(0)
+    if kind == "ip":
+        return F.when(v.contains(":"), F.lit(None)).when(valid(kind, v), 1).otherwise(0)
+    if kind == "card":
+        return F.when(valid(kind, v), 1).otherwise(0)
+    plus = F.rtrim(c["l"]).rlike(r"\+(?:[0-9]{1,3})?$") & F.length(digits(v)).between(7, 15)
+    other = v.rlike(r"^[0-9]++$|^(?:19|20)[0-9]{2}[./-]|^[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)?[0-9]{2}$|^[0-9]{1,3}(?:\.[0-9]{1,3}){3}") | ~F.length(digits(v)).between(7, 15)
+    return F.when(plus, 1).when(other, 0)
 
 
 def features(kind: str, c: Column) -> list[Column]:
@@ -131,8 +140,8 @@ def findings(docs: DataFrame) -> DataFrame:
 
 
 def train(found: DataFrame, precision: float = PRECISION) -> dict[str, Boosted]:
-    """A boosted model per kind from the counted feature patterns of all candidates of the corpus."""
-    rows = found.select("fold", F.explode("wide").alias("c")).groupBy("fold", "c.k", "c.x", "c.y").count().collect()
+    """A boosted model per kind from the counted feature patterns of all labelled candidates of the corpus."""
+    rows = found.select("fold", F.explode("wide").alias("c")).filter("c.y is not null").groupBy("fold", "c.k", "c.x", "c.y").count().collect()
     models = {}
     for n, kind in enumerate(KINDS):
         own = sorted((r["fold"], tuple(r["x"]), r["y"], r["count"]) for r in rows if r["k"] == n)

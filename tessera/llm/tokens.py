@@ -43,6 +43,6 @@ def token_counts(docs: DataFrame, pattern: str, lower: bool = False) -> DataFram
     return rows.groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, size: int) -> list[tuple[str, int]]:
-    """The ``size`` most frequent tokens, ties by token: the fixed size of a model."""
-    return [(r["token"], r["n"]) for r in counts.orderBy(F.desc("n"), "token").limit(size).collect()]
+def most_frequent(counts: DataFrame, size: int, least: int = 1) -> list[tuple[str, int]]:
+    """The ``size`` most frequent tokens that occur ``least`` times, ties by token: the fixed size of a model."""
+    return [(r["token"], r["n"]) for r in counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(size).collect()]
