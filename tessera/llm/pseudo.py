@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 from .tokens import most_frequent, token_counts
 
-TOKEN = r"[^\W_]+"
+TOKEN = r"\w+"
 #: Two-step softmax: 64 classes of 64 tokens. The last class holds hash buckets of all rarer words.
 CLASSES, MEMBERS, DIM = 64, 64, 16
 WORDS = (CLASSES - 1) * MEMBERS
@@ -76,40 +76,56 @@ class Network:
         return np.tanh(z)
 
     @staticmethod
-    def log_softmax(x: np.ndarray) -> np.ndarray:
-        x = x - x.max(axis=1, keepdims=True)
-        return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    def softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unscaled probabilities (in place of ``x``), their sums, and through ``at`` the log-probability of one entry a row."""
+        x -= x.max(axis=1, keepdims=True)
+        picked = x[np.arange(len(x)), at]
+        np.exp(x, out=x)
+        whole = x.sum(axis=1)
+        return whole, picked - np.log(whole)
 
-    def by_class(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        kind = target // MEMBERS
+    @staticmethod
+    def by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """Order that puts targets of a class together, and the class and place of every run."""
+        kind = (target // MEMBERS).astype(np.uint8)
         order = np.argsort(kind, kind="stable")
         edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            if edges[c] < edges[c + 1]:
-                yield c, order[edges[c] : edges[c + 1]]
+        return order, [(c, slice(edges[c], edges[c + 1])) for c in range(CLASSES) if edges[c] < edges[c + 1]]
 
     def log_prob(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of every target given its neighbours."""
-        h = self.hidden(around)
-        out = self.log_softmax(h @ self.to_class + self.class_bias)[np.arange(len(target)), target // MEMBERS]
-        for c, rows in self.by_class(target):
+        order, runs = self.by_class(target)
+        h, target = self.hidden(around[order]), target[order]
+        x = h @ self.to_class
+        x += self.class_bias
+        sorted_out = self.softmax(x, target // MEMBERS)[1]
+        for c, rows in runs:
             own = slice(c * MEMBERS, (c + 1) * MEMBERS)
-            out[rows] += self.log_softmax(h[rows] @ self.to_word[own].T + self.word_bias[own])[np.arange(len(rows)), target[rows] - c * MEMBERS]
+            x = h[rows] @ self.to_word[own].T
+            x += self.word_bias[own]
+            sorted_out[rows] += self.softmax(x, target[rows] - c * MEMBERS)[1]
+        out = np.empty_like(sorted_out)
+        out[order] = sorted_out
         return out
 
     def learn(self, around: np.ndarray, target: np.ndarray, memory: Network, rate: float) -> None:
         """One Adagrad step on the mean log-loss; ``memory`` holds the squared gradients so far."""
         n = len(target)
+        order, runs = self.by_class(target)
+        around, target = around[order], target[order]
         h = self.hidden(around)
-        g = np.exp(self.log_softmax(h @ self.to_class + self.class_bias))
-        g[np.arange(n), target // MEMBERS] -= 1
-        g /= n
+
+        def error(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+            x /= self.softmax(x, at)[0][:, None]
+            x[np.arange(len(x)), at] -= 1
+            x /= n
+            return x
+
+        g = error(h @ self.to_class + self.class_bias, target // MEMBERS)
         dh = g @ self.to_class.T
-        for c, rows in self.by_class(target):
+        for c, rows in runs:
             own = slice(c * MEMBERS, (c + 1) * MEMBERS)
-            p = np.exp(self.log_softmax(h[rows] @ self.to_word[own].T + self.word_bias[own]))
-            p[np.arange(len(rows)), target[rows] - c * MEMBERS] -= 1
-            p /= n
+            p = error(h[rows] @ self.to_word[own].T + self.word_bias[own], target[rows] - c * MEMBERS)
             dh[rows] += p @ self.to_word[own]
             self.step(self.to_word, memory.to_word, own, p.T @ h[rows], rate)
             self.step(self.word_bias, memory.word_bias, own, p.sum(axis=0), rate)
