@@ -26,6 +26,7 @@ def nearest_point(points: DataFrame, cloud: DataFrame, pid: list[str], axes: lis
     bound not above the smallest upper bound), so it never meets the whole cloud. The levels together
     hold at most ``2 ** 16`` cells per level and are broadcast; cloud rows join by finest cell.
     With ``keys`` points meet only cloud rows of their key, and Spark chooses how to join the cells.
+    An empty cloud has no nearest row: everything about it is null.
     """
     scale, keys = scale or {}, keys or []
     d = len(axes)
@@ -34,7 +35,8 @@ def nearest_point(points: DataFrame, cloud: DataFrame, pid: list[str], axes: lis
     uniq = cloud.groupBy(*keys, *axes).agg(F.min(cid).alias(cid))
     box = uniq.agg(*[f(a).alias(f"{n}_{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))]).first()
     if box[f"lo_{axes[0]}"] is None:
-        raise ValueError("empty cloud")
+        none = [F.lit(None).cast(cloud.schema[cid].dataType).alias(cid), F.lit(None).cast("double").alias("dist")]
+        return points.select(*pid, *none, *[F.lit(None).cast(cloud.schema[a].dataType).alias(f"near_{a}") for a in axes])
     lo = {a: float(box[f"lo_{a}"]) * s[a] for a in axes}
     width = max(max((float(box[f"hi_{a}"]) * s[a] - lo[a]) for a in axes), 1e-9) * (1 + 1e-9)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import once
 from .scan import is_hot, scan
 
 
@@ -35,7 +36,8 @@ def quantiles(df: DataFrame, keys: list[str], value: str, bound: int | None = No
 
 
 def with_quantiles(df: DataFrame, keys: list[str], value: str, bound: int | None = None, **qs: float) -> DataFrame:
-    """Percentiles joined back to the rows (skewed keys are split by AQE)."""
+    """Percentiles joined back to the rows (skewed keys are split by AQE); the input is run once."""
+    df = once(df)
     q = quantiles(df, keys, value, bound, **qs)
     return df.join(q, keys, "left") if keys else df.crossJoin(F.broadcast(q))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,11 +76,43 @@ class Registry:
         return self._done[name].unionByName(new) if name in self._done else new
 
 
-def vector_aggregate(fn: Callable, vec: Column) -> Column:
-    """A function from one NumPy vector to a number, for every array of a column, batch by batch."""
+def vector_aggregate(fn: Callable, vec: Column, whole: bool = False) -> Column:
+    """A number for every array of a column, from a NumPy function, batch by batch.
+
+    With ``whole`` the function gets all arrays of a batch that are equally long as one matrix and
+    returns a vector, which is the way to write it if it can be; else it is called per array.
+    """
 
     @F.pandas_udf("double")
     def agg(v: pd.Series) -> pd.Series:
-        return v.map(lambda a: None if a is None else float(fn(a))).astype("float64")
+        if not whole:
+            return v.map(lambda a: None if a is None else float(fn(a))).astype("float64")
+        out = pd.Series([None] * len(v), index=v.index, dtype=object)
+        size = v.map(lambda a: -1 if a is None else len(a))
+        for _, part in v[size >= 0].groupby(size):
+            out[part.index] = np.asarray(fn(np.stack(part.to_numpy())), dtype=float)
+        return out
 
     return agg(vec)
+
+
+def scaled_with_border(df: DataFrame, keys: list[str], value: str, border: Column, cval: Callable[[Column], Column], norm: Callable[[Column], Column]) -> DataFrame:
+    """Values over a scale, with a constant where ``border`` holds; constant and scale are aggregates handed in by the caller."""
+    s = df.groupBy(*keys).agg(cval(F.col(value)).alias("_c"), norm(F.col(value)).alias("_n"))
+    v = F.when(border, F.col("_c")).otherwise(F.col(value)) / F.nullif(F.col("_n"), F.lit(0.0))
+    return df.join(s, keys).withColumn(value, v).select(*df.columns)
+
+
+def apply_table_function(df: DataFrame, fn: Callable, schema: str, inputs: list[str], keep: list[str]) -> DataFrame:
+    """Rows of a user's generator ``fn(*inputs)`` beside the ``keep`` columns of the row it was called on."""
+
+    @F.udtf(returnType=schema)
+    class Rows:
+        def eval(self, *args):
+            yield from fn(*args)
+
+    names = [f"_in{i}" for i in range(len(keep) + len(inputs))]
+    src = df.select(*[F.col(c).alias(n) for c, n in zip([*keep, *inputs], names)])
+    out = src.lateralJoin(Rows(*[F.col(n).outer() for n in names[len(keep) :]]))
+    made = [c for c in out.columns if c not in names]
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], *made)

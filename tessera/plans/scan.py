@@ -1,20 +1,25 @@
 """Ordered scans over keyed rows: numbering, running sums, carries and neighbours.
 
 A plain window sends a whole key to one task. That is right while the largest key
-is small, which is checked first. Beyond that the rows are range-partitioned on
-(keys, order), so a hot key is cut into even blocks; windows run inside the blocks
-and a short table with one row per block carries state from block to block.
+is small, which is checked first. Beyond that the rows of the hot keys, and only they,
+are range-partitioned on (keys, order) and cut into even blocks; windows run inside the
+blocks and a table with one row per block carries state from block to block.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from hashlib import md5
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, once
 
 TASK_ROWS = 2_000_000
-_seen: dict = {}
+# Sizes counted before, the oldest forgotten first.
+_seen: OrderedDict = OrderedDict()
+SEEN = 1024
 
 
 def task_rows(df: DataFrame) -> int:
@@ -29,8 +34,11 @@ def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
     """
     spark = df.sparkSession
     probe = df.select(*keys) if keys else df.select(F.lit(1).alias("_one"))
-    tag = (spark.sparkContext.applicationId, probe.semanticHash(), tuple(keys))
+    plan = probe._jdf.queryExecution().analyzed().canonicalized().toString()
+    tag = (spark.sparkContext.applicationId, probe.semanticHash(), md5(plan.encode()).hexdigest(), tuple(keys))
     if tag not in _seen:
+        while len(_seen) >= SEEN:
+            _seen.popitem(last=False)
         counts = probe.groupBy(*keys).count() if keys else probe.agg(F.count("*").alias("count"))
         row = counts.agg(F.max("count").alias("m"), F.sum("count").alias("s")).first()
         _seen[tag] = (row["m"] or 0, row["s"] or 0)
@@ -54,13 +62,21 @@ def is_hot(df: DataFrame, keys: list[str], bound: int | None = None) -> bool:
     return group_sizes(df, keys)[0] > limit
 
 
-def _blocks(df: DataFrame, keys: list[str], order: list[str], bound: int | None) -> tuple[DataFrame, bool]:
-    if not is_hot(df, keys, bound):
-        return df.withColumn("_blk", F.lit(0)), False
-    n = -(-group_sizes(df, keys)[1] // task_rows(df)) + 1
-    cut = df.repartitionByRange(n, *keys, *order).withColumn("_blk", F.spark_partition_id())
-    # The block of a row must not change between the two reads below: write it once.
-    return durable(cut), True
+def _hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys with more rows than a task should sort; at most one per ``task_rows`` rows of the table."""
+    return durable(df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > task_rows(df)))
+
+
+def _of_keys(df: DataFrame, hot: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Rows of ``df`` whose key is (``left_semi``) or is not (``left_anti``) in ``hot``."""
+    h = hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys])
+    return df.join(h, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys], how)
+
+
+def _blocks(df: DataFrame, keys: list[str], order: list[str], rows: int) -> DataFrame:
+    """Even blocks of rows in the order of (keys, order), written once: a row's block must not change between reads."""
+    cut = df.repartitionByRange(-(-rows // task_rows(df)) + 1, *keys, *order)
+    return durable(cut.withColumn("_blk", F.spark_partition_id()))
 
 
 def scan(df: DataFrame, keys: list[str], order: list[str], bound: int | None = None, **cols: tuple[str, Column]) -> DataFrame:
@@ -71,7 +87,21 @@ def scan(df: DataFrame, keys: list[str], order: list[str], bound: int | None = N
     ``next`` (value of the neighbouring row). ``order`` must be a total order of non-null columns.
     """
     made = {f"_v_{n}": e for n, (k, e) in cols.items() if k != "index"}
-    blocks, hot = _blocks(df.withColumns(made) if made else df, keys, order, bound)
+    rows = df.withColumns(made) if made else df
+    if not is_hot(rows, keys, bound):
+        return _scan_blocks(rows.withColumn("_blk", F.lit(0)), keys, order, cols, False).drop(*made)
+    if not keys:
+        return _scan_blocks(_blocks(rows, keys, order, group_sizes(rows, keys)[1]), keys, order, cols, True).drop(*made)
+    rows = once(rows)
+    hot = _hot_keys(rows, keys)
+    many = hot.agg(F.sum("_n")).first()[0] or 0
+    cold = _scan_blocks(_of_keys(rows, hot, keys, "left_anti").withColumn("_blk", F.lit(0)), keys, order, cols, False)
+    cut = _scan_blocks(_blocks(_of_keys(rows, hot, keys, "left_semi"), keys, order, many), keys, order, cols, True)
+    return cold.unionByName(cut).drop(*made)
+
+
+def _scan_blocks(blocks: DataFrame, keys: list[str], order: list[str], cols: dict, hot: bool) -> DataFrame:
+    """The scan inside every (keys, block); with ``hot`` state is carried from block to block."""
     parts = [*keys, "_blk"]
     up = Window.partitionBy(*parts).orderBy(*order)
     so_far = up.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -91,7 +121,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], bound: int | None = N
     }
     if not hot:
         out = blocks.withColumns({n: within[k](f"_v_{n}") for n, (k, _) in cols.items()})
-        return out.drop("_blk", *made)
+        return out.drop("_blk")
 
     place = F.struct(*order)
     edge = {
@@ -115,7 +145,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], bound: int | None = N
         "prev": lambda s: F.lag(s).over(wk),
         "next": lambda s: F.lead(s).over(wk),
     }
-    # One row per (key, block); only keys cut by a block border, at most two per block, are sent out.
+    # One row per (key, block); only keys cut by a block border, at most two per block, are joined.
     ends = blocks.groupBy(*parts).agg(*[edge[k](f"_v_{n}").alias(f"_e_{n}") for n, (k, _) in cols.items()])
     ends = ends.withColumns({f"_c_{n}": carry[k](f"_e_{n}") for n, (k, _) in cols.items()})
     ends = ends.withColumn("_cut", F.count("*").over(wk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
@@ -123,7 +153,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], bound: int | None = N
         *[F.col(p).alias(f"_k_{p}") for p in parts], *[f"_c_{n}" for n in cols]
     )
     match = [F.col(p).eqNullSafe(F.col(f"_k_{p}")) for p in parts]
-    joined = blocks.join(F.broadcast(ends), match, "left")
+    joined = blocks.join(ends, match, "left")
     first, last = F.lag(F.lit(1)).over(up).isNull(), F.lead(F.lit(1)).over(up).isNull()
 
     def merged(n: str, k: str) -> Column:
@@ -139,7 +169,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], bound: int | None = N
         return F.when(first if k == "prev" else last, c["v"]).otherwise(here)
 
     out = joined.withColumns({n: merged(n, k) for n, (k, _) in cols.items()})
-    return out.drop("_blk", *made, *[f"_k_{p}" for p in parts], *[f"_c_{n}" for n in cols])
+    return out.drop("_blk", *[f"_k_{p}" for p in parts], *[f"_c_{n}" for n in cols])
 
 
 def indexed(df: DataFrame, keys: list[str], order: list[str], name: str = "i", bound: int | None = None) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -38,7 +41,9 @@ def scratch_root(spark: SparkSession) -> str:
         return current
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="tessera-")
+    own = tempfile.mkdtemp(prefix="tessera-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return own
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -54,4 +59,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(scratch_root(spark))
-    return f"{sc.getCheckpointDir().removeprefix('file:')}/tables/{name}-{uuid.uuid4().hex}"
+    return f"{sc.getCheckpointDir()}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "part") -> DataFrame:
+    """``df`` written once as Parquet below the shared scratch folder and read back.
+
+    Unlike a checkpoint the planner knows size and columns of what it reads: it prunes columns, and
+    broadcasts the table in a join only below its own limit.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Nodes of a plan that are worth running once only; scans, filters and projections are not.
+_COSTLY = re.compile(r"^[\s:+\-|]*(?:Join|Aggregate|Window|Generate|Sort|Repartition|RebalancePartitions|Deduplicate|Distinct|MapInPandas|MapInArrow|FlatMapGroups|ArrowEvalPython|BatchEvalPython)", re.MULTILINE)
+
+
+def once(df: DataFrame) -> DataFrame:
+    """``df`` for more than one reader: written if its plan joins, groups, sorts or calls Python, else as it is.
+
+    Without this every step that reads its input twice doubles the scans of all steps before it.
+    """
+    if df.isStreaming or "void" in df.schema.simpleString():
+        return df
+    return written(df) if _COSTLY.search(df._jdf.queryExecution().optimizedPlan().toString()) else df
