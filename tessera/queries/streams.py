@@ -72,16 +72,16 @@ def stream_bouts(spark, sf):
 
 @query(
     "WITH p AS (SELECT user_id, ts, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), c AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pt FROM p WHERE value >= 50 AND b < 50) "
-    "SELECT user_id, ts, value FROM c WHERE pt IS NULL OR ts - pt >= INTERVAL 12 HOUR"
+    f"SELECT user_id, ts, value FROM c WHERE (pt IS NULL OR ts - pt >= INTERVAL 12 HOUR) AND ts < {_CLOSED}"
 )
 def stream_triggers(spark, sf):
-    return _back(spark, S.run_available(S.stream_triggers(_events(spark, sf), "user_id", "bigint", 50.0, 43200.0, "1 hour"), "triggers"))
+    return _back(spark, S.run_available(S.stream_triggers(_events(spark, sf), {"user_id": "bigint"}, 50.0, 43200.0, "1 hour"), "triggers"))
 
 
 @query(
-    "SELECT t.user_id, t.event_id, t.ts AS trigger_ts, s.ts AS sample_ts, s.value FROM events t JOIN events s ON s.user_id = t.user_id AND s.ts >= t.ts AND s.ts < t.ts + INTERVAL 12 HOUR WHERE t.event_type = 'click' AND s.event_type <> 'signup'"
+    "SELECT t.user_id, t.event_id, t.ts AS trigger_ts, s.ts AS sample_ts, s.value FROM events t JOIN events s ON s.user_id = t.user_id AND s.ts >= t.ts AND s.ts < t.ts + INTERVAL 12 HOUR WHERE t.event_type = 'click'"
 )
 def stream_interval_join(spark, sf):
-    s = _events(spark, sf).filter("event_type != 'signup'")
+    s = _events(spark, sf)
     g = _events(spark, sf).filter("event_type = 'click'")
     return _back(spark, S.run_available(S.stream_interval_join(s, g, "user_id", "12 hours", "1 hour"), "intervals"))

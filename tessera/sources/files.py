@@ -2,21 +2,48 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.keys import antijoin
 
 
+def _listed(uri: str, recursive: bool) -> list:
+    fs, path = pafs.FileSystem.from_uri(re.sub(r"^(\w+):/+", r"\1:///", uri) if uri.startswith("file:") else uri)
+    return fs.get_file_info(pafs.FileSelector(path, recursive=recursive))
+
+
 def list_files(spark: SparkSession, root: str, ending: str, ignore_hidden: bool = False) -> DataFrame:
-    """Folders below ``root`` holding a file with the ending; only names are read."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{ending}").load(root).select("path")
-    if ignore_hidden:
-        f = f.filter(~base_name(F.col("path")).startswith("."))
-    return f.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct()
+    """Folders at or below ``root`` holding a file with the ending; only names are read.
+
+    Spark's readers never see names that begin with a dot or an underscore, so the folders of the
+    first level are listed here and everything below each of them in a task of its own.
+    ``ignore_hidden`` passes over file names that begin with a dot.
+    """
+
+    def wanted(paths: list[str]) -> list[str]:
+        names = [(p, p.rsplit("/", 1)) for p in paths]
+        return sorted({n[0] for _, n in names if n[1].endswith(ending) and not (ignore_hidden and n[1].startswith("."))})
+
+    def below(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for folder in pdf["folder"]:
+                yield pd.DataFrame({"folder": wanted([f.path for f in _listed(folder, True) if f.is_file])}, dtype="string")
+
+    top = _listed(root, False)
+    here = wanted([f.path for f in top if f.is_file])
+    folders = [f.path for f in top if not f.is_file]
+    own = spark.createDataFrame([(f,) for f in here], "folder string")
+    scheme = root.split(":", 1)[0] + "://" if re.match(r"^(?!file:)\w+:/", root) else ""
+    rest = spark.createDataFrame([(f"{scheme}{f}",) for f in folders], "folder string").repartition(max(1, min(len(folders), 1000)))
+    return own.unionByName(rest.mapInPandas(below, "folder string")).distinct()
 
 
 def base_name(path: Column) -> Column:
@@ -49,7 +76,7 @@ def files_by_field(files: DataFrame, folder: str, by: list[str]) -> DataFrame:
 
 def drop_reference_files(files: DataFrame, aliases: list[str], unique_by: list[str] | None = None) -> DataFrame:
     """Remove fields named like an alias or an alias with a number; ``unique_by`` asks for one region per field."""
-    hit = reduce(or_, (F.lower("field").rlike(f"^{a}[+-]?[0-9]*$") for a in aliases))
+    hit = reduce(or_, (F.lower("field").rlike(f"^{re.escape(a)}[+-]?[0-9]*$") for a in aliases))
     out = files.filter(~F.coalesce(hit, F.lit(False)))
     if unique_by:
         n = out.groupBy(*unique_by).agg(F.count_distinct("region").alias("_r"))

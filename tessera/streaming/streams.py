@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,11 +42,11 @@ def stream_populate(source: DataFrame, keys: list[str], fn: Callable[[DataFrame]
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(keys)
-        try:
-            fresh = antijoin(fresh, spark.read.parquet(path), keys)
-        except Exception as e:  # the first batch finds no target
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            # Only the key columns of the target are read.
+            fresh = antijoin(fresh, spark.read.parquet(path).select(*keys), keys)
         fn(fresh).write.mode("append").parquet(path)
 
     source.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
@@ -76,32 +77,50 @@ def stream_bouts(events: DataFrame, keys: list[str], gap: str, delay: str) -> Da
     return g.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def stream_triggers(events: DataFrame, key: str, key_type: str, threshold: float, min_gap_s: float, delay: str) -> DataFrame:
-    """Upward crossings with debounce; last value and last crossing of a key are its whole state.
+def stream_triggers(events: DataFrame, keys: dict[str, str], threshold: float, min_gap_s: float, delay: str, forget_s: float = 7 * 86400.0) -> DataFrame:
+    """Upward crossings with debounce; ``keys`` maps key columns to their types.
 
-    Rows of a key are put in time order within a micro-batch. Rows older than the newest one seen of
-    their key come too late for a crossing and are passed over.
+    Rows of a key wait in its state until the watermark has passed them and are then put in time order
+    (by ``event_id`` at equal times), so a row that is late within ``delay`` counts like any other.
+    Besides the waiting rows the state holds the last value and crossing; it is dropped ``forget_s``
+    after the newest row.
     """
-    schema = f"{key} {key_type}, ts timestamp, value double"
+    names = list(keys)
+    schema = ", ".join([*(f"`{k}` {t}" for k, t in keys.items()), "ts timestamp", "value double"])
+    held = "t array<long>, e array<long>, v array<double>, last_t long, last_v double, last_c long"
+    low = -(2**62)
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_t, last_v, last_c = state.get if state.exists else (float("-inf"), float("inf"), float("-inf"))
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        hits = []
-        for ts, v in zip(rows["ts"], rows["value"]):
-            t = ts.timestamp()
-            if t < last_t:
-                continue
-            if v >= threshold and last_v < threshold:
-                if t - last_c >= min_gap_s:
-                    hits.append((k[0], ts, v))
-                last_c = t
-            last_t, last_v = t, v
-        state.update((last_t, last_v, last_c))
-        yield pd.DataFrame(hits, columns=[key, "ts", "value"])
-
-    src = events.withWatermark("ts", delay).select(key, "event_id", "ts", "value")
-    return src.groupBy(key).applyInPandasWithState(step, schema, "last_t double, last_v double, last_c double", "append", GroupStateTimeout.NoTimeout)
+        t, e, v, last_t, last_v, last_c = state.get if state.exists else ([], [], [], low, float("inf"), low)
+        t, e, v = np.array(t, dtype=np.int64), np.array(e, dtype=np.int64), np.array(v, dtype=float)
+        if not state.hasTimedOut:
+            for p in parts:
+                at = p["ts"].astype("datetime64[us, UTC]" if p["ts"].dt.tz is not None else "datetime64[us]").astype("int64")
+                t, e, v = np.append(t, at), np.append(e, p["event_id"]), np.append(v, p["value"])
+        mark = state.getCurrentWatermarkMs() * 1000
+        order = np.lexsort((e, t))
+        t, e, v = t[order], e[order], v[order]
+        n = int(np.searchsorted(t, mark, side="left"))
+        done_t, done_v = t[:n], v[:n]
+        up = np.flatnonzero((done_v >= threshold) & (np.concatenate(([last_v], done_v[:-1])) < threshold)) if n else np.zeros(0, dtype=int)
+        before = np.concatenate(([last_c], done_t[up][:-1])) if len(up) else done_t[up]
+        kept = up[done_t[up] - before >= min_gap_s * 1e6]
+        if n:
+            last_t, last_v = int(done_t[-1]), float(done_v[-1])
+        if len(up):
+            last_c = int(done_t[up[-1]])
+        if n == len(t) and mark > last_t + forget_s * 1e6:
+            state.remove()
+        else:
+            state.update((t[n:].tolist(), e[n:].tolist(), v[n:].tolist(), last_t, last_v, last_c))
+            wake = int(t[n]) if n < len(t) else int(last_t + forget_s * 1e6)
+            state.setTimeoutTimestamp(max(wake // 1000, mark // 1000) + 1)
+        out = pd.DataFrame({c: [x] * len(kept) for c, x in zip(names, k)}, columns=names)
+        out["ts"], out["value"] = pd.to_datetime(done_t[kept], unit="us"), done_v[kept]
+        yield out
+
+    src = events.withWatermark("ts", delay).select(*names, "event_id", "ts", "value")
+    return src.groupBy(*names).applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_interval_join(samples: DataFrame, triggers: DataFrame, key: str, after: str, delay: str) -> DataFrame:
