@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -275,8 +274,8 @@ def sort_levels(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def random_rows(df: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
-    """n rows chosen by a seeded hash of the key, the same on every run (a sampling operator)."""
-    h = F.xxhash64(F.lit(seed), *keys)
+    """n rows chosen by a seeded hash of the key (MD5), the same on every run and in any engine (a sampling operator)."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
     return df.withColumn("_h", h).orderBy("_h", *keys).limit(n).drop("_h")
 
 
@@ -295,6 +294,3 @@ def stack_rows(df: DataFrame, keys: list[str], pos: str, value: str, mode: str,
     return df.select(*keys, pos, value).unionByName(
         tail.select(*keys, F.col(pos).cast(df.schema[pos].dataType), F.lit(None).cast("double").alias(value))
     )
-
-
-Kernel = Callable[[Column], Column]

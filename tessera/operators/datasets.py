@@ -20,6 +20,16 @@ from ..session import durable
 Model = Callable[[DataFrame], DataFrame]
 
 
+def seeded(seed: int, *cols: str) -> Column:
+    """Order of a seeded shuffle: the MD5 of seed and key as text, the same in any engine."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]))
+
+
+def seeded_number(seed: int, *cols: str) -> Column:
+    """First 32 bits of the seeded hash as a whole number."""
+    return F.conv(F.substring(seeded(seed, *cols), 1, 8), 16, 10).cast("long")
+
+
 def mirror_pair(name: Column) -> Column:
     """Common name of a left/right pair."""
     return F.regexp_replace(F.regexp_replace(name, "left", "*"), "right", "*")
@@ -32,7 +42,7 @@ def length_split(items: DataFrame, ident: str, length: str, train: float = 0.7,
     train until it is full, then to dev until that is full, the rest to test.
     """
     d = items.withColumn("_pair", mirror_pair(F.col(ident)))
-    p = d.groupBy("_pair").agg(F.sum(length).alias("_len")).withColumn("_h", F.xxhash64(F.lit(seed), "_pair"))
+    p = d.groupBy("_pair").agg(F.sum(length).alias("_len")).withColumn("_h", seeded(seed, "_pair"))
     p = scan(p, [], ["_h", "_pair"], _k=("index", F.lit(1)))
     test = 1 - train - dev > 1e-9
     n0 = int(test) + int(dev > 0)
@@ -50,44 +60,23 @@ def length_split(items: DataFrame, ident: str, length: str, train: float = 0.7,
 
 def count_split(df: DataFrame, keys: list[str], fraction: float, seed: int = 42) -> DataFrame:
     """Shuffled train/test split by count with at least one row on each side."""
-    d = scan(df.withColumn("_h", F.xxhash64(F.lit(seed), *keys)), [], ["_h", *keys], _k=("index", F.lit(1)))
+    d = scan(df.withColumn("_h", seeded(seed, *keys)), [], ["_h", *keys], _k=("index", F.lit(1)))
     d = join_stats(d, [], _n=F.count("*"))
     m = F.greatest(F.least(F.rint(F.col("_n") * fraction), F.col("_n") - 1), F.lit(1))
     return d.withColumn("split_kind", F.when(F.col("_k") < m, "train").otherwise("test")).drop("_h", "_k", "_n")
 
 
-def _greedy_folds(profile: pd.DataFrame, groups: str, k: int) -> dict:
-    """Groups to folds so that every fold gets its part of each stratum: uneven groups first."""
-    t = profile.pivot_table(index=groups, columns="stratum", values="n", fill_value=0, aggfunc="sum")
-    order = np.lexsort((profile.drop_duplicates(groups).set_index(groups).loc[t.index, "h"], -t.to_numpy().std(axis=1)))
-    total, load, fold = t.to_numpy().sum(axis=0), np.zeros((k, t.shape[1])), {}
-    for g in order:
-        row, best = t.iloc[g].to_numpy(), None
-        for f in range(k):
-            load[f] += row
-            score = (np.mean(np.std(load / total, axis=0)), load[f].sum())
-            load[f] -= row
-            if best is None or score < best[0]:
-                best = (score, f)
-        load[best[1]] += row
-        fold[t.index[g]] = best[1]
-    return fold
-
-
-def group_folds(df: DataFrame, group: str, stratum: str, k: int, seed: int, most: int = 100_000) -> DataFrame:
-    """Fold per group, strata spread evenly; the counts per group and stratum decide, not the rows.
-
-    Up to ``most`` groups the choice is greedy; with more, a hash spreads them evenly by itself.
+def group_folds(df: DataFrame, group: str, stratum: str, k: int, seed: int) -> DataFrame:
+    """Fold per group, strata spread evenly; one rule for any number of groups.
+
+    Groups are put in order of their rows per stratum, in ascending strata, larger counts first, and of a seeded
+    hash where those agree, and dealt to the folds in turn. So groups that are alike go to different folds, and
+    nothing but a row per group is sorted. A group has as many strata as it has rows at most.
     """
-    profile = df.groupBy(group, stratum).agg(F.count("*").alias("n")).withColumnRenamed(stratum, "stratum")
-    groups = df.select(group).distinct()
-    if groups.count() > most:
-        return groups.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), group), F.lit(k)).cast("int"))
-    p = profile.withColumn("h", F.xxhash64(F.lit(seed), group)).toPandas()
-    folds = _greedy_folds(p, group, k)
-    schema = f"{group} {df.schema[group].dataType.simpleString()}, fold int"
-    rows = [(g.item() if hasattr(g, "item") else g, f) for g, f in folds.items()]
-    return df.sparkSession.createDataFrame(rows, schema)
+    per = df.groupBy(group, stratum).agg(F.count("*").alias("n"))
+    profile = per.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(stratum).alias("s"), (-F.col("n")).alias("n")))).alias("_p"))
+    order = indexed(profile.withColumn("_h", seeded(seed, group)), [], ["_p", "_h", group], "_k")
+    return order.select(group, (F.col("_k") % k).cast("int").alias("fold"))
 
 
 def distance_split(df: DataFrame, group: str, dist: str, ratios: tuple[int, int, int] = (7, 1, 2), q: int = 10, seed: int = 42) -> DataFrame:
@@ -136,16 +125,16 @@ def with_without_mix(df: DataFrame, keys: list[str], x: str, x_wo: str, seed: in
     rest = [c for c in df.columns if c not in (x, x_wo)]
     a = df.select(*rest, F.col(x).alias(x), F.lit(True).alias("p"))
     b = df.select(*rest, F.col(x_wo).alias(x), F.lit(False).alias("p"))
-    d = a.unionByName(b).withColumn("_h", F.xxhash64(F.lit(seed), *keys, "p"))
+    d = a.unionByName(b).withColumn("_h", seeded(seed, *keys, "p"))
     return scan(d, [], ["_h", *keys, "p"], place=("index", F.lit(1))).drop("_h")
 
 
 def random_sides(df: DataFrame, keys: list[str], x: str, x_wo: str, seed: int = 42) -> DataFrame:
     """Each positive on a random side ``g`` of a pair, a shuffled negative on the other."""
-    d = scan(df.withColumn("_h", F.xxhash64(F.lit(seed), *keys)), [], ["_h", *keys], _k=("index", F.lit(1)))
+    d = scan(df.withColumn("_h", seeded(seed, *keys)), [], ["_h", *keys], _k=("index", F.lit(1)))
     pos = indexed(df, [], keys, "_k").select(*keys, F.col(x).alias("_pos"), "_k")
     d = pos.join(d.select("_k", F.col(x_wo).alias("_neg")), "_k")
-    g = F.pmod(F.xxhash64(F.lit(seed + 1), *keys), F.lit(2)).cast("int")
+    g = (seeded_number(seed + 1, *keys) % 2).cast("int")
     left = F.when(g == 0, F.col("_pos")).otherwise(F.col("_neg"))
     right = F.when(g == 0, F.col("_neg")).otherwise(F.col("_pos"))
     return d.select(*keys, g.alias("g"), left.alias("x_left"), right.alias("x_right"))
@@ -154,7 +143,7 @@ def random_sides(df: DataFrame, keys: list[str], x: str, x_wo: str, seed: int =
 def seeds_per_key(df: DataFrame, keys: list[str], core: int, n: int) -> DataFrame:
     """One reproducible seed per key and sample."""
     d = df.select(*keys).distinct().withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return d.withColumn("seed", F.pmod(F.xxhash64(F.lit(core), *keys, "sample"), F.lit(2**31)))
+    return d.withColumn("seed", seeded_number(core, *keys, "sample") % 2**31)
 
 
 def distance_weights(d: Column, p: float = 2.0) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..plans.components import components
 from ..plans.scan import indexed
 from ..plans.stats import join_stats, nz, pearson
-from ..session import durable
+from ..session import durable, once
 from .stats import pairwise_corr
 
 
@@ -116,33 +116,59 @@ def compute_features(long: DataFrame, keys: list[str], stims: dict[str, int], ki
     return indexed(out, [], keys, "features_idx")
 
 
-def hierarchical_clusters(df: DataFrame, vec: str, most: int, max_distance: float, seed: int = 1) -> DataFrame:
+def hierarchical_clusters(df: DataFrame, vec: str, most: int | None, max_distance: float, seed: int = 1) -> DataFrame:
     """Divisive clusters: split until the root mean squared distance to the centres is small enough.
 
-    Bisecting k-means in place of bottom-up linkage; returns the rows with ``cluster``.
+    Bisecting k-means in place of bottom-up linkage; returns the rows with ``cluster`` and ``missed``:
+    whether the rows of the cluster are farther from their mean than ``max_distance`` (root mean
+    square). ``most`` limits the number of clusters; without it splitting goes on until the distance
+    holds or nothing is left to split.
     """
-    d = df.withColumn("_v", array_to_vector(F.col(vec).cast("array<double>")))
+    d = once(df.withColumn("_v", array_to_vector(F.col(vec).cast("array<double>"))))
     rows = d.count()
-    k, model = 1, None
+    most = rows if most is None else min(most, rows)
+    k, found, model = 1, 0, None
     while k < most:
         k = min(k * 2, most)
         model = BisectingKMeans(featuresCol="_v", predictionCol="cluster", k=k, seed=seed).fit(d)
-        if math.sqrt(model.summary.trainingCost / rows) <= max_distance:
+        centres = len(model.clusterCenters())
+        if math.sqrt(model.summary.trainingCost / rows) <= max_distance or centres == found:
             break
-    return model.transform(d).drop("_v") if model else df.withColumn("cluster", F.lit(0))
-
-
-def correlation_distance(long: DataFrame, key: str, pos: str, value: str, most: int = 2000) -> DataFrame:
-    """1 minus the correlation of every two of a checked number of vectors (e.g. group means)."""
-    ids = [r[key] for r in long.select(key).distinct().limit(most + 1).collect()]
-    if len(ids) > most:
-        raise ValueError(f"more than {most} vectors: cluster them first and compare the means")
-    ids = sorted(ids)
-    rows = long.groupBy(pos).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("_m"))
-    rows = rows.select(F.array(*[F.try_element_at("_m", F.lit(i)) for i in ids]).alias("v"))
-    names = F.array(*[F.lit(i) for i in ids])
-    c = pairwise_corr(rows, "v")
-    return c.select(F.get(names, F.col("a")).alias("a"), F.get(names, F.col("b")).alias("b"), (1 - F.col("r")).alias("distance"))
+        found = centres
+    out = model.transform(d).drop("_v") if model else d.drop("_v").withColumn("cluster", F.lit(0))
+    x = once(out.select("cluster", F.posexplode(F.col(vec).cast("array<double>")).alias("_j", "_x")))
+    spread = x.groupBy("cluster", "_j").agg(F.var_pop("_x").alias("_s")).groupBy("cluster").agg((F.sqrt(F.sum("_s")) > max_distance).alias("missed"))
+    return out.join(spread, "cluster").select(*df.columns, "cluster", "missed")
+
+
+def correlation_distance(long: DataFrame, key: str, pos: str, value: str, block: int = 512) -> DataFrame:
+    """1 minus the correlation of every two vectors ``(key, pos, value)`` over the same positions.
+
+    The result is the matrix itself, so it is worked on in square blocks: every two blocks of
+    ``block`` vectors meet in one task, as two small matrices. A constant vector has no correlation.
+    """
+    vecs = long.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(pos, F.col(value).cast("double").alias("v")))).alias("_p"))
+    vecs = once(indexed(vecs.select(key, F.col("_p.v").alias("_v")), [], [key], "_k").withColumn("_b", F.expr(f"_k div {block}")).drop("_k"))
+    last = vecs.agg(F.max("_b")).first()[0] or 0
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))
+    both = vecs.withColumn("_o", other).select(F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "_b", key, "_v")
+    kind = long.schema[key].dataType.simpleString()
+
+    def distances(at: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = []
+        for b in at:
+            rows = pdf[pdf["_b"] == b].sort_values(key)
+            m = np.stack(rows["_v"].to_numpy()).astype(float)
+            m = m - m.mean(axis=1, keepdims=True)
+            norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+            sides.append((rows[key].to_numpy(), np.divide(m, norm, out=np.full_like(m, np.nan), where=norm > 0)))
+        (ka, a), (kb, b) = sides
+        r = 1 - a @ b.T
+        i, j = np.triu_indices(len(ka), 1) if at[0] == at[1] else np.indices(r.shape).reshape(2, -1)
+        d = pd.Series(r[i, j]).astype(object)
+        return pd.DataFrame({"a": ka[i], "b": kb[j], "distance": d.where(d.notna(), None)})
+
+    return both.groupBy("_i", "_j").applyInPandas(distances, f"a {kind}, b {kind}, distance double")
 
 
 def correlation_clusters(distances: DataFrame, ids: DataFrame, key: str, threshold: float) -> DataFrame:

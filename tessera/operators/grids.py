@@ -143,18 +143,19 @@ def consecutive_labels(mask: DataFrame, keys: list[str], first: int = 0) -> Data
     return d.withColumn("roi_id", (F.col("_k") + first).cast("int")).drop("_k").select(*mask.columns)
 
 
-def assign_to_centres(pixels: DataFrame, keys: list[str], cell_min: float, centre_min: float, size: int = 5, most: int = 50) -> DataFrame:
+def assign_to_centres(pixels: DataFrame, keys: list[str], cell_min: float, centre_min: float, size: int = 5, most: int | None = None) -> DataFrame:
     """Label cell pixels ``(cell, centre, ox, oy)`` by the centre nearest to their shifted position.
 
-    Centres are cell pixels that are the maximum of their ``size x size`` window; the ``most`` best
-    of an image (with ties) are used, so an image's centres fit in one short array.
+    Centres are cell pixels that are the maximum of their ``size x size`` window, at most one per
+    half window and axis; with ``most`` only the best of an image (with ties) are used.
     """
     m = size // 2
     wx = Window.partitionBy(*keys, "y").orderBy("x").rangeBetween(-m, m)
     wy = Window.partitionBy(*keys, "x").orderBy("y").rangeBetween(-m, m)
     d = pixels.withColumn("_mx", F.max("centre").over(wx)).withColumn("_top", F.max("_mx").over(wy))
     c = d.filter((F.col("centre") == F.col("_top")) & (F.col("centre") >= centre_min) & (F.col("cell") > cell_min) & (F.col("centre") > 0))
-    c = c.withColumn("_r", F.rank().over(Window.partitionBy(*keys).orderBy(F.col("centre").desc()))).filter(F.col("_r") <= most)
+    if most is not None:
+        c = c.withColumn("_r", F.rank().over(Window.partitionBy(*keys).orderBy(F.col("centre").desc()))).filter(F.col("_r") <= most)
     arr = c.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("x").alias("cx"), F.col("y").alias("cy")))).alias("_c"))
     j = pixels.filter(F.col("cell") > cell_min).join(arr, keys)
 
@@ -286,15 +287,17 @@ def int_downscale(img: DataFrame, keys: list[str], n: int) -> DataFrame:
     return img.groupBy(*keys, F.floor(F.col("x") / n).alias("x"), F.floor(F.col("y") / n).alias("y")).agg(F.avg("v").alias("v"))
 
 
-def keep_lost_labels(before: DataFrame, after: DataFrame, keys: list[str], shape_b: tuple[int, int], shape_a: tuple[int, int], rings: int = 10) -> DataFrame:
+def keep_lost_labels(before: DataFrame, after: DataFrame, keys: list[str], shape_b: tuple[int, int], shape_a: tuple[int, int]) -> DataFrame:
     """Labels lost by resizing come back as one pixel nearest their centre.
 
-    A free pixel is preferred, else one of a label that has more than one. Each round every lost label asks for its best pixel (in a ring wider each time) and the
-    smallest label asking for a pixel gets it; a label without a place after all rings is an error.
+    A free pixel is preferred, else one of a label that has more than one. Each round every lost
+    label asks for its best pixel (in a square wider each time) and the smallest label asking for a
+    pixel gets it. Once the square covers the image and no label finds a place, that is an error.
     """
     cols = [*keys, "x", "y", "roi_id"]
     out = after.select(*cols)
-    for ring in range(rings + 1):
+    ring = 0
+    while True:
         have = out.select(*keys, "roi_id").distinct()
         lost = before.join(have, [*keys, "roi_id"], "left_anti")
         if lost.isEmpty():
@@ -314,8 +317,10 @@ def keep_lost_labels(before: DataFrame, after: DataFrame, keys: list[str], shape
         one = won.filter("_held is not null").groupBy(*keys, "_held").agg(F.min(F.struct("x", "y", "roi_id")).alias("_b"))
         won = won.filter("_held is null").select(*cols).unionByName(one.select(*keys, "_b.x", "_b.y", "_b.roi_id").select(*cols))
         won = durable(won)
+        if ring > max(shape_b) and won.isEmpty():
+            raise RuntimeError("no free pixel for a lost label")
+        ring += 1
         out = durable(out.join(won, [*keys, "x", "y"], "left_anti").select(*cols).unionByName(won))
-    raise RuntimeError("no free pixel for a lost label")
 
 
 def blur2d(img: DataFrame, keys: list[str], sigma: float, truncate: float = 4.0, reflect: bool = False) -> DataFrame:

@@ -10,15 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..plans.scan import halo, indexed, own
 from ..plans.stats import join_stats, nz, pearson
-from ..session import durable
+from ..session import durable, once, written
+from .datasets import seeded
 from .series import blocked_kfold, find_peaks, lag_matrix, ordered_split, top2_peaks_by_time, with_neighbours
+from .stats import permutation_p
 
 
 def _lagged_response(resp: DataFrame, keys: list[str], n_lag: int, shift: int) -> DataFrame:
@@ -82,32 +83,53 @@ def design(resp: DataFrame, stim: DataFrame, keys: list[str], pixels: list, n_la
     return own(cut.withColumn("features", F.array(*cols))).select(*keys, "i", "y", "features")
 
 
-def least_squares_rf(resp: DataFrame, stim: DataFrame, keys: list[str], pixels: list, n_lag: int, shift: int = 0) -> DataFrame:
-    """Least-squares filter of every key from the sums of products.
+def products(x: DataFrame, by: list[str], width: int, held: int = 4_000_000) -> DataFrame:
+    """Sums of products of ``(features, 1, y)`` per group of ``by``: ``g``, the upper triangle as an array.
 
-    Each Arrow batch sends one matrix of products per key; the matrices are added by a group sum and
-    one small system per key is solved at the end.
+    A task adds up the groups it meets, whole batches at a time, and passes them on when it holds
+    ``held`` numbers or has no more rows; what is passed on is added by a group sum.
     """
-    x = design(resp, stim, keys, pixels, n_lag, shift)
-    m = n_lag * len(pixels)
-    schema = ", ".join(f"{k} {x.schema[k].dataType.simpleString()}" for k in keys) + ", g array<double>"
+    m = width + 2
+    upper = np.triu_indices(m)
+    schema = StructType([*[f for f in x.schema.fields if f.name in by], StructField("g", ArrayType(DoubleType()))])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        have: dict = {}
+
+        def rows() -> pd.DataFrame:
+            return pd.DataFrame([[*key, g[upper]] for key, g in have.items()], columns=[*by, "g"])
 
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for key, part in pdf.groupby(keys, sort=False):
-                a = np.column_stack([np.stack(part["features"].to_numpy()), part["y"].to_numpy(float)])
-                rows.append([*key, (a.T @ a).ravel()])
-            yield pd.DataFrame(rows, columns=[*keys, "g"])
+            for key, part in pdf.groupby(by, sort=False):
+                a = np.column_stack([np.stack(part["features"].to_numpy()), np.ones(len(part)), part["y"].to_numpy(float)])
+                have[key] = have[key] + a.T @ a if key in have else a.T @ a
+            if len(have) * m * m > held:
+                yield rows()
+                have.clear()
+        yield rows()
+
+    g = x.select(*by, "y", "features").mapInPandas(sums, schema)
+    g = g.select(*by, F.posexplode("g").alias("p", "v")).groupBy(*by, "p").agg(F.sum("v").alias("v"))
+    return g.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "v"))), lambda s: s["v"]).alias("g"))
+
 
-    g = x.select(*keys, "y", "features").mapInPandas(products, schema)
-    g = g.select(*keys, F.posexplode("g").alias("p", "v")).groupBy(*keys, "p").agg(F.sum("v").alias("v"))
-    g = g.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "v"))), lambda s: s["v"]).alias("g"))
+def unpacked(g, width: int) -> np.ndarray:
+    """The full symmetric matrix of an upper triangle."""
+    m = width + 2
+    a = np.zeros((m, m))
+    a[np.triu_indices(m)] = g
+    return a + np.triu(a, 1).T
+
+
+def least_squares_rf(resp: DataFrame, stim: DataFrame, keys: list[str], pixels: list, n_lag: int, shift: int = 0) -> DataFrame:
+    """Least-squares filter of every key from its sums of products; one small system per key is solved."""
+    m = n_lag * len(pixels)
+    g = products(design(resp, stim, keys, pixels, n_lag, shift), keys, m)
 
     @F.pandas_udf("array<double>")
     def solve(g: pd.Series) -> pd.Series:
-        mats = [np.reshape(v, (m + 1, m + 1)) for v in g]
-        return pd.Series([np.linalg.lstsq(a[:m, :m], a[:m, m], rcond=None)[0] for a in mats])
+        mats = [unpacked(v, m) for v in g]
+        return pd.Series([np.linalg.lstsq(a[:m, :m], a[:m, m + 1], rcond=None)[0] for a in mats])
 
     k = len(pixels)
     px = F.array(*[F.lit(p) for p in pixels])
@@ -151,56 +173,118 @@ def best_hyper(scores: DataFrame, keys: list[str], params: list[str], score: str
     return (m.groupBy(*keys).agg(best) if keys else m.agg(best)).select(*keys, "_b.*")
 
 
+def elastic_net(a: np.ndarray, alpha: float, l1: float, sweeps: int = 1000) -> tuple[np.ndarray, float]:
+    """Weights and intercept from sums of products of ``(features, 1, y)``, by coordinate descent.
+
+    Minimises half the mean squared error plus ``alpha`` times (``l1`` |w| + (1 - ``l1``) w^2 / 2), with
+    features scaled to unit spread; a feature that does not vary has weight zero.
+    """
+    m, n = len(a) - 2, a[-2, -2]
+    mean, my = a[:m, m] / n, a[m, m + 1] / n
+    cov = a[:m, :m] / n - np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(cov), 0))
+    live = np.flatnonzero(sd > 1e-9)
+    r = cov[np.ix_(live, live)] / np.outer(sd[live], sd[live])
+    c = (a[:m, m + 1] / n - mean * my)[live] / sd[live]
+    w = np.zeros(len(live))
+    for _ in range(sweeps):
+        last = w.copy()
+        for j in range(len(live)):
+            rest = c[j] - r[j] @ w + r[j, j] * w[j]
+            w[j] = np.sign(rest) * max(abs(rest) - alpha * l1, 0.0) / (r[j, j] + alpha * (1 - l1))
+        if np.abs(w - last).max(initial=0.0) < 1e-10:
+            break
+    out = np.zeros(m)
+    out[live] = w / sd[live]
+    return out, float(my - mean @ out)
+
+
+def mean_squared_error(a: np.ndarray, w: np.ndarray, b: float) -> float:
+    """Of a linear model on the rows behind the sums of products."""
+    v = np.concatenate([-w, [-b, 1.0]])
+    return float(v @ a @ v / a[-2, -2])
+
+
 def penalized_rf(resp: DataFrame, stim: DataFrame, keys: list[str], pixels: list, n_lag: int, dfs: list[int], alphas: list[float], l1: float = 0.5, folds: int = 3, gap: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Smooth filter with an elastic-net penalty; basis size and penalty by blocked folds.
+    """Smooth filter of every key with an elastic-net penalty; basis size and penalty chosen per key by blocked folds.
 
-    Lags are described by cubic splines, so a filter has ``df`` numbers per pixel. One model serves
-    all keys. Returns the filter and the mean squared error of every fold and parameter set.
+    Lags are described by cubic splines, so a filter has ``df`` numbers per pixel. All folds, sizes and
+    penalties of a key are worked out from its sums of products, one set per fold and role, so the rows
+    are read once. Returns the filters with the ``df`` and ``alpha`` chosen, and the mean squared error of
+    every key, fold and parameter set.
     """
-    x = durable(blocked_kfold(design(resp, stim, keys, pixels, n_lag), keys, folds, gap))
-    k, rows, fits = len(pixels), [], {}
-    spark = x.sparkSession
-
-    def features(df: int) -> tuple[DataFrame, np.ndarray]:
-        b = spline_basis(n_lag, df)
-        cols = []
-        for c in range(b.shape[1]):
-            for p in range(k):
-                cols.append(sum((F.get("features", l * k + p) * float(b[l, c]) for l in range(n_lag)), F.lit(0.0)))
-        return x.withColumn("v", array_to_vector(F.array(*cols))), b
-
-    for df in dfs:
-        d, b = features(df)
-        for a in alphas:
-            lr = LinearRegression(featuresCol="v", labelCol="y", regParam=a, elasticNetParam=l1)
-            for f in range(folds):
-                fit = lr.fit(d.filter(f"fold = {f} and role = 'train'"))
-                e = F.col("y") - F.col("prediction")
-                mse = fit.transform(d.filter(f"fold = {f} and role = 'dev'")).agg(F.avg(e * e)).first()[0]
-                rows.append((df, a, f, mse))
-    scores = spark.createDataFrame(rows, "df int, alpha double, fold int, mse double")
-    best = best_hyper(scores, [], ["df", "alpha"], "mse", largest=False).first()
-    d, b = features(best["df"])
-    fit = LinearRegression(featuresCol="v", labelCol="y", regParam=best["alpha"], elasticNetParam=l1).fit(d.filter("role = 'dev'"))
-    w = b @ np.reshape(fit.coefficients.toArray(), (b.shape[1], k))
-    rf = [(l, str(p), float(w[l, q])) for l in range(n_lag) for q, p in enumerate(pixels)]
-    return spark.createDataFrame(rf, "lag int, px string, w double"), scores
-
-
-def permutation_scores(pred: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
-    """Correlation and error of predictions against responses, true (perm -1) and shuffled n times.
-
-    A shuffle pairs each position with the position of the same rank in a seeded hash order.
+    k, m = len(pixels), n_lag * len(pixels)
+    x = blocked_kfold(design(resp, stim, keys, pixels, n_lag), keys, folds, gap)
+    g = products(x, [*keys, "fold", "role"], m)
+    own = [f for f in g.schema.fields if f.name in keys]
+    cols = [("lag", IntegerType()), ("p", IntegerType()), ("w", DoubleType()), ("df", IntegerType()), ("alpha", DoubleType()), ("fold", IntegerType()), ("mse", DoubleType())]
+    schema = StructType([*own, *[StructField(n, t) for n, t in cols]])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        sums = {(f, role): unpacked(v, m) for f, role, v in zip(pdf["fold"], pdf["role"], pdf["g"])}
+        rows, best = [], None
+        for df in dfs:
+            b = spline_basis(n_lag, df)
+            wide = np.block([[np.kron(b, np.eye(k)), np.zeros((m, 2))], [np.zeros((2, b.shape[1] * k)), np.eye(2)]])
+            small = {at: wide.T @ a @ wide for at, a in sums.items()}
+            for alpha in alphas:
+                mse = []
+                for f in range(folds):
+                    if (f, "train") in small and (f, "dev") in small:
+                        mse.append(mean_squared_error(small[f, "dev"], *elastic_net(small[f, "train"], alpha, l1)))
+                        rows.append((None, None, None, df, alpha, f, mse[-1]))
+                if mse and (best is None or np.mean(mse) < best[0]):
+                    best = (np.mean(mse), df, alpha)
+        if best:
+            _, df, alpha = best
+            b = spline_basis(n_lag, df)
+            wide = np.block([[np.kron(b, np.eye(k)), np.zeros((m, 2))], [np.zeros((2, b.shape[1] * k)), np.eye(2)]])
+            whole = sum(a for (_, role), a in sums.items() if role == "dev")
+            w = np.kron(b, np.eye(k)) @ elastic_net(wide.T @ whole @ wide, alpha, l1)[0]
+            rows += [(i // k, i % k, float(v), df, alpha, None, None) for i, v in enumerate(w)]
+        out = pd.DataFrame(rows, columns=[n for n, _ in cols])
+        for c in ("lag", "p", "df", "fold"):
+            out[c] = out[c].astype("Int32")
+        for key in reversed(keys):
+            out.insert(0, key, pdf[key].iloc[0])
+        return out
+
+    out = written(g.groupBy(*keys).applyInPandas(solve, schema))
+    px = F.array(*[F.lit(p) for p in pixels])
+    rf = out.filter("lag is not null").select(*keys, "lag", F.get(px, F.col("p")).alias("px"), "w", "df", "alpha")
+    return rf, out.filter("fold is not null").select(*keys, "df", "alpha", "fold", "mse")
+
+
+def permutation_scores(rf: DataFrame, stim: DataFrame, resp: DataFrame, keys: list[str], n_lag: int, n: int, seed: int, shift: int = 0) -> DataFrame:
+    """Correlation and error of a filter's predictions, true (perm -1) and with the stimulus in ``n`` random orders.
+
+    A permutation puts the frames of a key in the order of a seeded hash; the filter then predicts the
+    response from the frames where they ended up.
     """
-    d = pred.select(*keys, "i", "y", "y_pred")
-    p = d.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    p = p.withColumn("_h", F.xxhash64(F.lit(seed), "perm", *keys, "i"))
-    ranked = indexed(p, [*keys, "perm"], ["_h", "i"], "_k").select(*keys, "perm", F.col("_k").alias("i"), F.col("y_pred").alias("_p"))
-    base = indexed(d, keys, ["i"], "_k").select(*keys, F.col("_k").alias("i"), "y")
-    shuffled = base.join(ranked, [*keys, "i"]).select(*keys, "perm", "y", F.col("_p").alias("y_pred"))
-    every = shuffled.unionByName(d.select(*keys, F.lit(-1).alias("perm"), "y", "y_pred"))
+    frames = stim.select(*keys, "i").distinct()
+    perms = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    p = frames.withColumn("perm", perms).withColumn("_h", seeded(seed, "perm", *keys, "i"))
+    ranked = indexed(p, [*keys, "perm"], ["_h", "i"], "_k").select(*keys, "perm", "i", "_k")
+    place = indexed(frames, keys, ["i"], "_k").select(*keys, "_k", F.col("i").alias("_to"))
+    order = once(ranked.join(place, [*keys, "_k"]).select(*keys, "perm", "i", "_to"))
+    moved = stim.join(order, [*keys, "i"]).select(*keys, "perm", F.col("_to").alias("i"), "px", "x")
+    shown = moved.unionByName(stim.select(*keys, F.lit(-1).alias("perm"), "i", "px", "x"))
+    every = F.explode(F.sequence(F.lit(-1), F.lit(n - 1)))
+    pred = predict_linear(rf.withColumn("perm", every), shown, resp.select(*keys, "i", "y").withColumn("perm", every), [*keys, "perm"], n_lag, shift)
     e = F.col("y") - F.col("y_pred")
-    return every.groupBy(*keys, "perm").agg(pearson("y", "y_pred").alias("corrcoef"), F.avg(e * e).alias("mse"))
+    return pred.groupBy(*keys, "perm").agg(pearson("y", "y_pred").alias("corrcoef"), F.avg(e * e).alias("mse"))
+
+
+def permutation_quality(scores: DataFrame, keys: list[str], metric: str = "corrcoef", min_cc: float = 0.0, alpha: float = 0.001) -> DataFrame:
+    """Per key: true score, t and p of the permuted ones, ``perm_test_success`` (p below ``alpha``) and ``quality``.
+
+    Quality asks for a successful test and a true correlation above ``min_cc``.
+    """
+    true = scores.filter("perm = -1").select(*keys, F.col(metric).alias("true_score"), F.col("corrcoef").alias("_cc"))
+    shuffled = scores.filter("perm >= 0").select(*keys, F.col(metric).alias("score"))
+    d = permutation_p(shuffled, true, keys, metric).join(true, keys)
+    ok = F.coalesce(F.col("p") < alpha, F.lit(False))
+    return d.select(*keys, F.col("true_score").alias("score_test"), "t", "p", ok.alias("perm_test_success"), (ok & F.coalesce(F.col("_cc") > min_cc, F.lit(False))).alias("quality"))
 
 
 def quality_columns(df: DataFrame, m: str, names: list[str]) -> DataFrame:

@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..plans.quantile import quantiles
 from ..plans.scan import indexed, largest
 from ..plans.stats import join_stats, nz
+from ..session import once
 from .series import nearest_index, resample_linear, snippet_join
 from .stats import repeat_quality
 
@@ -134,25 +138,35 @@ def band_ratio(avg: DataFrame, keys: list[str], fs: float, t_start: float = 10,
 def band_power_index(snips: DataFrame, keys: list[str], fs: float, seconds: float = 6, low=(0.5, 1.0), high=(2.0, 16.0), constant: float = 1e4) -> DataFrame:
     """Log ratio of the mean spectral power in two bands over the first seconds of the repetitions.
 
-    The Fourier sums are one aggregation over samples times the listed frequencies.
+    A repetition holds ``seconds`` times ``fs`` samples at most and is transformed whole.
     """
     n = int(seconds * fs)
-    bands = [(k, b) for b, (lo, hi) in enumerate((low, high)) for k in range(n // 2 + 1) if lo <= k * fs / n <= hi]
-    freqs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(b).alias("b")) for k, b in bands])
-    d = snips.filter(F.col("j") < n).withColumn("_f", F.explode(freqs))
-    arg = 2 * math.pi * F.col("_f.k") * F.col("j") / n
-    p = d.groupBy(*keys, "rep", "_f.k", "_f.b").agg(F.sum(F.col("y") * F.cos(arg)).alias("_c"), F.sum(F.col("y") * F.sin(arg)).alias("_s"))
-    p = p.withColumn("_p", F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s"))
+    at = [[k for k in range(n // 2 + 1) if lo <= k * fs / n <= hi] for lo, hi in (low, high)]
+    fields = [f for f in snips.schema.fields if f.name in keys]
+    schema = StructType([*fields, StructField("_l", DoubleType()), StructField("_h", DoubleType())])
+
+    def power(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = np.zeros(n)
+        np.add.at(y, pdf["j"].to_numpy(dtype=np.int64), np.nan_to_num(pdf["y"].to_numpy(dtype=float)))
+        p = np.abs(np.fft.rfft(y)) ** 2
+        out = pdf[keys].head(1).copy()
+        for c, ks in zip(("_l", "_h"), at):
+            out[c] = p[ks].mean() if ks else None
+        return out
+
+    per = snips.filter(F.col("j") < n).select(*keys, "rep", "j", "y").groupBy(*keys, "rep").applyInPandas(power, schema)
     # Every repetition has all frequencies, so the mean over both steps is the plain mean per band.
-    d = p.groupBy(*keys).agg(F.avg(F.when(F.col("b") == 0, F.col("_p"))).alias("_l"), F.avg(F.when(F.col("b") == 1, F.col("_p"))).alias("_h"))
+    d = per.groupBy(*keys).agg(F.avg("_l").alias("_l"), F.avg("_h").alias("_h"))
     return d.select(*keys, F.log10(constant * F.col("_h") / nz(F.col("_l"))).alias("band_power_index"))
 
 
 def chirp_features(avg: DataFrame, snips: DataFrame, keys: list[str], fs: float, snip_fs: float, t_on=2.0, t_off=5.0, t_max=6.0, t_start=10.0, t_end=29.0, t_pause=17.0) -> DataFrame:
     """All indices of a step-and-flicker response, from its resampled average and its repetitions."""
+    snips = once(snips)
     one = join_stats(avg.select(*keys, "j", "y"), keys, _a=F.max(F.abs("y"))).withColumn("y", F.col("y") / nz(F.col("_a"))).drop("_a")
+    one = once(one)
     base = quantiles(one.filter(_in(0, int(fs * t_on))), keys, "y", int(fs * t_on), _b=0.5)
-    norm = one.join(base, keys).withColumn("y", F.col("y") - F.col("_b")).drop("_b")
+    norm = once(one.join(base, keys).withColumn("y", F.col("y") - F.col("_b")).drop("_b"))
     parts = [
         polarity_index(norm, keys, fs, t_on=t_on, t_off=t_off),
         peak_ratio(norm, keys, fs, 0.4, 0.15, t_on, t_max, "transience_index"),
@@ -170,12 +184,12 @@ def chirp_features(avg: DataFrame, snips: DataFrame, keys: list[str], fs: float,
 def on_off_index(snips: DataFrame, starts: DataFrame, keys: list[str], n_step: int, up: float = 2, down: float = 5, skip: int = 4) -> DataFrame:
     """Contrast of the responses to a step up and a step down, over frames and repetitions."""
     by = [*keys, "rep"]
-    s = join_stats(snips, by, _min=F.min("y")).withColumn("y", F.col("y") - F.col("_min")).drop("_min")
+    s = once(join_stats(snips, by, _min=F.min("y")).withColumn("y", F.col("y") - F.col("_min")).drop("_min"))
     at = starts.select(*by, F.col("t0").alias("_t0"))
     src = s.select(*by, F.col("j").alias("i"), "t")
     for n, off in (("_u", up), ("_d", down)):
         at = nearest_index(at.withColumn("t", F.col("_t0") + off), src, by, bound=1).withColumnRenamed("si", n).drop("t")
-    d = s.join(at.select(*by, "_u", "_d"), by)
+    d = once(s.join(at.select(*by, "_u", "_d"), by))
     big = largest(snips, by)
     bu = quantiles(d.filter(F.col("j") < F.col("_u")), by, "y", big, _bu=0.5)
     bd = quantiles(d.filter((F.col("j") < F.col("_d")) & (F.col("j") >= F.col("_d") - n_step)), by, "y", big, _bd=0.5)
@@ -193,8 +207,10 @@ def on_off_index(snips: DataFrame, starts: DataFrame, keys: list[str], n_step: i
 def rep_transience(snips: DataFrame, starts: DataFrame, keys: list[str], dt: float, window: float = 6, delay: float = 0.4) -> DataFrame:
     """One minus the value some time after the peak over the peak, mean over repetitions."""
     by = [*keys, "rep"]
+    snips = once(snips)
     r = resample_linear(snips.select(*by, F.col("j").alias("i"), "t", "y"), by, dt)
     r = join_stats(r, by, _min=F.min("y")).withColumn("y", F.col("y") - F.col("_min"))
+    r = once(r)
     w = r.join(starts.select(*by, "t0"), by).filter((F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t0") + window))
     pk = w.groupBy(*by).agg(F.max_by(F.struct("i", "y"), F.struct("y", -F.col("i"))).alias("_p"))
     pk = pk.select(*by, F.col("_p.y").alias("_y"), (F.col("_p.i") + int(round(delay / dt))).alias("i"))
@@ -210,11 +226,12 @@ def size_tuning(snips: DataFrame, keys: list[str], n_base: int, peak: tuple[int,
     surround index of the largest size, number of repetitions and repeat quality per colour.
     """
     a, b = peak
+    snips = once(snips)
     by = [*keys, "colour", "size", "rep"]
     ok = snips.filter(F.col("j") < b).groupBy(*by).agg(F.count("y").alias("_n")).filter(F.col("_n") == b)
-    s = snips.join(ok.select(*by), by, "left_semi")
+    s = once(snips.join(ok.select(*by), by, "left_semi"))
     base = quantiles(s.filter(F.col("j") < n_base), by, "y", n_base, _b=0.5)
-    s = s.join(base, by).withColumn("y", F.col("y") - F.col("_b"))
+    s = once(s.join(base, by).withColumn("y", F.col("y") - F.col("_b")))
     p = s.filter(_in(a, b)).groupBy(*by).agg(F.avg("y").alias("peak"))
     p = join_stats(p, [*keys, "rep"], _top=F.greatest(F.max("peak"), F.lit(1.0))).withColumn("peak", F.col("peak") / F.col("_top"))
     curve = p.groupBy(*keys, "colour", "size").agg(F.avg("peak").alias("tuning"), F.count("*").alias("n"))

@@ -9,14 +9,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from ..plans.asof import asof, closer
 from ..plans.quantile import quantiles, with_quantiles
 from ..plans.scan import halo, indexed, largest, own, scan
 from ..plans.stats import join_stats, nz
-from ..session import durable
+from ..session import durable, once
 
 CHUNK = 65_536
 
@@ -102,16 +104,25 @@ def nearest_index(points: DataFrame, samples: DataFrame, keys: list[str], tol: f
     return d.withColumn("si", F.when(near, F.col("_ns.i"))).drop("_ns")
 
 
+def _within(at: DataFrame, tol: float | None) -> DataFrame:
+    """A point without a sample within the tolerance is an error; without a tolerance, a key without samples has none."""
+    if tol is None:
+        return at.filter("si is not null")
+    far = F.raise_error(F.lit(f"a trigger has no sample within {tol}")).cast("long")
+    return at.withColumn("si", F.coalesce(F.col("si"), far))
+
+
 def repetition_starts(samples: DataFrame, triggers: DataFrame, keys: list[str], n_per_rep: int, delay: float = 0.0, tol: float | None = None, pad: bool = False) -> DataFrame:
     """First sample and length of every repetition.
 
     The length is the median gap between starts cut to a whole number; a last repetition with fewer
     samples left is dropped and noted in ``dropped_last``. With ``pad`` the start is the sample before.
+    A trigger out of tolerance is an error: without it the lengths of all others would change.
     """
     first = triggers.filter(F.col("k") % n_per_rep == 0)
     first = first.select(*keys, F.expr(f"k div {n_per_rep}").alias("rep"), F.col("t").alias("t0"), (F.col("t") + delay).alias("t"))
     big = largest(triggers, keys)
-    at = nearest_index(first, samples, keys, tol, "before" if pad else "nearest", big).filter("si is not null")
+    at = _within(nearest_index(first, samples, keys, tol, "before" if pad else "nearest", big), tol)
     at = scan(at.select(*keys, "rep", "t0", F.col("si").alias("i0")), keys, ["rep"], big, _p=("prev", F.col("i0")))
     at = durable(at)  # one row per repetition, read several times below
     gap = quantiles(at.withColumn("_g", F.col("i0") - F.col("_p")), keys, "_g", big, _len=0.5)
@@ -167,7 +178,7 @@ def group_snippets(samples: DataFrame, triggers: DataFrame, keys: list[str], tri
     lookup = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(nm).alias("name"), F.lit(sp).alias("split")) for o, _, nm, sp in pieces])
     hit = F.filter(lookup, lambda p: p["o"] == F.col("k") % off)
     big = largest(triggers, keys)
-    at = durable(nearest_index(triggers.select(*keys, "k", "t"), samples, keys, tol, bound=big).filter("si is not null"))
+    at = durable(_within(nearest_index(triggers.select(*keys, "k", "t"), samples, keys, tol, bound=big), tol))
     start = at.withColumn("_p", F.get(hit, 0)).filter("_p is not null")
     start = start.select(*keys, "k", F.col("si").alias("i0"), "_p.name", (F.col("k") + F.col("_p.split")).alias("_next"))
     end = at.select(*keys, F.col("k").alias("_next"), F.col("si").alias("_end"))
@@ -219,25 +230,60 @@ def clamp_edges(samples: DataFrame, keys: list[str], nmin: tuple[int, int] = (0,
     return d.select(*samples.columns)
 
 
+def numbers(values) -> Column:
+    """Constant array as one literal; thousands of single literals would slow planning down."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
+# Longer kernels are applied chunk by chunk in numpy, shorter ones in a window frame.
+FRAME_TAPS = 64
+
+
 def fir(samples: DataFrame, keys: list[str], kernel: list[float], name: str = "y", value: str = "y", i: str = "i", reflect: bool = False) -> DataFrame:
-    """Centred weighted sum over an odd number of samples; outside, the edge is held or mirrored."""
+    """Centred weighted sum over an odd number of samples; outside, the edge is held or mirrored.
+
+    A sum over a missing sample is missing. Both ways of running it give the same sums.
+    """
     m = len(kernel) // 2
+    if len(kernel) > FRAME_TAPS:
+        return _fir_chunks(samples, keys, kernel, name, value, i, reflect)
     cut, w = halo(samples, keys, m, m, i)
-    ker = F.array(*[F.lit(float(c)) for c in kernel])
+    ker = numbers(kernel)
     frame = w.rowsBetween(-m, m)
-    cut = cut.withColumn("_a", F.collect_list(value).over(frame)).withColumn("_p", F.least(F.col(i), F.lit(m)).cast("int"))
+    cut = cut.withColumn("_a", F.collect_list(F.struct(F.col(value).alias("v"))).over(frame)).withColumn("_p", F.least(F.col(i), F.lit(m)).cast("int"))
     n = F.size("_a")
 
     def at(k: Column) -> Column:
         p = F.col("_p") + k - m
         if reflect:
-            return F.when(p < 0, -p - 1).when(p >= n, 2 * n - 1 - p).otherwise(p)
+            around = F.pmod(p, 2 * n)
+            return F.when(around >= n, 2 * n - 1 - around).otherwise(around)
         return F.greatest(F.lit(0), F.least(n - 1, p))
 
-    terms = F.transform(F.sequence(F.lit(0), F.lit(2 * m)), lambda k: F.get(ker, k) * F.get(F.col("_a"), at(k)))
+    terms = F.transform(F.sequence(F.lit(0), F.lit(2 * m)), lambda k: F.get(ker, k) * F.get(F.col("_a"), at(k))["v"])
     return own(cut.withColumn(name, F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)).drop("_a", "_p"))
 
 
+def _fir_chunks(samples: DataFrame, keys: list[str], kernel: list[float], name: str, value: str, i: str, reflect: bool) -> DataFrame:
+    """Chunks of a recording, with copied borders, convolved whole."""
+    m, ker = len(kernel) // 2, np.array(kernel, dtype=float)[::-1]
+    rest = [c for c in samples.columns if c != name]
+    cut, _ = halo(samples, keys, m, m, i)
+    fields = [f for f in cut.schema.fields if f.name in rest]
+    schema = StructType([*fields, StructField(name, DoubleType()), StructField("_own", BooleanType())])
+
+    def convolve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(i)
+        x = pdf[value].to_numpy(dtype=float)
+        full = np.convolve(np.pad(x, m, mode="symmetric" if reflect else "edge"), ker, mode="valid")
+        out = pdf[rest].copy()
+        out[name] = pd.Series(full, index=pdf.index).astype(object).where(~np.isnan(full), None)
+        out["_own"] = pdf["_own"]
+        return out
+
+    return cut.groupBy(*keys, "_chunk").applyInPandas(convolve, schema).filter("_own").drop("_own").select(*[c for c in samples.columns if c != name], name)
+
+
 def gauss_kernel(sigma: float, truncate: float = 4.0) -> list[float]:
     r = int(truncate * sigma + 0.5)
     w = [math.exp(-0.5 * (x / sigma) ** 2) for x in range(-r, r + 1)]
@@ -253,42 +299,43 @@ def smooth_fir(samples: DataFrame, keys: list[str], sigma: float | None = None,
 
 def poly_projection(window: int, order: int) -> np.ndarray:
     """Matrix mapping a window of samples to its polynomial fit at every position."""
+    q = poly_basis(window, order)
+    return q @ q.T
+
+
+def poly_basis(window: int, order: int) -> np.ndarray:
+    """Orthonormal polynomials over the positions of a window, one per column."""
     x = np.arange(window) - (window - 1) / 2
-    v = np.vander(x / max(x[-1], 1.0), order + 1, increasing=True)
-    return v @ np.linalg.pinv(v)
+    return np.linalg.qr(np.vander(x / max(x[-1], 1.0), order + 1, increasing=True))[0]
 
 
 def detrend_poly(samples: DataFrame, keys: list[str], window: int, order: int = 3) -> DataFrame:
     """Subtract a moving polynomial fit (``smooth``); whole windows are fitted at the two ends.
 
-    ``window`` counts samples and is made odd. Recordings shorter than it hold their edge values.
+    ``window`` counts samples and is made odd. Recordings shorter than it hold their edge values. The
+    fits of the first and last window are sums over orthonormal polynomials, ``order`` + 1 per key and
+    end, so no matrix of the size of the window is part of the plan.
     """
     window -= 1 - window % 2
     m = window // 2
-    h = poly_projection(window, order)
-    mid = fir(samples, keys, list(h[m]), "smooth")
+    q = poly_basis(window, order)
+    mid = fir(once(samples), keys, list(q @ q[m]), "smooth")
     d = join_stats(mid, keys, _n=F.max("i") + 1)
-    edge = F.when(F.col("_n") < window, F.lit(None)).when(F.col("i") < m, F.col("i")).when(
-        F.col("i") >= F.col("_n") - m, F.col("i") - F.col("_n") + window
-    )
-    # Fits of the first and last window, at most two windows per key.
-    ends = d.filter(F.col("_n") >= window)
-    sides = F.array_compact(F.array(
-        F.when(F.col("i") < window, F.struct(F.lit(0).alias("side"), F.col("i").alias("p"))),
-        F.when(F.col("i") >= F.col("_n") - window, F.struct(F.lit(1).alias("side"), (F.col("i") - F.col("_n") + window).alias("p"))),
-    ))
-    ends = ends.withColumn("_s", F.explode(sides)).select(*keys, "_s.side", "_s.p", "y")
-    fit = ends.groupBy(*keys, "side").agg(F.sort_array(F.collect_list(F.struct("p", "y"))).alias("_w"))
-    rows = [(0, p) for p in range(m)] + [(1, p) for p in range(window - m, window)]
-    coef = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(p).cast("long").alias("p"), F.array(*[F.lit(float(c)) for c in h[p]]).alias("c")) for s, p in rows])
-    fit = fit.withColumn("_c", F.explode(coef)).filter("_c.s = side")
-    val = F.aggregate(F.zip_with("_w", F.col("_c.c"), lambda a, c: a["y"] * c), F.lit(0.0), lambda a, b: a + b)
-    fit = fit.select(*keys, F.col("side").alias("_side"), F.col("_c.p").alias("_pos"), val.alias("_fit"))
-    d = d.withColumn("_pos", edge.cast("long")).withColumn("_side", F.when(F.col("_pos").isNotNull(), F.when(F.col("i") < m, 0).otherwise(1)))
-    body = d.filter("_pos is null")
-    tips = d.filter("_pos is not null").join(fit, [*keys, "_side", "_pos"]).withColumn("smooth", F.col("_fit")).drop("_fit")
-    out = body.unionByName(tips).withColumn("y", F.col("y") - F.col("smooth"))
-    return out.select(*samples.columns, "smooth")
+    i, n = F.col("i"), F.col("_n")
+    columns = [numbers(q[:, k]) for k in range(order + 1)]
+    # A sample may lie in both end windows of a short recording.
+    places = [(0, i, i < window), (1, i - n + window, i >= n - window)]
+    ends = d.filter(n >= window)
+    sums = [F.sum(F.when(near, F.col("y") * F.get(c, at.cast("int")))).alias(f"_s{side}{k}") for side, at, near in places for k, c in enumerate(columns)]
+    d = d.join(ends.groupBy(*keys).agg(*sums), keys, "left")
+
+    def fit(side: int, at: Column) -> Column:
+        return sum((F.col(f"_s{side}{k}") * F.get(c, at.cast("int")) for k, c in enumerate(columns)), F.lit(0.0))
+
+    edge = F.when(n >= window, F.when(i < m, fit(0, i)).when(i >= n - m, fit(1, i - n + window)))
+    tip = (n >= window) & ((i < m) | (i >= n - m))
+    d = d.withColumn("smooth", F.when(tip, edge).otherwise(F.col("smooth")))
+    return d.withColumn("y", F.col("y") - F.col("smooth")).select(*samples.columns, "smooth")
 
 
 def baseline(samples: DataFrame, t0: DataFrame, keys: list[str], max_dt: float | None = None) -> DataFrame:
@@ -301,10 +348,10 @@ def baseline(samples: DataFrame, t0: DataFrame, keys: list[str], max_dt: float |
 
 
 def subtract_baseline(samples: DataFrame, t0: DataFrame, keys: list[str], max_dt: float | None = None, bound: int | None = None) -> DataFrame:
-    """Subtract the median of the baseline; keys without one drop out."""
+    """Subtract the median of the baseline; the values of keys without one are null, their rows stay."""
     bound = largest(samples, keys) if bound is None else bound
     med = quantiles(baseline(samples, t0, keys, max_dt), keys, "y", bound, _med=0.5)
-    return samples.join(med, keys).withColumn("y", F.col("y") - F.col("_med")).select(*samples.columns)
+    return samples.join(med, keys, "left").withColumn("y", F.col("y") - F.col("_med")).select(*samples.columns)
 
 
 def clip_low_percentile(samples: DataFrame, keys: list[str], q: float = 2.5, bound: int | None = None) -> DataFrame:
@@ -314,35 +361,102 @@ def clip_low_percentile(samples: DataFrame, keys: list[str], q: float = 2.5, bou
 
 
 def standardize(samples: DataFrame, keys: list[str], mode: int, t0: DataFrame | None = None) -> DataFrame:
-    """Divide by the spread of the whole baseline (1) or of the trace (2); 0 leaves it."""
+    """Divide by the spread of the whole baseline (1) or of the trace (2); 0 leaves it.
+
+    The values of keys without a baseline are null, their rows stay.
+    """
     if mode == 0:
         return samples
     src = baseline(samples, t0, keys) if mode == 1 else samples
     sd = src.groupBy(*keys).agg(F.stddev_pop("y").alias("_sd"))
-    return samples.join(sd, keys).withColumn("y", F.col("y") / F.nullif(F.col("_sd"), F.lit(0.0))).select(*samples.columns)
+    return samples.join(sd, keys, "left").withColumn("y", F.col("y") / F.nullif(F.col("_sd"), F.lit(0.0))).select(*samples.columns)
+
+
+def repair_steps(samples: DataFrame, keys: list[str], rtol: float = 0.1) -> DataFrame:
+    """Recordings whose worst step is off the mean by more than ``rtol`` come on an even grid; the others stay."""
+    samples = once(samples)
+    bad = sampling_step(samples, keys).filter(F.col("rel_error") > rtol).select(*keys)
+    even = resample_linear(samples.join(bad, keys, "left_semi"), keys)
+    return samples.select(*keys, "i", "t", "y").join(bad, keys, "left_anti").unionByName(even)
+
+
+def smooth_detrend(samples: DataFrame, keys: list[str], cutoff: float | None = None, window_s: float | None = None, order: int = 3) -> DataFrame:
+    """Low-pass (3 dB point in Hz), then minus a moving polynomial fit over ``window_s`` seconds.
+
+    Both lengths are turned into samples by the rate of each recording, so recordings of different
+    rates can share a table. One pass over index chunks, whose copied borders are as wide as the
+    longest kernel and window together; the first and last window of a recording are fitted whole, a
+    recording shorter than its window holds its edge values.
+    """
+    samples = once(samples)
+    rate = F.coalesce((F.count("*") - 1) / nz(F.max("t") - F.min("t")), F.lit(0.0))
+    rates = samples.groupBy(*keys).agg((F.max("i") + 1).alias("_n"), rate.alias("_fs"))
+    top = rates.agg(F.max("_fs")).first()[0] or 0.0
+    spread = math.sqrt(math.log(2.0)) / (2 * math.pi * cutoff) if cutoff else 0.0
+    reach = int(4 * spread * top + 0.5) + (int(window_s * top) + 1 if window_s else 0)
+    cut, _ = halo(samples.join(rates, keys), keys, reach, reach)
+    schema = StructType([*[f for f in samples.schema.fields if f.name != "y"], StructField("y", DoubleType()), StructField("_own", BooleanType())])
+
+    rest = [c for c in samples.columns if c != "y"]
+
+    def filtered(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        y, i = pdf["y"].to_numpy(dtype=float), pdf["i"].to_numpy()
+        n, fs = int(pdf["_n"].iloc[0]), float(pdf["_fs"].iloc[0])
+        if spread * fs > 0:
+            ker = np.array(gauss_kernel(spread * fs))
+            y = np.convolve(np.pad(y, len(ker) // 2, mode="edge"), ker, mode="valid")
+        window = int(window_s * fs) if window_s else 0
+        window -= 1 - window % 2
+        if window > order:
+            m, q = window // 2, poly_basis(window, order)
+            trend = np.convolve(np.pad(y, m, mode="edge"), (q @ q[m])[::-1], mode="valid")
+            if n >= window and i[0] == 0:
+                trend[:m] = (q @ (q.T @ y[:window]))[:m]
+            if n >= window and i[-1] == n - 1:
+                trend[len(y) - m :] = (q @ (q.T @ y[-window:]))[window - m :]
+            y = y - trend
+        out = pdf[rest].copy()
+        out["y"] = pd.Series(y, index=pdf.index).astype(object).where(~np.isnan(y), None)
+        out["_own"] = pdf["_own"]
+        return out
+
+    return cut.groupBy(*keys, "_chunk").applyInPandas(filtered, schema).filter("_own").select(*samples.columns)
 
 
 def preprocess(samples: DataFrame, t0: DataFrame, keys: list[str], params: list[dict]) -> DataFrame:
     """The whole chain, once per parameter set, in a fixed order, tagged with ``preprocess_id``.
 
-    Edges, smoothing, detrending, baseline, non-negativity, spread, down-sampling. Parameters:
-    ``window`` (samples), ``poly_order``, ``sigma``, ``subtract_baseline``, ``max_dt``,
-    ``non_negative``, ``standardize``, ``down``.
+    Repair of uneven steps, edges, low-pass, detrending, baseline, non-negativity, spread, new rate.
+    Parameters in seconds and Hz, which follow the rate of each recording: ``repair`` (worst step
+    tolerated), ``cutoff``, ``window_s``, ``fs_resample`` (any rate). In samples, the same for all:
+    ``sigma``, ``window``, ``down``. Besides: ``poly_order``, ``subtract_baseline``, ``max_dt``,
+    ``non_negative``, ``standardize``. Each stage is written once, so the source is read a fixed
+    number of times. The values of recordings without a baseline are null.
     """
+    samples = once(samples)
     out, big = None, largest(samples, keys)
+    clamped: dict = {}
     for p in params:
-        d = clamp_edges(samples, keys)
+        tol = p.get("repair")
+        if tol not in clamped:
+            clamped[tol] = once(clamp_edges(repair_steps(samples, keys, tol) if tol is not None else samples, keys))
+        d = clamped[tol]
+        if p.get("cutoff") or p.get("window_s"):
+            d = once(smooth_detrend(d, keys, p.get("cutoff"), p.get("window_s"), p.get("poly_order", 3)))
         if p.get("sigma"):
             d = smooth_fir(d, keys, p["sigma"])
         if p.get("window"):
-            d = detrend_poly(d, keys, p["window"], p.get("poly_order", 3)).drop("smooth")
+            d = once(detrend_poly(d, keys, p["window"], p.get("poly_order", 3)).drop("smooth"))
         if p.get("subtract_baseline"):
-            d = subtract_baseline(d, t0, keys, p.get("max_dt"), big)
+            d = once(subtract_baseline(once(d), t0, keys, p.get("max_dt"), big))
         if p.get("non_negative"):
             d = clip_low_percentile(d, keys, bound=big)
-        d = standardize(d, keys, p.get("standardize", 0), t0)
+        d = standardize(once(d), keys, p.get("standardize", 0), t0)
         if p.get("down", 1) > 1:
             d = downsample_blocks(d, keys, p["down"])
+        if p.get("fs_resample"):
+            d = resample_linear(once(d), keys, 1 / p["fs_resample"])
         d = d.select(F.lit(p["preprocess_id"]).alias("preprocess_id"), *keys, "i", "t", "y")
         out = d if out is None else out.unionByName(d)
     return out
@@ -406,11 +520,15 @@ def resampled_average(snips: DataFrame, starts: DataFrame, keys: list[str], fs:
     return r.groupBy(*keys, "j").agg(F.first("t").alias("t"), F.avg("y").alias("avg"))
 
 
-def expand_frame_times(triggers: DataFrame, keys: list[str], n: int, n_frames: int) -> DataFrame:
-    """n frame times per trigger, parts of a second apart; more times than frames are an error."""
+def expand_frame_times(triggers: DataFrame, keys: list[str], n: int, n_frames: int | str) -> DataFrame:
+    """n frame times per trigger, parts of a second apart; more times than frames are an error.
+
+    ``n_frames`` is a number, or a column of the triggers with the length of the stimulus shown.
+    """
+    most = F.col(n_frames) if isinstance(n_frames, str) else F.lit(n_frames)
     d = triggers.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     frame = F.col("k") * n + F.col("_j")
-    ok = F.when(frame < n_frames, frame).otherwise(F.raise_error(F.lit("more trigger times than stimulus frames")).cast("long"))
+    ok = F.when(frame < most, frame).otherwise(F.raise_error(F.lit("more trigger times than stimulus frames")).cast("long"))
     return d.select(*keys, ok.alias("frame"), (F.col("t") + F.col("_j") / F.lit(float(n))).alias("t"))
 
 
@@ -472,13 +590,21 @@ def _climb(d: DataFrame, keys: list[str]) -> DataFrame:
 
 def event_signal(samples: DataFrame, keys: list[str], kind: str = "trace") -> DataFrame:
     """The trace, its positive steps, or the peaks of its steps above the robust spread."""
-    if kind == "trace":
-        return samples
-    d = with_neighbours(samples, keys, _p=("y", -1)).withColumn("y", F.coalesce(F.col("y") - F.col("_p"), F.lit(0.0))).drop("_p")
+    return samples if kind == "trace" else events_of_steps(steps(samples, keys), keys, kind)
+
+
+def steps(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """Difference of every sample to the one before; zero for the first."""
+    return with_neighbours(samples, keys, _p=("y", -1)).withColumn("y", F.coalesce(F.col("y") - F.col("_p"), F.lit(0.0))).drop("_p")
+
+
+def events_of_steps(d: DataFrame, keys: list[str], kind: str) -> DataFrame:
+    """Steps cut at zero (gradient), or their peaks above the robust spread (events)."""
     if kind == "gradient":
         return d.withColumn("y", F.greatest(F.col("y"), F.lit(0.0)))
     if kind != "events":
         raise ValueError(kind)
+    samples, d = d, once(d)
     mad = quantiles(d.withColumn("_a", F.abs("y")), keys, "_a", largest(samples, keys), _mad=0.5)
     peaks = find_peaks(d, keys).withColumnRenamed("y", "_h").join(mad, keys).filter(F.col("_h") >= F.col("_mad") / 0.6745)
     out = d.join(peaks.select(*keys, "i", "_h"), [*keys, "i"], "left")
@@ -509,11 +635,17 @@ def trace_to_stim(frames: DataFrame, samples: DataFrame, keys: list[str]) -> Dat
 
 
 def align_for_regression(frames: DataFrame, samples: DataFrame, keys: list[str], kind: str = "trace", sigma: float | None = None, up: int = 1, ref: str = "trace") -> DataFrame:
-    """Smooth, event signal, upsample, align with the stimulus, unit spread: ``i, frame, y``."""
+    """Smooth, take steps, upsample, find events, align with the stimulus, unit spread: ``i, frame, y``.
+
+    Events and gradients are taken from the upsampled steps, so that an event stays one sample.
+    """
     s = smooth_fir(samples, keys, sigma) if sigma else samples
-    s = event_signal(s, keys, kind)
+    if kind != "trace":
+        s = steps(s, keys)
     if up > 1:
         s = upsample_linear(s, keys, up)
+    if kind != "trace":
+        s = events_of_steps(s, keys, kind)
     if ref == "trace":
         d = stim_to_trace(frames, s, keys).select(*keys, "i", "t", "y", "frame")
         d = indexed(d.drop("i"), keys, ["t"], bound=up * largest(samples, keys))

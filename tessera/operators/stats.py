@@ -14,6 +14,7 @@ from ..functions.special import chi2_sf, normal_sf, t_sf
 from ..plans.quantile import quantiles, rank_table, with_quantiles
 from ..plans.scan import indexed, largest
 from ..plans.stats import join_stats, nz, pearson
+from ..session import once
 
 
 def largest_first(df: DataFrame, by: list[str], col: str, ties: list[str], first: int) -> DataFrame:
@@ -72,6 +73,7 @@ def aligned_times(snips: DataFrame, keys: list[str], tol: float = 1e-4) -> DataF
 
 def average_snippets(snips: DataFrame, keys: list[str]) -> DataFrame:
     """Mean response per position over repetitions, and scaled to an absolute maximum of one."""
+    snips = once(snips)
     a = aligned_times(snips, keys).select(*keys, "j", "t")
     m = snips.groupBy(*keys, "j").agg(F.avg("y").alias("avg"))
     d = join_stats(m.join(a, [*keys, "j"]), keys, _a=F.max(F.abs("avg")))
@@ -86,6 +88,7 @@ def relative_triggers(snip_triggers: DataFrame, keys: list[str]) -> DataFrame:
 
 def repeat_quality(snips: DataFrame, keys: list[str]) -> DataFrame:
     """Variance of the mean response over the mean variance of the repetitions; floor one over repetitions."""
+    snips = once(snips)
     mean = snips.groupBy(*keys, "j").agg(F.avg("y").alias("_m")).groupBy(*keys).agg(F.var_pop("_m").alias("_a"))
     reps = snips.groupBy(*keys, "rep").agg(F.var_pop("y").alias("_v")).groupBy(*keys).agg(F.avg("_v").alias("_b"), F.count("*").alias("_n"))
     return mean.join(reps, keys).select(*keys, (F.col("_a") / nz(F.col("_b"))).alias("qidx"), (1.0 / F.col("_n")).alias("min_qidx"))
@@ -256,9 +259,9 @@ def pairwise_corr(df: DataFrame, vec: str) -> DataFrame:
     The sums behind it are one small square matrix per task; its size is the width of the array.
     """
     m = Correlation.corr(df.select(array_to_vector(F.col(vec).cast("array<double>")).alias("v")), "v").first()[0]
-    n = m.numCols
-    rows = [(a, b, float(m[a, b])) for a in range(n) for b in range(a + 1, n)]
-    return df.sparkSession.createDataFrame(rows, "a int, b int, r double")
+    rows = [(a, row) for a, row in enumerate(m.toArray().tolist())]
+    lines = df.sparkSession.createDataFrame(rows, "a int, row array<double>")
+    return lines.select("a", F.posexplode("row").alias("b", "r")).filter("b > a")
 
 
 def _z_vectors(vectors: DataFrame, keys: list[str], pos: str, value: str) -> DataFrame:

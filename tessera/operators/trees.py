@@ -17,7 +17,7 @@ from ..plans.near import nearest_point
 from ..plans.quantile import quantiles
 from ..plans.scan import scan, task_rows
 from ..plans.stats import join_stats, nz
-from ..session import durable
+from ..session import durable, once
 from .joins import locate_on_path
 from .series import with_neighbours
 from .stats import bin_index
@@ -61,6 +61,25 @@ def follow(links: DataFrame, keys: list[str], max_rounds: int = 64) -> DataFrame
     raise RuntimeError("the links contain a cycle")
 
 
+def chain_totals(links: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+    """Number of ancestors (``steps``) of every ``id`` and the sum of their ``weight`` (``total``).
+
+    The reach doubles each round and a row is all an id carries, so there are as many rows as ids.
+    """
+    w = F.col(weight) if weight else F.lit(0.0)
+    above = links.select(*keys, F.col("id").alias("ptr"), w.cast("double").alias("_w"))
+    d = links.select(*keys, "id", "ptr").join(above, [*keys, "ptr"], "left")
+    d = durable(d.select(*keys, "id", "ptr", F.when(F.col("ptr").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.coalesce("_w", F.lit(0.0)).alias("total")))
+    longest = d.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    for _ in range(int(longest).bit_length() + 1):
+        if d.filter("ptr is not null").isEmpty():
+            return d.drop("ptr")
+        o = d.select(*keys, F.col("id").alias("ptr"), F.col("ptr").alias("_p"), F.col("steps").alias("_s"), F.col("total").alias("_t"))
+        d = d.join(o, [*keys, "ptr"], "left")
+        d = durable(d.select(*keys, "id", F.col("_p").alias("ptr"), (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("_t", F.lit(0.0))).alias("total")))
+    raise RuntimeError("the links contain a cycle")
+
+
 def split_paths(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """Unbranched paths between branch points as points in order from the root side.
 
@@ -85,7 +104,7 @@ def path_parents(points: DataFrame, keys: list[str]) -> DataFrame:
     return first.join(last, [*keys, "n"], "left").select(*keys, "path_id", "connect_to")
 
 
-def orient_paths(paths: DataFrame, soma: DataFrame, keys: list[str], max_rounds: int = 10_000) -> DataFrame:
+def orient_paths(paths: DataFrame, soma: DataFrame, keys: list[str]) -> DataFrame:
     """Direct paths ``(path_id, a, b)`` away from the soma node and record what each connects to.
 
     One round per level of branching: paths touching an end reached before are turned towards it.
@@ -93,7 +112,9 @@ def orient_paths(paths: DataFrame, soma: DataFrame, keys: list[str], max_rounds:
     """
     done, todo = None, durable(paths.select(*keys, "path_id", "a", "b"))
     front = soma.select(*keys, F.col("n").alias("_at"), F.lit(None).cast(paths.schema["path_id"].dataType).alias("_from"))
-    for level in range(max_rounds):
+    # A level that reaches no new path is the last; every other one takes paths away.
+    level = 0
+    while True:
         hit_a = todo.join(front, todo_on(keys, todo, front, "a"), "inner").select(*[todo[k] for k in keys], "path_id", F.col("a").alias("start"), F.col("b").alias("end"), F.lit(0).alias("reversed"), "_from")
         hit_b = todo.join(front, todo_on(keys, todo, front, "b"), "inner").select(*[todo[k] for k in keys], "path_id", F.col("b").alias("start"), F.col("a").alias("end"), F.lit(1).alias("reversed"), "_from")
         new = hit_a.unionByName(hit_b).groupBy(*keys, "path_id").agg(F.min(F.struct("reversed", "start", "end", "_from")).alias("_m"))
@@ -103,7 +124,7 @@ def orient_paths(paths: DataFrame, soma: DataFrame, keys: list[str], max_rounds:
         done = new if done is None else durable(done.unionByName(new))
         todo = durable(todo.join(new.select(*keys, "path_id"), [*keys, "path_id"], "left_anti"))
         front = new.groupBy(*keys, F.col("end").alias("_at")).agg(F.min("path_id").alias("_from"))
-    raise RuntimeError("the paths contain a cycle")
+        level += 1
 
 
 def todo_on(keys: list[str], a: DataFrame, b: DataFrame, end: str) -> Column:
@@ -113,29 +134,49 @@ def todo_on(keys: list[str], a: DataFrame, b: DataFrame, end: str) -> Column:
     return cond
 
 
-def reconnect_paths(tree: DataFrame, loose: DataFrame, keys: list[str], max_rounds: int = 1000) -> DataFrame:
-    """Attach loose paths to the tree, the nearest first, one per cell and round.
+def reconnect_paths(tree: DataFrame, loose: DataFrame, keys: list[str]) -> DataFrame:
+    """Attach loose paths to the tree, the nearest first.
 
     ``tree`` and ``loose`` are path points with unique ``n`` per cell. Returns per loose path the node
-    it hangs on, the end it hangs by, the distance and the round.
+    it hangs on, the end it hangs by, the distance and the round. A round attaches every loose path
+    that is nearer to the tree than to any other loose path: what the others attach to cannot bring
+    the tree closer to it. The nearest one of a cell is always among them. Loose paths of a cell without a tree hang on nothing.
     """
     tree = durable(tree.select(*keys, "n", "x", "y", "z"))
     todo = durable(loose.select(*keys, "path_id", "j", "n", "x", "y", "z"))
-    out = None
-    for rnd in range(max_rounds):
-        if todo.isEmpty():
-            return out
+    out, rnd = None, 0
+    while not todo.isEmpty():
         ends = join_stats(todo, [*keys, "path_id"], _last=F.max("j")).filter("j = 0 or j = _last")
         near = nearest_point(ends, tree, [*keys, "path_id", "j"], ["x", "y", "z"], "n", keys=keys)
-        pick = near.groupBy(*keys).agg(F.min(F.struct("dist", "path_id", "j", "n")).alias("_m"))
-        pick = durable(pick.select(*keys, "_m.path_id", F.col("_m.n").alias("attach_to"), F.col("_m.j").alias("by_j"), "_m.dist", F.lit(rnd).alias("round")))
+        best = near.groupBy(*keys, "path_id").agg(F.min(F.struct("dist", "j", "n")).alias("_m"))
+        pick = durable(_settled(best, ends, todo, keys).select(*keys, "path_id", F.col("_m.n").alias("attach_to"), F.col("_m.j").alias("by_j"), "_m.dist", F.lit(rnd).alias("round")))
         if pick.isEmpty():
-            raise ValueError("a loose path belongs to a cell without a tree")
+            bare = todo.select(*keys, "path_id").distinct()
+            gaps = [F.lit(None).cast(pick.schema[c].dataType).alias(c) for c in ("attach_to", "by_j", "dist", "round")]
+            return (bare.select("*", *gaps) if out is None else out.unionByName(bare.select("*", *gaps)))
         out = pick if out is None else durable(out.unionByName(pick))
         moved = todo.join(pick.select(*keys, "path_id"), [*keys, "path_id"], "left_semi").select(*keys, "n", "x", "y", "z")
         tree = durable(tree.unionByName(moved))
         todo = durable(todo.join(pick.select(*keys, "path_id"), [*keys, "path_id"], "left_anti"))
-    raise RuntimeError("too many loose paths")
+        rnd += 1
+    return out
+
+
+def _settled(best: DataFrame, ends: DataFrame, todo: DataFrame, keys: list[str]) -> DataFrame:
+    """Loose paths whose place is final: no other loose path of the cell is nearer than the tree, or it is the nearest of all."""
+    a = ends.select(*keys, "path_id", "x", "y", "z").join(best.select(*keys, "path_id", F.col("_m.dist").alias("_d")), [*keys, "path_id"])
+    # Cells of a grid as wide as the distance in question; a path nearer than that lies in this or a neighbouring cell.
+    wide = F.pow(2.0, F.ceil(F.log2(F.greatest("_d", F.lit(1e-9)))))
+    a = a.withColumn("_w", wide).withColumn("_o", F.explode(F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.lit(k).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])))
+    a = a.select(*keys, "path_id", "_d", "_w", "x", "y", "z", *[(F.floor(F.col(c) / F.col("_w")) + F.col(f"_o.{o}")).alias(f"_g{c}") for c, o in zip("xyz", "abc")])
+    sizes = a.select(*keys, "_w").distinct()
+    b = todo.select(*keys, F.col("path_id").alias("_p"), *[F.col(c).alias(f"_{c}") for c in "xyz"]).join(sizes, keys)
+    b = b.select("*", *[F.floor(F.col(f"_{c}") / F.col("_w")).alias(f"_g{c}") for c in "xyz"])
+    near = a.join(b, [*keys, "_w", "_gx", "_gy", "_gz"]).filter("path_id != _p")
+    near = near.filter(_dist(xyz(), xyz("_")) < F.col("_d")).select(*keys, "path_id").distinct()
+    first = best.groupBy(*keys).agg(F.min_by("path_id", F.struct("_m.dist", "path_id")).alias("path_id"))
+    free = best.join(near, [*keys, "path_id"], "left_anti").select(*keys, "path_id").unionByName(first).distinct()
+    return best.join(free, [*keys, "path_id"], "left_semi")
 
 
 def ancestors(links: DataFrame, keys: list[str], max_rounds: int = 64) -> DataFrame:
@@ -163,8 +204,8 @@ def path_lengths(points: DataFrame, keys: list[str], parents: DataFrame | None =
     out = d.select(*pk, "real_length", _dist([F.col(f"_a.{a}") for a in "xyz"], [F.col(f"_b.{a}") for a in "xyz"]).alias("euclidean_length"))
     if parents is None:
         return out
-    anc = ancestors(parents.select(*keys, F.col("path_id").alias("id"), F.col("connect_to").alias("ptr")), keys)
-    order = anc.groupBy(*keys, F.col("id").alias("path_id")).agg(F.count("*").alias("branch_order"))
+    order = chain_totals(parents.select(*keys, F.col("path_id").alias("id"), F.col("connect_to").alias("ptr")), keys)
+    order = order.select(*keys, F.col("id").alias("path_id"), F.col("steps").alias("branch_order"))
     return out.join(order, pk, "left").fillna(0, ["branch_order"])
 
 
@@ -172,13 +213,11 @@ def distance_to_root(points: DataFrame, parents: DataFrame, keys: list[str]) ->
     """Length along the tree from the root to every path point."""
     pk = [*keys, "path_id"]
     d = with_neighbours(points.withColumnRenamed("j", "i"), pk, _x=("x", -1), _y=("y", -1), _z=("z", -1))
-    d = d.withColumn("_s", F.coalesce(_dist(xyz(), xyz("_")), F.lit(0.0)))
+    d = once(d.withColumn("_s", F.coalesce(_dist(xyz(), xyz("_")), F.lit(0.0))).select(*pk, "i", "_s"))
     run = scan(d.select(*pk, "i", "_s"), pk, ["i"], _run=("sum", F.col("_s")))
     whole = d.groupBy(*pk).agg(F.sum("_s").alias("_len"))
-    anc = ancestors(parents.select(*keys, F.col("path_id").alias("id"), F.col("connect_to").alias("ptr")), keys)
-    above = anc.join(whole.withColumnRenamed("path_id", "anc"), [*keys, "anc"]).groupBy(*keys, F.col("id").alias("path_id")).agg(
-        F.sum("_len").alias("_above"), F.count("*").alias("_k")
-    )
+    links = parents.select(*keys, "path_id", F.col("connect_to").alias("ptr")).join(whole, pk, "left").withColumnRenamed("path_id", "id")
+    above = chain_totals(links, keys, "_len").select(*keys, F.col("id").alias("path_id"), F.col("total").alias("_above"), F.col("steps").alias("_k"))
     r = run.join(above, pk, "left")
     return r.select(*pk, F.col("i").alias("j"), (F.coalesce("_above", F.lit(0.0)) + F.col("_run")).alias("dist"), (F.coalesce("_k", F.lit(0)) + 1).alias("num_paths"))
 
@@ -222,12 +261,34 @@ def _hull(p: np.ndarray) -> np.ndarray:
     return np.array(half(p) + half(p[::-1]))
 
 
+def _outside(points: DataFrame, keys: list[str], directions: int = 16) -> DataFrame:
+    """Points that are not strictly inside the polygon of the extremes in some directions.
+
+    Only such points can be corners of the hull. Extremes are one partial aggregation.
+    """
+    turns = [2 * math.pi * n / directions for n in range(directions)]
+    points = once(points.select(*keys, "x", "y"))
+    at = F.struct("x", "y")
+    far = [F.max_by(at, F.struct((F.col("x") * math.cos(a) + F.col("y") * math.sin(a)).alias("d"), "x", "y")).alias(f"_e{n}") for n, a in enumerate(turns)]
+    d = points.join(points.groupBy(*keys).agg(*far), keys)
+    inside = F.lit(True)
+    for n in range(directions):
+        p, q = F.col(f"_e{n}"), F.col(f"_e{(n + 1) % directions}")
+        left = (q["x"] - p["x"]) * (F.col("y") - p["y"]) - (q["y"] - p["y"]) * (F.col("x") - p["x"])
+        inside = inside & (((p["x"] == q["x"]) & (p["y"] == q["y"])) | (left > 0))
+    # With fewer than three different extremes there is no inside.
+    flat = F.size(F.array_distinct(F.array(*[F.col(f"_e{n}") for n in range(directions)]))) < 3
+    return d.filter(flat | ~F.coalesce(inside, F.lit(False))).select(*keys, "x", "y")
+
+
 def hull_points(points: DataFrame, keys: list[str]) -> DataFrame:
     """Corner points of each key's convex hull, in order.
 
-    Hulls of hulls: rows are spread over parts of bounded size, every part sends on its own corners,
-    and the corners of all parts go to one task per key.
+    Points inside the polygon of the extremes in 16 directions go first. Then hulls of hulls: rows are
+    spread over parts of bounded size, every part sends on its own corners, and the corners of all
+    parts go to one task per key.
     """
+    points = once(_outside(points, keys))
     schema = points.select(*keys, "x", "y").schema
     rows = task_rows(points)
     n = points.groupBy(*keys).agg(F.count("*").alias("_n"))

@@ -16,7 +16,19 @@ def _r(df, digits=6, *cols):
     return df.withColumns({c: F.round(c, digits) + 0.0 for c in cols})
 
 
-@query()
+# Split by length of items ``it (ident, pair, len)``, as parts ``sp (pair, kind)``.
+_LENGTH = (
+    "p AS (SELECT pair, sum(len) AS len, md5('42:' || pair) AS h FROM it GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY h, pair) - 1 AS k FROM p), "
+    "a AS (SELECT *, sum(CASE WHEN k >= 2 THEN len ELSE 0 END) OVER (ORDER BY h, pair) AS upto, sum(len) OVER () AS tot, coalesce(sum(CASE WHEN k = 1 THEN len END) OVER (), 0) AS dev0 FROM k), "
+    "b AS (SELECT *, k >= 2 AND upto - len < floor(tot * 0.7::DOUBLE) AS tr FROM a), t AS (SELECT *, coalesce(max(CASE WHEN tr THEN upto END) OVER (), 0) AS t FROM b), "
+    "sp AS (SELECT pair, CASE WHEN k = 1 THEN 'dev' WHEN k = 0 THEN 'test' WHEN tr THEN 'train' WHEN dev0 + upto - len - t < floor(tot * 0.1::DOUBLE) THEN 'dev' ELSE 'test' END AS split_kind FROM t)"
+)
+
+
+@query(
+    "WITH d AS (SELECT 'doc' || doc_id // 2 AS stem, CASE WHEN doc_id % 2 = 0 THEN '_left' ELSE '_right' END AS side, n_chars FROM documents), it AS (SELECT stem || '_*' AS pair, n_chars AS len FROM d), "
+    f"{_LENGTH} SELECT stem || side AS stimulus_id, n_chars, split_kind FROM d JOIN sp ON sp.pair = stem || '_*'"
+)
 def length_split(spark, sf):
     """Documents as stimuli; neighbours with equal hundreds form mirror pairs."""
     side = F.when(F.col("doc_id") % 2 == 0, "_left").otherwise("_right")
@@ -24,7 +36,10 @@ def length_split(spark, sf):
     return D.length_split(d, "stimulus_id", "n_chars")
 
 
-@query()
+@query(
+    "WITH s AS (SELECT c_custkey, row_number() OVER (ORDER BY md5('42:' || c_custkey), c_custkey) - 1 AS k, count(*) OVER () AS n FROM customer) "
+    "SELECT c_custkey, CASE WHEN k < greatest(least(round_even(n * 0.7::DOUBLE, 0), n - 1), 1) THEN 'train' ELSE 'test' END AS split_kind FROM s"
+)
 def count_split(spark, sf):
     return D.count_split(table(spark, sf, "customer").select("c_custkey"), ["c_custkey"], 0.7)
 
@@ -34,7 +49,19 @@ def _points(spark, sf):
     return d.withColumn("d", F.when(F.col("lang") != "de", F.col("n_chars").cast("double")))
 
 
-@query()
+def _fold0(rows: str, k: int, seed: int) -> str:
+    """Sources in fold 0 of ``k``: in order of their strata counts and hash, dealt in turn."""
+    return (
+        f"SELECT source FROM (SELECT source, (row_number() OVER (ORDER BY p, md5('{seed}:' || source), source) - 1) % {k} AS f FROM "
+        f"(SELECT source, list({{'s': s, 'n': -n}} ORDER BY s) AS p FROM (SELECT source, s, count(*) AS n FROM {rows} GROUP BY 1, 2) GROUP BY 1)) WHERE f = 0"
+    )
+
+
+@query(
+    "WITH u AS (SELECT doc_id, source, n_chars::DOUBLE AS d FROM documents WHERE lang <> 'de'), e AS (SELECT quantile_cont(d, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM u), "
+    f"s AS (SELECT u.*, len(list_filter(e, lambda x: d > x)) AS s FROM u, e), te AS ({_fold0('s', 4, 42)}), r AS (SELECT * FROM s WHERE source NOT IN (SELECT source FROM te)), de AS ({_fold0('r', 7, 43)}) "
+    "SELECT doc_id, source, CASE WHEN lang = 'de' THEN 'none' WHEN source IN (SELECT source FROM te) THEN 'test' WHEN source IN (SELECT source FROM de) THEN 'dev' ELSE 'train' END AS split_kind FROM documents"
+)
 def distance_split(spark, sf):
     return D.distance_split(_points(spark, sf), "source", "d").select("doc_id", "source", "split_kind")
 
@@ -76,12 +103,22 @@ def _pairs(spark, sf):
     return l.groupBy("l_orderkey", "l_linenumber").agg(F.max("x").alias("x"), F.min("x_wo").alias("x_wo"))
 
 
-@query()
+_PAIRS_SQL = "pr AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS x, min(-l_quantity) AS x_wo FROM lineitem GROUP BY 1, 2)"
+
+
+@query(
+    f"WITH {_PAIRS_SQL}, m AS (SELECT l_orderkey, l_linenumber, x, true AS p FROM pr UNION ALL SELECT l_orderkey, l_linenumber, x_wo, false FROM pr) "
+    "SELECT *, row_number() OVER (ORDER BY md5('42:' || l_orderkey || ':' || l_linenumber || ':' || p), l_orderkey, l_linenumber, p) - 1 AS place FROM m"
+)
 def with_without_mix(spark, sf):
     return D.with_without_mix(_pairs(spark, sf), ["l_orderkey", "l_linenumber"], "x", "x_wo")
 
 
-@query()
+@query(
+    f"WITH {_PAIRS_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS k, row_number() OVER (ORDER BY md5('42:' || l_orderkey || ':' || l_linenumber), l_orderkey, l_linenumber) AS h, "
+    "(('0x' || substr(md5('43:' || l_orderkey || ':' || l_linenumber), 1, 8))::BIGINT % 2)::INTEGER AS g FROM pr) "
+    "SELECT a.l_orderkey, a.l_linenumber, a.g, CASE WHEN a.g = 0 THEN a.x ELSE b.x_wo END AS x_left, CASE WHEN a.g = 0 THEN b.x_wo ELSE a.x END AS x_right FROM n a JOIN n b ON b.h = a.k"
+)
 def random_sides(spark, sf):
     return D.random_sides(_pairs(spark, sf), ["l_orderkey", "l_linenumber"], "x", "x_wo")
 
@@ -95,7 +132,9 @@ def build_dataset(spark, sf):
     return _r(out, 6, "x_norm", "d_norm").select("user_id", "frame", "split_kind", "p", "x", "x_norm", "d_norm", "place")
 
 
-@query()
+@query(
+    "SELECT c_nationkey, c_mktsegment, s::INTEGER AS sample, ('0x' || substr(md5('42:' || c_nationkey || ':' || c_mktsegment || ':' || s), 1, 8))::BIGINT % 2147483648 AS seed FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer), range(3) r(s)"
+)
 def seeds_per_key(spark, sf):
     return D.seeds_per_key(table(spark, sf, "customer").select("c_nationkey", "c_mktsegment"), ["c_nationkey", "c_mktsegment"], 42, 3)
 

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from ..functions.scalar import normalized_weights
-from ..plans.registry import Registry, vector_aggregate
+from ..plans.registry import Registry, apply_table_function, scaled_with_border, vector_aggregate
 from .fixtures import pixels, samples, table, vectors
 from .registry import query
 
@@ -69,32 +68,24 @@ def weight_fun(spark, sf):
 )
 def column_callables(spark, sf):
     """Border value and scaling are functions handed in by the caller."""
-
-    def apply(img, cval, norm):
-        s = img.groupBy("vec_id").agg(cval(F.col("v")).alias("_c"), norm(F.col("v")).alias("_n"))
-        v = F.when(F.col("x") < 2, F.col("_c")).otherwise(F.col("v")) / F.col("_n")
-        return img.join(s, "vec_id").select("vec_id", "x", "y", (F.round(v, 8) + 0.0).alias("v"))
-
-    img = pixels(spark, sf)
-    return apply(img, cval=F.median, norm=lambda v: F.max(F.abs(v)))
+    img = pixels(spark, sf).select("vec_id", "x", "y", "v")
+    out = scaled_with_border(img, ["vec_id"], "v", F.col("x") < 2, cval=F.median, norm=lambda v: F.max(F.abs(v)))
+    return out.withColumn("v", F.round("v", 8) + 0.0)
 
 
 @query("SELECT vec_id, round(sqrt(sum(v * v)), 6) AS norm FROM vectors GROUP BY 1", use="vectors", name="vector_aggregate")
 def vector_aggregate_query(spark, sf):
     e = table(spark, sf, "embeddings")
-    v = vector_aggregate(lambda a: (a * a).sum() ** 0.5, F.col("embedding").cast("array<double>"))
+    v = vector_aggregate(lambda a: (a * a).sum(axis=1) ** 0.5, F.col("embedding").cast("array<double>"), whole=True)
     return e.select("vec_id", F.round(v, 6).alias("norm"))
 
 
 @query("SELECT vec_id, j // 16 AS part, round(sum(v), 6) + 0.0 AS total FROM vectors GROUP BY 1, 2", use="vectors")
 def table_function(spark, sf):
-    @udtf(returnType="vec_id bigint, part int, total double")
-    class Parts:
-        def eval(self, vec_id: int, vec: list):
-            for p in range(len(vec) // 16):
-                yield vec_id, p, float(sum(vec[p * 16 : p * 16 + 16]))
+    def parts(vec: list):
+        for p in range(len(vec) // 16):
+            yield p, float(sum(vec[p * 16 : p * 16 + 16]))
 
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
-    out = e.lateralJoin(Parts(F.col("vec_id").outer(), F.col("vec").outer()))
-    cols = out.columns
-    return out.toDF("_id", "_vec", *cols[2:]).select("vec_id", "part", (F.round("total", 6) + 0.0).alias("total"))
+    out = apply_table_function(e, parts, "part int, total double", ["vec"], ["vec_id"])
+    return out.withColumn("total", F.round("total", 6) + 0.0)

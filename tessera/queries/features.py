@@ -64,7 +64,7 @@ def compute_features(spark, sf):
 
 @query()
 def hierarchical_clusters(spark, sf):
-    return C.hierarchical_clusters(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", 16, 0.9).select("vec_id", "cluster")
+    return C.hierarchical_clusters(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", None, 0.9).select("vec_id", "cluster", "missed")
 
 
 _MEANS = "mn AS (SELECT label, j, avg(v) AS m FROM vectors GROUP BY 1, 2), ds AS (SELECT a.label AS a, b.label AS b, 1 - corr(a.m, b.m) AS d FROM mn a JOIN mn b ON a.j = b.j AND a.label < b.label GROUP BY 1, 2)"

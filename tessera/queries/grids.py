@@ -364,20 +364,20 @@ def level_regions(spark, sf):
     return _r(_r(G.level_regions(_img(spark, sf), V, [0.3, 0.5], 2.0), 6, "area_um2", "dia_um"), 8, "share")
 
 
-@query("SELECT vec_id, count(*) AS area, round(avg(x), 8) AS cx, round(avg(y), 8) AS cy FROM mask WHERE roi_id = 1 GROUP BY 1", use="mask")
+@query("SELECT vec_id, roi_id, count(*) AS area, round(avg(x), 8) AS cx, round(avg(y), 8) AS cy FROM mask GROUP BY 1, 2", use="mask")
 def region_moments(spark, sf):
-    return _r(G.region_moments(mask(spark, sf).filter("roi_id = 1"), V), 8, "cx", "cy")
+    return _r(G.region_moments(mask(spark, sf), [*V, "roi_id"]), 8, "cx", "cy")
 
 
 @query(
-    "WITH co AS (SELECT DISTINCT vec_id, x + a AS x, y + b AS y FROM mask, range(2) q(a), range(2) r(b) WHERE roi_id = 1), e AS (SELECT a.vec_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM co a JOIN co b ON a.vec_id = b.vec_id AND (a.x <> b.x OR a.y <> b.y) "
-    "WHERE NOT EXISTS (SELECT 1 FROM co c WHERE c.vec_id = a.vec_id AND ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0 OR ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND (b.x - a.x) * (c.x - b.x) + (b.y - a.y) * (c.y - b.y) > 0) "
-    "OR ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND (b.x - a.x) * (c.x - a.x) + (b.y - a.y) * (c.y - a.y) < 0)))), h AS (SELECT vec_id, sum(ax * by_ - ay * bx) / 2.0::DOUBLE AS hull_area FROM e GROUP BY 1), "
-    "m AS (SELECT vec_id, count(*) AS area, avg(x) AS cx, avg(y) AS cy FROM mask WHERE roi_id = 1 GROUP BY 1) SELECT vec_id, area, round(cx, 8) AS cx, round(cy, 8) AS cy, hull_area, round(1 - area / hull_area, 8) + 0.0 AS irregularity FROM m JOIN h USING (vec_id)",
+    "WITH co AS (SELECT DISTINCT vec_id, roi_id, x + a AS x, y + b AS y FROM mask, range(2) q(a), range(2) r(b)), e AS (SELECT a.vec_id, a.roi_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM co a JOIN co b ON a.vec_id = b.vec_id AND a.roi_id = b.roi_id AND (a.x <> b.x OR a.y <> b.y) "
+    "WHERE NOT EXISTS (SELECT 1 FROM co c WHERE c.vec_id = a.vec_id AND c.roi_id = a.roi_id AND ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0 OR ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND (b.x - a.x) * (c.x - b.x) + (b.y - a.y) * (c.y - b.y) > 0) "
+    "OR ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND (b.x - a.x) * (c.x - a.x) + (b.y - a.y) * (c.y - a.y) < 0)))), h AS (SELECT vec_id, roi_id, sum(ax * by_ - ay * bx) / 2.0::DOUBLE AS hull_area FROM e GROUP BY 1, 2), "
+    "m AS (SELECT vec_id, roi_id, count(*) AS area, avg(x) AS cx, avg(y) AS cy FROM mask GROUP BY 1, 2) SELECT vec_id, roi_id, area, round(cx, 8) AS cx, round(cy, 8) AS cy, hull_area, round(1 - area / hull_area, 8) + 0.0 AS irregularity FROM m JOIN h USING (vec_id, roi_id)",
     use="mask",
 )
 def region_irregularity(spark, sf):
-    return _r(G.region_irregularity(mask(spark, sf).filter("roi_id = 1"), V), 8, "irregularity", "cx", "cy")
+    return _r(G.region_irregularity(mask(spark, sf), [*V, "roi_id"]), 8, "irregularity", "cx", "cy")
 
 
 _PARTS = (

@@ -85,9 +85,21 @@ def least_squares_rf(spark, sf):
     return _r(R.least_squares_rf(_resp(spark, sf), stimulus(spark, sf), U, TYPES, 2), 6, "w")
 
 
+@query(
+    f"WITH {_STIM} SELECT DISTINCT user_id, lag::INTEGER AS lag, px, 0.0::DOUBLE AS w FROM st, range(2) r(lag)",
+    use="typed_samples",
+)
+def least_squares_residuals(spark, sf):
+    """What a least-squares filter leaves is uncorrelated with every lagged pixel: the normal equations hold."""
+    resp, stim = _resp(spark, sf), stimulus(spark, sf)
+    left = R.predict_linear(R.least_squares_rf(resp, stim, U, TYPES, 2), stim, resp, U, 2)
+    left = left.select("user_id", "i", (F.col("y") - F.col("y_pred")).alias("y"))
+    return _r(R.spike_triggered_average(left, stim, U, 2), 6, "w")
+
+
 @query()
 def penalized_rf(spark, sf):
-    return _r(R.penalized_rf(_resp(spark, sf), stimulus(spark, sf), U, TYPES, 6, [4, 5], [0.1, 2.0], 0.5, 2, 2)[0], 6, "w")
+    return _r(R.penalized_rf(_resp(spark, sf), stimulus(spark, sf), U, TYPES, 6, [4, 5], [0.1, 2.0], 0.5, 2, 2)[0], 6, "w").select("user_id", "lag", "px", "w")
 
 
 @query("SELECT DISTINCT p_partkey, least(a, p_size) AS df_t, b AS beta FROM part, (VALUES (5), (20), (40)) t(a), (VALUES (0.1::DOUBLE), (0.01::DOUBLE)) u(b)")
@@ -104,9 +116,32 @@ def best_hyper(spark, sf):
     return _r(R.best_hyper(l, ["l_suppkey"], ["l_linenumber"], "l_discount", True), 8, "mean_score")
 
 
-@query()
+_PERM = (
+    f"{_STA}, pm AS (SELECT user_id, i, perm, row_number() OVER (PARTITION BY user_id, perm ORDER BY md5('3:' || perm || ':' || user_id || ':' || i), i) - 1 AS k FROM (SELECT DISTINCT user_id, i FROM st), range(5) r(perm)), "
+    "ms AS (SELECT user_id, perm, k AS i, px, x FROM st JOIN pm USING (user_id, i) UNION ALL SELECT user_id, -1, i, px, x FROM st), "
+    "pp AS (SELECT s.user_id, perm, s.i, s.y, coalesce(sum(sta.s / n * ms.x), 0) AS p FROM rs s JOIN nn USING (user_id), range(-1, 5) r(perm) JOIN sta ON sta.user_id = s.user_id LEFT JOIN ms ON ms.user_id = s.user_id AND ms.perm = r.perm AND ms.px = sta.px AND ms.i = s.i + lag - 4 + 1 + 1 GROUP BY s.user_id, r.perm, s.i, s.y), "
+    "sc AS (SELECT user_id, perm, corr(y, p) AS corrcoef, avg((y - p) * (y - p)) AS mse FROM pp GROUP BY 1, 2)"
+)
+
+
+def _scores(spark, sf):
+    resp, stim = _resp(spark, sf), stimulus(spark, sf)
+    return R.permutation_scores(R.spike_triggered_average(resp, stim, U, 4, -1), stim, resp, U, 4, 5, 3, -1)
+
+
+@query(f"WITH {_PERM.replace('SELECT s.user_id, perm,', 'SELECT s.user_id, r.perm,')} SELECT user_id, perm::INTEGER AS perm, round(corrcoef, 6) + 0.0 AS corrcoef, round(mse, 5) AS mse FROM sc", use="samples typed_samples")
 def permutation_scores(spark, sf):
-    return _r(R.permutation_scores(_pred(spark, sf), U, 5, 3), 6, "corrcoef", "mse")
+    return _r(_r(_scores(spark, sf), 6, "corrcoef"), 5, "mse")
+
+
+@query(
+    f"WITH {_PERM.replace('SELECT s.user_id, perm,', 'SELECT s.user_id, r.perm,')}, a AS (SELECT user_id, avg(corrcoef) AS m, stddev_samp(corrcoef) AS sd, count(corrcoef) AS n FROM sc WHERE perm >= 0 GROUP BY 1) "
+    "SELECT user_id, round(corrcoef, 6) + 0.0 AS score_test, round((m - corrcoef) / (sd / sqrt(n)), 3) + 0.0 AS t FROM sc JOIN a USING (user_id) WHERE perm = -1",
+    use="samples typed_samples",
+)
+def permutation_quality(spark, sf):
+    q = R.permutation_quality(_scores(spark, sf), U)
+    return _r(_r(q, 6, "score_test"), 3, "t").select("user_id", "score_test", "t")
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::DOUBLE AS k, -1.0::DOUBLE AS score_test FROM events")

@@ -30,7 +30,7 @@ def largest_first(spark, sf):
     return lf(table(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_acctbal"), ["c_nationkey"], "c_acctbal", ["c_custkey"], 3)
 
 
-@query()
+@query("SELECT c_custkey, c_name FROM customer ORDER BY md5('7:' || c_custkey), c_custkey LIMIT 10")
 def random_rows(spark, sf):
     return S.random_rows(table(spark, sf, "customer").select("c_custkey", "c_name"), ["c_custkey"], 10, 7)
 

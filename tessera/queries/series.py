@@ -155,7 +155,7 @@ def baseline(spark, sf):
     return T.baseline(samples(spark, sf), _t0(spark, sf), U, 400000.0).select("user_id", "i", "y")
 
 
-@query(f"WITH {_BASE} SELECT s.user_id, s.i, round(s.y - m, 6) + 0.0 AS y FROM samples s JOIN (SELECT user_id, median(y) AS m FROM base GROUP BY 1) USING (user_id)", use="samples triggers")
+@query(f"WITH {_BASE} SELECT s.user_id, s.i, round(s.y - m, 6) + 0.0 AS y FROM samples s LEFT JOIN (SELECT user_id, median(y) AS m FROM base GROUP BY 1) USING (user_id)", use="samples triggers")
 def subtract_baseline(spark, sf):
     return _r(T.subtract_baseline(samples(spark, sf), _t0(spark, sf), U, 400000.0), 6, "y").select("user_id", "i", "y")
 
@@ -166,7 +166,7 @@ def clip_low_percentile(spark, sf):
 
 
 @query(
-    f"WITH {_BASE} SELECT user_id, i, round(y / a, 6) AS y1, round(y / b, 6) AS y2 FROM samples JOIN (SELECT user_id, stddev_pop(y) AS a FROM whole GROUP BY 1) USING (user_id) JOIN (SELECT user_id, stddev_pop(y) AS b FROM samples GROUP BY 1) USING (user_id)",
+    f"WITH {_BASE} SELECT user_id, i, round(y / a, 6) AS y1, round(y / b, 6) AS y2 FROM samples LEFT JOIN (SELECT user_id, stddev_pop(y) AS a FROM whole GROUP BY 1) USING (user_id) JOIN (SELECT user_id, stddev_pop(y) AS b FROM samples GROUP BY 1) USING (user_id)",
     use="samples triggers",
 )
 def standardize(spark, sf):
@@ -175,25 +175,80 @@ def standardize(spark, sf):
     return one.join(T.standardize(s, U, 2).select("user_id", "i", F.round("y", 6).alias("y2")), ["user_id", "i"])
 
 
-_CLAMP = (
-    "sn AS (SELECT *, max(i) OVER (PARTITION BY user_id) + 1 AS n FROM samples), mm AS (SELECT user_id, min(y) FILTER (WHERE i >= 3 AND i < n - 3) AS lo, max(y) FILTER (WHERE i >= 3 AND i < n - 3) AS hi FROM sn GROUP BY 1), "
-    "ed AS (SELECT sn.*, y < lo OR y > hi AS bad FROM sn JOIN mm USING (user_id)), "
-    "dd AS (SELECT user_id, coalesce(min(i) FILTER (WHERE i < 3 AND NOT bad), 3) AS dl, coalesce(min(n - 1 - i) FILTER (WHERE i >= n - 3 AND NOT bad), 3) AS dr FROM ed GROUP BY 1), "
-    "cl AS (SELECT sn.user_id, sn.i, sn.t, CASE WHEN sn.i < dl THEN (SELECT y FROM samples x WHERE x.user_id = sn.user_id AND x.i = dl) WHEN sn.i >= n - dr THEN (SELECT y FROM samples x WHERE x.user_id = sn.user_id AND x.i = sn.n - 1 - dr) ELSE sn.y END AS y FROM sn JOIN dd USING (user_id))"
+def _clamp_sql(src: str, p: str) -> str:
+    """Table ``{p}cl``: ``src`` with its edge samples clamped."""
+    return (
+        f"{p}sn AS (SELECT *, max(i) OVER (PARTITION BY user_id) + 1 AS n FROM {src}), {p}mm AS (SELECT user_id, min(y) FILTER (WHERE i >= 3 AND i < n - 3) AS lo, max(y) FILTER (WHERE i >= 3 AND i < n - 3) AS hi FROM {p}sn GROUP BY 1), "
+        f"{p}ed AS (SELECT s.*, y < lo OR y > hi AS bad FROM {p}sn s JOIN {p}mm USING (user_id)), "
+        f"{p}dd AS (SELECT user_id, coalesce(min(i) FILTER (WHERE i < 3 AND NOT bad), 3) AS dl, coalesce(min(n - 1 - i) FILTER (WHERE i >= n - 3 AND NOT bad), 3) AS dr FROM {p}ed GROUP BY 1), "
+        f"{p}cl AS (SELECT s.user_id, s.i, s.t, CASE WHEN s.i < dl THEN (SELECT y FROM {src} x WHERE x.user_id = s.user_id AND x.i = dl) WHEN s.i >= n - dr THEN (SELECT y FROM {src} x WHERE x.user_id = s.user_id AND x.i = s.n - 1 - dr) ELSE s.y END AS y FROM {p}sn s JOIN {p}dd USING (user_id))"
+    )
+
+
+def _lerp_sql(name: str, grid: str, src: str) -> str:
+    """Table ``name``: ``src`` interpolated at the times of ``grid``, ends held."""
+    return (
+        f"{name}_g AS (SELECT g.user_id, g.i, g.t, b.t AS bt, b.y AS b_y, a.t AS a_t, a.y AS ay FROM {grid} g ASOF LEFT JOIN {src} b ON b.user_id = g.user_id AND b.t <= g.t ASOF LEFT JOIN {src} a ON a.user_id = g.user_id AND a.t > g.t), "
+        f"{name} AS (SELECT user_id, i, t, CASE WHEN a_t IS NULL THEN b_y WHEN bt IS NULL THEN ay ELSE b_y + (ay - b_y) * ((t - bt) / (a_t - bt)) END AS y FROM {name}_g)"
+    )
+
+
+def _basis_sql(order: int, most: int) -> str:
+    """Orthonormal polynomials for every odd window, one list of numbers per position."""
+    rows = [(w, T.poly_basis(w, order).tolist()) for w in range(order + 1 + order % 2, most + 1, 2)]
+    return "bs AS (SELECT * FROM (VALUES " + ", ".join(f"({w}, {_matrix_sql(q)})" for w, q in rows) + ") v(w, q))"
+
+
+_PARAMS = [
+    {"preprocess_id": 1, "repair": 0.1, "cutoff": 4e-6, "window_s": 500000.0, "subtract_baseline": True, "non_negative": True, "standardize": 2, "fs_resample": 3e-5},
+    {"preprocess_id": 2, "down": 4},
+    {"preprocess_id": 3, "sigma": 2.0, "window": 9, "standardize": 1},
+]
+# Set 1: even steps, edges, low-pass and detrending at the rate of each recording, baseline, clipping, spread, new rate.
+_FULL = (
+    "st AS (SELECT user_id, avg(d) AS dt, greatest(max(d) - avg(d), avg(d) - min(d)) / avg(d) AS rel FROM (SELECT user_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY i) AS d FROM samples) GROUP BY 1), "
+    "un AS (SELECT user_id, min(t) AS a, max(t) AS b, count(*) AS n FROM samples JOIN st USING (user_id) WHERE rel > 0.1::DOUBLE GROUP BY 1), "
+    "gr AS (SELECT user_id, i, a + i * ((b - a) / (n - 1)) AS t FROM (SELECT *, unnest(range(floor((b - a) / ((b - a) / (n - 1)) + 1e-9::DOUBLE)::BIGINT + 1)) AS i FROM un)), "
+    + _lerp_sql("ev1", "gr", "samples")
+    + ", rp AS (SELECT user_id, i, t, y FROM samples WHERE user_id NOT IN (SELECT user_id FROM un) UNION ALL SELECT user_id, i, t, y FROM ev1), "
+    + _clamp_sql("rp", "r")
+    + ", rt AS (SELECT user_id, count(*) AS n, (count(*) - 1) / (max(t) - min(t)) AS fs FROM rcl GROUP BY 1), "
+    "sg AS (SELECT *, sqrt(ln(2::DOUBLE)) / (2 * pi() * 4e-6::DOUBLE) * fs AS s, floor(500000::DOUBLE * fs)::BIGINT AS w0 FROM rt), "
+    "kw AS (SELECT user_id, k, exp(-0.5::DOUBLE * (k / s) * (k / s)) AS g FROM (SELECT *, unnest(range(-floor(4 * s + 0.5::DOUBLE)::BIGINT, floor(4 * s + 0.5::DOUBLE)::BIGINT + 1)) AS k FROM sg)), "
+    "kn AS (SELECT user_id, k, g / sum(g) OVER (PARTITION BY user_id) AS g FROM kw), "
+    "lp AS (SELECT c.user_id, c.i, c.t, sum(x.y * kn.g) AS y FROM rcl c JOIN sg USING (user_id) JOIN kn ON kn.user_id = c.user_id JOIN rcl x ON x.user_id = c.user_id AND x.i = greatest(0, least(sg.n - 1, c.i + kn.k)) GROUP BY 1, 2, 3), "
+    f"{_basis_sql(3, 61)}, "
+    "wn AS (SELECT user_id, n, w0 - (1 - w0 % 2) AS w FROM sg), ps AS (SELECT lp.*, w, least(greatest(i - w // 2, 0), n - w) AS a FROM lp JOIN wn USING (user_id)), "
+    "tr AS (SELECT p.user_id, p.i, p.t, p.y, coalesce(sum(x.y * list_dot_product(q[p.i - p.a + 1], q[x.i - p.a + 1])), 0) AS m FROM ps p LEFT JOIN bs ON bs.w = p.w LEFT JOIN lp x ON x.user_id = p.user_id AND x.i BETWEEN p.a AND p.a + p.w - 1 GROUP BY 1, 2, 3, 4), "
+    "de AS (SELECT user_id, i, t, y - m AS y FROM tr), "
+    "l1 AS (SELECT user_id, max(t) AS l FROM de JOIN t0 USING (user_id) WHERE t < t0 GROUP BY 1), md AS (SELECT user_id, median(y) AS m FROM de JOIN l1 USING (user_id) WHERE t < l GROUP BY 1), "
+    "sb AS (SELECT user_id, i, t, y - m AS y FROM de LEFT JOIN md USING (user_id)), cp AS (SELECT user_id, quantile_cont(y, 0.025) AS c FROM sb GROUP BY 1), nn AS (SELECT user_id, i, t, greatest(y, c) - c AS y FROM sb JOIN cp USING (user_id)), "
+    "sd AS (SELECT user_id, stddev_pop(y) AS sd FROM nn GROUP BY 1), z AS (SELECT user_id, i, t, y / sd AS y FROM nn JOIN sd USING (user_id)), "
+    "e2 AS (SELECT user_id, min(t) AS a, max(t) AS b FROM z GROUP BY 1), g2 AS (SELECT user_id, i, a + i * (1 / 3e-5::DOUBLE) AS t FROM (SELECT *, unnest(range(floor((b - a) / (1 / 3e-5::DOUBLE) + 1e-9::DOUBLE)::BIGINT + 1)) AS i FROM e2)), "
+    + _lerp_sql("z1", "g2", "z")
+)
+# Set 3: smoothing and detrending in samples, spread of the baseline.
+_SMALL = (
+    "g3 AS (SELECT k, exp(-0.5::DOUBLE * k * k / 4) AS g FROM range(-8, 9) r(k)), k3 AS (SELECT k, g / (SELECT sum(g) FROM g3) AS g FROM g3), n3 AS (SELECT user_id, count(*) AS n FROM cl GROUP BY 1), "
+    "s3 AS (SELECT c.user_id, c.i, c.t, n, sum(x.y * g) AS y FROM cl c JOIN n3 USING (user_id), k3 JOIN cl x ON x.user_id = c.user_id AND x.i = greatest(0, least(n - 1, c.i + k)) GROUP BY 1, 2, 3, 4), "
+    "p3 AS (SELECT *, least(greatest(i - 4, 0), n - 9) AS a FROM s3), "
+    "d3 AS (SELECT p.user_id, p.i, p.t, p.y - sum(x.y * list_dot_product(q[p.i - p.a + 1], q[x.i - p.a + 1])) AS y FROM p3 p JOIN bs ON bs.w = 9 JOIN s3 x ON x.user_id = p.user_id AND x.i BETWEEN p.a AND p.a + 8 GROUP BY p.user_id, p.i, p.t, p.y), "
+    "l3 AS (SELECT user_id, max(t) AS l FROM d3 JOIN t0 USING (user_id) WHERE t < t0 GROUP BY 1), v3 AS (SELECT user_id, stddev_pop(y) AS sd FROM d3 JOIN l3 USING (user_id) WHERE t < l GROUP BY 1), "
+    "z3 AS (SELECT user_id, i, t, y / sd AS y FROM d3 LEFT JOIN v3 USING (user_id))"
 )
 
 
 @query(
-    f"WITH {_T0}, {_CLAMP}, lst AS (SELECT user_id, max(t) AS l FROM cl JOIN t0 USING (user_id) WHERE t < t0 GROUP BY 1), md AS (SELECT user_id, median(y) AS m FROM cl JOIN lst USING (user_id) WHERE t < l GROUP BY 1), "
-    "sb AS (SELECT user_id, i, t, y - m AS y FROM cl JOIN md USING (user_id)), cp AS (SELECT user_id, quantile_cont(y, 0.025) AS c FROM sb GROUP BY 1), nn AS (SELECT user_id, i, t, greatest(y, c) - c AS y FROM sb JOIN cp USING (user_id)), "
-    "sd AS (SELECT user_id, stddev_pop(y) AS sd FROM nn GROUP BY 1), z AS (SELECT user_id, i, t, y / sd AS y FROM nn JOIN sd USING (user_id)), "
+    f"WITH {_T0}, {_FULL}, {_clamp_sql('samples', '')}, {_SMALL}, "
     "dn AS (SELECT user_id, i // 4 AS b, avg(y) AS y, arg_min(t, i) AS t, count(*) AS n FROM cl GROUP BY 1, 2) "
-    "SELECT 1 AS preprocess_id, user_id, i, round(t, 6) AS t, round(y, 6) + 0.0 AS y FROM z UNION ALL SELECT 2, user_id, b, round(t, 6), round(y, 6) + 0.0 FROM dn WHERE n = 4",
+    "SELECT 1 AS preprocess_id, user_id, i, round(t, 1) AS t, round(y, 5) + 0.0 AS y FROM z1 UNION ALL SELECT 2, user_id, b, round(t, 3), round(y, 5) + 0.0 FROM dn WHERE n = 4 UNION ALL SELECT 3, user_id, i, round(t, 3), round(y, 5) + 0.0 FROM z3",
     use="samples triggers",
 )
 def preprocess(spark, sf):
-    params = [{"preprocess_id": 1, "subtract_baseline": True, "non_negative": True, "standardize": 2}, {"preprocess_id": 2, "down": 4}]
-    return _r(T.preprocess(samples(spark, sf), _t0(spark, sf), U, params), 6, "t", "y")
+    """All steps, at rates that differ between the recordings, and the steps counted in samples."""
+    d = T.preprocess(samples(spark, sf), _t0(spark, sf), U, _PARAMS)
+    # Computed times may fall between two rounded values; with one decimal they do not.
+    return _r(d.withColumn("t", F.when(F.col("preprocess_id") == 1, F.round("t", 1)).otherwise(F.round("t", 3))), 5, "y")
 
 
 @query(
@@ -263,7 +318,9 @@ def resampled_average(spark, sf):
 
 @query("SELECT user_id, k * 3 + j AS frame, round(t + j / 3.0::DOUBLE, 6) AS t FROM (SELECT *, unnest([0, 1, 2]) AS j FROM triggers)", use="triggers")
 def expand_frame_times(spark, sf):
-    return _r(T.expand_frame_times(triggers(spark, sf), U, 3, 100000), 6, "t")
+    k = triggers(spark, sf)
+    frames = k.groupBy("user_id").agg((F.count("*") * 3).alias("n_frames"))
+    return _r(T.expand_frame_times(k.join(frames, "user_id"), U, 3, "n_frames"), 6, "t")
 
 
 _DIFF = "df AS (SELECT user_id, i, t, coalesce(y - lag(y) OVER (PARTITION BY user_id ORDER BY i), 0) AS y FROM samples)"

@@ -33,16 +33,13 @@ def _nodes(spark, sf):
 
 
 @query(
-    "WITH nd AS (SELECT s_nationkey AS cell, s_suppkey AS n, CASE WHEN s_suppkey < 25 THEN -1 ELSE s_suppkey - 25 END AS p, s_suppkey % 6 AS x, s_suppkey % 4 AS y, 0 AS z FROM supplier), rp AS (SELECT cell, n, min(n) OVER (PARTITION BY cell, x, y, z) AS r FROM nd), "
-    "e AS (SELECT nd.cell, a.r AS ra, b.r AS rb FROM nd JOIN rp a ON a.cell = nd.cell AND a.n = nd.n JOIN rp b ON b.cell = nd.cell AND b.n = nd.p WHERE nd.p >= 0) SELECT DISTINCT cell, least(ra, rb) AS u, greatest(ra, rb) AS v FROM e WHERE ra <> rb UNION SELECT -1, -1, -1"
+    "WITH nd AS (SELECT 0 AS cell, p_partkey AS n, CASE WHEN p_partkey = 0 THEN -1 WHEN p_partkey % 4 = 0 THEN p_partkey // 2 ELSE p_partkey - 1 END AS p, p_partkey % 20 AS x, p_partkey // 20 % 7 AS y, p_partkey % 3 AS z FROM part), rp AS (SELECT cell, n, min(n) OVER (PARTITION BY cell, x, y, z) AS r FROM nd), "
+    "e AS (SELECT nd.cell, a.r AS ra, b.r AS rb FROM nd JOIN rp a ON a.cell = nd.cell AND a.n = nd.n JOIN rp b ON b.cell = nd.cell AND b.n = nd.p WHERE nd.p >= 0) SELECT DISTINCT cell, least(ra, rb) AS u, greatest(ra, rb) AS v FROM e WHERE ra <> rb"
 )
 def dedupe_nodes(spark, sf):
-    k = F.col("s_suppkey")
-    n = table(spark, sf, "supplier").select(
-        F.col("s_nationkey").alias("cell"), k.alias("n"), F.when(k < 25, -1).otherwise(k - 25).alias("parent"), (k % 6).alias("x"), (k % 4).alias("y"), F.lit(0).alias("z")
-    )
-    # The row of -1 keeps the result non-empty when no edge joins two suppliers of a nation.
-    return T.dedupe_nodes(n, C).unionByName(n.sparkSession.sql("SELECT -1 AS cell, -1L AS u, -1L AS v"))
+    k = F.col("n")
+    n = _nodes(spark, sf).select("cell", "n", "parent", (k % 20).alias("x"), F.expr("n div 20 % 7").alias("y"), (k % 3).alias("z"))
+    return T.dedupe_nodes(n, C)
 
 
 @query(f"WITH {_NODES} SELECT a.n, a.parent, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)), 6) AS length FROM nd a JOIN nd b ON a.parent = b.n")
@@ -86,7 +83,6 @@ def reconnect_paths(spark, sf):
     """Suppliers of a nation are the tree; customers of a nation and segment form loose paths."""
     s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("cell"), (-1 - F.col("s_suppkey")).alias("n"), F.col("s_acctbal").alias("x"), (F.col("s_suppkey") % 97).cast("double").alias("y"), F.lit(0.0).alias("z"))
     c = table(spark, sf, "customer")
-    c = c.join(s.select(F.col("cell").alias("c_nationkey")).distinct(), "c_nationkey", "left_semi")
     from ..plans.scan import indexed
 
     l = indexed(c, ["c_nationkey", "c_mktsegment"], ["c_custkey"], "j")

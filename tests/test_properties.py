@@ -126,3 +126,50 @@ def test_reconnect_attaches_every_loose_path(spark):
     )
     got = {r["path_id"]: (r["attach_to"], r["by_j"], r["dist"]) for r in R.reconnect_paths(tree, loose, ["cell"]).collect()}
     assert got == {7: (4, 0, 1.0), 8: (11, 1, 2.0)}
+
+
+def test_penalized_filters_are_fitted_per_key(spark):
+    """Two keys with different smooth filters: each gets its own, and a useless penalty is not chosen."""
+    rng = np.random.default_rng(7)
+    rows, stim, true = [], [], {}
+    for k in (1, 2):
+        x = rng.normal(size=(400, 2))
+        w = L.spline_basis(6, 5) @ rng.normal(size=(5, 2))
+        true[k] = w
+        y = [sum(w[l] @ x[i + l - 5] for l in range(6) if i + l - 5 >= 0) + 0.01 * rng.normal() for i in range(400)]
+        rows += [(k, i, float(v)) for i, v in enumerate(y)]
+        stim += [(k, i, p, float(x[i, p])) for i in range(400) for p in range(2)]
+    resp = spark.createDataFrame(rows, "k int, i long, y double")
+    stim = spark.createDataFrame(stim, "k int, i long, px int, x double")
+    rf, scores = L.penalized_rf(resp, stim, ["k"], [0, 1], 6, [4, 5], [1e-4, 5.0], 0.5, 3, 2)
+    for k in (1, 2):
+        got = np.array([r["w"] for r in rf.filter(f"k = {k}").orderBy("lag", "px").collect()]).reshape(6, 2)
+        np.testing.assert_allclose(got, true[k], atol=0.02)
+    assert {(r["df"], r["alpha"]) for r in rf.collect()} == {(5, 1e-4)}
+    assert scores.count() == 2 * 3 * 2 * 2 and scores.filter("mse is null").isEmpty()
+
+
+def test_elastic_net_meets_its_conditions():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 4)) * [1, 3, 0.5, 1] + 2
+    y = x @ [1.0, 0.0, -2.0, 0.3] + rng.normal(size=200) + 5
+    a = np.column_stack([x, np.ones(200), y])
+    w, b = L.elastic_net(a.T @ a, 0.3, 0.5)
+    z, sd = (x - x.mean(0)) / x.std(0), x.std(0)
+    g = z.T @ (y - x @ w - b) / 200 - 0.15 * w * sd
+    for j in range(4):
+        assert abs(g[j] - 0.15 * np.sign(w[j])) < 1e-8 if w[j] else abs(g[j]) <= 0.15 + 1e-8
+    assert abs((y - x @ w - b).mean()) < 1e-8 and abs(L.mean_squared_error(a.T @ a, w, b) - ((y - x @ w - b) ** 2).mean()) < 1e-8
+
+
+def test_permuted_stimuli_predict_worse(spark):
+    rng = np.random.default_rng(9)
+    x, e = rng.choice([-1.0, 1.0], size=300), rng.normal(size=300)
+    stim = spark.createDataFrame([(k, i, 0, float(x[i])) for k in (1, 2) for i in range(300)], "k int, i long, px int, x double")
+    resp = spark.createDataFrame([(1, i, float(x[i])) for i in range(300)] + [(2, i, float(e[i])) for i in range(300)], "k int, i long, y double")
+    rf = spark.createDataFrame([(k, 0, 0, 1.0) for k in (1, 2)], "k int, lag int, px int, w double")
+    s = L.permutation_scores(rf, stim, resp, ["k"], 1, 20, 5)
+    assert s.filter("perm = -1 and k = 1").first()["corrcoef"] > 0.999 and s.count() == 42
+    assert s.filter("perm >= 0 and abs(corrcoef) > 0.3").isEmpty()
+    q = {r["k"]: (r["perm_test_success"], r["quality"]) for r in L.permutation_quality(s, ["k"], min_cc=0.5).collect()}
+    assert q[1] == (True, True) and not q[2][1]
