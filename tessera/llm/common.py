@@ -88,6 +88,7 @@ def running(rows: DataFrame, group: list[str], order: list[str], weight: str, be
     before it). A row's prefix is ``_offset + before``. Rows that tie in ``order`` are split over
     blocks like others; their mutual order is arbitrary but fixed by the written table.
     """
+    rows = durable(rows)
     spread, = spare(rows, "_spread")
     n = block_count(rows.count(), each)
     cut = rows.withColumn(spread, F.monotonically_increasing_id()).repartitionByRange(n, *group, *order, spread)
