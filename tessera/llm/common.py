@@ -64,13 +64,15 @@ def match(left: DataFrame, right: DataFrame, columns: list[str], how: str = "inn
     return out if how in ("left_semi", "left_anti") else out.drop(*keys)
 
 
-def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+def without(docs: DataFrame, keys: DataFrame, long: bool = False) -> DataFrame:
     """Rows of ``docs`` whose values in the columns of ``keys`` are not among its rows.
 
     ``keys`` is written first, so that the planner sees its size: a short list is broadcast and the
-    texts stay where they are, a long one is joined by a shuffle.
+    texts stay where they are, a long one is joined by a shuffle. ``long`` tells that the list grows with
+    ``docs``: it is then joined by a shuffle at any size.
     """
     gone = written(keys.distinct())
+    gone = gone.hint("merge") if long else gone
     return match(docs, gone, gone.columns, "left_anti")
 
 

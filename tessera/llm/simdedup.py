@@ -213,7 +213,9 @@ def near_dedup(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     pair = ["doc_id", F.col("text_hash").alias(mark)]
     gone = table.filter("not (doc_id <=> component_id)").select(*pair).unionByName(several.filter("text_hash <> keep").select(*pair))
     again = written(several.filter("text_hash = keep").groupBy("doc_id", "text_hash").count().filter("count > 1").select(*pair))
-    kept = without(docs.withColumn(mark, F.xxhash64(text_of())), gone)
+    kept = without(docs.withColumn(mark, F.xxhash64(text_of())), gone, long=True)
+    if again.isEmpty():
+        return kept.drop(mark)
     once = match(kept, again, ["doc_id", mark], "left_anti")
     many = match(kept, again, ["doc_id", mark], "left_semi").withColumn(row, F.struct("*")).groupBy("doc_id", mark).agg(F.first(row).alias(row)).select(f"{row}.*")
     return once.unionByName(many).drop(mark)
