@@ -56,9 +56,9 @@ def train(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray
     Counts come from all documents with a known ``lang``. The model has a fixed size.
     """
     rows = docs.select(F.col("lang").cast("string").alias("lang"), text_of().alias("text"))
-    counts = rows.mapInArrow(counter(languages), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.mapInArrow(counter(languages), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((BUCKETS, len(languages)), ALPHA)
-    table[counts["bucket"], counts["lang"]] += counts["n"]
+    table[counts["bucket"].to_numpy(), counts["lang"].to_numpy()] += counts["n"].to_numpy()
     model = np.full((BUCKETS, len(languages) + 1), -np.log(BUCKETS), dtype=np.float32)
     model[:, :-1] = np.log(table / table.sum(axis=0))
     return model
@@ -175,6 +175,7 @@ def keep_identified(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, lea
     """``docs`` without those that ``identify`` does not accept; only the rejected keys are joined."""
     mark, = spare(docs, "text_hash")
     rows = document_rows(docs)
-    table = identify(rows, train(docs, languages), ["doc_id", "host", "text_hash"], languages, least)
+    # Written first: a filter pushed into the posterior would repeat its terms many times over.
+    table = written(identify(rows, train(docs, languages), ["doc_id", "host", "text_hash"], languages, least))
     gone = table.filter("not accepted").select("doc_id", F.col("host").alias("source"), F.col("text_hash").alias(mark))
     return without(docs.withColumn(mark, F.xxhash64(text_of())), gone).drop(mark)
