@@ -30,7 +30,8 @@ BASE = {
 }
 #: Words that make what follows sensitive (fixed values).
 SENSITIVE = re.compile(either_case(r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|bearer|credential") + r"(?![a-z])")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.-]{12,}")
+SHORTEST = 12
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=~.-]{{{SHORTEST},}}")
 #: Names without digits: a secret that is copied around must not become part of the dictionary.
 IDENTIFIER = r"(?<![A-Za-z0-9_])[A-Za-z_]{3,32}(?![A-Za-z0-9_])"
 #: How far a sensitive word reaches, and how much text on either side a candidate is held against.
@@ -68,19 +69,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def surroundings(text: str, start: int, end: int) -> str:
+    """The text on either side of text[start:end] without other copies of it, punctuation at its ends aside.
+
+    A copy that the border of the surroundings would cut goes as a whole.
+    """
+    value = text[start:end]
+    core = value.strip("+/_=~.-")
+    core = core if len(core) >= SHORTEST else value
+    far = AROUND + len(core) - 1
+    left, right = text[max(0, start - far) : start], text[end : end + far]
+    return left.replace(core, "")[-AROUND:] + right.replace(core, "")[:AROUND]
+
+
 def novel_spans(text: str, novelty: Novelty, base: list[tuple[int, int, int]], ratio: float = RATIO, least: int = LEAST) -> list[tuple[int, int, int]]:
     """(start, end, marginal bytes) of sensitive strings that do not compress and touch no base span."""
     out, done = [], 0
     for cue in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(done, cue.end()), min(len(text), cue.end() + REACH)):
-            # The match ends at the reach; the string itself goes on.
+        for m in CANDIDATE.finditer(text, max(done, cue.end()), min(len(text), cue.end() + REACH + SHORTEST - 1)):
+            # A match starts within the reach and ends a little after it; the string itself goes on.
             end = CANDIDATE.match(text, m.start()).end()
             if m.start() < done or any(s < end and m.start() < e for s, _, e in base):
                 continue
             done = end
             value = text[m.start() : end]
-            around = text[max(0, m.start() - AROUND) : m.start()] + text[end : end + AROUND]
-            new = novelty.of(around, value)
+            new = novelty.of(surroundings(text, m.start(), end), value)
             if new >= least and new >= ratio * len(value):
                 out.append((m.start(), end, new))
     return out
@@ -114,10 +127,11 @@ def scanner(words: bytes, ratio: float, least: int):
 def secret_table(docs: DataFrame, ratio: float = RATIO, least: int = LEAST, identifiers: int = IDENTIFIERS) -> DataFrame:
     """Secrets of every document: counts and digest of the base spans, and all spans by start and kind.
 
-    Base spans are always kept. A string of 12 or more characters within 64 of a sensitive word comes
-    on top as ``novel`` if appending it to the text around it costs at least ``least`` bytes and
-    ``ratio`` bytes a character under zstandard, primed with the ``identifiers`` most frequent
-    identifiers of all texts: it repeats neither the code around it nor common names. Null texts are
+    Base spans are always kept. A string of 12 or more characters that starts within 64 of a sensitive
+    word comes on top as ``novel`` if appending it to the text around it, other copies of the string
+    left out, costs at least ``least`` bytes and ``ratio`` bytes a character under zstandard, primed
+    with the ``identifiers`` most frequent identifiers of all texts: it repeats neither the code around
+    it nor common names, and a secret that stands there twice is reported twice. Null texts are
     empty, empty tables give no rows, repeated rows are scanned each for itself, and only ``doc_id``
     and ``text`` are read. Nothing but token counts is shuffled.
     """

@@ -76,3 +76,24 @@ def test_spans_do_not_touch_base_spans():
     base = brute(text)
     new = novel_spans(text, novelty, [(s, k, e) for s, k, e in base], 0.2, 4)
     assert new and all(e <= a or b <= s for s, e, _ in new for a, _, b in base)
+
+
+def test_copies_of_a_secret_nearby_do_not_hide_it():
+    rng = random.Random(4)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    novelty = Novelty(" ".join(WORDS).encode())
+    for n in (20, 32, 40):
+        value = "".join(rng.choice(alphabet) for _ in range(n))
+        for between in (" and again bearer ", ". Bearer ", f" {prose(rng, 40)[: 250 - n // 2]} bearer "):
+            text = f"the bearer {value}{between}{value} as agreed"
+            first, second = 11, 11 + n + len(between)
+            got = [s for s, _, _ in novel_spans(text, novelty, [])]
+            assert got == [first, second], (n, between)
+
+
+def test_secrets_that_start_within_the_reach_are_found():
+    novelty = Novelty(" ".join(WORDS).encode())
+    value = "q7RzT0xKp4LmW9vB2nYc8HsD"
+    for gap in range(1, 70):
+        text = f"credential{' ' * gap}{value}"
+        assert [(s, e) for s, e, _ in novel_spans(text, novelty, [])] == ([(10 + gap, 10 + gap + len(value))] if gap < 64 else [])
