@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, written
 from .tokens import most_frequent, token_counts
 
 TOKEN = r"\w+"
@@ -41,10 +42,15 @@ class Vocabulary(dict):
         if len(self) > 1_000_000:
             for w in list(self)[self.fixed :]:
                 del self[w]
-        self[word] = i = WORDS + xxhash.xxh64_intdigest(word) % MEMBERS
+        self[word] = i = bucket_of(word)
         return i
 
 
+def bucket_of(word: str) -> int:
+    """Id of the hash bucket that a rare word belongs to."""
+    return WORDS + xxhash.xxh64_intdigest(word) % MEMBERS
+
+
 class Network:
     """Context embeddings by position, tanh, class softmax, softmax within the class."""
 
@@ -145,13 +151,19 @@ class Network:
         weights[at] -= rate * gradient / (np.sqrt(memory[at]) + 1e-6)
 
 
-def positions(texts: Iterator, vocabulary: Vocabulary, find) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Texts as ids with edges between them, in pieces of some 200 000 ids: (ids, number of the text or -1)."""
+def positions(texts: Iterator, vocabulary: Vocabulary, find, rare: list[pa.Array] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts as ids with edges between them, in pieces of some 200 000 ids: (ids, number of the text or -1).
+
+    ``rare`` gets the distinct words in hash buckets of every text, with their counts.
+    """
     ids, owner, held = [], [], 0
     edge = np.full(REACH, TOKENS, dtype=np.int32)
     for i, text in enumerate(texts):
         words = find(text.as_py().lower())
         ids += [edge, np.fromiter(map(vocabulary.__getitem__, words), dtype=np.int32, count=len(words))]
+        if rare is not None:
+            times = Counter(words[k] for k in np.flatnonzero(ids[-1] >= WORDS).tolist())
+            rare.append(pa.StructArray.from_arrays([pa.array(list(times), type=pa.string()), pa.array(list(times.values()), type=pa.int64())], names=["word", "times"]))
         owner += [np.full(REACH, -1, dtype=np.int64), np.full(len(words), i, dtype=np.int64)]
         held += len(words)
         if held > 200_000:
@@ -186,14 +198,14 @@ def trainer(words: list[str], flat: np.ndarray, stride: int, phase: int, rate: f
     return train
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, rate: float = RATE) -> tuple[list[str], np.ndarray]:
-    """Vocabulary and parameters, trained on all documents.
+def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, rate: float = RATE, counts: DataFrame | None = None) -> tuple[list[str], np.ndarray]:
+    """Vocabulary and parameters, trained on all documents; ``counts`` are their token counts, if at hand.
 
     Word counts cover every token. In each round every task trains on every ``stride``-th position of
     all its texts, and the copies are averaged by the positions they saw, chunk by chunk in Spark.
     The driver gets one network of fixed size per round, whatever the number of tasks.
     """
-    counts = token_counts(docs, TOKEN, lower=True)
+    counts = token_counts(docs, TOKEN, lower=True) if counts is None else counts
     top = most_frequent(counts, WORDS)
     rest = counts.agg(F.sum("n")).first()[0] or 0
     words = [w for w, _ in top]
@@ -212,32 +224,65 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, rate: float
 
 
 def scorer(words: list[str], flat: np.ndarray):
-    """Task function: tokens and summed log-probability of every row (doc_id, text)."""
+    """Task function: tokens, summed log-probability and rare words of every row (doc_id, text)."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, find, net = Vocabulary(words), re.compile(TOKEN).findall, Network(flat)
+        nothing = pa.array([], type=pa.struct([("word", pa.string()), ("times", pa.int64())]))
         for batch in batches:
-            n, total = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows)
-            for ids, owner in positions(batch.column(1), vocabulary, find):
+            n, total, rare = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows), []
+            for ids, owner in positions(batch.column(1), vocabulary, find, rare):
                 every = np.flatnonzero(owner >= 0)
                 for i in range(0, len(every), 16_384):
                     at = every[i : i + 16_384]
                     n += np.bincount(owner[at], minlength=len(n))
                     total += np.bincount(owner[at], weights=net.log_prob(around(ids, at), ids[at]), minlength=len(n))
-            mean = pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), mean], names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
+            edges = pa.array(np.cumsum([0, *map(len, rare)]), type=pa.int32())
+            lists = pa.ListArray.from_arrays(edges, pa.concat_arrays([nothing, *rare]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), lists], names=["doc_id", "n_tokens", "log_prob", "rare"])
 
     return score
 
 
+def shares(counts: DataFrame, words: list[str]) -> DataFrame:
+    """Log of the share of every rare word in its hash bucket: word, share. ``words`` are those with an id of their own."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = set(words)
+        for batch in batches:
+            tokens = batch.column(0).to_pylist()
+            at = [i for i, t in enumerate(tokens) if t not in known]
+            bucket = pa.array([bucket_of(tokens[i]) for i in at], type=pa.int32())
+            at = pa.array(at, type=pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), bucket], names=["word", "n", "bucket"])
+
+    rows = counts.select("token", "n").mapInArrow(placed, "word string, n long, bucket int")
+    whole = rows.groupBy("bucket").agg(F.sum("n").alias("whole"))
+    return rows.join(F.broadcast(whole), "bucket").select("word", (F.log("n") - F.log("whole")).alias("share"))
+
+
 def score_table(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
     """Pseudo-likelihood of every document: doc_id, n_tokens, log_prob, mean_log_prob.
 
-    ``log_prob`` sums, over all tokens, the log-probability of the token (its hash bucket, if rare)
-    given the two tokens on either side. Null texts are empty; texts without tokens have log_prob 0 and
-    a null mean. Repeated rows are scored each for itself; only ``doc_id`` and ``text`` are read.
+    ``log_prob`` sums, over all tokens, the log-probability of the token given the two tokens on either
+    side. For a word without an id of its own that is the network's for its hash bucket, plus the log
+    of the word's share in all occurrences of the bucket; the distinct rare words of each document join
+    the corpus' counts by a shuffle. A given ``model`` brings no counts: it scores rare words by their
+    bucket alone. Null texts are empty; texts without tokens have log_prob 0 and a null mean. Repeated
+    rows are scored each for itself; only ``doc_id`` and ``text`` are read.
     """
-    words, flat = model or fit(docs)
+    counts = None if model else token_counts(docs, TOKEN, lower=True)
+    words, flat = model or fit(docs, counts=counts)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_of().alias("text"))
-    return rows.mapInArrow(scorer(words, flat), f"doc_id {kind}, n_tokens long, log_prob double, mean_log_prob double")
+    scored = rows.mapInArrow(scorer(words, flat), f"doc_id {kind}, n_tokens long, log_prob double, rare array<struct<word: string, times: long>>")
+    log_prob = F.col("log_prob")
+    if counts is not None:
+        # The number of a row holds once the rows are written.
+        scored = written(scored.withColumn("row", F.monotonically_increasing_id()))
+        pairs = scored.select("row", F.inline("rare"))
+        inside = pairs.join(shares(counts, words).hint("merge"), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("share")).alias("inside"))
+        scored = scored.drop("rare").join(inside.hint("merge"), "row", "left")
+        log_prob = log_prob + F.coalesce("inside", F.lit(0.0))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
+    return scored.select("doc_id", "n_tokens", log_prob.alias("log_prob")).withColumn("mean_log_prob", mean)

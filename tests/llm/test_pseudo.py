@@ -86,3 +86,25 @@ def test_query_and_awkward_rows(spark):
     assert len(odd) == awkward(spark).count()
     assert all(r["log_prob"] == 0 and r["mean_log_prob"] is None for r in odd if r["n_tokens"] == 0)
     assert score_table(empty(spark)).collect() == []
+
+
+def test_rare_words_cost_their_share_of_the_bucket(spark):
+    import math
+    import re
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.limit(3))
+    texts = [(r["doc_id"], re.findall(r"\w+", r["text"].lower())) for r in docs.collect()]
+    n = Counter(w for _, words in texts for w in words)
+    words, flat = fit(docs)
+    vocabulary, bucket = Vocabulary(words), Counter()
+    for w in n:
+        bucket[vocabulary[w]] += n[w]
+    assert sum(vocabulary[w] >= WORDS for w in n) > 1000
+    plain = sorted((r["doc_id"], r["log_prob"]) for r in score_table(docs, (words, flat)).collect())
+    inside = sorted((i, sum(math.log(n[w] / bucket[vocabulary[w]]) for w in ws if vocabulary[w] >= WORDS)) for i, ws in texts)
+    got = sorted((r["doc_id"], r["log_prob"], r["mean_log_prob"] * r["n_tokens"]) for r in score_table(docs).collect())
+    assert [g[0] for g in got] == [p[0] for p in plain]
+    for (_, whole, mean), (_, net), (_, share) in zip(got, plain, inside):
+        assert whole == pytest.approx(net + share, rel=1e-3, abs=1e-2) and mean == pytest.approx(whole, rel=1e-9)
