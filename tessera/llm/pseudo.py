@@ -25,8 +25,9 @@ TOKENS = CLASSES * MEMBERS
 #: Neighbours a token is predicted from; id TOKENS stands for the edge of a text.
 WINDOW = (-2, -1, 1, 2)
 REACH = max(WINDOW)
-#: Training: every STRIDE-th position of every text, positions per step, learning rate, rounds.
-STRIDE, STEP, RATE, ROUNDS = 8, 4096, 0.2, 2
+#: Training: every STRIDE-th position of every text in a round, so that the rounds see every position
+#: once; positions per step, learning rate, rounds.
+STRIDE, STEP, RATE, ROUNDS = 2, 4096, 0.2, 2
 #: Floats per row when parameters are averaged.
 CHUNK = 4096
 
@@ -173,6 +174,13 @@ def positions(texts: Iterator, vocabulary: Vocabulary, find, rare: list[pa.Array
         yield np.concatenate([*ids, edge]), np.concatenate([*owner, edge * 0 - 1])
 
 
+def in_phase(owner: np.ndarray, stride: int, phase: int) -> np.ndarray:
+    """Places of the tokens whose position in their own text is ``phase`` modulo ``stride``, however texts are batched."""
+    at = np.arange(len(owner))
+    edge = np.maximum.accumulate(np.where(owner < 0, at, 0))
+    return np.flatnonzero((owner >= 0) & ((at - edge - 1) % stride == phase))
+
+
 def around(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([ids[at + o] for o in WINDOW], axis=1)
 
@@ -185,7 +193,7 @@ def trainer(words: list[str], flat: np.ndarray, stride: int, phase: int, rate: f
         net, memory, seen = Network(flat.copy()), Network(np.full_like(flat, 1e-8)), 0
         for batch in batches:
             for ids, owner in positions(batch.column(0), vocabulary, find):
-                at = np.flatnonzero(owner >= 0)[phase::stride]
+                at = in_phase(owner, stride, phase)
                 np.random.default_rng(seen).shuffle(at)
                 for i in range(0, len(at), STEP):
                     some = at[i : i + STEP]
@@ -203,8 +211,11 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, rate: float
 
     Word counts cover every token. In each round every task trains on every ``stride``-th position of
     all its texts, and the copies are averaged by the positions they saw, chunk by chunk in Spark.
-    The driver gets one network of fixed size per round, whatever the number of tasks.
+    Every round starts one position later, and ``stride`` may not exceed ``rounds``, so that every
+    position is trained on. The driver gets one network of fixed size per round, whatever the number of tasks.
     """
+    if stride > rounds:
+        raise ValueError(f"{rounds} rounds of every {stride}-th position leave positions out")
     counts = token_counts(docs, TOKEN, lower=True) if counts is None else counts
     top = most_frequent(counts, WORDS)
     rest = counts.agg(F.sum("n")).first()[0] or 0

@@ -108,3 +108,28 @@ def test_rare_words_cost_their_share_of_the_bucket(spark):
     assert [g[0] for g in got] == [p[0] for p in plain]
     for (_, whole, mean), (_, net), (_, share) in zip(got, plain, inside):
         assert whole == pytest.approx(net + share, rel=1e-3, abs=1e-2) and mean == pytest.approx(whole, rel=1e-9)
+
+
+def test_rounds_train_on_every_position(spark, monkeypatch):
+    import re
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from tessera.llm import pseudo
+
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(50).collect()] + ["", "one", "two words"]
+    want = Counter(w for t in texts for w in re.findall(r"\w+", t.lower()))
+    words = sorted(want)[:WORDS]
+    flat, seen = Network.start(np.ones(TOKENS)).flat, Counter()
+    monkeypatch.setattr(Network, "learn", lambda self, around, target, memory, rate: seen.update(target.tolist()))
+    for k in range(pseudo.ROUNDS):
+        # Batches differ from round to round; positions must not get lost.
+        batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 7 + k])], names=["text"]) for i in range(0, len(texts), 7 + k)]
+        list(pseudo.trainer(words, flat, pseudo.STRIDE, k % pseudo.STRIDE, 0.1)(iter(batches)))
+    vocabulary, ids = Vocabulary(words), Counter()
+    for w, n in want.items():
+        ids[vocabulary[w]] += n
+    assert seen == ids
+    with pytest.raises(ValueError):
+        fit(spark.read.parquet(f"{SF}/documents.parquet"), rounds=2, stride=3)
