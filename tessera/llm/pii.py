@@ -28,6 +28,8 @@ WIDE = {
 }
 #: What must occur in a text before the pattern is tried on it.
 GATE = {"email": r"@|[\[(]at[\])]", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]", "card": r"[0-9][\x20.-]?[0-9]", "phone": r"[0-9][\x20()./-]{0,2}[0-9]"}
+#: The same for the base patterns: any run of separators may stand between the digits of a phone number.
+BASE_GATE = {**GATE, "phone": r"\+[0-9]"}
 #: Words that announce a kind (fixed values).
 CUES = {"email": "mail|contact|write|schreib|correo|courriel", "ip": "ip|host|server|addr", "card": "card|visa|pay|karte|tarjeta|carte|iban|konto", "phone": "tel|phone|call|fax|mobil|ruf"}
 FEATURES, CONTEXT, HELD, PRECISION = 7, 24, 4, 0.95
@@ -125,7 +127,7 @@ def findings(docs: DataFrame) -> DataFrame:
     """
     df = docs.select("doc_id", text_of().alias("text"))
     for kind in KINDS:
-        df = located(df, "text", BASE[kind], GATE[kind], f"b_{kind}")
+        df = located(df, "text", BASE[kind], BASE_GATE[kind], f"b_{kind}")
         df = located(df, "text", WIDE[kind], GATE[kind], f"w_{kind}")
 
     def base(n: int, kind: str) -> Column:

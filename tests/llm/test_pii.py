@@ -107,3 +107,11 @@ def test_patterns_are_counted_over_all_rows_and_plan_has_no_python(spark):
     assert found.count() == docs.count() and isinstance(train(found), dict)
     plan = pii_table(docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_base_phones_with_wide_gaps_are_found(spark):
+    texts = ["call +1 - 2 - 3 - 4 - 5 - 6 - 7 - 8 - 9 - 0 now", "+4 (((( 9 .... 1 ---- 2     3 ()() 4 )))) 5 - - 6 . . 7 ( ) 8", "no digits", "+ 1 - 2 - 3"]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOCS)
+    rows = pii_table(docs).collect()
+    check(docs.collect(), rows)
+    assert {r["doc_id"]: r["n_phone"] for r in rows} == {0: 1, 1: 1, 2: 0, 3: 0}
