@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..queries.registry import SETTINGS
 from .chat import chat_table
 from .common import table
+from .coordjoin import link_table
 from .decontaminate import passages
 from .language import document_rows, identify, page_rows
 from .language import train as train_language
@@ -90,6 +91,33 @@ FROM rows GROUP BY conv_id
 """
 
 
+NEAR_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT row, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2])) END)) AS s
+  FROM words),
+nodes AS (SELECT min(row) AS node, min(doc_id) AS least, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+shingles AS (SELECT node, n, unnest(s) AS x FROM nodes),
+links AS (
+  SELECT a.node AS a, b.node AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.node < b.node
+    AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT node, least FROM nodes
+  UNION SELECT both.b, reach.least FROM reach JOIN both ON both.a = reach.node),
+named AS (SELECT node, min(least) AS component_id FROM reach GROUP BY node)
+SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles,
+  CASE WHEN len(sets.s) = 0 THEN sets.doc_id ELSE named.component_id END AS component_id,
+  sets.doc_id IS NOT DISTINCT FROM CASE WHEN len(sets.s) = 0 THEN sets.doc_id ELSE named.component_id END AS kept
+FROM sets LEFT JOIN nodes ON nodes.s = sets.s LEFT JOIN named ON named.node = nodes.node
+"""
+
+
 @query()
 def op1_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text."""
@@ -156,3 +184,9 @@ def op9_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked pseudo-likelihood of every document under a network trained on all of them."""
     return score_table(table(spark, sf_dir, "documents"))
+
+
+@query(NEAR_SQL)
+def op11_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and near-duplicate component of every document."""
+    return link_table(table(spark, sf_dir, "documents"))
