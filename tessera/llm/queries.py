@@ -11,7 +11,9 @@ from ..queries.registry import SETTINGS
 from .chat import chat_table
 from .common import table
 from .coordjoin import link_table
+from .covertree import code_table
 from .decontaminate import passages
+from .importance import importance_table
 from .language import document_rows, identify, page_rows
 from .language import train as train_language
 from .minhash import fingerprint_table
@@ -106,10 +108,10 @@ links AS (
   SELECT a.node AS a, b.node AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.node < b.node
     AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
   GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
-both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+pairs AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (
   SELECT node, least FROM nodes
-  UNION SELECT both.b, reach.least FROM reach JOIN both ON both.a = reach.node),
+  UNION SELECT pairs.b, reach.least FROM reach JOIN pairs ON pairs.a = reach.node),
 named AS (SELECT node, min(least) AS component_id FROM reach GROUP BY node)
 SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles,
   CASE WHEN len(sets.s) = 0 THEN sets.doc_id ELSE named.component_id END AS component_id,
@@ -118,6 +120,77 @@ FROM sets LEFT JOIN nodes ON nodes.s = sets.s LEFT JOIN named ON named.node = no
 """
 
 
+WEIGH_SQL = r"""
+WITH bits AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+texts AS (
+  SELECT 'd' AS side, row_number() OVER () AS row, doc_id, text FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark),
+words AS (
+  SELECT side, row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts),
+runs AS (
+  SELECT side, row, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: concat_ws(' ', w[i], w[i + 1])))) AS f FROM words WHERE len(w) > 0),
+counted AS (SELECT side, row, f, count(*) AS n FROM runs GROUP BY side, row, f),
+features AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted)),
+bucketed AS (
+  SELECT f, xor(list_reduce(
+      list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT))),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM features, bits),
+sides AS (
+  SELECT bucket, CAST(coalesce(sum(n) FILTER (side = 'd'), 0) AS BIGINT) AS s, CAST(coalesce(sum(n) FILTER (side = 'b'), 0) AS BIGINT) AS t
+  FROM counted JOIN bucketed USING (f) GROUP BY bucket),
+whole AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM sides),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (s_all + 10000) AS DOUBLE) / CAST((s + 1) * (t_all + 10000) AS DOUBLE))) AS BIGINT) AS gain
+  FROM sides, whole),
+sums AS (
+  SELECT row, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * gain) AS BIGINT) AS g
+  FROM counted JOIN bucketed USING (f) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY row),
+weighed AS (
+  SELECT words.row, doc_id, len(w) >= 20 AS able, coalesce(n, 0) AS n_features,
+    CASE WHEN n IS NULL THEN 0 ELSE (g - (((g % n) + n) % n)) // n END AS weight,
+    CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM words LEFT JOIN sums USING (row) WHERE side = 'd'),
+scored AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / 4294967296))) AS BIGINT) AS score FROM weighed),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id ASC NULLS LAST) AS place, count(*) OVER (PARTITION BY able) AS n_able
+  FROM scored)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, score,
+  CASE WHEN able AND place <= 25 * n_able // 100 THEN place END AS rank
+FROM placed
+"""
+
+
+def _lloyd_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Every round states all distances; components are whole numbers, so all sums are exact."""
+    floored = "CAST((s - (((s % n) + n) % n)) // n AS BIGINT)"
+    steps = [f"""WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (
+  SELECT vec_id, label, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) r(p)),
+book0 AS (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts
+  WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries}))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""near{r} AS (
+  SELECT vec_id, any_value(label) AS label, p, any_value(x) AS x, min({{'d': d, 'e': e}}) AS m FROM (
+    SELECT vec_id, label, parts.p, x, e, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+    FROM parts JOIN book{r} ON parts.p = book{r}.p) GROUP BY vec_id, p)""")
+        if r < rounds:
+            steps.append(f"""sums{r} AS (
+  SELECT p, e, k, CAST(sum(x[k]) AS BIGINT) AS s, count(*) AS n FROM (SELECT p, m.e AS e, x, unnest(range(1, len(x) + 1)) AS k FROM near{r}) GROUP BY p, e, k),
+book{r + 1} AS (
+  SELECT b.p, b.e, coalesce(s.c, b.c) AS c FROM book{r} b LEFT JOIN (SELECT p, e, list({floored} ORDER BY k) AS c FROM sums{r} GROUP BY p, e) s ON s.p = b.p AND s.e = b.e)""")
+    steps.append(f"""digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds}),
+codes AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(lower(lpad(hex(m.e), 2, '0')), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM codes, digest""")
+    return ",\n".join(steps)
+
+
 @query()
 def op1_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text."""
@@ -190,3 +263,15 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and near-duplicate component of every document."""
     return link_table(table(spark, sf_dir, "documents"))
+
+
+@query(WEIGH_SQL)
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of every document for the benchmark texts, and the rank of those drawn."""
+    return importance_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(_lloyd_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors by sixteen codebooks of 64 entries."""
+    return code_table(table(spark, sf_dir, "embeddings"))
