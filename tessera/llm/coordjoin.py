@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import components
-from ..session import durable
 from .common import match, spare, text_of, without, written
 from .simdedup import shingle_hashes
 
@@ -141,8 +140,22 @@ def buckets_of(posts: DataFrame) -> DataFrame:
     return met.filter("many > 1").groupBy("many", "leader", "s", "x").agg(F.min("posting").alias("posting")).select("posting", "leader", "many")
 
 
-def confirmed(pairs: DataFrame, info: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that share enough postings and whose full sets are similar."""
+def sieve(rows: DataFrame, hashes: str, wanted: DataFrame, words: int = 1 << 18) -> DataFrame:
+    """Rows whose long column ``hashes`` may be among those of ``wanted``: all that are, and few others.
+
+    A bitmap of ``words`` times 64 bits, so a broadcast of at most ``words`` rows of two numbers at any size of
+    ``wanted``. It only spares rows a shuffle; the join behind it decides.
+    """
+    word, bit = spare(rows, "_word", "_bits")
+    at = lambda c: F.pmod(F.shiftright(F.col(c), 6), F.lit(words))
+    one = lambda c: F.expr(f"shiftleft(1L, cast(`{c}` & 63 as int))")
+    bits = wanted.groupBy(at(hashes).alias(word)).agg(F.bit_or(one(hashes)).alias(bit))
+    out = rows.withColumn(word, at(hashes)).join(F.broadcast(bits), word)
+    return out.filter(F.col(bit).bitwiseAND(one(hashes)) != 0).drop(word, bit)
+
+
+def close(pairs: DataFrame, info: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sizes allow the similarity and that share enough postings."""
 
     @F.pandas_udf("boolean")
     def near(n_a: pd.Series, marks_a: pd.Series, n_b: pd.Series, marks_b: pd.Series) -> pd.Series:
@@ -154,19 +167,25 @@ def confirmed(pairs: DataFrame, info: DataFrame, sets: DataFrame, matches: int,
             out[at[agreeing(*matrix, matches)]] = True
         return pd.Series(out)
 
+    both = pairs.join(_side(info, "a", "n", "marks"), "a").join(_side(info, "b", "n", "marks"), "b")
+    return both.filter(near("n_a", "marks_a", "n_b", "marks_b")).select("a", "b")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets are similar."""
+
     @F.pandas_udf("boolean")
     def same(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similar(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent) for x, y in zip(a, b)])
 
-    def side(table: DataFrame, at: str, *columns: str) -> DataFrame:
-        return table.select(F.col("node").alias(at), *[F.col(c).alias(f"{c}_{at}") for c in columns])
-
-    close = pairs.join(side(info, "a", "n", "marks"), "a").join(side(info, "b", "n", "marks"), "b")
-    close = written(close.filter(near("n_a", "marks_a", "n_b", "marks_b")).select("a", "b"))
-    both = close.join(side(sets, "b", "hashes"), "b").join(side(sets, "a", "hashes"), "a")
+    both = written(pairs).join(_side(sets, "b", "hashes"), "b").join(_side(sets, "a", "hashes"), "a")
     return written(both.filter(same("hashes_a", "hashes_b")).select("a", "b"))
 
 
+def _side(table: DataFrame, at: str, *columns: str) -> DataFrame:
+    return table.select(F.col("node").alias(at), *[F.col(c).alias(f"{c}_{at}") for c in columns])
+
+
 def cells(rest: DataFrame, block: int) -> DataFrame:
     """Rows (posting, cell) of buckets whose nodes are not all joined yet.
 
@@ -185,23 +204,64 @@ def cells(rest: DataFrame, block: int) -> DataFrame:
     return rest.join(main, "posting").withColumn("cell", F.explode(F.expr(cell))).select("posting", "cell", "node", "root")
 
 
+def candidates(rows: pd.DataFrame, matches: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs of a cell that are not joined yet and share enough postings."""
+    size, root = rows["n"].to_numpy(), rows["root"].to_numpy()
+    marks = np.frombuffer(b"".join(rows["marks"]), dtype=np.uint8).reshape(len(rows), -1)
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for i in range(len(rows) - 1):
+        at = np.flatnonzero((root[i + 1 :] != root[i]) & alike(size[i + 1 :], size[i], percent)) + i + 1
+        at = at[agreeing(np.broadcast_to(marks[i], (len(at), marks.shape[1])), marks[at], matches)]
+        left.append(np.full(len(at), i))
+        right.append(at)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def cell_pairs(matches: int, percent: int, dense: int = 4):
+    """Task function for a cell: its candidate pairs, or, if these are more than ``dense`` for a node, its nodes (b null)."""
+
+    def of(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = candidates(rows, matches, percent)
+        node, none = rows["node"].to_numpy(), len(rows) * dense < len(i)
+        out = pd.DataFrame({"a": node if none else node[i], "b": None if none else node[j]}).astype("Int64")
+        out["posting"], out["cell"] = (rows[c].iloc[0] if none else None for c in ("posting", "cell"))
+        return out.astype({"posting": "Int64"})
+
+    return of
+
+
+def overlaps(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of all pairs of different sets, by products of incidence matrices of the members that several share."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, member, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = many[member] > 1
+    row, member = row[keep], np.unique(member[keep], return_inverse=True)[1]
+    order = np.argsort(member, kind="stable")
+    row, member = row[order], member[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for low in range(0, int(member[-1]) + 1 if len(member) else 0, width):
+        a, b = np.searchsorted(member, [low, low + width])
+        m = np.zeros((len(sets), width), dtype=np.float32)
+        m[row[a:b], member[a:b] - low] = 1
+        out += m @ m.T
+    return out
+
+
 def cell_links(matches: int, percent: int):
-    """Links that join what is linked in a cell; pairs that are joined already are skipped."""
+    """Task function for a dense cell: links that join what is linked there, from the full sets; joined pairs are skipped."""
 
     def of(rows: pd.DataFrame) -> pd.DataFrame:
         size, root = rows["n"].to_numpy(), np.unique(rows["root"].to_numpy(), return_inverse=True)[1]
-        marks = np.frombuffer(b"".join(rows["marks"]), dtype=np.uint8).reshape(len(rows), -1)
         sets = [np.frombuffer(h, dtype=np.uint64) for h in rows["hashes"]]
-        node, left, right = rows["node"].to_numpy(), [], []
-        for i in range(len(rows) - 1):
-            at = np.flatnonzero((root[i + 1 :] != root[i]) & alike(size[i + 1 :], size[i], percent)) + i + 1
-            if not len(at):
-                continue
-            for j in at[agreeing(np.broadcast_to(marks[i], (len(at), marks.shape[1])), marks[at], matches)].tolist():
-                if root[i] != root[j] and similar(sets[i], sets[j], percent):
-                    root[root == root[j]] = root[i]
-                    left.append(node[i])
-                    right.append(node[j])
+        node, common = rows["node"].to_numpy(), overlaps(sets)
+        i, j = candidates(rows, matches, percent)
+        real = 100 * common[i, j].astype(np.int64) >= percent * (size[i] + size[j] - common[i, j].astype(np.int64))
+        left, right = [], []
+        for a, b in zip(i[real].tolist(), j[real].tolist()):
+            if root[a] != root[b]:
+                root[root == root[b]] = root[a]
+                left.append(node[a])
+                right.append(node[b])
         return pd.DataFrame({"a": left, "b": right}, dtype="int64")
 
     return of
@@ -212,7 +272,8 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, coordina
 
     Equal sets are one node. First every node is compared with the smallest node of each of its
     buckets, which joins most groups of copies with one comparison a node; then only
-    buckets that still hold several components are compared in full, in cells of bounded size.
+    buckets that still hold several components are compared in full, in cells of bounded size. Their candidate pairs are few, as
+    a rule, and confirmed like the first; a cell that is dense with them gets the sets of its nodes instead.
     """
     matches = match_threshold(coordinates, percent)
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), sketch(text_of(), width, coordinates).alias("s"))
@@ -229,17 +290,22 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, coordina
     texts = docs.select("doc_id", text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     hashes = F.pandas_udf(lambda t: t.map(lambda x: shingle_set(x, width).tobytes()), "binary")
     wanted = info.select("node", F.col("one.doc_id").alias("doc_id"), F.col("one.text_hash").alias("text_hash"))
-    sets = match(texts, wanted, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"])
+    sets = match(sieve(texts, "text_hash", wanted), wanted, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"])
     sets = written(sets.select("node", hashes("text").alias("hashes")))
 
-    near = confirmed(posts.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), info, sets, matches, percent)
-    first = written(components(info.select(F.col("node").alias("v")), near))
-    open_ = posts.filter("many > 2").join(first.select(F.col("v").alias("node"), "root"), "node")
-    open_ = written(open_.select("posting", "node", "root"))
+    first = posts.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    near = confirmed(close(first, info, matches, percent), sets, percent)
+    found = written(components(info.select(F.col("node").alias("v")), near))
+    open_ = written(posts.filter("many > 2").join(found.select(F.col("v").alias("node"), "root"), "node").select("posting", "node", "root"))
     mixed = written(open_.groupBy("posting").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("posting"))
-    split = cells(open_.join(mixed, "posting", "left_semi"), block)
-    split = split.join(info.select("node", "n", "marks"), "node").join(sets, "node")
-    more = durable(split.groupBy("posting", "cell").applyInPandas(cell_links(matches, percent), "a long, b long").distinct())
+    split = written(cells(open_.join(mixed, "posting", "left_semi"), block))
+    marked = split.join(info.select("node", "n", "marks"), "node").groupBy("posting", "cell")
+    pairs = written(marked.applyInPandas(cell_pairs(matches, percent), "a long, b long, posting long, cell string"))
+    sparse = confirmed(pairs.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent)
+    crowd = split.join(pairs.filter("b is null").select("posting", "cell").distinct(), ["posting", "cell"], "left_semi")
+    crowd = crowd.join(info.select("node", "n", "marks"), "node").join(sets, "node").groupBy("posting", "cell")
+    dense = written(crowd.applyInPandas(cell_links(matches, percent), "a long, b long"))
+    more = sparse.unionByName(dense).distinct()
     roots = components(nodes.select(F.col("node").alias("v")), near.unionByName(more))
     roots = written(roots.join(nodes.select(F.col("node").alias("v"), "key_a", "key_b", "least"), "v"))
     names = roots.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import coordjoin
-from tessera.llm.coordjoin import agreeing, cell_links, drop_near_copies, link_table, match_threshold, signatures
+from tessera.llm.coordjoin import agreeing, cell_links, cell_pairs, drop_near_copies, link_table, match_threshold, overlaps, sieve, signatures
 from tessera.llm.queries import QUERIES
 
 from .data import DOCS, SF, awkward, empty, prose
@@ -108,6 +108,32 @@ def test_long_sets_cross_strips_and_skipping_loses_nothing():
     assert agreeing(a, b, 22).tolist() == np.flatnonzero((a == b).sum(axis=1) >= 22).tolist()
 
 
+def test_a_dense_cell_is_handed_on_and_a_sparse_one_gives_its_pairs():
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**63, 40, dtype=np.uint64)) for _ in range(20)]
+    sets += [np.unique(np.append(sets[0], np.uint64(5)))]
+    marks = [(s >> np.uint64(8)).astype(np.uint8).tobytes() for s in signatures(sets, 64)]
+    rows = pd.DataFrame({"posting": 7, "cell": "o-0-0", "node": range(100, 121), "root": range(21), "n": [len(s) for s in sets], "marks": marks})
+    out = cell_pairs(39, 85)(rows)
+    assert out[["a", "b"]].to_numpy().tolist() == [[100, 120]] and out["posting"].isna().all()
+    out = cell_pairs(39, 85, 0)(rows)
+    assert out["a"].tolist() == list(range(100, 121)) and out["b"].isna().all() and set(out["posting"]) == {7}
+
+
+def test_overlaps_and_sieve(spark):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 300, n)).astype(np.uint64) for n in (1, 50, 200, 120, 3)]
+    for width in (8192, 7):
+        got = overlaps(sets, width).astype(int)
+        assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+    rows = spark.range(2000).selectExpr("id", "xxhash64(id) as h")
+    for words in (1, 64, 1 << 18):
+        kept = {r["id"] for r in sieve(rows, "h", rows.filter("id % 50 = 0"), words).collect()}
+        assert set(range(0, 2000, 50)) <= kept and (words < 1 << 18 or len(kept) < 50)
+
+
 def test_cell_links_give_fewer_links_than_nodes():
     import pandas as pd
 
