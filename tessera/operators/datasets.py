@@ -80,11 +80,14 @@ def group_folds(df: DataFrame, group: str, stratum: str, k: int, seed: int) -> D
 
 
 def distance_split(df: DataFrame, group: str, dist: str, ratios: tuple[int, int, int] = (7, 1, 2), q: int = 10, seed: int = 42) -> DataFrame:
-    """Group-preserving train/dev/test split, stratified by quantile bins of a distance; rows without one: none."""
+    """Group-preserving train/dev/test split, stratified by quantile bins of a distance; rows without one: none.
+
+    Without any distance all rows are none; an empty table stays empty.
+    """
     train, dev, test = ratios
     used = df.filter(F.col(dist).isNotNull())
     cuts = quantiles(used, [], dist, **{f"q{i}": i / q for i in range(1, q)}).first()
-    edges = F.array(*[F.lit(float(c)) for c in cuts])
+    edges = F.array(*[F.lit(float(c)) for c in cuts or () if c is not None]).cast("array<double>")
     used = durable(used.withColumn("_s", F.size(F.filter(edges, lambda e: F.col(dist) > e))))
     t = group_folds(used, group, "_s", (train + dev) // test, seed).filter("fold = 0").select(group, F.lit("test").alias("_t"))
     rest = used.join(t, group, "left_anti")
@@ -261,17 +264,23 @@ def _basis(x: Column, knots: list[float]) -> list[Column]:
 def smooth_group_curves(df: DataFrame, y: str, x: str, group: str, n_knots: int = 2, n_grid: int = 21) -> DataFrame:
     """Smooth curve of y over x per group with standard errors ``(group, x, fit, se)``.
 
-    Least squares on a cubic basis over the common range of x, a curve for every group. The sums of
+    Least squares on a cubic basis over a grid on the common range of x, a curve for every group; it is null where
+    the group has no x as small or as large, and everywhere if x does not vary. The sums of
     products are one aggregation, one small system per group is solved at the end.
     """
-    lo, hi = df.agg(F.min(x), F.max(x)).first()
+    d = df.dropna(subset=[x, y])
+    lo, hi = d.agg(F.min(x).cast("double"), F.max(x).cast("double")).first()
+    if lo is None or lo == hi:
+        none = F.lit(None).cast("double")
+        return d.select(group).distinct().select(group, F.lit(lo).cast("double").alias("x"), none.alias("fit"), none.alias("se"))
     u = (F.col(x) - lo) / (hi - lo)
     b = _basis(u, [(i + 1) / (n_knots + 1) for i in range(n_knots)])
     m = len(b)
-    d = df.dropna(subset=[x, y]).withColumns({f"_b{i}": c for i, c in enumerate(b)})
+    d = d.withColumns({f"_b{i}": c for i, c in enumerate(b)})
     g = d.groupBy(group).agg(
         F.array(*[F.sum(F.col(f"_b{i}") * F.col(f"_b{j}")) for i in range(m) for j in range(m)]).alias("_a"),
         F.array(*[F.sum(F.col(f"_b{i}") * F.col(y)) for i in range(m)]).alias("_r"), F.sum(F.col(y) * F.col(y)).alias("_yy"), F.count("*").alias("_n"),
+        F.min(x).cast("double").alias("_from"), F.max(x).cast("double").alias("_to"),
     )
     grid = np.linspace(0, 1, n_grid)
     gb = np.column_stack([grid**0, grid, grid**2, grid**3, *[np.maximum(grid - (i + 1) / (n_knots + 1), 0) ** 3 for i in range(n_knots)]])
@@ -287,7 +296,10 @@ def smooth_group_curves(df: DataFrame, y: str, x: str, group: str, n_knots: int
             out.append([{"x": lo + (hi - lo) * t, "fit": f, "se": e} for t, f, e in zip(grid, gb @ beta, se)])
         return pd.Series(out)
 
-    return g.select(group, F.explode(curve("_a", "_r", "_yy", "_n")).alias("_c")).select(group, "_c.*")
+    c = g.select(group, "_from", "_to", F.explode(curve("_a", "_r", "_yy", "_n")).alias("_c"))
+    slack = 1e-9 * (hi - lo)
+    inside = F.col("_c.x").between(F.col("_from") - slack, F.col("_to") + slack)
+    return c.select(group, "_c.x", *[F.when(inside, F.col(f"_c.{v}")).alias(v) for v in ("fit", "se")])
 
 
 def curve_difference(curves: DataFrame, group: str, a, b, z: float = 1.96) -> DataFrame:
@@ -297,9 +309,12 @@ def curve_difference(curves: DataFrame, group: str, a, b, z: float = 1.96) -> Da
     return d.select("x", (F.col("_f") - F.col("fit")).alias("est"), (z * F.sqrt(F.col("_s") * F.col("_s") + F.col("se") * F.col("se"))).alias("ci"))
 
 
-def curve_aic(df: DataFrame, y: str, x: str, group: str, groups: list, family: str = "gaussian", n_knots: int = 2) -> float:
-    """Akaike criterion of the model with one curve per group (gaussian or binomial)."""
-    lo, hi = df.agg(F.min(x), F.max(x)).first()
+def curve_aic(df: DataFrame, y: str, x: str, group: str, groups: list, family: str = "gaussian", n_knots: int = 2) -> float | None:
+    """Akaike criterion of the model with one curve per group (gaussian or binomial); none if x does not vary."""
+    df = df.dropna(subset=[x, y])
+    lo, hi = df.agg(F.min(x).cast("double"), F.max(x).cast("double")).first()
+    if lo is None or lo == hi:
+        return None
     b = _basis((F.col(x) - lo) / (hi - lo), [(i + 1) / (n_knots + 1) for i in range(n_knots)])
     cols = [c * (F.col(group) == F.lit(g)).cast("double") for g in groups for c in b]
     d = df.withColumn("_v", array_to_vector(F.array(*cols))).withColumn("_y", F.col(y).cast("double"))

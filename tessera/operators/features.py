@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import components
 from ..plans.scan import indexed
 from ..plans.stats import join_stats, nz, pearson
-from ..session import durable, once
+from ..session import durable, once, written
 from .stats import pairwise_corr
 
 
@@ -116,29 +117,79 @@ def compute_features(long: DataFrame, keys: list[str], stims: dict[str, int], ki
     return indexed(out, [], keys, "features_idx")
 
 
-def hierarchical_clusters(df: DataFrame, vec: str, most: int | None, max_distance: float, seed: int = 1) -> DataFrame:
-    """Divisive clusters: split until the root mean squared distance to the centres is small enough.
+def _cluster_stats(rows: DataFrame, max_distance: float) -> DataFrame:
+    """Size, summed squared distance to the mean, whether that is too large, and where to cut, per cluster.
 
-    Bisecting k-means in place of bottom-up linkage; returns the rows with ``cluster`` and ``missed``:
-    whether the rows of the cluster are farther from their mean than ``max_distance`` (root mean
-    square). ``most`` limits the number of clusters; without it splitting goes on until the distance
-    holds or nothing is left to split.
+    The first cut is the middle of the widest-spread position among those that vary.
     """
-    d = once(df.withColumn("_v", array_to_vector(F.col(vec).cast("array<double>"))))
-    rows = d.count()
-    most = rows if most is None else min(most, rows)
-    k, found, model = 1, 0, None
-    while k < most:
-        k = min(k * 2, most)
-        model = BisectingKMeans(featuresCol="_v", predictionCol="cluster", k=k, seed=seed).fit(d)
-        centres = len(model.clusterCenters())
-        if math.sqrt(model.summary.trainingCost / rows) <= max_distance or centres == found:
+    m = Summarizer.metrics("count", "variance", "min", "max").summary(F.col("_v")).alias("_m")
+    d = rows.groupBy("_path").agg(m).select("_path", F.col("_m.count").alias("_n"), *[vector_to_array(f"_m.{c}").alias(f"_{c}") for c in ("variance", "min", "max")])
+    d = d.withColumn("_cost", F.aggregate("_variance", F.lit(0.0), lambda s, v: s + v) * (F.col("_n") - 1))
+    far = F.sqrt(F.col("_cost") / F.col("_n")) > max_distance
+    wide = F.transform("_variance", lambda v, j: F.struct(F.when(F.get("_max", j) > F.get("_min", j), v).alias("v"), (-j).alias("j")))
+    d = d.withColumn("_w", F.array_max(F.filter(wide, lambda s: s["v"].isNotNull())))
+    j = -F.col("_w.j")
+    lo, hi = F.get("_min", j), F.get("_max", j)
+    mid = lo + (hi - lo) / 2
+    return d.select("_path", "_n", "_cost", far.alias("missed"), (far & F.col("_w").isNotNull()).alias("_open"), j.alias("_j"), F.when(mid < hi, mid).otherwise(lo).alias("_cut"))
+
+
+def _nearer(a: str, b: str) -> Column:
+    """1 if ``_x`` is nearer to centre ``b`` than to ``a``, else 0."""
+    both = F.zip_with(F.zip_with("_x", a, lambda x, c: x - c), F.zip_with("_x", b, lambda x, c: x - c), lambda p, q: p * p - q * q)
+    return (F.aggregate(both, F.lit(0.0), lambda s, v: s + v) > 0).cast("int")
+
+
+def _two_means(rows: DataFrame, open_: DataFrame, rounds: int) -> DataFrame:
+    """Two centres ``a`` and ``b`` for every open cluster, by grouped Lloyd rounds over all of them at once."""
+    inside = rows.join(open_.select("_path", "_j", "_cut"), "_path")
+
+    def centres(sides: DataFrame) -> DataFrame:
+        m = sides.groupBy("_path", "_side").agg(Summarizer.mean(F.col("_v")).alias("_c"))
+        m = m.groupBy("_path").agg(F.max(F.when(F.col("_side") == 0, vector_to_array("_c"))).alias("a"), F.max(F.when(F.col("_side") == 1, vector_to_array("_c"))).alias("b"))
+        return m.filter("a is not null and b is not null")
+
+    pair = written(centres(inside.withColumn("_side", (F.get("_x", F.col("_j")) > F.col("_cut")).cast("int"))))
+    for _ in range(rounds):
+        new = written(centres(rows.join(pair, "_path").withColumn("_side", _nearer("a", "b"))))
+        if new.join(pair.withColumnsRenamed({"a": "_a", "b": "_b"}), "_path").filter("a <> _a or b <> _b").isEmpty():
             break
-        found = centres
-    out = model.transform(d).drop("_v") if model else d.drop("_v").withColumn("cluster", F.lit(0))
-    x = once(out.select("cluster", F.posexplode(F.col(vec).cast("array<double>")).alias("_j", "_x")))
-    spread = x.groupBy("cluster", "_j").agg(F.var_pop("_x").alias("_s")).groupBy("cluster").agg((F.sqrt(F.sum("_s")) > max_distance).alias("missed"))
-    return out.join(spread, "cluster").select(*df.columns, "cluster", "missed")
+        # A pair that lost a side stays as it was.
+        pair = written(new.unionByName(pair.join(new, "_path", "left_anti")))
+    return pair
+
+
+def hierarchical_clusters(df: DataFrame, vec: str, most: int | None, max_distance: float, rounds: int = 8) -> DataFrame:
+    """Divisive clusters: split until the root mean squared distance to the mean is small enough.
+
+    Two-means splits in place of bottom-up linkage. A level splits all clusters that miss the distance at once and leaves
+    the others; rows are rewritten once a level. Returns the rows with ``cluster`` (numbered in the order of the
+    splits) and ``missed``: whether their cluster is wider than ``max_distance``. ``most`` limits the number of clusters, the
+    costliest are split first; without it none is missed. Rows without a vector are left out, as are null components' rows.
+    """
+    x = F.col(vec).cast("array<double>")
+    ok = df.filter(F.col(vec).isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v)))
+    rows = written(ok.select(*df.columns, x.alias("_x"), F.lit("").alias("_path")))
+    vector = array_to_vector("_x")
+    done, count = [], 1
+    while True:
+        stats = written(_cluster_stats(rows.withColumn("_v", vector), max_distance))
+        open_ = stats.filter("_open")
+        if most is not None:
+            open_ = written(open_.orderBy(F.col("_cost").desc(), "_path").limit(max(0, most - count)))
+        n = open_.count()
+        rest = rows.join(stats.join(open_.select("_path"), "_path", "left_anti").select("_path", "missed"), "_path")
+        done.append(written(rest.select(*df.columns, "_path", "missed")))
+        if not n:
+            break
+        count += n
+        rows = rows.join(open_.select("_path"), "_path", "left_semi")
+        pair = _two_means(rows.withColumn("_v", vector), open_, rounds)
+        side = F.concat("_path", _nearer("a", "b").cast("string"))
+        rows = written(rows.join(pair, "_path").select(*df.columns, "_x", side.alias("_path")))
+    out = reduce(DataFrame.unionByName, done)
+    number = indexed(out.select("_path").distinct(), [], ["_path"], "cluster").withColumn("cluster", F.col("cluster").cast("int"))
+    return out.join(number, "_path").select(*df.columns, "cluster", "missed")
 
 
 def correlation_distance(long: DataFrame, key: str, pos: str, value: str, block: int = 512) -> DataFrame:
@@ -177,61 +228,142 @@ def correlation_clusters(distances: DataFrame, ids: DataFrame, key: str, thresho
     return r.select(F.col("v").alias(key), F.col("root").alias("cluster"))
 
 
-def _mixture(train: DataFrame, k: int, dim: int, seed: int) -> tuple:
-    """Weights, means, covariances and the fitted model; one component needs only moments."""
-    if k == 1:
-        cols = [F.col("_x")[i] for i in range(dim)]
-        row = train.agg(*[F.avg(c) for c in cols], *[F.covar_pop(a, b) for a in cols for b in cols]).first()
-        return np.ones(1), [np.array(row[:dim])], [np.reshape(row[dim:], (dim, dim))], None
-    m = GaussianMixture(featuresCol="_v", predictionCol="cluster", probabilityCol="_p", k=k, seed=seed, maxIter=30).fit(train)
-    g = m.gaussiansDF.collect()
-    return np.array(m.weights), [r["mean"].toArray() for r in g], [r["cov"].toArray() for r in g], m
+def md5_fold(keys: list[str], folds: int, seed: int = 1) -> Column:
+    """Fold of a row: the first 8 hex digits of the MD5 of seed and keys, modulo ``folds``; any engine reproduces it."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
+
 
+def _log_joint(x: np.ndarray, fit: tuple) -> np.ndarray:
+    """Log of weight times density, rows by components; a covariance that is flat is widened a little."""
+    out = np.empty((len(x), len(fit[0])))
+    for i, (w, m, c) in enumerate(zip(*fit)):
+        try:
+            half = np.linalg.cholesky(c)
+        except np.linalg.LinAlgError:
+            half = np.linalg.cholesky(c + 1e-6 * max(np.trace(c) / len(c), 1e-6) * np.eye(len(c)))
+        z = np.linalg.solve(half, (x - m).T)
+        out[:, i] = math.log(max(w, 1e-300)) - 0.5 * (len(c) * math.log(2 * math.pi) + (z * z).sum(axis=0)) - np.log(np.diag(half)).sum()
+    return out
 
-def _log_density(vec: Column, weights: np.ndarray, mean: list, cov: list) -> Column:
-    w = np.log(weights)
-    inv = [np.linalg.pinv(c) for c in cov]
-    det = [np.linalg.slogdet(c)[1] for c in cov]
 
-    @F.pandas_udf("double")
-    def dens(x: pd.Series) -> pd.Series:
-        a = np.stack(x.to_numpy())
-        parts = []
-        for lw, m, i, d in zip(w, mean, inv, det):
-            c = a - m
-            parts.append(lw - 0.5 * (a.shape[1] * math.log(2 * math.pi) + d + np.einsum("ij,jk,ik->i", c, i, c)))
-        p = np.stack(parts)
-        top = p.max(axis=0)
-        return pd.Series(top + np.log(np.exp(p - top).sum(axis=0)))
+def _log_sum(p: np.ndarray) -> np.ndarray:
+    top = p.max(axis=1, keepdims=True)
+    return (top + np.log(np.exp(p - top).sum(axis=1, keepdims=True)))[:, 0]
 
-    return dens(vec)
 
+def responsibilities(vec: Column, weights: list[float], means: list[list[float]], covs: list[list[list[float]]]) -> Column:
+    """Share of every component in a vector, as an array."""
+    fit = (np.array(weights, dtype=float), np.array(means, dtype=float), np.array(covs, dtype=float))
 
-def mixture_clusters(df: DataFrame, keys: list[str], vec: str, ks: list[int], criterion: str = "bic", folds: int = 1, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    @F.pandas_udf("array<double>")
+    def of(x: pd.Series) -> pd.Series:
+        p = _log_joint(np.stack(x.to_numpy()).astype(float), fit) if len(x) else np.zeros((0, 1))
+        return pd.Series(list(np.exp(p - _log_sum(p)[:, None])) if len(x) else [], dtype=object)
+
+    return of(vec.cast("array<double>"))
+
+
+def _gathered(d: DataFrame, fits: dict, update: bool) -> dict:
+    """One pass over all rows for every (number of components, held-out fold) in ``fits``.
+
+    With ``update`` the sufficient statistics of the rows that are not held out: rows, log-likelihood, weights, sums and sums of
+    squares of every component; else rows and log-likelihood of the held-out ones (of all rows if the fold is -1).
+    Tasks add up all their batches and send one array per fit; their size is that of the models.
+    """
+    def of(batches):
+        held: dict = {}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, fold = np.stack(pdf["_x"].to_numpy()).astype(float), pdf["_f"].to_numpy()
+            for at, fit in fits.items():
+                here = x if at[1] < 0 else x[(fold != at[1]) if update else (fold == at[1])]
+                if not len(here):
+                    continue
+                p = _log_joint(here, fit)
+                ll = _log_sum(p)
+                parts = [[float(len(here)), ll.sum()]]
+                if update:
+                    r = np.exp(p - ll[:, None])
+                    parts += [r.sum(axis=0), (r.T @ here).ravel(), np.einsum("nk,ni,nj->kij", r, here, here, optimize=True).ravel()]
+                v = np.concatenate(parts)
+                held[at] = held[at] + v if at in held else v
+        yield pd.DataFrame([[*at, v] for at, v in held.items()], columns=["k", "f", "v"])
+
+    rows = d.select("_x", "_f").mapInPandas(of, "k int, f int, v array<double>")
+    rows = rows.select("k", "f", F.posexplode("v").alias("p", "v")).groupBy("k", "f", "p").agg(F.sum("v").alias("v"))
+    out: dict = {}
+    for r in rows.orderBy("k", "f", "p").collect():
+        out.setdefault((r["k"], r["f"]), []).append(r["v"])
+    return {at: np.array(v) for at, v in out.items()}
+
+
+def _seeds(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Spread starting centres from some rows: each next one with probability by its squared distance."""
+    at = [int(rng.integers(len(x)))]
+    while len(at) < k:
+        far = ((x[:, None] - x[at]) ** 2).sum(axis=2).min(axis=1)
+        at.append(int(rng.choice(len(x), p=far / far.sum())) if far.sum() > 0 else int(rng.integers(len(x))))
+    return x[at]
+
+
+def mixture_clusters(df: DataFrame, keys: list[str], vec: str, ks: list[int], criterion: str = "bic", folds: int = 1, seed: int = 1, steps: int = 60, tol: float = 1e-5, start_rows: int = 2048) -> tuple[DataFrame, DataFrame]:
     """Gaussian mixtures over several numbers of components, the best by held-out criterion.
 
-    ``folds=1`` scores the training rows; otherwise each fold (by a hash of the keys) is held out in
-    turn. Returns the rows with ``cluster`` and one row per number of components.
+    ``folds=1`` scores the training rows; otherwise each fold (:func:`md5_fold`) is held out in turn. All numbers of components,
+    all folds and the fits to all rows go through expectation-maximisation together: a step is one pass over the rows,
+    and only sufficient statistics, as many as the models have numbers, come to the driver. Fits start from the
+    ``start_rows`` rows with the smallest MD5 and use all rows from then on; they end when the mean log-likelihood of a row gains less than ``tol``.
+    Returns the rows with ``cluster`` and one row per number of components: score, best, and whether its fits ``converged``
+    within ``steps``. An empty table has an empty result and null scores.
     """
     x = F.col(vec).cast("array<double>")
-    d = durable(df.select(*keys, x.alias("_x"), F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(folds)).alias("_f")))
-    d = d.withColumn("_v", array_to_vector("_x"))
-    dim = len(d.select("_x").first()["_x"])
-    scores, models = [], {}
+    d = written(df.filter(F.col(vec).isNotNull()).select(*keys, x.alias("_x"), md5_fold(keys, folds, seed).alias("_f")))
+    order = F.md5(F.concat_ws(":", F.lit(f"start {seed}"), *[F.col(k).cast("string") for k in keys]))
+    first = d.orderBy(order, *keys).limit(start_rows).select("_x", "_f").collect()
+    schema = "k int, score double, best boolean, converged boolean"
+    if not first:
+        return d.select(*keys, F.lit(0).alias("cluster")), df.sparkSession.createDataFrame([(k, None, False, False) for k in ks], schema)
+    some, fold = np.array([r["_x"] for r in first], dtype=float), np.array([r["_f"] for r in first])
+    dim, fits, gain = some.shape[1], {}, {}
+    for k in ks:
+        for f in [-1, *(range(folds) if folds > 1 else [])]:
+            here = some[fold != f] if (fold != f).any() else some
+            spread = np.atleast_2d(np.cov(here.T, bias=True))
+            # Every component starts as wide as its share of the whole volume.
+            wide = spread / max(k, 1) ** (2 / dim) if k > 1 else spread
+            fits[k, f] = (np.full(k, 1 / k), _seeds(here, k, np.random.default_rng([seed, k, f + 1])), np.tile(wide, (k, 1, 1)))
+            gain[k, f] = None
+    going = dict(fits)
+    for _ in range(steps):
+        if not going:
+            break
+        for at, v in _gathered(d, going, True).items():
+            k = at[0]
+            n, ll = v[0], v[1]
+            w, s, q = v[2 : 2 + k], v[2 + k : 2 + k + k * dim].reshape(k, dim), v[2 + k + k * dim :].reshape(k, dim, dim)
+            old = fits[at]
+            mean = np.where((w > 1e-9)[:, None], s / np.maximum(w, 1e-300)[:, None], old[1])
+            cov = np.where((w > 1e-9)[:, None, None], q / np.maximum(w, 1e-300)[:, None, None] - mean[:, :, None] * mean[:, None, :], old[2])
+            fits[at] = (w / n, mean, cov)
+            if gain[at] is not None and ll / n - gain[at] < tol:
+                del going[at]
+            else:
+                going[at] = fits[at]
+            gain[at] = ll / n
+    scores = []
+    held = _gathered(d, {at: fit for at, fit in fits.items() if (folds == 1) == (at[1] < 0)}, False)
     for k in ks:
         free = k - 1 + k * dim + k * dim * (dim + 1) // 2
-        total = 0.0
-        for f in range(folds):
-            train, test = (d, d) if folds == 1 else (d.filter(F.col("_f") != f), d.filter(F.col("_f") == f))
-            w, mean, cov, models[k] = _mixture(train, k, dim, seed)
-            ll, n = test.agg(F.sum(_log_density(F.col("_x"), w, mean, cov)), F.count("*")).first()
-            # Larger is better for all three.
-            total += {"bic": 2 * ll - free * math.log(n), "aic": 2 * ll - 2 * free, "likelihood": ll / n}[criterion] / folds
-        scores.append((k, total))
+        parts = [v for at, v in held.items() if at[0] == k]
+        # Larger is better for all three.
+        total = sum({"bic": 2 * ll - free * math.log(n), "aic": 2 * ll - 2 * free, "likelihood": ll / n}[criterion] for n, ll in parts) / len(parts)
+        scores.append((k, float(total), not any(at[0] == k for at in going)))
     best = max(scores, key=lambda s: (s[1], -s[0]))[0]
-    m = models[best] if folds == 1 else _mixture(d, best, dim, seed)[3]
-    table = df.sparkSession.createDataFrame([(k, float(s), k == best) for k, s in scores], "k int, score double, best boolean")
-    return (d.withColumn("cluster", F.lit(0)) if m is None else m.transform(d)).select(*keys, "cluster"), table
+    share = responsibilities(F.col("_x"), *[part.tolist() for part in fits[best, -1]])
+    out = d.withColumn("_r", share).select(*keys, (F.array_position("_r", F.array_max("_r")) - 1).cast("int").alias("cluster"))
+    return out, df.sparkSession.createDataFrame([(k, s, k == best, done) for k, s, done in scores], schema)
 
 
 def drop_small_clusters(df: DataFrame, cluster: str, n: int) -> DataFrame:

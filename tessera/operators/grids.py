@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import components
+from ..plans.near import nearest_point
 from ..plans.quantile import quantiles, with_quantiles
 from ..plans.scan import indexed, scan
 from ..plans.stats import join_stats, nz, pearson
-from ..session import durable
+from ..session import durable, written
 from .joins import compare_masks, label_iou
 from .series import fir, gauss_kernel
 
@@ -288,39 +289,32 @@ def int_downscale(img: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 
 def keep_lost_labels(before: DataFrame, after: DataFrame, keys: list[str], shape_b: tuple[int, int], shape_a: tuple[int, int]) -> DataFrame:
-    """Labels lost by resizing come back as one pixel nearest their centre.
+    """Labels lost by resizing come back as one pixel nearest to where their centre falls.
 
-    A free pixel is preferred, else one of a label that has more than one. Each round every lost
-    label asks for its best pixel (in a square wider each time) and the smallest label asking for a
-    pixel gets it. Once the square covers the image and no label finds a place, that is an error.
+    A free pixel is preferred; an image without one gives a pixel of a label that has more. Each round every lost
+    label asks for its nearest pixel, however far, and the smallest label asking for a pixel gets it; a label gives up one
+    pixel a round, so it cannot vanish itself. If no pixel is left to give, that is an error.
     """
     cols = [*keys, "x", "y", "roi_id"]
-    out = after.select(*cols)
-    ring = 0
-    while True:
-        have = out.select(*keys, "roi_id").distinct()
-        lost = before.join(have, [*keys, "roi_id"], "left_anti")
-        if lost.isEmpty():
-            return out
-        grid = [(a, b) for a in range(-ring, ring + 1) for b in range(-ring, ring + 1)]
-        c = join_stats(lost, [*keys, "roi_id"], _mx=F.avg("x"), _my=F.avg("y")).withColumn("_s", F.explode(_offsets(grid)))
-        c = c.withColumn("x", F.col("x") + F.col("_s.dx")).withColumn("y", F.col("y") + F.col("_s.dy"))
-        d = F.pow(F.col("x") - F.col("_mx"), 2) + F.pow(F.col("y") - F.col("_my"), 2)
-        tx = F.greatest(F.least(F.round(F.col("x") * shape_a[0] / shape_b[0]).cast("int"), F.lit(shape_a[0] - 1)), F.lit(0))
-        ty = F.greatest(F.least(F.round(F.col("y") * shape_a[1] / shape_b[1]).cast("int"), F.lit(shape_a[1] - 1)), F.lit(0))
-        held = join_stats(out, [*keys, "roi_id"], _n=F.count("*")).select(*keys, "x", "y", F.col("roi_id").alias("_held"), "_n")
-        c = c.select(*keys, "roi_id", tx.alias("x"), ty.alias("y"), F.round(d, 9).alias("_d")).join(held, [*keys, "x", "y"], "left")
-        c = c.filter(F.col("_held").isNull() | (F.col("_n") > 1))
-        ask = c.groupBy(*keys, "roi_id").agg(F.min(F.struct(F.col("_held").isNotNull().alias("_t"), "_d", "x", "y", "_held")).alias("_b"))
-        won = ask.select(*keys, "roi_id", "_b.x", "_b.y", "_b._held").groupBy(*keys, "x", "y", "_held").agg(F.min("roi_id").alias("roi_id"))
-        # A label gives up one pixel per round, so it cannot vanish itself.
-        one = won.filter("_held is not null").groupBy(*keys, "_held").agg(F.min(F.struct("x", "y", "roi_id")).alias("_b"))
+    out = written(after.select(*keys, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "roi_id"))
+    place = [F.greatest(F.least(F.avg(a) * (m / n), F.lit(float(m - 1))), F.lit(0.0)).alias(a) for a, n, m in zip("xy", shape_b, shape_a)]
+    want = written(before.join(out, [*keys, "roi_id"], "left_anti").groupBy(*keys, "roi_id").agg(*place))
+    grid = want.select(*keys).distinct().withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(shape_a[0] - 1)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(shape_a[1] - 1))))
+    number = F.col("x") * shape_a[1] + F.col("y")
+    while not want.isEmpty():
+        free = written(grid.join(out, [*keys, "x", "y"], "left_anti").withColumn("_n", number))
+        given = join_stats(out.join(free, keys, "left_anti"), [*keys, "roi_id"], _k=F.count("*")).filter("_k > 1")
+        spare = free.withColumn("_held", F.lit(None).cast(out.schema["roi_id"].dataType)).unionByName(given.select(*keys, "x", "y", number.alias("_n"), F.col("roi_id").alias("_held")))
+        ask = nearest_point(want, spare, [*keys, "roi_id"], ["x", "y"], "_n", keys=keys)
+        won = ask.groupBy(*keys, "_n").agg(F.min("roi_id").alias("roi_id")).join(spare, [*keys, "_n"])
+        one = won.filter("_held is not null").groupBy(*keys, "_held").agg(F.min(F.struct("_n", "x", "y", "roi_id")).alias("_b"))
         won = won.filter("_held is null").select(*cols).unionByName(one.select(*keys, "_b.x", "_b.y", "_b.roi_id").select(*cols))
-        won = durable(won)
-        if ring > max(shape_b) and won.isEmpty():
+        won = written(won)
+        if won.isEmpty():
             raise RuntimeError("no free pixel for a lost label")
-        ring += 1
-        out = durable(out.join(won, [*keys, "x", "y"], "left_anti").select(*cols).unionByName(won))
+        out = written(out.join(won, [*keys, "x", "y"], "left_anti").select(*cols).unionByName(won))
+        want = written(want.join(won.select(*keys, "roi_id"), [*keys, "roi_id"], "left_anti"))
+    return out.select(*cols)
 
 
 def blur2d(img: DataFrame, keys: list[str], sigma: float, truncate: float = 4.0, reflect: bool = False) -> DataFrame:

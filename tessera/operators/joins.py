@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.asof import asof
 from ..plans.near import nearest_point
 from ..plans.stats import pearson
+from ..session import once
 
 
 def asof_setting(keys: DataFrame, settings: DataFrame, date: str, setup: str, columns: dict[str, str]) -> DataFrame:
@@ -68,15 +69,31 @@ def box_candidates(segments: DataFrame, cells: DataFrame, size: float) -> DataFr
     return j.drop("_bx", "_by", *[f"_{p}{q}" for p in "lh" for q in "xy"], *[f"_c{p}{q}" for p in "lh" for q in "xy"])
 
 
-def points_in_convex(points: DataFrame, planes: DataFrame, keys: list[str], axes: list[str], tol: float = 0.0) -> DataFrame:
-    """True if the point meets every half plane ``n . p <= d`` of its key's hull (few per hull)."""
+# Half planes of a hull that one row holds.
+PLANES = 1000
+
+
+def points_in_convex(points: DataFrame, planes: DataFrame, keys: list[str], axes: list[str], tol: float = 0.0, most: int = PLANES) -> DataFrame:
+    """True if the point meets every half plane ``n . p <= d`` of its key's hull; false without a hull.
+
+    The planes of a hull travel as arrays of at most ``most``. Hulls of more planes are dealt to several arrays, each met by every point
+    of the key, and a point is inside if it is inside all of them; rows that are equal get equal answers.
+    """
     normals = [f"n_{a}" for a in axes]
-    hull = planes.groupBy(*keys).agg(F.collect_list(F.struct(*normals, "d")).alias("_h"))
+    many = planes.groupBy(*keys).agg(F.ceil(F.count("*") / most).alias("_parts"))
+    part = F.pmod(F.xxhash64(*normals, "d"), F.col("_parts"))
+    dealt = once(planes.join(many, keys).groupBy(*keys, part.alias("_part")).agg(F.collect_list(F.struct(*normals, "d")).alias("_h")))
 
     def inside(h: Column) -> Column:
         return sum((h[n] * F.col(a) for n, a in zip(normals, axes)), F.lit(0.0)) <= h["d"] + tol
 
-    return points.join(hull, keys, "left").withColumn("inside", F.coalesce(F.forall("_h", inside), F.lit(False))).drop("_h")
+    if dealt.filter("_part > 0").isEmpty():
+        return points.join(dealt.drop("_part"), keys, "left").withColumn("inside", F.coalesce(F.forall("_h", inside), F.lit(False))).drop("_h")
+    at = [*keys, *axes]
+    met = points.select(*at).distinct().join(dealt, keys).groupBy(*at).agg(F.every(F.forall("_h", inside)).alias("_in"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in at]
+    out = points.join(met.withColumnsRenamed({c: f"_of_{c}" for c in at}), same, "left")
+    return out.select(*points.columns, F.coalesce("_in", F.lit(False)).alias("inside"))
 
 
 def label_overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

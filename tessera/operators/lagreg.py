@@ -6,15 +6,14 @@ Lag column ``l`` of response ``i`` holds stimulus ``i + l - n_lag - shift + 1``
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from ..plans.scan import halo, indexed, own
+from ..plans.scan import halo, indexed, own, scan
 from ..plans.stats import join_stats, nz, pearson
 from ..session import durable, once, written
 from .datasets import seeded
@@ -73,68 +72,180 @@ def fit_sta_table(resp: DataFrame, stim: DataFrame, keys: list[str], n_lag: int,
     return rf, pred.groupBy(*parts).agg(pearson("y", "y_pred").alias("cc"), F.avg(e * e).alias("mse"))
 
 
-def design(resp: DataFrame, stim: DataFrame, keys: list[str], pixels: list, n_lag: int, shift: int = 0) -> DataFrame:
-    """One row per response with all lagged stimulus values as an array, lag by lag, pixels in order."""
-    wide = stim.groupBy(*keys, "i").agg(*[F.coalesce(F.max(F.when(F.col("px") == p, F.col("x"))), F.lit(0.0)).alias(f"_p{k}") for k, p in enumerate(pixels)])
-    d = resp.select(*keys, "i", "y").join(wide, [*keys, "i"], "left")
-    offs = [l - n_lag - shift + 1 for l in range(n_lag)]
-    cut, w = halo(d, keys, max([-o for o in offs] + [0]), max([*offs, 0]))
-    cols = [F.coalesce((F.lead(f"_p{k}", o) if o > 0 else F.lag(f"_p{k}", -o)).over(w), F.lit(0.0)) for o in offs for k in range(len(pixels))]
-    return own(cut.withColumn("features", F.array(*cols))).select(*keys, "i", "y", "features")
+# What a row of :func:`lag_sums` holds: products of pixels at one lag difference, of responses and pixels, sums of pixels,
+# (n, sum y, sum y^2), stimuli at the start and behind the end of a run.
+PRODUCTS, CROSS, SUMS, MOMENTS, HEAD, TAIL = range(6)
+# Numbers of the stimulus that one chunk holds, and its fewest positions.
+CHUNK_NUMBERS, CHUNK_ROWS = 4_000_000, 1024
 
 
-def products(x: DataFrame, by: list[str], width: int, held: int = 4_000_000) -> DataFrame:
-    """Sums of products of ``(features, 1, y)`` per group of ``by``: ``g``, the upper triangle as an array.
+def _runs(resp: DataFrame, keys: list[str], label: Column) -> DataFrame:
+    """Responses with the start ``run`` of the stretch of consecutive positions with one label they belong to."""
+    d = resp.select(*keys, F.col("i").cast("long").alias("i"), F.col("y").cast("double").alias("y"), label.alias("label")).filter("label is not null")
+    d = scan(d, keys, ["i"], _p=("prev", F.struct("i", "label")))
+    d = d.withColumn("_a", F.when(F.col("_p").isNull() | (F.col("_p.i") != F.col("i") - 1) | (F.col("_p.label") != F.col("label")), F.col("i")))
+    return scan(d.drop("_p"), keys, ["i"], run=("last", F.col("_a"))).drop("_a")
 
-    A task adds up the groups it meets, whole batches at a time, and passes them on when it holds
-    ``held`` numbers or has no more rows; what is passed on is added by a group sum.
-    """
-    m = width + 2
-    upper = np.triu_indices(m)
-    schema = StructType([*[f for f in x.schema.fields if f.name in by], StructField("g", ArrayType(DoubleType()))])
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        have: dict = {}
-
-        def rows() -> pd.DataFrame:
-            return pd.DataFrame([[*key, g[upper]] for key, g in have.items()], columns=[*by, "g"])
-
-        for pdf in batches:
-            for key, part in pdf.groupby(by, sort=False):
-                a = np.column_stack([np.stack(part["features"].to_numpy()), np.ones(len(part)), part["y"].to_numpy(float)])
-                have[key] = have[key] + a.T @ a if key in have else a.T @ a
-            if len(have) * m * m > held:
-                yield rows()
-                have.clear()
-        yield rows()
 
-    g = x.select(*by, "y", "features").mapInPandas(sums, schema)
-    g = g.select(*by, F.posexplode("g").alias("p", "v")).groupBy(*by, "p").agg(F.sum("v").alias("v"))
-    return g.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "v"))), lambda s: s["v"]).alias("g"))
+def lag_sums(resp: DataFrame, stim: DataFrame, keys: list[str], pixels: list, n_lag: int, shift: int = 0, label: Column | None = None, chunk: int | None = None) -> DataFrame:
+    """All sums that a regression on lagged pixels needs, per run of consecutive responses with one label.
 
+    Products of two lagged pixels only depend on the difference of their lags, but for the ends of a run. So
+    a run has pixels^2 x lags of them instead of (pixels x lags)^2, and the few stimuli around its ends from
+    which the rest follows (:class:`LagSystem`). Rows: keys, run, label, ``kind``, ``at``, and an array ``v`` of one number a
+    pixel (or three moments). Recordings are cut into chunks with copied borders, a chunk's sums are
+    matrix products, and they are added up by group sums.
+    """
+    k, first = len(pixels), -n_lag - shift + 1
+    size = chunk or max(CHUNK_ROWS, CHUNK_NUMBERS // max(k, 1))
+    px = F.array(*[F.lit(p) for p in pixels])
+    at = stim.withColumn("_c", (F.array_position(px, F.col("px")) - 1).cast("int")).filter("_c >= 0")
+    x = once(at.groupBy(*keys, F.col("i").cast("long").alias("i")).agg(F.collect_list(F.struct("_c", F.coalesce(F.col("x").cast("double"), F.lit(0.0)).alias("x"))).alias("_x")))
+    x = x.select(*keys, "i", F.col("_x._c").alias("_c"), F.col("_x.x").alias("_v"))
+    runs = once(_runs(resp, keys, F.lit("all") if label is None else label))
+    own = [StructField(f.name, f.dataType) for f in runs.schema.fields if f.name in keys]
+    schema = StructType([*own, *[StructField(n, t) for n, t in (("run", LongType()), ("label", StringType()), ("kind", IntegerType()), ("at", IntegerType()), ("v", ArrayType(DoubleType())))]])
+
+    def sums(rows: pd.DataFrame, wide: pd.DataFrame) -> pd.DataFrame:
+        out: list = []
+        if len(rows):
+            low = int(rows["_chunk"].iloc[0]) * size
+            m = np.zeros((size + n_lag - 1, k))
+            for i, c, v in zip(wide["i"].to_numpy() - low - first, wide["_c"], wide["_v"]):
+                m[i, c] = v
+            for (run, name), part in rows.sort_values("i").groupby(["run", "label"], sort=False):
+                a, n, y = int(part["i"].iloc[0]) - low, len(part), part["y"].to_numpy()
+                y = np.nan_to_num(y)
+                for d in range(n_lag):
+                    here = m[a + d : a + d + n]
+                    out += [(run, name, PRODUCTS, d * k + p, line) for p, line in enumerate(m[a : a + n].T @ here)]
+                    out += [(run, name, CROSS, d, y @ here), (run, name, SUMS, d, here.sum(axis=0))]
+                out.append((run, name, MOMENTS, 0, np.array([n, y.sum(), y @ y])))
+        pdf = pd.DataFrame(out, columns=["run", "label", "kind", "at", "v"])
+        for key in reversed(keys):
+            pdf.insert(0, key, rows[key].iloc[0] if len(rows) else None)
+        return pdf
+
+    spread = F.sequence(F.floor((F.col("i") - first - n_lag + 1) / size), F.floor((F.col("i") - first) / size))
+    left = runs.withColumn("_chunk", F.floor(F.col("i") / size))
+    right = x.withColumn("_chunk", F.explode(spread)).join(left.select(*keys, "_chunk").distinct(), [*keys, "_chunk"], "left_semi")
+    g = left.groupBy(*keys, "_chunk").cogroup(right.groupBy(*keys, "_chunk")).applyInPandas(sums, schema)
+    by = [*keys, "run", "label", "kind", "at"]
+    g = g.select(*by, F.posexplode("v").alias("p", "v")).groupBy(*by, "p").agg(F.sum("v").alias("v"))
+    g = g.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "v"))), lambda s: s["v"]).alias("v"))
+    ends = runs.groupBy(*keys, "run", "label").agg((F.max("i") + 1).alias("_b"))
+    ends = ends.select(*keys, "run", "label", F.explode(F.array(F.struct(F.lit(HEAD).alias("kind"), F.col("run").alias("i")), F.struct(F.lit(TAIL).alias("kind"), F.col("_b").alias("i")))).alias("_e"))
+    ends = ends.withColumn("at", F.explode(F.array(*[F.lit(l) for l in range(n_lag - 1)]) if n_lag > 1 else F.array().cast("array<int>")))
+    ends = ends.select(*keys, "run", "label", "_e.kind", "at", (F.col("_e.i") + first + F.col("at")).alias("i")).join(x, [*keys, "i"])
+    dense = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda p: F.coalesce(F.try_element_at(F.map_from_arrays("_c", "_v"), p), F.lit(0.0)))
+    return g.unionByName(ends.select(*by, dense.alias("v")))
+
+
+class LagSystem:
+    """Normal equations of a regression on lagged pixels over some runs, from rows of :func:`lag_sums`.
+
+    The matrix is block-Toeplitz in the lags (``base``, lags x pixels x pixels) plus, for each end of a run, the outer
+    products of its shifted stimuli (``ends`` with their ``signs``). It is never written out unless asked for.
+    """
 
-def unpacked(g, width: int) -> np.ndarray:
-    """The full symmetric matrix of an upper triangle."""
-    m = width + 2
-    a = np.zeros((m, m))
-    a[np.triu_indices(m)] = g
-    return a + np.triu(a, 1).T
-
+    def __init__(self, rows: pd.DataFrame, pixels: int, lags: int):
+        self.pixels, self.lags = pixels, lags
+        self.base, self.cross, self.sums, self.moments = np.zeros((lags * pixels, pixels)), np.zeros((lags, pixels)), np.zeros((lags, pixels)), np.zeros(3)
+        into = {PRODUCTS: self.base, CROSS: self.cross, SUMS: self.sums}
+        edges: dict = {}
+        for run, kind, at, v in zip(rows["run"], rows["kind"], rows["at"], rows["v"]):
+            if kind in into:
+                into[kind][at] += v
+            elif kind == MOMENTS:
+                self.moments += v
+            else:
+                edges.setdefault((run, kind), np.zeros((lags - 1, pixels)))[at] = v
+        self.base = self.base.reshape(lags, pixels, pixels)
+        ends = [np.concatenate([np.zeros((s, pixels)), e[: lags - s]]) for e in edges.values() for s in range(1, lags)]
+        self.signs = np.array([1.0 if kind == TAIL else -1.0 for _, kind in edges for _ in range(1, lags)])
+        self.ends = np.array(ends).reshape(len(ends), lags, pixels)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        """The matrix times a filter (lags x pixels)."""
+        out = np.tensordot(self.signs * np.tensordot(self.ends, w, 2), self.ends, 1) if len(self.ends) else np.zeros_like(w)
+        for d, m in enumerate(self.base):
+            out[: self.lags - d] += w[d:] @ m.T
+            if d:
+                out[d:] += w[: self.lags - d] @ m
+        return out
 
-def least_squares_rf(resp: DataFrame, stim: DataFrame, keys: list[str], pixels: list, n_lag: int, shift: int = 0) -> DataFrame:
-    """Least-squares filter of every key from its sums of products; one small system per key is solved."""
-    m = n_lag * len(pixels)
-    g = products(design(resp, stim, keys, pixels, n_lag, shift), keys, m)
+    def reduced(self, basis: np.ndarray) -> np.ndarray:
+        """Sums of products of ``(features, 1, y)`` for features that are combinations ``basis`` (lags x features) of the lags of a pixel."""
+        f, k = basis.shape[1], self.pixels
+        g = np.zeros((f, k, f, k))
+        for d, m in enumerate(self.base):
+            c = basis[: self.lags - d].T @ basis[d:]
+            g += np.einsum("ab,pq->apbq", c, m)
+            if d:
+                g += np.einsum("ab,pq->bqap", c, m)
+        g = g.reshape(f * k, f * k)
+        ends = np.einsum("la,rlp->rap", basis, self.ends).reshape(len(self.ends), f * k)
+        n, sy, syy = self.moments
+        sums, cross = (basis.T @ self.sums).ravel(), (basis.T @ self.cross).ravel()
+        whole = np.zeros((f * k + 2, f * k + 2))
+        whole[:-2, :-2] = g + ends.T @ (self.signs[:, None] * ends)
+        whole[:-2, -2] = whole[-2, :-2] = sums
+        whole[:-2, -1] = whole[-1, :-2] = cross
+        whole[-2:, -2:] = [[n, sy], [sy, syy]]
+        return whole
+
+
+def conjugate_gradients(system: LagSystem, tol: float = 1e-13) -> tuple[np.ndarray, bool]:
+    """Least-squares filter of smallest length (lags x pixels), and whether the tolerance was reached."""
+    w, r = np.zeros_like(system.cross), system.cross.copy()
+    p, rr = r.copy(), float((r * r).sum())
+    goal = rr * tol * tol
+    for _ in range(20 * w.size + 100):
+        if rr <= goal:
+            return w, True
+        q = system.dot(p)
+        step = float((p * q).sum())
+        if step <= 0:
+            return w, False
+        w += rr / step * p
+        r -= rr / step * q
+        last, rr = rr, float((r * r).sum())
+        p = r + rr / last * p
+    return w, False
+
+
+# Unknowns up to which a system is written out and solved at once.
+DIRECT = 1500
+
+
+def least_squares_rf(resp: DataFrame, stim: DataFrame, keys: list[str], pixels: list, n_lag: int, shift: int = 0, direct: int = DIRECT, chunk: int | None = None) -> DataFrame:
+    """Least-squares filter of every key (of smallest length if there are several).
+
+    The normal equations come from :func:`lag_sums`; up to ``direct`` unknowns they are solved at once, more by conjugate
+    gradients on the block-Toeplitz form, so memory is lags x pixels^2 numbers a key. ``converged`` is
+    false where these stop before the tolerance.
+    """
+    k = len(pixels)
+    g = lag_sums(resp, stim, keys, pixels, n_lag, shift, chunk=chunk)
+    own = [StructField(f.name, f.dataType) for f in g.schema.fields if f.name in keys]
+    schema = StructType([*own, *[StructField(n, t) for n, t in (("lag", IntegerType()), ("_p", IntegerType()), ("w", DoubleType()), ("converged", BooleanType()))]])
 
-    @F.pandas_udf("array<double>")
-    def solve(g: pd.Series) -> pd.Series:
-        mats = [unpacked(v, m) for v in g]
-        return pd.Series([np.linalg.lstsq(a[:m, :m], a[:m, m + 1], rcond=None)[0] for a in mats])
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        system, done = LagSystem(pdf, k, n_lag), True
+        if n_lag * k <= direct:
+            a = system.reduced(np.eye(n_lag))
+            w = np.linalg.lstsq(a[:-2, :-2], a[:-2, -1], rcond=None)[0]
+        else:
+            w, done = conjugate_gradients(system)
+        lag, p = np.indices((n_lag, k)).reshape(2, -1)
+        out = pd.DataFrame({"lag": lag, "_p": p, "w": w.ravel(), "converged": done})
+        for key in reversed(keys):
+            out.insert(0, key, pdf[key].iloc[0])
+        return out
 
-    k = len(pixels)
     px = F.array(*[F.lit(p) for p in pixels])
-    d = g.select(*keys, F.posexplode(solve("g")).alias("_p", "w"))
-    return d.select(*keys, F.floor(F.col("_p") / k).cast("int").alias("lag"), F.get(px, (F.col("_p") % k).cast("int")).alias("px"), "w")
+    d = g.groupBy(*keys).applyInPandas(solve, schema)
+    return d.select(*keys, "lag", F.get(px, F.col("_p")).alias("px"), "w", "converged")
 
 
 def spline_basis(n: int, df: int) -> np.ndarray:
@@ -173,11 +284,42 @@ def best_hyper(scores: DataFrame, keys: list[str], params: list[str], score: str
     return (m.groupBy(*keys).agg(best) if keys else m.agg(best)).select(*keys, "_b.*")
 
 
-def elastic_net(a: np.ndarray, alpha: float, l1: float, sweeps: int = 1000) -> tuple[np.ndarray, float]:
-    """Weights and intercept from sums of products of ``(features, 1, y)``, by coordinate descent.
+def _descend(r: np.ndarray, c: np.ndarray, w: np.ndarray, alpha: float, l1: float, tol: float, sweeps: int) -> bool:
+    """Coordinate descent on ``w`` in place, from where it is; true once a full sweep moves nothing by more than ``tol``.
+
+    Between full sweeps only coordinates that are not zero are visited, until they settle.
+    """
+    left, spread = c - r @ w, np.diag(r) + alpha * (1 - l1)
+
+    def sweep(over) -> float:
+        most = 0.0
+        for j in over:
+            rest = left[j] + r[j, j] * w[j]
+            new = np.sign(rest) * max(abs(rest) - alpha * l1, 0.0) / spread[j]
+            move = new - w[j]
+            if move:
+                left[:] -= r[:, j] * move
+                w[j] = new
+                most = max(most, abs(move))
+        return most
+
+    for _ in range(sweeps):
+        if sweep(range(len(w))) < tol:
+            return True
+        live = np.flatnonzero(w)
+        for _ in range(sweeps):
+            if sweep(live) < tol:
+                break
+        left[:] = c - r @ w
+    return False
+
+
+def elastic_path(a: np.ndarray, alphas: list[float], l1: float, tol: float = 1e-10, sweeps: int = 10_000) -> dict[float, tuple[np.ndarray, float, bool]]:
+    """Weights, intercept and whether they converged for every penalty, from sums of products of ``(features, 1, y)``.
 
     Minimises half the mean squared error plus ``alpha`` times (``l1`` |w| + (1 - ``l1``) w^2 / 2), with
-    features scaled to unit spread; a feature that does not vary has weight zero.
+    features scaled to unit spread; a feature that does not vary has weight zero. The largest penalty
+    comes first, and each fit starts from the one before.
     """
     m, n = len(a) - 2, a[-2, -2]
     mean, my = a[:m, m] / n, a[m, m + 1] / n
@@ -186,17 +328,21 @@ def elastic_net(a: np.ndarray, alpha: float, l1: float, sweeps: int = 1000) -> t
     live = np.flatnonzero(sd > 1e-9)
     r = cov[np.ix_(live, live)] / np.outer(sd[live], sd[live])
     c = (a[:m, m + 1] / n - mean * my)[live] / sd[live]
-    w = np.zeros(len(live))
-    for _ in range(sweeps):
-        last = w.copy()
-        for j in range(len(live)):
-            rest = c[j] - r[j] @ w + r[j, j] * w[j]
-            w[j] = np.sign(rest) * max(abs(rest) - alpha * l1, 0.0) / (r[j, j] + alpha * (1 - l1))
-        if np.abs(w - last).max(initial=0.0) < 1e-10:
-            break
-    out = np.zeros(m)
-    out[live] = w / sd[live]
-    return out, float(my - mean @ out)
+    w, path = np.zeros(len(live)), {}
+    for alpha in sorted(set(alphas), reverse=True):
+        done = _descend(r, c, w, alpha, l1, tol, sweeps)
+        out = np.zeros(m)
+        out[live] = w / sd[live]
+        path[alpha] = out, float(my - mean @ out), done
+    return path
+
+
+def elastic_net(a: np.ndarray, alpha: float, l1: float) -> tuple[np.ndarray, float]:
+    """Weights and intercept for one penalty (see :func:`elastic_path`); an error if they do not settle."""
+    w, b, done = elastic_path(a, [alpha], l1)[alpha]
+    if not done:
+        raise ArithmeticError("coordinate descent did not converge")
+    return w, b
 
 
 def mean_squared_error(a: np.ndarray, w: np.ndarray, b: float) -> float:
@@ -205,43 +351,48 @@ def mean_squared_error(a: np.ndarray, w: np.ndarray, b: float) -> float:
     return float(v @ a @ v / a[-2, -2])
 
 
-def penalized_rf(resp: DataFrame, stim: DataFrame, keys: list[str], pixels: list, n_lag: int, dfs: list[int], alphas: list[float], l1: float = 0.5, folds: int = 3, gap: int = 0) -> tuple[DataFrame, DataFrame]:
+def penalized_rf(resp: DataFrame, stim: DataFrame, keys: list[str], pixels: list, n_lag: int, dfs: list[int], alphas: list[float], l1: float = 0.5, folds: int = 3, gap: int = 0, chunk: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Smooth filter of every key with an elastic-net penalty; basis size and penalty chosen per key by blocked folds.
 
-    Lags are described by cubic splines, so a filter has ``df`` numbers per pixel. All folds, sizes and
-    penalties of a key are worked out from its sums of products, one set per fold and role, so the rows
-    are read once. Returns the filters with the ``df`` and ``alpha`` chosen, and the mean squared error of
-    every key, fold and parameter set.
+    Lags are described by cubic splines, so a filter has ``df`` numbers per pixel. Rows are read once: a run of
+    responses with the same roles in all folds has its sums (:func:`lag_sums`), and every fold adds up those
+    of its runs. Penalties form a path, each fit starting from the one before. Returns the filters with the
+    ``df`` and ``alpha`` chosen, and for every key, fold and parameter set the mean squared error;
+    ``converged`` tells in both whether the fit reached its tolerance.
     """
-    k, m = len(pixels), n_lag * len(pixels)
-    x = blocked_kfold(design(resp, stim, keys, pixels, n_lag), keys, folds, gap)
-    g = products(x, [*keys, "fold", "role"], m)
+    k = len(pixels)
+    roles = blocked_kfold(resp.select(*keys, "i", "y"), keys, folds, gap)
+    name = F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(":", F.col("fold").cast("string"), "role"))))
+    labelled = roles.groupBy(*keys, "i").agg(F.max("y").alias("y"), name.alias("_roles"))
+    g = lag_sums(labelled, stim, keys, pixels, n_lag, 0, F.col("_roles"), chunk)
     own = [f for f in g.schema.fields if f.name in keys]
-    cols = [("lag", IntegerType()), ("p", IntegerType()), ("w", DoubleType()), ("df", IntegerType()), ("alpha", DoubleType()), ("fold", IntegerType()), ("mse", DoubleType())]
+    cols = [("lag", IntegerType()), ("p", IntegerType()), ("w", DoubleType()), ("df", IntegerType()), ("alpha", DoubleType()), ("fold", IntegerType()), ("mse", DoubleType()), ("converged", BooleanType())]
     schema = StructType([*own, *[StructField(n, t) for n, t in cols]])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        sums = {(f, role): unpacked(v, m) for f, role, v in zip(pdf["fold"], pdf["role"], pdf["g"])}
+        parts = {label: LagSystem(rows, k, n_lag) for label, rows in pdf.groupby("label", sort=True)}
         rows, best = [], None
         for df in dfs:
-            b = spline_basis(n_lag, df)
-            wide = np.block([[np.kron(b, np.eye(k)), np.zeros((m, 2))], [np.zeros((2, b.shape[1] * k)), np.eye(2)]])
-            small = {at: wide.T @ a @ wide for at, a in sums.items()}
+            basis = spline_basis(n_lag, df)
+            small = {label: part.reduced(basis) for label, part in parts.items()}
+            total: dict = {}
+            for f in range(folds):
+                have = {role: sum(a for label, a in small.items() if f"{f}:{role}" in label.split(",")) for role in ("train", "dev")}
+                if np.ndim(have["train"]) and np.ndim(have["dev"]):
+                    for alpha, (w, b, done) in elastic_path(have["train"], alphas, l1).items():
+                        mse = mean_squared_error(have["dev"], w, b)
+                        total.setdefault(alpha, []).append(mse)
+                        rows.append((None, None, None, df, alpha, f, mse, done))
             for alpha in alphas:
-                mse = []
-                for f in range(folds):
-                    if (f, "train") in small and (f, "dev") in small:
-                        mse.append(mean_squared_error(small[f, "dev"], *elastic_net(small[f, "train"], alpha, l1)))
-                        rows.append((None, None, None, df, alpha, f, mse[-1]))
-                if mse and (best is None or np.mean(mse) < best[0]):
-                    best = (np.mean(mse), df, alpha)
+                if alpha in total and (best is None or np.mean(total[alpha]) < best[0]):
+                    best = (np.mean(total[alpha]), df, alpha)
         if best:
             _, df, alpha = best
-            b = spline_basis(n_lag, df)
-            wide = np.block([[np.kron(b, np.eye(k)), np.zeros((m, 2))], [np.zeros((2, b.shape[1] * k)), np.eye(2)]])
-            whole = sum(a for (_, role), a in sums.items() if role == "dev")
-            w = np.kron(b, np.eye(k)) @ elastic_net(wide.T @ whole @ wide, alpha, l1)[0]
-            rows += [(i // k, i % k, float(v), df, alpha, None, None) for i, v in enumerate(w)]
+            basis = spline_basis(n_lag, df)
+            whole = sum(part.reduced(basis) for part in parts.values())
+            w, _, done = elastic_path(whole, [a for a in alphas if a >= alpha], l1)[alpha]
+            w = basis @ w.reshape(basis.shape[1], k)
+            rows += [(i // k, i % k, float(v), df, alpha, None, None, done) for i, v in enumerate(w.ravel())]
         out = pd.DataFrame(rows, columns=[n for n, _ in cols])
         for c in ("lag", "p", "df", "fold"):
             out[c] = out[c].astype("Int32")
@@ -251,8 +402,8 @@ def penalized_rf(resp: DataFrame, stim: DataFrame, keys: list[str], pixels: list
 
     out = written(g.groupBy(*keys).applyInPandas(solve, schema))
     px = F.array(*[F.lit(p) for p in pixels])
-    rf = out.filter("lag is not null").select(*keys, "lag", F.get(px, F.col("p")).alias("px"), "w", "df", "alpha")
-    return rf, out.filter("fold is not null").select(*keys, "df", "alpha", "fold", "mse")
+    rf = out.filter("lag is not null").select(*keys, "lag", F.get(px, F.col("p")).alias("px"), "w", "df", "alpha", "converged")
+    return rf, out.filter("fold is not null").select(*keys, "df", "alpha", "fold", "mse", "converged")
 
 
 def permutation_scores(rf: DataFrame, stim: DataFrame, resp: DataFrame, keys: list[str], n_lag: int, n: int, seed: int, shift: int = 0) -> DataFrame:
@@ -327,6 +478,25 @@ def separate_rf(rf: DataFrame, keys: list[str], n_lag: int) -> tuple[DataFrame,
     return srf, trf, qi
 
 
+def separate_image_rf(rf: DataFrame, keys: list[str], n_lag: int, shape: tuple[int, int], blur: float = 0.0, blur_pixels: int = 1, scale: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rank-1 split of a filter over images, ``(lag, x, y, w)``: space ``(x, y, w)``, time and explained share as in :func:`separate_rf`.
+
+    With ``blur`` (spread in pixels, cut after ``blur_pixels``) the image of every lag is smoothed first, edges held; with ``scale`` above 1
+    the spatial part comes on a grid that many times finer, bilinear.
+    """
+    from .grids import blur2d, rescale
+
+    img = rf.select(*keys, "lag", "x", "y", F.col("w").alias("v"))
+    if blur > 0:
+        img = blur2d(img, [*keys, "lag"], blur, math.floor(blur_pixels / blur))
+    flat = once(img.select(*keys, "lag", (F.col("x") * shape[1] + F.col("y")).alias("px"), F.col("v").alias("w")))
+    srf, trf, qi = separate_rf(flat, keys, n_lag)
+    srf = srf.select(*keys, F.floor(F.col("px") / shape[1]).cast("int").alias("x"), (F.col("px") % shape[1]).cast("int").alias("y"), F.col("w").alias("v"))
+    if scale > 1:
+        srf = rescale(once(srf), keys, shape, scale, 1)
+    return srf.withColumnRenamed("v", "w"), trf, qi
+
+
 def merge_rf(srf: DataFrame, trf: DataFrame, keys: list[str]) -> DataFrame:
     """Outer product of the spatial and the temporal part."""
     t = trf.select(*keys, "lag", F.col("w").alias("_t"))

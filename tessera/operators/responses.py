@@ -218,12 +218,25 @@ def rep_transience(snips: DataFrame, starts: DataFrame, keys: list[str], dt: flo
     return d.groupBy(*keys).agg(F.avg(1 - F.col("y") / nz(F.col("_y"))).alias("transience_index"))
 
 
-def size_tuning(snips: DataFrame, keys: list[str], n_base: int, peak: tuple[int, int], quality_sizes: list[int]) -> DataFrame:
+def preferred_colour(tuning: DataFrame, keys: list[str], pair: tuple[str, str]) -> DataFrame:
+    """Colour of a pair whose tuning curve has the higher peak (``pref_colour``): the first only if it is strictly higher.
+
+    ``tuning`` is the result of :func:`size_tuning` with ``curves``. A key without one of the colours prefers the other, one without both none.
+    """
+    a, b = pair
+    top = [F.max(F.when(F.col("colour") == c, F.col("pref_tuning"))) for c in pair]
+    d = tuning.groupBy(*keys).agg(top[0].alias("_a"), top[1].alias("_b"))
+    first = (F.col("_a") > F.col("_b")) | (F.col("_a").isNotNull() & F.col("_b").isNull())
+    return d.select(*keys, F.when(first, a).when(F.col("_b").isNotNull(), b).alias("pref_colour"))
+
+
+def size_tuning(snips: DataFrame, keys: list[str], n_base: int, peak: tuple[int, int], quality_sizes: list[int], curves: bool = False) -> DataFrame:
     """Tuning by size for each colour from repeated spots ``(colour, size, rep, j, y)``.
 
     Repetitions without all samples up to the peak window drop out. Peaks are taken above the
     baseline median and scaled by the largest peak of the repetition (at least 1). Preferred size,
-    surround index of the largest size, number of repetitions and repeat quality per colour.
+    surround index of the largest size, number of repetitions and repeat quality per colour; with ``curves``
+    also the tuning at the preferred size (``pref_tuning``) and the whole curve, ascending sizes with their tuning.
     """
     a, b = peak
     snips = once(snips)
@@ -236,10 +249,11 @@ def size_tuning(snips: DataFrame, keys: list[str], n_base: int, peak: tuple[int,
     p = join_stats(p, [*keys, "rep"], _top=F.greatest(F.max("peak"), F.lit(1.0))).withColumn("peak", F.col("peak") / F.col("_top"))
     curve = p.groupBy(*keys, "colour", "size").agg(F.avg("peak").alias("tuning"), F.count("*").alias("n"))
     d = curve.groupBy(*keys, "colour").agg(
-        F.max_by(F.struct("size", "tuning"), F.struct("tuning", -F.col("size"))).alias("_p"), F.max_by("tuning", "size").alias("_l"), F.max("n").alias("n_reps")
+        F.max_by(F.struct("size", "tuning"), F.struct("tuning", -F.col("size"))).alias("_p"), F.max_by("tuning", "size").alias("_l"), F.max("n").alias("n_reps"),
+        F.sort_array(F.collect_list(F.struct("size", "tuning"))).alias("curve"),
     )
     si = F.greatest(F.col("_l") / nz(F.col("_p.tuning")), F.lit(0.0)) - 1
-    d = d.select(*keys, "colour", F.col("_p.size").alias("pref_size"), si.alias("surround_index"), "n_reps")
+    d = d.select(*keys, "colour", F.col("_p.size").alias("pref_size"), si.alias("surround_index"), "n_reps", *([F.col("_p.tuning").alias("pref_tuning"), "curve"] if curves else []))
     q = s.filter(F.col("size").isin(quality_sizes)).withColumn("rep", F.struct("size", "rep"))
     q = repeat_quality(q, [*keys, "colour"]).select(*keys, "colour", "qidx")
     return d.join(q, [*keys, "colour"], "left")

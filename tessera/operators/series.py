@@ -12,13 +12,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..plans.asof import asof, closer
 from ..plans.quantile import quantiles, with_quantiles
-from ..plans.scan import halo, indexed, largest, own, scan
+from ..plans.scan import halo, indexed, largest, own, scan, task_rows
 from ..plans.stats import join_stats, nz
-from ..session import durable, once
+from ..session import durable, once, written
 
 CHUNK = 65_536
 
@@ -165,20 +165,46 @@ def snippet_triggers(triggers: DataFrame, starts: DataFrame, keys: list[str], n_
     return g.join(starts.select(*keys, "rep"), [*keys, "rep"], "left_semi")
 
 
-def group_snippets(samples: DataFrame, triggers: DataFrame, keys: list[str], trials: list[tuple[str, int, int]], tol: float | None = None) -> DataFrame:
+def group_snippets(samples: DataFrame, triggers: DataFrame, keys: list[str], trials: list[tuple[str, int, int]], tol: float | None = None, delay: float = 0.0, stack: str | None = None, rtol: float = 0.1) -> DataFrame:
     """Cut by a trial list ``(name, triggers, triggers per piece)`` and number the pieces of a name.
 
-    A piece runs from its first trigger to the first trigger of the next piece; the last one ends
-    before the last sample. The last piece of a name is cut to the longest of the others.
+    A piece runs from its first trigger to the first trigger of the next piece, both moved by ``delay``; the last
+    one ends before the last sample. The last piece of a name is cut to the longest of the others. With ``stack`` the pieces of
+    a name get one length: the shortest (``truncate``, an error if lengths differ by more than ``rtol`` of their
+    mean) or the longest (``pad``, values and times beyond a piece's end are null).
     """
+    d = _pieces(samples, triggers, keys, trials, tol, delay)
+    if stack is None:
+        return snippet_join(d, samples, keys, ["name"])
+    if stack not in ("truncate", "pad"):
+        raise ValueError(stack)
+    d = join_stats(d, [*keys, "name"], _min=F.min("n_frames"), _max=F.max("n_frames"), _mean=F.avg("n_frames"))
+    if stack == "truncate":
+        far = (F.col("_max") - F.col("_min")) / F.col("_mean") > rtol
+        size = F.when(far, F.raise_error(F.lit(f"lengths differ by more than {rtol}")).cast("long")).otherwise(F.col("_min"))
+        return snippet_join(d.withColumn("n_frames", size), samples, keys, ["name"])
+    want = explode_range(d.select(*keys, "rep", "name", "i0", F.col("n_frames").alias("_own"), "_max"), F.col("_max"), "j")
+    want = want.withColumn("i", F.when(F.col("j") < F.col("_own"), F.col("i0") + F.col("j")))
+    return want.join(samples.select(*keys, "i", "t", "y"), [*keys, "i"], "left").select(*keys, "rep", "name", "j", "t", "y")
+
+
+def _trial_starts(trials: list[tuple[str, int, int]]) -> tuple[list[tuple[int, str, int]], int]:
+    """First trigger, name and triggers of every piece of a cycle, and the triggers of a cycle."""
     pieces, off = [], 0
-    for pos, (name, n, split) in enumerate(trials):
-        pieces += [(off + s, pos, name, split) for s in range(0, n, split)]
+    for name, n, split in trials:
+        pieces += [(off + s, name, split) for s in range(0, n, split)]
         off += n
-    lookup = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(nm).alias("name"), F.lit(sp).alias("split")) for o, _, nm, sp in pieces])
+    return pieces, off
+
+
+def _pieces(samples: DataFrame, triggers: DataFrame, keys: list[str], trials: list[tuple[str, int, int]], tol: float | None, delay: float) -> DataFrame:
+    """First sample and length of every piece: keys, k, name, rep, i0, n_frames."""
+    pieces, off = _trial_starts(trials)
+    lookup = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(nm).alias("name"), F.lit(sp).alias("split")) for o, nm, sp in pieces])
     hit = F.filter(lookup, lambda p: p["o"] == F.col("k") % off)
     big = largest(triggers, keys)
-    at = durable(_within(nearest_index(triggers.select(*keys, "k", "t"), samples, keys, tol, bound=big), tol))
+    at = triggers.select(*keys, "k", (F.col("t") + delay).alias("t") if delay else "t")
+    at = durable(_within(nearest_index(at, samples, keys, tol, bound=big), tol))
     start = at.withColumn("_p", F.get(hit, 0)).filter("_p is not null")
     start = start.select(*keys, "k", F.col("si").alias("i0"), "_p.name", (F.col("k") + F.col("_p.split")).alias("_next"))
     end = at.select(*keys, F.col("k").alias("_next"), F.col("si").alias("_end"))
@@ -191,7 +217,16 @@ def group_snippets(samples: DataFrame, triggers: DataFrame, keys: list[str], tri
     most = d.filter(F.col("rep") < F.col("_lr")).groupBy(*keys, "name").agg(F.max("n_frames").alias("_most"))
     d = d.join(most, [*keys, "name"], "left")
     cut = F.when(F.col("rep") == F.col("_lr"), F.least(F.col("n_frames"), F.coalesce("_most", "n_frames"))).otherwise(F.col("n_frames"))
-    return snippet_join(d.withColumn("n_frames", cut), samples, keys, ["name"])
+    return d.select(*keys, "k", "name", "rep", "i0", cut.alias("n_frames"))
+
+
+def group_completeness(samples: DataFrame, triggers: DataFrame, keys: list[str], trials: list[tuple[str, int, int]], tol: float | None = None, delay: float = 0.0) -> DataFrame:
+    """Cycles of the trial list per key, pieces found in them, and whether the last cycle is cut short (``dropped_last``)."""
+    pieces, off = _trial_starts(trials)
+    found = _pieces(samples, triggers, keys, trials, tol, delay).groupBy(*keys).agg(F.count("*").alias("n_pieces"))
+    cycles = triggers.groupBy(*keys).agg(F.ceil((F.max("k") + 1) / off).alias("n_cycles"))
+    d = cycles.join(found, keys, "left").withColumn("n_pieces", F.coalesce("n_pieces", F.lit(0)))
+    return d.withColumn("dropped_last", (F.col("n_pieces") < F.col("n_cycles") * len(pieces)).cast("int"))
 
 
 def clamp_edges(samples: DataFrame, keys: list[str], nmin: tuple[int, int] = (0, 0), nmax: tuple[int, int] = (3, 3)) -> DataFrame:
@@ -380,21 +415,107 @@ def repair_steps(samples: DataFrame, keys: list[str], rtol: float = 0.1) -> Data
     return samples.select(*keys, "i", "t", "y").join(bad, keys, "left_anti").unionByName(even)
 
 
-def smooth_detrend(samples: DataFrame, keys: list[str], cutoff: float | None = None, window_s: float | None = None, order: int = 3) -> DataFrame:
-    """Low-pass (3 dB point in Hz), then minus a moving polynomial fit over ``window_s`` seconds.
+# Samples of a recording, and of a window, up to which a window is fitted inside a task.
+LONG = 131_072
+
+
+def power_sum(a: int, b: int, k: int) -> int:
+    """Sum of j^k for whole j from ``a`` to ``b``, exact and without a loop over j."""
+
+    def upto(n: int) -> int:
+        # Sum for 0..n by divided differences through k + 2 points.
+        values = [sum(j**k for j in range(x + 1)) for x in range(k + 2)]
+        total, choose = 0, 1
+        for r in range(k + 2):
+            total += choose * values[0]
+            values = [q - p for p, q in zip(values, values[1:])]
+            choose = choose * (n - r) // (r + 1)
+        return total
+
+    def below(n: int) -> int:
+        return upto(n) if n >= 0 else (upto(-n - 1) - (k == 0)) * (1 if k % 2 else -1)
+
+    return below(b) - below(a - 1) if b >= a else 0
+
+
+def fit_terms(window: int, order: int) -> np.ndarray:
+    """Inverse of the sums of products of powers of j / m over a window of 2 m + 1 samples.
+
+    Its first row gives the weights, as a polynomial in j / m, of the fitted value in the middle.
+    """
+    m = (window - 1) // 2
+    a = [[power_sum(-m, m, r + s) / max(m, 1) ** (r + s) for s in range(order + 1)] for r in range(order + 1)]
+    return np.linalg.inv(np.array(a))
+
+
+def folded_kernel(taps, half: int, n: int, mass) -> np.ndarray:
+    """Weights of a kernel for a recording of ``n`` samples that holds its edge values.
+
+    ``taps(j)`` are the weights of offsets j. Offsets of n - 1 and more always meet the edge, so their summed weight, ``mass(a, b)`` for offsets
+    a to b, is put on the last one; no kernel is longer than the recording.
+    """
+    h = min(half, max(n - 1, 0))
+    w = taps(np.arange(-h, h + 1, dtype=float))
+    if h == 0:
+        w[0] = mass(-half, half)
+    elif h < half:
+        w[0], w[-1] = mass(-half, -h), mass(h, half)
+    return w
+
+
+def smoothing_kernel(sigma: float, n: int) -> np.ndarray:
+    """Gaussian kernel of four spreads to either side, folded to ``n`` samples."""
+    half = int(4 * sigma + 0.5)
+    if half < n:
+        return np.array(gauss_kernel(sigma))
+
+    def summed(a: int, b: int) -> float:
+        # Beyond a million samples the sum and the integral differ by less than rounding.
+        if b - a < 1_000_000:
+            return float(np.exp(-0.5 * (np.arange(a, b + 1) / sigma) ** 2).sum())
+        return sigma * math.sqrt(math.pi / 2) * (math.erf((b + 0.5) / sigma / math.sqrt(2)) - math.erf((a - 0.5) / sigma / math.sqrt(2)))
+
+    total = summed(-half, half)
+    return folded_kernel(lambda j: np.exp(-0.5 * (j / sigma) ** 2) / total, half, n, lambda a, b: summed(a, b) / total)
+
+
+def trend_kernel(window: int, order: int, n: int) -> np.ndarray:
+    """Weights of the moving polynomial fit in the middle of a window, folded to ``n`` samples."""
+    m, a = window // 2, fit_terms(window, order)[0]
+    return folded_kernel(lambda j: sum(c * (j / m) ** k for k, c in enumerate(a)), m, n, lambda lo, hi: float(sum(c * (power_sum(lo, hi, k) / m**k) for k, c in enumerate(a))))
+
+
+def held_convolution(y: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """Centred weighted sums of a series whose edge values are held; long kernels through the Fourier transform."""
+    padded = np.pad(y, len(kernel) // 2, mode="edge")
+    if len(kernel) < 1024 or np.isnan(y).any():
+        return np.convolve(padded, kernel[::-1], mode="valid")
+    size = 1 << (len(padded) + len(kernel)).bit_length()
+    whole = np.fft.irfft(np.fft.rfft(padded, size) * np.fft.rfft(kernel[::-1], size), size)
+    return whole[len(kernel) - 1 : len(padded)]
+
+
+def smooth_detrend(samples: DataFrame, keys: list[str], cutoff: float | None = None, window_s: float | None = None, order: int = 3, long: int = LONG, sigma_s: float | None = None) -> DataFrame:
+    """Low-pass (3 dB point in Hz, or a Gaussian of ``sigma_s`` seconds), then minus a moving polynomial fit over ``window_s`` seconds.
 
     Both lengths are turned into samples by the rate of each recording, so recordings of different
-    rates can share a table. One pass over index chunks, whose copied borders are as wide as the
-    longest kernel and window together; the first and last window of a recording are fitted whole, a
-    recording shorter than its window holds its edge values.
+    rates can share a table. One pass over index chunks; their size and their copied borders are those
+    of the recording. The first and last window of a recording are fitted whole, a recording shorter than its window
+    holds its edge values. Windows of more than ``long`` samples in a recording of more than that are
+    fitted from running sums instead (:func:`_detrend_long`), so no task holds a window.
     """
     samples = once(samples)
+    spread = sigma_s or (math.sqrt(math.log(2.0)) / (2 * math.pi * cutoff) if cutoff else 0.0)
     rate = F.coalesce((F.count("*") - 1) / nz(F.max("t") - F.min("t")), F.lit(0.0))
     rates = samples.groupBy(*keys).agg((F.max("i") + 1).alias("_n"), rate.alias("_fs"))
-    top = rates.agg(F.max("_fs")).first()[0] or 0.0
-    spread = math.sqrt(math.log(2.0)) / (2 * math.pi * cutoff) if cutoff else 0.0
-    reach = int(4 * spread * top + 0.5) + (int(window_s * top) + 1 if window_s else 0)
-    cut, _ = halo(samples.join(rates, keys), keys, reach, reach)
+    window = F.floor(F.col("_fs") * float(window_s or 0.0)).cast("long")
+    rates = rates.withColumn("_w", window - 1 + F.pmod(window, F.lit(2))).withColumn("_w", F.when(F.col("_w") > order, F.col("_w")).otherwise(0))
+    rates = rates.withColumn("_long", (F.col("_w") > long) & (F.col("_n") > long))
+    reach = F.least(F.floor(F.col("_fs") * (4 * spread) + 0.5), F.col("_n")) + F.when(F.col("_long"), 0).otherwise(F.least("_w", "_n"))
+    rates = once(rates.withColumn("_reach", reach.cast("long")).withColumn("_size", F.greatest(F.lit(CHUNK), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest("_reach", F.lit(1)))))).cast("long")))
+    cut = samples.join(rates, keys)
+    lo, hi = F.greatest(F.floor((F.col("i") - F.col("_reach")) / F.col("_size")), F.lit(0)), F.floor((F.col("i") + F.col("_reach")) / F.col("_size"))
+    cut = cut.withColumn("_chunk", F.explode(F.sequence(lo, F.least(hi, F.floor((F.col("_n") - 1) / F.col("_size")))))).withColumn("_own", F.col("_chunk") == F.floor(F.col("i") / F.col("_size")))
     schema = StructType([*[f for f in samples.schema.fields if f.name != "y"], StructField("y", DoubleType()), StructField("_own", BooleanType())])
 
     rest = [c for c in samples.columns if c != "y"]
@@ -402,26 +523,100 @@ def smooth_detrend(samples: DataFrame, keys: list[str], cutoff: float | None = N
     def filtered(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
         y, i = pdf["y"].to_numpy(dtype=float), pdf["i"].to_numpy()
-        n, fs = int(pdf["_n"].iloc[0]), float(pdf["_fs"].iloc[0])
+        n, fs, window = int(pdf["_n"].iloc[0]), float(pdf["_fs"].iloc[0]), 0 if pdf["_long"].iloc[0] else int(pdf["_w"].iloc[0])
         if spread * fs > 0:
-            ker = np.array(gauss_kernel(spread * fs))
-            y = np.convolve(np.pad(y, len(ker) // 2, mode="edge"), ker, mode="valid")
-        window = int(window_s * fs) if window_s else 0
-        window -= 1 - window % 2
-        if window > order:
-            m, q = window // 2, poly_basis(window, order)
-            trend = np.convolve(np.pad(y, m, mode="edge"), (q @ q[m])[::-1], mode="valid")
-            if n >= window and i[0] == 0:
-                trend[:m] = (q @ (q.T @ y[:window]))[:m]
-            if n >= window and i[-1] == n - 1:
-                trend[len(y) - m :] = (q @ (q.T @ y[-window:]))[window - m :]
+            y = held_convolution(y, smoothing_kernel(spread * fs, n))
+        if window:
+            m = window // 2
+            trend = held_convolution(y, trend_kernel(window, order, n))
+            if n >= window:
+                q = poly_basis(window, order)
+                if i[0] == 0:
+                    trend[:m] = (q @ (q.T @ y[:window]))[:m]
+                if i[-1] == n - 1:
+                    trend[len(y) - m :] = (q @ (q.T @ y[-window:]))[window - m :]
             y = y - trend
         out = pdf[rest].copy()
         out["y"] = pd.Series(y, index=pdf.index).astype(object).where(~np.isnan(y), None)
         out["_own"] = pdf["_own"]
         return out
 
-    return cut.groupBy(*keys, "_chunk").applyInPandas(filtered, schema).filter("_own").select(*samples.columns)
+    out = cut.groupBy(*keys, "_chunk").applyInPandas(filtered, schema).filter("_own").select(*samples.columns)
+    wide = rates.filter("_long").select(*keys, "_n", "_w")
+    if not window_s or wide.isEmpty():
+        return out
+    out = once(out)
+    return out.join(wide, keys, "left_anti").unionByName(_detrend_long(out.join(wide, keys), keys, order).select(*samples.columns))
+
+
+def _detrend_long(d: DataFrame, keys: list[str], order: int) -> DataFrame:
+    """Minus a moving polynomial fit over windows of ``_w`` = 2 m + 1 samples, from running sums.
+
+    The fit in the middle of a window is a weighted sum of the moments of its samples. Recordings are cut into blocks of m + 1 samples with
+    running sums of y u^r, u counted from the start of the block in units of m; a window is the end of one block, perhaps a whole
+    one, and the start of another, so its moments come from two joins on shifted positions and lose no digits.
+    The fits of the first and last window come from the moments of these. Values held beyond the edges have closed sums of powers.
+    """
+    if order > 5:
+        raise ValueError("a polynomial of degree 5 at most")
+    powers = range(order + 1)
+    i, n, m = F.col("i"), F.col("_n"), ((F.col("_w") - 1) / 2).cast("long")
+
+    @F.pandas_udf("array<double>")
+    def terms(w: pd.Series) -> pd.Series:
+        return pd.Series([fit_terms(int(x), order).ravel() for x in w])
+
+    def moment(k: int, sums: Column, block: Column) -> Column:
+        """Sum of ((u - i) / m)^k y over samples whose sums, counted from the start of their block, are given."""
+        c = (block * (m + 1) - i) / m
+        return sum((F.lit(float(math.comb(k, r))) * F.pow(c, F.lit(float(k - r))) * sums[r] for r in range(k + 1)), F.lit(0.0))
+
+    def held(k: int, a: Column, b: Column) -> Column:
+        """Sum of (j / m)^k for whole j from ``a`` to ``b``, an even power, zero if there are none."""
+        def upto(x: Column) -> Column:
+            x = x.cast("double")
+            if k == 0:
+                return x
+            if k == 2:
+                return x * (x + 1) * (2 * x + 1) / 6
+            return x * (x + 1) * (2 * x + 1) * (3 * x * x + 3 * x - 1) / 30
+        return F.when(b >= a, (upto(b) - upto(a - 1)) / F.pow(m.cast("double"), F.lit(float(k)))).otherwise(0.0)
+
+    d = d.withColumn("_part", F.floor(i / (m + 1))).withColumn("_u", (i - F.col("_part") * (m + 1)) / m)
+    own = {f"_v{r}": F.coalesce(F.col("y"), F.lit(0.0)) * F.pow("_u", F.lit(float(r))) for r in powers}
+    d = d.withColumns(own)
+    runs = once(scan(d, [*keys, "_part"], ["i"], **{f"_p{r}": ("sum", F.col(f"_v{r}")) for r in powers}))
+    upto = F.array(*[F.col(f"_p{r}") for r in powers])
+    before = F.array(*[F.col(f"_p{r}") - F.col(f"_v{r}") for r in powers])
+    at = runs.select(*keys, "i", "_part", upto.alias("_s"), before.alias("_e"))
+    whole = runs.groupBy(*keys, "_part").agg(F.array(*[F.sum(f"_v{r}") for r in powers]).alias("_t"))
+    rest = once(at.join(whole, [*keys, "_part"]).select(*keys, "i", "_part", F.zip_with("_t", "_e", lambda t, e: t - e).alias("_q"), "_e"))
+    x = runs.drop(*own, *[f"_p{r}" for r in powers], "_u", "_part").withColumns({"_hi": F.least(i + m, n - 1), "_lo": F.greatest(i - m, F.lit(0))})
+    x = x.join(at.select(*keys, F.col("i").alias("_hi"), F.col("_part").alias("_bh"), F.col("_s").alias("_h")), [*keys, "_hi"])
+    x = x.join(rest.select(*keys, F.col("i").alias("_lo"), F.col("_part").alias("_bl"), "_q", "_e"), [*keys, "_lo"])
+    x = x.join(whole.select(*keys, (F.col("_part") - 1).alias("_bl"), F.col("_t").alias("_mid")), [*keys, "_bl"], "left")
+    none = F.array(*[F.lit(0.0) for _ in powers])
+    left = F.when(F.col("_bl") == F.col("_bh"), F.transform("_e", lambda v: -v)).otherwise(F.col("_q"))
+    mid = F.when(F.col("_bh") - F.col("_bl") == 2, F.col("_mid")).otherwise(none)
+    moments = F.array(*[moment(k, left, F.col("_bl")) + moment(k, F.coalesce(mid, none), F.col("_bl") + 1) + moment(k, F.col("_h"), F.col("_bh")) for k in powers])
+    x = once(x.select(*d.drop(*own, "_u", "_part").columns, moments.alias("_m")))
+    ends = x.groupBy(*keys).agg(F.max("_w").alias("_w"), F.min_by("y", "i").alias("_y0"), F.max_by("y", "i").alias("_y1"), F.max(F.when(i == m, F.col("_m"))).alias("_f"), F.max(F.when(i == n - 1 - m, F.col("_m"))).alias("_l"))
+    ends = ends.withColumn("_t", terms("_w"))
+    coefs = {c: F.array(*[sum((F.col("_t")[r * (order + 1) + k] * F.col(c)[k] for k in powers), F.lit(0.0)) for r in powers]) for c in ("_f", "_l")}
+    # Written, so that the Python function runs for a row per recording, not per sample.
+    ends = once(ends.withColumns(coefs).drop("_w"))
+    x = x.join(ends, keys)
+    middle = F.lit(0.0)
+    for k in powers:
+        if k % 2 == 0:
+            beyond = F.col("_y0") * held(k, -m, -i - 1) + F.col("_y1") * held(k, n - i, m)
+            middle = middle + F.col("_t")[k] * (F.col("_m")[k] + beyond)
+
+    def fitted(coef: str, centre: Column) -> Column:
+        return sum((F.col(coef)[k] * F.pow((i - centre) / m, F.lit(float(k))) for k in powers), F.lit(0.0))
+
+    trend = F.when((n >= F.col("_w")) & (i < m), fitted("_f", m)).when((n >= F.col("_w")) & (i >= n - m), fitted("_l", n - 1 - m)).otherwise(middle)
+    return x.withColumn("y", F.col("y") - trend)
 
 
 def preprocess(samples: DataFrame, t0: DataFrame, keys: list[str], params: list[dict]) -> DataFrame:
@@ -544,8 +739,9 @@ def runs(series: DataFrame, keys: list[str]) -> DataFrame:
 def find_peaks(series: DataFrame, keys: list[str], height: str | float | None = None, prominence: float | None = None) -> DataFrame:
     """Local maxima (middle of a plateau, never at the ends) with height and prominence limits.
 
-    ``height`` may name a column of per-key limits. Prominence walks from maximum to maximum by
-    pointer jumping, an equi-join per round, until every maximum has met a higher one or an end.
+    ``height`` may name a column of per-key limits. For prominence a stack of open maxima runs over blocks of
+    maxima, a task each; only maxima that no other of their block exceeds go on to the blocks
+    beside it (:func:`_bases`).
     """
     r = runs(series, keys)
     top = (F.col("before").isNull() | (F.col("before") < F.col("y"))) & (F.col("after").isNull() | (F.col("after") < F.col("y")))
@@ -563,7 +759,7 @@ def find_peaks(series: DataFrame, keys: list[str], height: str | float | None =
         inf = F.lit(float("inf"))
         nxt = valley.withColumn("p", F.col("p") - 1)
         sides = [tops.join(v, [*keys, "p"], "left").select(*keys, F.lit(o).alias("side"), "p", "y", (F.col("p") + o).alias("q"), F.coalesce("v", inf).alias("m")) for v, o in ((valley, -1), (nxt, 1))]
-        base = _climb(sides[0].unionByName(sides[1]), [*keys, "side"])
+        base = _bases(sides[0].unionByName(sides[1]), last, keys)
         base = base.groupBy(*keys, "p").agg(F.max("m").alias("_base"))
         out = tops.filter("_inner").join(base, [*keys, "p"])
         out = out.withColumn("prominence", F.col("y") - F.col("_base")).filter(F.col("prominence") >= prominence)
@@ -572,6 +768,43 @@ def find_peaks(series: DataFrame, keys: list[str], height: str | float | None =
     return out.select(*keys, F.expr("(i0 + i1) div 2").alias("i"), "y", *(["prominence"] if prominence is not None else []))
 
 
+def _bases(sides: DataFrame, last: DataFrame, keys: list[str], block: int = CHUNK) -> DataFrame:
+    """Lowest value ``m`` between every maximum ``p`` and the next higher one (or the end) on each side.
+
+    Within a block of consecutive maxima a stack of those not exceeded so far gives the answer in one pass. A maximum
+    left open looks on from the border of its block, along the maxima that are open towards it
+    in the blocks there; without such borders there are no rounds.
+    """
+    block = min(block, task_rows(sides))
+    own = [f for f in sides.schema.fields if f.name in keys]
+    schema = StructType([*own, *[StructField(n, t) for n, t in (("side", IntegerType()), ("p", LongType()), ("y", DoubleType()), ("q", LongType()), ("m", DoubleType()), ("open", BooleanType()), ("seen", BooleanType()))]])
+
+    def stack(pdf: pd.DataFrame) -> pd.DataFrame:
+        step = -int(pdf["side"].iloc[0])
+        pdf = pdf.sort_values("p", ascending=step > 0)
+        at, y, low = pdf["p"].to_numpy(), pdf["y"].to_numpy(float), pdf["m"].to_numpy(float).copy()
+        to, higher = np.empty(len(at), dtype=np.int64), []
+        for k in range(len(at)):
+            while higher and y[higher[-1]] <= y[k]:
+                low[k] = min(low[k], low[higher.pop()])
+            to[k] = at[higher[-1]] if higher else at[0] - step
+            higher.append(k)
+        out = pdf[[*keys, "side", "p", "y"]].copy()
+        out["q"], out["m"], out["open"] = to, low, to == at[0] - step
+        out["seen"] = np.isin(np.arange(len(at)), higher)
+        return out[schema.names]
+
+    d = sides.withColumn("side", F.col("side").cast("int")).withColumn("_blk", F.floor(F.col("p") / block))
+    d = written(d.groupBy(*keys, "side", "_blk").applyInPandas(stack, schema))
+    d = d.join(last, keys).withColumn("open", F.col("open") & (F.col("q") >= 0) & (F.col("q") < F.col("_m"))).drop("_m")
+    going = d.filter("open")
+    if going.isEmpty():
+        return d
+    # A maximum exceeded by a later one of its block is not met from beyond that block.
+    met = _climb(durable(d.filter("open or seen").select(*keys, "side", "p", "y", "q", "m", "open")), [*keys, "side"])
+    return d.filter("not open").select(*keys, "side", "p", "m").unionByName(met.filter("open").select(*keys, "side", "p", "m"))
+
+
 def _climb(d: DataFrame, keys: list[str]) -> DataFrame:
     """Follow pointers ``q`` over maxima that are not higher, keeping the lowest value on the way."""
     while True:
@@ -580,7 +813,7 @@ def _climb(d: DataFrame, keys: list[str]) -> DataFrame:
         go = F.col("_oy").isNotNull() & (F.col("_oy") <= F.col("y"))
         d = d.select(
             *keys, "p", "y", F.when(go, F.col("_oq")).otherwise(F.col("q")).alias("q"),
-            F.when(go, F.least("m", "_om")).otherwise(F.col("m")).alias("m"), go.alias("_go"),
+            F.when(go, F.least("m", "_om")).otherwise(F.col("m")).alias("m"), "open", go.alias("_go"),
         )
         d = durable(d)
         if d.filter("_go").isEmpty():
@@ -634,23 +867,40 @@ def trace_to_stim(frames: DataFrame, samples: DataFrame, keys: list[str]) -> Dat
     return frames.select(*keys, "frame", "t").join(sums, [*keys, "frame"], "left").fillna(0.0, ["y"])
 
 
-def align_for_regression(frames: DataFrame, samples: DataFrame, keys: list[str], kind: str = "trace", sigma: float | None = None, up: int = 1, ref: str = "trace") -> DataFrame:
-    """Smooth, take steps, upsample, find events, align with the stimulus, unit spread: ``i, frame, y``.
+def align_for_regression(
+    frames: DataFrame, samples: DataFrame, keys: list[str], kind: str = "trace", sigma: float | None = None, up: int = 1, ref: str = "trace",
+    repair: float | None = None, cutoff: float | None = None, pre_blur_s: float = 0.0, post_blur_s: float = 0.0, up_frames: int = 1,
+) -> DataFrame:
+    """Repair, low-pass, smooth, take steps, upsample, find events, align with the stimulus, smooth, unit spread: ``i, frame, y``.
 
-    Events and gradients are taken from the upsampled steps, so that an event stays one sample.
+    ``repair`` is the worst uneven step tolerated, ``cutoff`` in Hz, ``pre_blur_s`` and ``post_blur_s`` are spreads in seconds
+    before and after the alignment, at the rate that the series has there; ``sigma`` is a spread in samples. ``up`` and ``up_frames`` raise
+    the rates of the trace and of the stimulus. Events and gradients are taken from the upsampled steps, so that an event stays
+    one sample. ``frame`` counts the frames after raising their rate.
     """
-    s = smooth_fir(samples, keys, sigma) if sigma else samples
+    s = repair_steps(samples, keys, repair) if repair is not None else samples
+    if cutoff:
+        s = smooth_detrend(s, keys, cutoff)
+    if pre_blur_s:
+        s = smooth_detrend(s, keys, sigma_s=pre_blur_s)
+    if sigma:
+        s = smooth_fir(s, keys, sigma)
     if kind != "trace":
         s = steps(s, keys)
     if up > 1:
         s = upsample_linear(s, keys, up)
     if kind != "trace":
         s = events_of_steps(s, keys, kind)
+    if up_frames > 1:
+        f = upsample_hold(frames.select(*keys, F.col("frame").alias("i"), "t", F.col("frame").cast("double").alias("y")), keys, up_frames)
+        frames = f.select(*keys, F.col("i").alias("frame"), "t")
     if ref == "trace":
         d = stim_to_trace(frames, s, keys).select(*keys, "i", "t", "y", "frame")
         d = indexed(d.drop("i"), keys, ["t"], bound=up * largest(samples, keys))
     else:
         d = trace_to_stim(frames, s, keys).withColumn("i", F.col("frame"))
+    if post_blur_s:
+        d = smooth_detrend(d.withColumn("i", F.col("i").cast("long")), keys, sigma_s=post_blur_s)
     d = join_stats(d, keys, _sd=F.stddev_pop("y"))
     return d.select(*keys, "i", "t", "frame", (F.col("y") / F.nullif(F.col("_sd"), F.lit(0.0))).alias("y"))
 

@@ -11,13 +11,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, DataType, DoubleType, IntegerType, IntegralType, LongType, StringType, StructField, StructType
 
 from ..plans.near import nearest_point
 from ..plans.quantile import quantiles
 from ..plans.scan import scan, task_rows
 from ..plans.stats import join_stats, nz
-from ..session import durable, once
+from ..session import durable, once, written
 from .joins import locate_on_path
 from .series import with_neighbours
 from .stats import bin_index
@@ -48,11 +48,17 @@ def edge_lengths(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return d.select(*keys, "n", "parent", _dist(xyz(), xyz("p")).alias("length"))
 
 
-def follow(links: DataFrame, keys: list[str], max_rounds: int = 64) -> DataFrame:
+def _doublings(links: DataFrame, keys: list[str]) -> int:
+    """Rounds after which every chain has been followed to its end, unless it is a circle."""
+    longest = links.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return int(longest).bit_length() + 1
+
+
+def follow(links: DataFrame, keys: list[str]) -> DataFrame:
     """Last element and number of steps of the chain from each ``id`` along ``ptr`` (null ends it)."""
     d = links.select(*keys, "id", F.coalesce("ptr", "id").alias("head"), F.when(F.col("ptr").isNull(), 0).otherwise(1).cast("long").alias("steps"))
     d = durable(d)
-    for _ in range(max_rounds):
+    for _ in range(_doublings(d, keys)):
         o = d.select(*keys, F.col("id").alias("head"), F.col("head").alias("_h"), F.col("steps").alias("_s"))
         d = durable(d.join(o, [*keys, "head"]).select(*keys, "id", F.col("_h").alias("head"), (F.col("steps") + F.col("_s")).alias("steps"), (F.col("_s") > 0).alias("_go")))
         if d.filter("_go").isEmpty():
@@ -70,8 +76,7 @@ def chain_totals(links: DataFrame, keys: list[str], weight: str | None = None) -
     above = links.select(*keys, F.col("id").alias("ptr"), w.cast("double").alias("_w"))
     d = links.select(*keys, "id", "ptr").join(above, [*keys, "ptr"], "left")
     d = durable(d.select(*keys, "id", "ptr", F.when(F.col("ptr").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.coalesce("_w", F.lit(0.0)).alias("total")))
-    longest = d.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    for _ in range(int(longest).bit_length() + 1):
+    for _ in range(_doublings(d, keys)):
         if d.filter("ptr is not null").isEmpty():
             return d.drop("ptr")
         o = d.select(*keys, F.col("id").alias("ptr"), F.col("ptr").alias("_p"), F.col("steps").alias("_s"), F.col("total").alias("_t"))
@@ -80,6 +85,29 @@ def chain_totals(links: DataFrame, keys: list[str], weight: str | None = None) -
     raise RuntimeError("the links contain a cycle")
 
 
+class Grown:
+    """A result that grows by one table a round.
+
+    Tables of like size are put together as in a binary counter, so a row is rewritten a
+    logarithmic number of times, not once a round.
+    """
+
+    def __init__(self, empty: DataFrame):
+        self.empty, self.parts = empty, []
+
+    def add(self, part: DataFrame) -> None:
+        self.parts.append((0, part))
+        while len(self.parts) > 1 and self.parts[-1][0] == self.parts[-2][0]:
+            size, last = self.parts.pop()
+            self.parts[-1] = (size + 1, durable(self.parts[-1][1].unionByName(last)))
+
+    def all(self) -> DataFrame:
+        out = self.empty
+        for _, part in self.parts:
+            out = out.unionByName(part)
+        return out
+
+
 def split_paths(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """Unbranched paths between branch points as points in order from the root side.
 
@@ -108,9 +136,11 @@ def orient_paths(paths: DataFrame, soma: DataFrame, keys: list[str]) -> DataFram
     """Direct paths ``(path_id, a, b)`` away from the soma node and record what each connects to.
 
     One round per level of branching: paths touching an end reached before are turned towards it.
-    Paths no round reaches are loose and missing in the result.
+    Paths no round reaches are loose and missing in the result, which is empty if that holds for all.
     """
-    done, todo = None, durable(paths.select(*keys, "path_id", "a", "b"))
+    todo = durable(paths.select(*keys, "path_id", "a", "b"))
+    of = paths.schema["path_id"].dataType
+    done = Grown(todo.limit(0).select(*keys, "path_id", F.col("a").alias("start"), F.col("b").alias("end"), F.lit(0).alias("reversed"), F.lit(None).cast(of).alias("connect_to"), F.lit(0).alias("level")))
     front = soma.select(*keys, F.col("n").alias("_at"), F.lit(None).cast(paths.schema["path_id"].dataType).alias("_from"))
     # A level that reaches no new path is the last; every other one takes paths away.
     level = 0
@@ -120,8 +150,8 @@ def orient_paths(paths: DataFrame, soma: DataFrame, keys: list[str]) -> DataFram
         new = hit_a.unionByName(hit_b).groupBy(*keys, "path_id").agg(F.min(F.struct("reversed", "start", "end", "_from")).alias("_m"))
         new = durable(new.select(*keys, "path_id", "_m.start", "_m.end", "_m.reversed", F.col("_m._from").alias("connect_to"), F.lit(level).alias("level")))
         if new.isEmpty():
-            return done
-        done = new if done is None else durable(done.unionByName(new))
+            return done.all()
+        done.add(new)
         todo = durable(todo.join(new.select(*keys, "path_id"), [*keys, "path_id"], "left_anti"))
         front = new.groupBy(*keys, F.col("end").alias("_at")).agg(F.min("path_id").alias("_from"))
         level += 1
@@ -134,56 +164,214 @@ def todo_on(keys: list[str], a: DataFrame, b: DataFrame, end: str) -> Column:
     return cond
 
 
-def reconnect_paths(tree: DataFrame, loose: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach loose paths to the tree, the nearest first.
+def _attachment_schema(loose: DataFrame, keys: list[str], path_type: DataType, node_type: DataType) -> StructType:
+    names = [*[(k, loose.schema[k].dataType) for k in keys], ("path_id", loose.schema["path_id"].dataType), ("attach_to", node_type), ("to_path", path_type), ("to_part", IntegerType())]
+    names += [("at_j", LongType()), ("by_j", LongType()), ("dist", DoubleType()), ("split", BooleanType())]
+    return StructType([StructField(n, t) for n, t in names])
+
+
+def _tree_tails(tree: DataFrame, keys: list[str], path_type: DataType) -> DataFrame:
+    """The last point of every tree path and the number of its points; points without a path are paths of their own."""
+    if "path_id" not in tree.columns:
+        tree = tree.withColumns({"path_id": F.col("n"), "j": F.lit(0)})
+    last = F.max_by(F.struct("n", "x", "y", "z"), "j").alias("_m")
+    d = tree.groupBy(*keys, F.col("path_id").cast(path_type).alias("to_path")).agg(last, (F.max("j") + 1).cast("long").alias("at_j"))
+    return d.select(*keys, "to_path", F.lit(0).alias("to_part"), "at_j", "_m.*")
+
+
+def reconnect_paths(tree: DataFrame, loose: DataFrame, keys: list[str], local: int = 20_000) -> DataFrame:
+    """Attach loose paths to the tails of the tree, always the nearest one of a cell first.
+
+    ``loose`` has path points ``(path_id, j, n, x, y, z)``, j from 0 without gaps; ``tree`` has the same, or only
+    points ``(n, x, y, z)`` that are paths of their own. A loose path hangs by its vertex nearest to
+    any tail. By an end it continues the tail's path, whose tail is then its other end. By an inner
+    vertex it is split there: the tail's path is bridged to that vertex, and two new paths start from
+    it, whose ends are tails from then on. One row per loose path: the node ``attach_to`` that was the tail, its path
+    (``to_path``, ``to_part``; part 0 is the path itself, 1 and 2 are the halves of a split one), the
+    number of points that path had (``at_j``), the vertex ``by_j``, the distance, and whether it was split. Ties go to the smallest
+    path, then tail, then vertex. Loose paths of a cell without a tree hang on nothing; without loose paths the result is empty.
 
-    ``tree`` and ``loose`` are path points with unique ``n`` per cell. Returns per loose path the node
-    it hangs on, the end it hangs by, the distance and the round. A round attaches every loose path
-    that is nearer to the tree than to any other loose path: what the others attach to cannot bring
-    the tree closer to it. The nearest one of a cell is always among them. Loose paths of a cell without a tree hang on nothing.
+    Cells of up to ``local`` points are grown in one task each. In larger ones a round attaches, besides
+    the nearest, every loose path that is its tail's nearest and nearer to it than to any other loose
+    path: what happens before its turn takes place out of its reach, so the order does not matter.
     """
-    tree = durable(tree.select(*keys, "n", "x", "y", "z"))
-    todo = durable(loose.select(*keys, "path_id", "j", "n", "x", "y", "z"))
-    out, rnd = None, 0
+    loose = once(loose.select(*keys, "path_id", F.col("j").cast("long").alias("j"), "n", *[F.col(c).cast("double").alias(c) for c in "xyz"]))
+    own = loose.schema["path_id"].dataType
+    if "path_id" in tree.columns and tree.schema["path_id"].dataType == own:
+        path_type = own
+    else:
+        whole = isinstance(own, IntegralType) and isinstance(tree.schema["path_id" if "path_id" in tree.columns else "n"].dataType, IntegralType)
+        path_type = LongType() if whole else StringType()
+    schema = _attachment_schema(loose, keys, path_type, tree.schema["n"].dataType)
+    tails = written(_tree_tails(tree.withColumns({c: F.col(c).cast("double") for c in "xyz"}), keys, path_type))
+    sizes = loose.groupBy(*keys).agg(F.count("*").alias("_p")).join(tails.groupBy(*keys).agg(F.count("*").alias("_t")), keys, "left")
+    sizes = once(sizes.withColumn("_t", F.coalesce("_t", F.lit(0))))
+    local = min(local, task_rows(loose))
+    bare = loose.join(sizes.filter("_t = 0"), keys, "left_semi").select(*keys, "path_id").distinct()
+    gaps = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields[len(keys) + 1 :]]
+    large = sizes.filter((F.col("_t") > 0) & ((F.col("_p") > local) | (F.col("_p") * F.col("_t") > local * 2500)))
+    small = sizes.filter("_t > 0").join(large, keys, "left_anti")
+    grow = _grower(keys, schema)
+    pieces = loose.join(small, keys, "left_semi").groupBy(*keys).cogroup(tails.join(small, keys, "left_semi").groupBy(*keys)).applyInPandas(grow, schema)
+    out = Grown(bare.select("*", *gaps))
+    out.add(pieces)
+    tails, todo = durable(tails.join(large, keys, "left_semi")), durable(loose.join(large, keys, "left_semi"))
     while not todo.isEmpty():
-        ends = join_stats(todo, [*keys, "path_id"], _last=F.max("j")).filter("j = 0 or j = _last")
-        near = nearest_point(ends, tree, [*keys, "path_id", "j"], ["x", "y", "z"], "n", keys=keys)
-        best = near.groupBy(*keys, "path_id").agg(F.min(F.struct("dist", "j", "n")).alias("_m"))
-        pick = durable(_settled(best, ends, todo, keys).select(*keys, "path_id", F.col("_m.n").alias("attach_to"), F.col("_m.j").alias("by_j"), "_m.dist", F.lit(rnd).alias("round")))
-        if pick.isEmpty():
-            bare = todo.select(*keys, "path_id").distinct()
-            gaps = [F.lit(None).cast(pick.schema[c].dataType).alias(c) for c in ("attach_to", "by_j", "dist", "round")]
-            return (bare.select("*", *gaps) if out is None else out.unionByName(bare.select("*", *gaps)))
-        out = pick if out is None else durable(out.unionByName(pick))
-        moved = todo.join(pick.select(*keys, "path_id"), [*keys, "path_id"], "left_semi").select(*keys, "n", "x", "y", "z")
-        tree = durable(tree.unionByName(moved))
-        todo = durable(todo.join(pick.select(*keys, "path_id"), [*keys, "path_id"], "left_anti"))
-        rnd += 1
-    return out
-
-
-def _settled(best: DataFrame, ends: DataFrame, todo: DataFrame, keys: list[str]) -> DataFrame:
-    """Loose paths whose place is final: no other loose path of the cell is nearer than the tree, or it is the nearest of all."""
-    a = ends.select(*keys, "path_id", "x", "y", "z").join(best.select(*keys, "path_id", F.col("_m.dist").alias("_d")), [*keys, "path_id"])
-    # Cells of a grid as wide as the distance in question; a path nearer than that lies in this or a neighbouring cell.
-    wide = F.pow(2.0, F.ceil(F.log2(F.greatest("_d", F.lit(1e-9)))))
-    a = a.withColumn("_w", wide).withColumn("_o", F.explode(F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.lit(k).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])))
-    a = a.select(*keys, "path_id", "_d", "_w", "x", "y", "z", *[(F.floor(F.col(c) / F.col("_w")) + F.col(f"_o.{o}")).alias(f"_g{c}") for c, o in zip("xyz", "abc")])
-    sizes = a.select(*keys, "_w").distinct()
-    b = todo.select(*keys, F.col("path_id").alias("_p"), *[F.col(c).alias(f"_{c}") for c in "xyz"]).join(sizes, keys)
-    b = b.select("*", *[F.floor(F.col(f"_{c}") / F.col("_w")).alias(f"_g{c}") for c in "xyz"])
-    near = a.join(b, [*keys, "_w", "_gx", "_gy", "_gz"]).filter("path_id != _p")
-    near = near.filter(_dist(xyz(), xyz("_")) < F.col("_d")).select(*keys, "path_id").distinct()
-    first = best.groupBy(*keys).agg(F.min_by("path_id", F.struct("_m.dist", "path_id")).alias("path_id"))
-    free = best.join(near, [*keys, "path_id"], "left_anti").select(*keys, "path_id").unionByName(first).distinct()
-    return best.join(free, [*keys, "path_id"], "left_semi")
-
-
-def ancestors(links: DataFrame, keys: list[str], max_rounds: int = 64) -> DataFrame:
-    """All ancestors of every ``id`` with their depth (1 = parent); the reach doubles each round."""
+        new = durable(_round(tails, todo, keys).select(*schema.names))
+        out.add(new)
+        tails = durable(_next_tails(tails, todo, new, keys))
+        todo = durable(todo.join(new.select(*keys, "path_id"), [*keys, "path_id"], "left_anti"))
+    return out.all()
+
+
+def _round(tails: DataFrame, todo: DataFrame, keys: list[str]) -> DataFrame:
+    """Attachments of the loose paths whose place is final."""
+    pk, axes = [*keys, "path_id"], ["x", "y", "z"]
+    near = nearest_point(todo, tails, [*pk, "j"], axes, "n", keys=keys)
+    best = near.groupBy(*pk).agg(F.min(F.struct("dist", "n", "j")).alias("_m")).select(*pk, "_m.*")
+    best = written(best)
+    # Tails at one place are one target: the nearest loose path of that place goes first.
+    at = tails.select(*keys, "n", *[F.col(a).alias(f"t{a}") for a in axes])
+    best = written(best.join(at, [*keys, "n"]))
+    turn = best.groupBy(*keys, "tx", "ty", "tz").agg(F.min(F.struct("dist", "path_id")).alias("_f")).select(*keys, F.col("_f.path_id").alias("path_id"))
+    mine = todo.join(best.join(turn, pk, "left_semi").select(*pk, F.col("dist").alias("_d")), pk)
+    close = nearest_point(mine, todo, [*pk, "j"], axes, "n", keys=keys, other="path_id", within="_d").select(*pk).distinct()
+    first = best.groupBy(*keys).agg(F.min(F.struct("dist", "path_id")).alias("_f")).select(*keys, F.col("_f.path_id").alias("path_id"))
+    free = turn.join(close, pk, "left_anti").unionByName(first).distinct()
+    pick = best.join(free, pk, "left_semi")
+    ends = todo.groupBy(*pk).agg(F.max("j").alias("_last"))
+    pick = pick.join(ends, pk).join(tails.select(*keys, "n", "to_path", "to_part", "at_j"), [*keys, "n"])
+    inner = (F.col("j") > 0) & (F.col("j") < F.col("_last"))
+    return pick.select(*pk, F.col("n").alias("attach_to"), "to_path", "to_part", "at_j", F.col("j").alias("by_j"), "dist", inner.alias("split"))
+
+
+def _next_tails(tails: DataFrame, todo: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Tails after a round: the hit paths' moved, two more for every split path."""
+    path_type = new.schema["to_path"].dataType
+    d = join_stats(todo.join(new, [*keys, "path_id"]), [*keys, "path_id"], _last=F.max("j"))
+    at, gap = F.col("j"), (F.col("dist") > 0).cast("long")
+    end = F.when(F.col("by_j") == 0, F.col("_last")).otherwise(F.lit(0).cast("long"))
+    moved = d.filter((F.col("split") & (at == F.col("by_j"))) | (~F.col("split") & (at == end)))
+    # A bridged path gains the vertex, a continued one all points; a vertex that lies on the tail is not a new point.
+    gain = F.when(F.col("split"), gap).otherwise(F.col("_last") + gap)
+    stays = F.col("split") | (F.col("_last") == 0)
+    node = F.when(stays & (F.col("dist") == 0), F.col("attach_to")).otherwise(F.col("n").cast(new.schema["attach_to"].dataType))
+    moved = moved.select(*keys, "to_path", "to_part", (F.col("at_j") + gain).alias("at_j"), node.alias("n"), "x", "y", "z")
+    halves = d.filter(F.col("split") & at.isin(0) | F.col("split") & (at == F.col("_last")))
+    halves = halves.select(*keys, F.col("path_id").cast(path_type).alias("to_path"), F.when(at == 0, 1).otherwise(2).alias("to_part"), F.when(at == 0, F.col("by_j") + 1).otherwise(F.col("_last") - F.col("by_j") + 1).alias("at_j"), F.col("n").cast(new.schema["attach_to"].dataType).alias("n"), "x", "y", "z")
+    kept = tails.join(new.select(*keys, "to_path", "to_part"), [*keys, "to_path", "to_part"], "left_anti")
+    return kept.unionByName(moved).unionByName(halves)
+
+
+def _grower(keys: list[str], schema: StructType):
+    """Task function for one cell: the same growth, one loose path after another."""
+
+    def grow(loose: pd.DataFrame, tails: pd.DataFrame) -> pd.DataFrame:
+        loose = loose.sort_values(["path_id", "j"], kind="stable", ignore_index=True)
+        points, nodes = loose[["x", "y", "z"]].to_numpy(float), loose["n"].to_numpy()
+        paths, starts = np.unique(loose["path_id"].to_numpy(), return_index=True)
+        ends = np.append(starts[1:], len(loose)) - 1
+        room = len(tails) + 2 * len(paths)
+        pos, name, count = np.full((room, 3), np.inf), [None] * room, len(tails)
+        pos[:count] = tails[["x", "y", "z"]].to_numpy(float)
+        number = np.full(room, np.iinfo(np.int64).max)
+        number[:count] = tails["n"].to_numpy()
+        name[:count] = list(zip(tails["to_path"].tolist(), tails["to_part"].tolist(), tails["at_j"].tolist()))
+        dist, slot = np.full(len(points), np.inf), np.zeros(len(points), dtype=np.int64)
+
+        def nearest(of: np.ndarray) -> None:
+            """Best tail of some points among all."""
+            for part in np.array_split(of, max(1, len(of) * count // 2_000_000)):
+                if len(part):
+                    d = _apart(points[part], pos[:count])
+                    dist[part] = d.min(axis=1)
+                    slot[part] = np.where(d == dist[part][:, None], number[:count], np.iinfo(np.int64).max).argmin(axis=1)
+
+        open_ = np.ones(len(points), dtype=bool)
+        nearest(np.arange(len(points)))
+        rows = []
+        for _ in range(len(paths)):
+            reach = np.minimum.reduceat(np.where(open_, dist, np.inf), starts)
+            p = int(reach.argmin())
+            a, b = starts[p], ends[p]
+            here = np.flatnonzero(dist[a : b + 1] == reach[p]) + a
+            v = int(here[number[slot[here]].argmin()])
+            s, inner, gap = int(slot[v]), a < v < b, int(reach[p] > 0)
+            path, part, size = name[s]
+            rows.append((paths[p], number[s], path, part, size, v - a, float(reach[p]), inner))
+            open_[a : b + 1] = False
+            new = [s]
+            if inner:
+                to = paths[p] if not isinstance(path, str) else str(paths[p])
+                pos[s], name[s] = points[v], (path, part, size + gap)
+                number[s] = nodes[v] if gap else number[s]
+                for at, half, length in ((a, 1, v - a + 1), (b, 2, b - v + 1)):
+                    pos[count], number[count], name[count] = points[at], nodes[at], (to, half, length)
+                    new.append(count)
+                    count += 1
+            else:
+                end = b if v == a else a
+                pos[s], name[s] = points[end], (path, part, size + int(b - a) + gap)
+                number[s] = nodes[end] if gap or b > a else number[s]
+            lost = np.flatnonzero(open_ & (slot == s))
+            rest = np.flatnonzero(open_ & (slot != s))
+            for t in new:
+                d = _apart(points[rest], pos[t : t + 1])[:, 0]
+                won = (d < dist[rest]) | ((d == dist[rest]) & (number[t] < number[slot[rest]]))
+                dist[rest[won]], slot[rest[won]] = d[won], t
+            nearest(lost)
+        out = pd.DataFrame(rows, columns=schema.names[len(keys) :])
+        for k in keys:
+            out[k] = loose[k].iloc[0]
+        return out[schema.names]
+
+    return grow
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows of ``a`` from all rows of ``b``, summed in the order of the axes."""
+    d = a[:, None, :] - b[None, :, :]
+    return np.sqrt(d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2])
+
+
+def reconnected(tree: DataFrame, loose: DataFrame, attached: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The connected paths that :func:`reconnect_paths` describes: points and connections.
+
+    Points: ``(path_id, part, j, n, x, y, z)``. Connections, for the halves of split paths: ``(path_id, part, connect_to,
+    connect_part)``, they hang on the path that was bridged to them. Every attachment says where its points go, so this is one join.
+    """
+    pk, path_type = [*keys, "path_id"], attached.schema["to_path"].dataType
+    if "path_id" not in tree.columns:
+        tree = tree.withColumns({"path_id": F.col("n"), "j": F.lit(0)})
+    old = tree.select(*keys, F.col("path_id").cast(path_type).alias("path_id"), F.lit(0).alias("part"), F.col("j").cast("long").alias("j"), "n", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    d = loose.join(attached.filter("to_path is not null"), pk)
+    gap, j = (F.col("dist") > 0).cast("long"), F.col("j").cast("long")
+    off = F.abs(j - F.col("by_j"))
+
+    def put(path: Column, part: Column, at: Column) -> Column:
+        return F.struct(path.cast(path_type).alias("path_id"), part.cast("int").alias("part"), at.cast("long").alias("j"))
+
+    to = put(F.col("to_path"), F.col("to_part"), F.col("at_j") + off - 1 + gap)
+    first, second = put(F.col("path_id"), F.lit(1), F.col("by_j") - j), put(F.col("path_id"), F.lit(2), j - F.col("by_j"))
+    # The vertex that lies on the tail is that tail's point already.
+    joint = (off == 0) & (gap == 0)
+    places = F.when(F.col("split"), F.when(j < F.col("by_j"), F.array(first)).when(j > F.col("by_j"), F.array(second)).when(joint, F.array(first, second)).otherwise(F.array(to, first, second)))
+    places = places.otherwise(F.when(joint, F.slice(F.array(to), 1, 0)).otherwise(F.array(to)))
+    new = d.withColumn("_to", F.explode(places)).select(*keys, "_to.*", "n", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    halves = attached.filter("split").withColumn("part", F.explode(F.array(F.lit(1), F.lit(2))))
+    links = halves.select(*keys, F.col("path_id").cast(path_type).alias("path_id"), "part", F.col("to_path").alias("connect_to"), F.col("to_part").alias("connect_part"))
+    return old.unionByName(new), links
+
+
+def ancestors(links: DataFrame, keys: list[str]) -> DataFrame:
+    """All ancestors of every ``id`` with their depth (1 = parent); the reach doubles each round.
+
+    The whole closure, as many rows as all depths together: for a test of pairs see :func:`mark_ancestors`.
+    """
+    rounds = _doublings(links, keys)
     d = durable(links.filter("ptr is not null").select(*keys, "id", F.col("ptr").alias("anc"), F.lit(1).cast("long").alias("depth")))
     reach = 1
-    for _ in range(max_rounds):
+    for _ in range(rounds):
         top = d.filter(F.col("depth") == reach)
         o = d.select(*keys, F.col("id").alias("anc"), F.col("anc").alias("_a"), F.col("depth").alias("_d"))
         more = durable(top.join(o, [*keys, "anc"]).select(*keys, "id", F.col("_a").alias("anc"), (F.col("depth") + F.col("_d")).alias("depth")))
@@ -194,6 +382,39 @@ def ancestors(links: DataFrame, keys: list[str], max_rounds: int = 64) -> DataFr
     raise RuntimeError("the links contain a cycle")
 
 
+def tree_intervals(links: DataFrame, keys: list[str]) -> DataFrame:
+    """Entry and exit number of every ``id``: an ancestor's interval holds those of all below it.
+
+    A walk around the tree enters and leaves every node once, children in the order of their ids, roots
+    likewise. Its steps are followed by doubling, so two rows per node are all there is at any depth.
+    ``enter`` counts the nodes entered before, ``exit`` is the number of the last one entered
+    at or below the node, ``size`` how many these are.
+    """
+    links = once(links.select(*keys, "id", "ptr"))
+    family = once(scan(links, [*keys, "ptr"], ["id"], _next=("next", F.col("id"))))
+    child = links.filter("ptr is not null").groupBy(*keys, F.col("ptr").alias("id")).agg(F.min("id").alias("_child"))
+
+    def visit(node: Column, leaving: int) -> Column:
+        return F.struct(node.alias("node"), F.lit(leaving).alias("leaving"))
+
+    d = family.join(child, [*keys, "id"], "left")
+    down = d.select(*keys, visit(F.col("id"), 0).alias("id"), F.coalesce(F.when(F.col("_child").isNotNull(), visit(F.col("_child"), 0)), visit(F.col("id"), 1)).alias("ptr"), F.lit(1.0).alias("w"))
+    up = d.select(*keys, visit(F.col("id"), 1).alias("id"), F.when(F.col("_next").isNotNull(), visit(F.col("_next"), 0)).when(F.col("ptr").isNotNull(), visit(F.col("ptr"), 1)).alias("ptr"), F.lit(0.0).alias("w"))
+    left = chain_totals(durable(down.unionByName(up)), keys, "w")
+    left = left.groupBy(*keys, F.col("id.node").alias("id")).agg(F.max(F.when(F.col("id.leaving") == 0, F.col("total"))).alias("_in"), F.max(F.when(F.col("id.leaving") == 1, F.col("total"))).alias("_out"))
+    left = join_stats(left, keys, _all=F.count("*"))
+    enter, exit_ = (F.col("_all") - 1 - F.col("_in")).cast("long"), (F.col("_all") - 1 - F.col("_out")).cast("long")
+    return left.select(*keys, "id", enter.alias("enter"), exit_.alias("exit"), (exit_ - enter + 1).alias("size"))
+
+
+def mark_ancestors(pairs: DataFrame, intervals: DataFrame, keys: list[str], name: str = "is_ancestor") -> DataFrame:
+    """Whether ``anc`` lies above ``id``, for each pair; null if one of them is in no tree. No closure is made."""
+    a = intervals.select(*keys, F.col("id").alias("anc"), F.col("enter").alias("_a"), F.col("exit").alias("_b"))
+    b = intervals.select(*keys, "id", F.col("enter").alias("_e"))
+    d = pairs.join(a, [*keys, "anc"], "left").join(b, [*keys, "id"], "left")
+    return d.withColumn(name, (F.col("_e") > F.col("_a")) & (F.col("_e") <= F.col("_b"))).select(*pairs.columns, name)
+
+
 def path_lengths(points: DataFrame, keys: list[str], parents: DataFrame | None = None) -> DataFrame:
     """Length along the path, straight length and, with ``parents``, the branch order."""
     pk = [*keys, "path_id"]
@@ -321,16 +542,32 @@ def hull_area(points: DataFrame, keys: list[str]) -> DataFrame:
     return a.select(*keys, F.size("_h").alias("n_corners"), area.alias("hull_area")).withColumn("hull_dia", 2 * F.sqrt(F.col("hull_area") / math.pi))
 
 
-def density_map(points: DataFrame, keys: list[str], lim: float, n_grid: int) -> DataFrame:
+def path_limits(points: DataFrame, keys: list[str], step: float = 20.0) -> DataFrame:
+    """Extent of every cell's grid: its largest coordinate in x or y to either side, rounded up to whole steps (``lim``)."""
+    far = F.greatest(F.max(F.abs("x")), F.max(F.abs("y")))
+    return points.groupBy(*keys).agg((F.ceil(far / step) * step).alias("lim"))
+
+
+def _limited(df: DataFrame, keys: list[str], lim: float | DataFrame) -> tuple[DataFrame, Column]:
+    """Rows and their extent: one for all, or that of their cell (:func:`path_limits`)."""
+    if isinstance(lim, DataFrame):
+        return df.join(lim.select(*keys, F.col("lim").cast("double").alias("_lim")), keys), F.col("_lim")
+    return df, F.lit(float(lim))
+
+
+def density_map(points: DataFrame, keys: list[str], lim: float | DataFrame, n_grid: int) -> DataFrame:
     """Gaussian kernel density on a square grid of ``n_grid ** 2`` points over ``-lim..lim``.
 
+    ``lim`` is one number, or a table with the extent of every cell; a cell whose points all lie in the
+    middle has no extent and no map.
     Bandwidth from the count (power -1/6) and the sample covariance. A point adds to the grid
     points within 8.6 spreads, beyond which the kernel is below double precision.
     """
     d = join_stats(points, keys, _n=F.count("*"), _xx=F.var_samp("x"), _yy=F.var_samp("y"), _xy=F.covar_samp("x", "y"))
     f = F.pow(F.col("_n").cast("double"), F.lit(-1 / 3))
     d = d.withColumns({"_a": F.col("_xx") * f, "_b": F.col("_xy") * f, "_c": F.col("_yy") * f}).withColumn("_det", F.col("_a") * F.col("_c") - F.col("_b") * F.col("_b"))
-    step = 2 * lim / (n_grid - 1)
+    d, lim = _limited(d, keys, lim)
+    step = nz(2 * lim / (n_grid - 1))
     for a, v in (("x", "_a"), ("y", "_c")):
         r = 8.6 * F.sqrt(v)
         lo = F.greatest(F.ceil((F.col(a) - r + lim) / step), F.lit(0))
@@ -342,12 +579,13 @@ def density_map(points: DataFrame, keys: list[str], lim: float, n_grid: int) ->
     return d.groupBy(*keys, "gx", "gy").agg(F.sum(k).alias("density"))
 
 
-def density_center(density: DataFrame, keys: list[str], lim: float, n_grid: int) -> DataFrame:
-    """Centre of mass in grid steps and in world units, and its distance from the middle."""
+def density_center(density: DataFrame, keys: list[str], lim: float | DataFrame, n_grid: int) -> DataFrame:
+    """Centre of mass in grid steps and in world units, and its distance from the middle; ``lim`` as in :func:`density_map`."""
     w = F.col("density")
-    c = density.groupBy(*keys).agg((F.sum(F.col("gx") * w) / F.sum(w)).alias("mx"), (F.sum(F.col("gy") * w) / F.sum(w)).alias("my"))
+    c = density.groupBy(*keys).agg((F.sum(F.col("gx") * w) / nz(F.sum(w))).alias("mx"), (F.sum(F.col("gy") * w) / nz(F.sum(w))).alias("my"))
+    c, lim = _limited(c, keys, lim)
     wx, wy = F.col("mx") * 2 * lim / n_grid - lim, F.col("my") * 2 * lim / n_grid - lim
-    return c.withColumns({"cx": wx, "cy": wy}).withColumn("asymmetry", F.hypot("cx", "cy"))
+    return c.withColumns({"cx": wx, "cy": wy}).withColumn("asymmetry", F.hypot("cx", "cy")).select(*keys, "mx", "my", "cx", "cy", "asymmetry")
 
 
 def mean_radius(corners: DataFrame, centre: DataFrame, keys: list[str]) -> DataFrame:

@@ -67,6 +67,15 @@ def hierarchical_clusters(spark, sf):
     return C.hierarchical_clusters(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", None, 0.9).select("vec_id", "cluster", "missed")
 
 
+@query("SELECT vec_id, FALSE AS missed, TRUE AS near FROM embeddings")
+def cluster_spread(spark, sf):
+    """Every vector lies in a cluster whose root mean squared distance to its mean is at most the limit."""
+    c = C.hierarchical_clusters(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", None, 0.9)
+    x = c.select("cluster", F.posexplode(F.col("embedding").cast("array<double>")).alias("j", "x"))
+    wide = x.groupBy("cluster", "j").agg(F.var_pop("x").alias("s")).groupBy("cluster").agg((F.sqrt(F.sum("s")) <= 0.9 + 1e-9).alias("near"))
+    return c.join(wide, "cluster").select("vec_id", "missed", "near")
+
+
 _MEANS = "mn AS (SELECT label, j, avg(v) AS m FROM vectors GROUP BY 1, 2), ds AS (SELECT a.label AS a, b.label AS b, 1 - corr(a.m, b.m) AS d FROM mn a JOIN mn b ON a.j = b.j AND a.label < b.label GROUP BY 1, 2)"
 
 
@@ -94,6 +103,22 @@ def mixture_clusters(spark, sf):
     return C.mixture_clusters(f, V, "features", [1, 2, 3], "bic", folds=2)[0]
 
 
+@query(
+    "WITH x AS (SELECT c_custkey, c_acctbal / 1000 AS a, c_nationkey / 10.0::DOUBLE AS b FROM customer), g(k, w, ma, mb, va, vb, c) AS (VALUES (0, 0.5::DOUBLE, 1.0::DOUBLE, 0.5::DOUBLE, 4.0::DOUBLE, 1.0::DOUBLE, 0.5::DOUBLE), (1, 0.3, 5.0, 1.5, 9.0, 0.5, 0.0), (2, 0.2, 8.0, 1.0, 1.0, 2.0, -0.3)), "
+    "d AS (SELECT c_custkey, k, w / (2 * pi() * sqrt(va * vb - c * c)) * exp(-0.5 * (vb * (a - ma) * (a - ma) - 2 * c * (a - ma) * (b - mb) + va * (b - mb) * (b - mb)) / (va * vb - c * c)) AS p FROM x, g) "
+    "SELECT c_custkey, k, round(p / sum(p) OVER (PARTITION BY c_custkey), 6) AS share FROM d"
+)
+def mixture_responsibilities(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", F.array(F.col("c_acctbal") / 1000, F.col("c_nationkey") / 10.0).alias("x"))
+    share = C.responsibilities(F.col("x"), [0.5, 0.3, 0.2], [[1.0, 0.5], [5.0, 1.5], [8.0, 1.0]], [[[4.0, 0.5], [0.5, 1.0]], [[9.0, 0.0], [0.0, 0.5]], [[1.0, -0.3], [-0.3, 2.0]]])
+    return _r(c.select("c_custkey", F.posexplode(share).alias("k", "share")), 6, "share")
+
+
+@query("SELECT vec_id, ('0x' || substr(md5('1:' || vec_id), 1, 8))::BIGINT % 3 AS fold FROM embeddings")
+def md5_fold(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", C.md5_fold(["vec_id"], 3).cast("long").alias("fold"))
+
+
 @query(
     "WITH n AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1), k AS (SELECT c_nationkey, row_number() OVER (ORDER BY c_nationkey) AS c FROM n WHERE n > 60) SELECT c_custkey, coalesce(c, -1)::INTEGER AS c_nationkey FROM customer LEFT JOIN k USING (c_nationkey)"
 )

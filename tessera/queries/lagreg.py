@@ -166,6 +166,22 @@ def separate_rf(spark, sf):
     return _r(s.unionByName(t).join(qi, "label"), 6, "w", "split_qidx")
 
 
+@query(
+    "WITH k AS (SELECT d, exp(-0.5::DOUBLE * d * d / (0.8::DOUBLE * 0.8::DOUBLE)) / (SELECT sum(exp(-0.5::DOUBLE * e * e / (0.8::DOUBLE * 0.8::DOUBLE))) FROM range(-2, 3) q(e)) AS g FROM range(-2, 3) p(d)), "
+    "m AS (SELECT label, x, y, avg(v) AS v FROM pixels GROUP BY 1, 2, 3), b AS (SELECT m.label, m.x, m.y, sum(n.v * a.g * c.g) AS v FROM m, k a, k c JOIN m n ON n.label = m.label AND n.x = least(greatest(m.x + a.d, 0), 7) AND n.y = least(greatest(m.y + c.d, 0), 7) GROUP BY 1, 2, 3), "
+    "t AS (SELECT i, least(greatest((i + 0.5::DOUBLE) / 2 - 0.5::DOUBLE, 0), 7) AS c FROM range(16) r(i)), w AS (SELECT i, s, 1 - abs(c - s) AS w FROM t, range(8) q(s) WHERE abs(c - s) < 1), "
+    "f AS (SELECT label, a.i AS x, c.i AS y, sum(v * a.w * c.w) AS v FROM b JOIN w a ON a.s = b.x JOIN w c ON c.s = b.y GROUP BY 1, 2, 3) "
+    "SELECT label, x, y, round(v, 6) + 0.0 AS w FROM f",
+    use="pixels",
+)
+def separate_image_rf(spark, sf):
+    """A filter with one time course: its spatial part is the blurred image on a grid twice as fine, up to its scale."""
+    img = pixels(spark, sf).groupBy("label", "x", "y").agg(F.avg("v").alias("w"))
+    course = F.explode(F.array(*[F.struct(F.lit(l).alias("lag"), F.lit(c).alias("c")) for l, c in enumerate((0.25, 1.0, -0.5))]))
+    rf = img.withColumn("_t", course).select("label", F.col("_t.lag").alias("lag"), "x", "y", (F.col("w") * F.col("_t.c")).alias("w"))
+    return _r(R.separate_image_rf(rf, ["label"], 3, (8, 8), 0.8, 2, 2)[0], 6, "w")
+
+
 @query(f"WITH {_RF}, s AS (SELECT label, px, avg(w) AS w FROM rf GROUP BY 1, 2), t AS (SELECT label, lag, avg(w) AS w FROM rf GROUP BY 1, 2) SELECT s.label, lag, px, round(s.w * t.w, 10) + 0.0 AS w_fit FROM s JOIN t USING (label)", use="pixels")
 def merge_rf(spark, sf):
     rf = _rf(spark, sf)

@@ -177,6 +177,14 @@ def rep_transience(spark, sf):
     return _r(R.rep_transience(s, starts, ["label"], 0.5, 48.0, 2.5), 6, "transience_index")
 
 
+def _spots(spark, sf):
+    k = F.col("vec_id")
+    v = vectors(spark, sf).withColumn("colour", F.when(k % 2 == 0, "W").otherwise("B"))
+    v = v.withColumn("size", F.element_at(F.array(F.lit(100), F.lit(300), F.lit(400)), (F.expr("vec_id div 2") % 3 + 1).cast("int")))
+    reps = R.tuning_curve_index(v.select("label", "colour", "size", "vec_id").distinct(), ["label", "colour", "size"], ["vec_id"])
+    return v.join(reps.select("vec_id", "rep"), "vec_id").select("label", "colour", "size", "rep", "j", (F.col("v") * 20).alias("y"))
+
+
 @query(
     "WITH s AS (SELECT label, vec_id, CASE vec_id % 2 WHEN 0 THEN 'W' ELSE 'B' END AS colour, [100, 300, 400][(vec_id // 2 % 3 + 1)::INTEGER]::INTEGER AS size, j, v * 20 AS y FROM vectors), "
     "r AS (SELECT label, vec_id, colour, size, row_number() OVER (PARTITION BY label, colour, size ORDER BY vec_id) - 1 AS rep FROM (SELECT DISTINCT label, vec_id, colour, size FROM s)), "
@@ -189,9 +197,20 @@ def rep_transience(spark, sf):
     use="vectors",
 )
 def size_tuning(spark, sf):
-    k = F.col("vec_id")
-    v = vectors(spark, sf).withColumn("colour", F.when(k % 2 == 0, "W").otherwise("B"))
-    v = v.withColumn("size", F.element_at(F.array(F.lit(100), F.lit(300), F.lit(400)), (F.expr("vec_id div 2") % 3 + 1).cast("int")))
-    reps = R.tuning_curve_index(v.select("label", "colour", "size", "vec_id").distinct(), ["label", "colour", "size"], ["vec_id"])
-    s = v.join(reps.select("vec_id", "rep"), "vec_id").select("label", "colour", "size", "rep", "j", (F.col("v") * 20).alias("y"))
-    return _r(_r(R.size_tuning(s, ["label"], 8, (8, 24), [300, 400]), 5, "surround_index"), 6, "qidx")
+    return _r(_r(R.size_tuning(_spots(spark, sf), ["label"], 8, (8, 24), [300, 400]), 5, "surround_index"), 6, "qidx")
+
+
+@query(
+    "WITH s AS (SELECT label, vec_id, CASE vec_id % 2 WHEN 0 THEN 'W' ELSE 'B' END AS colour, [100, 300, 400][(vec_id // 2 % 3 + 1)::INTEGER]::INTEGER AS size, j, v * 20 AS y FROM vectors), "
+    "r AS (SELECT label, vec_id, colour, size, row_number() OVER (PARTITION BY label, colour, size ORDER BY vec_id) - 1 AS rep FROM (SELECT DISTINCT label, vec_id, colour, size FROM s)), "
+    "z AS (SELECT s.label, s.colour, s.size, rep, j, y - median(y) FILTER (WHERE j < 8) OVER (PARTITION BY s.vec_id) AS y FROM s JOIN r ON r.vec_id = s.vec_id), "
+    "p AS (SELECT label, colour, size, rep, avg(y) AS p FROM z WHERE j >= 8 AND j < 24 GROUP BY 1, 2, 3, 4), n AS (SELECT *, p / greatest(max(p) OVER (PARTITION BY label, rep), 1) AS q FROM p), "
+    "c AS (SELECT label, colour, size, avg(q) AS t, count(*) AS n FROM n GROUP BY 1, 2, 3), d AS (SELECT label, colour, arg_max(size, (t, -size)) AS pref_size, greatest(arg_max(t, size) / nullif(max(t), 0), 0) - 1 AS si, max(n) AS n_reps FROM c GROUP BY 1, 2), "
+    "qa AS (SELECT label, colour, var_pop(m) AS a FROM (SELECT label, colour, j, avg(y) AS m FROM z WHERE size IN (300, 400) GROUP BY 1, 2, 3) GROUP BY 1, 2), "
+    "qb AS (SELECT label, colour, avg(v) AS b FROM (SELECT label, colour, size, rep, var_pop(y) AS v FROM z WHERE size IN (300, 400) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2) "
+    "SELECT label, CASE WHEN max(t) FILTER (colour = 'W') > max(t) FILTER (colour = 'B') OR count(*) FILTER (colour = 'B') = 0 THEN 'W' ELSE 'B' END AS pref_colour FROM c GROUP BY 1",
+    use="vectors",
+)
+def size_tuning_colour(spark, sf):
+    """Colour with the higher peak of its tuning curve."""
+    return R.preferred_colour(R.size_tuning(_spots(spark, sf), ["label"], 8, (8, 24), [300, 400], curves=True), ["label"], ("W", "B"))
\ No newline at end of file

@@ -101,14 +101,20 @@ def snippets(spark, sf):
 _TRIALS = [("W", 2, 2), ("B", 4, 2), ("W", 1, 1)]
 
 
+def _pieces_sql(delay: float) -> str:
+    """Pieces ``c`` of every trial name: first sample ``i0`` and length ``n_frames``, the last one cut."""
+    return (
+        "WITH p AS (SELECT * FROM (VALUES (0, 'W', 2), (2, 'B', 2), (4, 'B', 2), (6, 'W', 1)) v(o, name, split)), "
+        f"hit AS (SELECT g.user_id, k, (SELECT arg_min(s.i, (abs(s.t - (g.t + {delay})), s.i)) FROM samples s WHERE s.user_id = g.user_id) AS si FROM clicks g), "
+        "d AS (SELECT a.user_id, a.k, name, a.si AS i0, coalesce(e.si, (SELECT max(i) FROM samples s WHERE s.user_id = a.user_id)) - a.si AS n FROM hit a JOIN p ON a.k % 7 = o LEFT JOIN hit e ON e.user_id = a.user_id AND e.k = a.k + split), "
+        "r AS (SELECT *, row_number() OVER (PARTITION BY user_id, name ORDER BY k) - 1 AS rep FROM d WHERE n > 0), "
+        "l AS (SELECT *, max(rep) OVER (PARTITION BY user_id, name) AS lr FROM r), "
+        "c AS (SELECT l.*, CASE WHEN rep = lr THEN least(n, coalesce((SELECT max(n) FROM l b WHERE b.user_id = l.user_id AND b.name = l.name AND b.rep < b.lr), n)) ELSE n END AS n_frames FROM l)"
+    )
+
+
 @query(
-    "WITH p AS (SELECT * FROM (VALUES (0, 'W', 2), (2, 'B', 2), (4, 'B', 2), (6, 'W', 1)) v(o, name, split)), "
-    "hit AS (SELECT g.user_id, k, (SELECT arg_min(s.i, (abs(s.t - g.t), s.i)) FROM samples s WHERE s.user_id = g.user_id) AS si FROM clicks g), "
-    "d AS (SELECT a.user_id, a.k, name, a.si AS i0, coalesce(e.si, (SELECT max(i) FROM samples s WHERE s.user_id = a.user_id)) - a.si AS n FROM hit a JOIN p ON a.k % 7 = o LEFT JOIN hit e ON e.user_id = a.user_id AND e.k = a.k + split), "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY user_id, name ORDER BY k) - 1 AS rep FROM d WHERE n > 0), "
-    "l AS (SELECT *, max(rep) OVER (PARTITION BY user_id, name) AS lr FROM r), "
-    "c AS (SELECT l.*, CASE WHEN rep = lr THEN least(n, coalesce((SELECT max(n) FROM l b WHERE b.user_id = l.user_id AND b.name = l.name AND b.rep < b.lr), n)) ELSE n END AS n_frames FROM l), "
-    "w AS (SELECT user_id, name, rep, i0, unnest(range(n_frames)) AS j FROM c) "
+    f"{_pieces_sql(0.0)}, w AS (SELECT user_id, name, rep, i0, unnest(range(n_frames)) AS j FROM c) "
     "SELECT w.user_id, name, rep, j, round(s.t, 6) AS t, y FROM w JOIN samples s ON s.user_id = w.user_id AND s.i = w.i0 + j",
     use="samples clicks",
 )
@@ -116,6 +122,35 @@ def group_snippets(spark, sf):
     return _r(T.group_snippets(samples(spark, sf), clicks(spark, sf), U, _TRIALS), 6, "t")
 
 
+@query(
+    f"{_pieces_sql(40000.0)}, w AS (SELECT user_id, name, rep, i0, n_frames, unnest(range(max(n_frames) OVER (PARTITION BY user_id, name))) AS j FROM c) "
+    "SELECT w.user_id, name, rep, j, round(s.t, 6) AS t, y FROM w LEFT JOIN samples s ON s.user_id = w.user_id AND s.i = w.i0 + j AND j < n_frames",
+    use="samples clicks",
+)
+def group_snippets_padded(spark, sf):
+    """Pieces that start a while after their triggers, all of a name as long as the longest."""
+    return _r(T.group_snippets(samples(spark, sf), clicks(spark, sf), U, _TRIALS, delay=40000.0, stack="pad"), 6, "t")
+
+
+@query(
+    f"{_pieces_sql(0.0)}, w AS (SELECT user_id, name, rep, i0, unnest(range(min(n_frames) OVER (PARTITION BY user_id, name))) AS j FROM c) "
+    "SELECT w.user_id, name, rep, j, round(s.t, 6) AS t, y FROM w JOIN samples s ON s.user_id = w.user_id AND s.i = w.i0 + j",
+    use="samples clicks",
+)
+def group_snippets_truncated(spark, sf):
+    """All pieces of a name as long as the shortest; lengths may differ by any amount here."""
+    return _r(T.group_snippets(samples(spark, sf), clicks(spark, sf), U, _TRIALS, stack="truncate", rtol=1e9), 6, "t")
+
+
+@query(
+    f"{_pieces_sql(0.0)}, n AS (SELECT user_id, ceil((max(k) + 1) / 7.0::DOUBLE)::BIGINT AS n_cycles FROM clicks GROUP BY 1), f AS (SELECT user_id, count(*) AS n_pieces FROM c GROUP BY 1) "
+    "SELECT user_id, n_cycles, coalesce(n_pieces, 0) AS n_pieces, (coalesce(n_pieces, 0) < n_cycles * 4)::INTEGER AS dropped_last FROM n LEFT JOIN f USING (user_id)",
+    use="samples clicks",
+)
+def group_completeness(spark, sf):
+    return T.group_completeness(samples(spark, sf), clicks(spark, sf), U, _TRIALS)
+
+
 @query(
     "WITH s AS (SELECT *, max(i) OVER (PARTITION BY user_id) + 1 AS n FROM samples), m AS (SELECT user_id, min(y) FILTER (WHERE i >= 3 AND i < n - 3) AS lo, max(y) FILTER (WHERE i >= 3 AND i < n - 3) AS hi FROM s GROUP BY 1), "
     "e AS (SELECT s.*, y < lo OR y > hi AS bad FROM s JOIN m USING (user_id)), "
@@ -403,6 +438,21 @@ def align_for_regression(spark, sf):
     return _r(T.align_for_regression(_frames(spark, sf), samples(spark, sf), U, ref="stim"), 6, "y").select("user_id", "i", "frame", "y")
 
 
+@query(
+    "WITH g AS (SELECT user_id, i, t, coalesce(y - lag(y) OVER w, 0) AS y FROM samples WINDOW w AS (PARTITION BY user_id ORDER BY i)), "
+    "ms AS (SELECT user_id, (max(t) - min(t)) / nullif(count(*) - 1, 0) AS dt FROM g GROUP BY 1), nx AS (SELECT *, lead(y) OVER w AS y2, lead(t) OVER w AS t2 FROM g WINDOW w AS (PARTITION BY user_id ORDER BY i)), "
+    "up AS (SELECT user_id, i * 2 + j AS i, t + coalesce(dt, 0) * j / 2 AS t, greatest(CASE WHEN t2 IS NULL THEN y ELSE y + (y2 - y) * least(coalesce(dt, 0) * j / 2 / nullif(t2 - t, 0), 1) END, 0) AS y FROM nx JOIN ms USING (user_id), range(2) q(j)), "
+    f"{_FRAMES}, fd AS (SELECT user_id, (max(t) - min(t)) / nullif(count(*) - 1, 0) AS dt FROM fr GROUP BY 1), f3 AS (SELECT user_id, frame * 3 + j AS frame, t + coalesce(dt, 0) * j / 3 AS t FROM fr JOIN fd USING (user_id), range(3) q(j)), "
+    "sp AS (SELECT user_id, min(t) AS a, max(t) + max(d) AS b FROM (SELECT user_id, t, t - lag(t) OVER (PARTITION BY user_id ORDER BY frame) AS d FROM f3) GROUP BY 1), "
+    "s AS (SELECT up.* FROM up JOIN sp USING (user_id) WHERE t >= a AND t < b) "
+    "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS i, round(y / nullif(stddev_pop(y) OVER (PARTITION BY user_id), 0), 6) AS y FROM s",
+    use="samples clicks",
+)
+def align_gradient(spark, sf):
+    """Positive steps at twice the rate of the trace, on trace time, within the span of three times as many frames."""
+    return _r(T.align_for_regression(_frames(spark, sf), samples(spark, sf), U, kind="gradient", up=2, up_frames=3), 6, "y").select("user_id", "i", "y")
+
+
 @query("SELECT user_id, i, CASE WHEN i < floor(n * 0.8::DOUBLE) THEN 'train' WHEN i < floor(n * 0.9::DOUBLE) THEN 'dev' ELSE 'test' END AS split FROM (SELECT user_id, i, count(*) OVER (PARTITION BY user_id) AS n FROM samples)", use="samples")
 def ordered_split(spark, sf):
     return T.ordered_split(samples(spark, sf), U).select("user_id", "i", "split")

@@ -40,7 +40,7 @@ def stream_populate(spark, sf):
     path = scratch_path(spark, "populate")
     for run in ("first", "again"):
         S.stream_populate(_events(spark, sf), ["user_id"], lambda d: d.select("user_id", (F.col("user_id") * 2).alias("twice")), path, f"{path}-{run}")
-    return spark.read.parquet(path)
+    return S.populated(spark, path)
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")

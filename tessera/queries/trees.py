@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import joins as J
 from ..operators import trees as T
+from ..plans.scan import indexed
+from ..session import once
 from .fixtures import pixels, table
 from .joins import CELLS, SEGS, cells, segments
 from .registry import query
@@ -78,16 +80,76 @@ def orient_paths(spark, sf):
     return T.orient_paths(p, soma, C).drop("cell")
 
 
-@query()
-def reconnect_paths(spark, sf):
+# One step a row: the nearest pair of a cell's tails and loose points, then the tails after it.
+_TAIL = "{{'n': {n}, 'x': {x}, 'y': {y}, 'p': {p}, 'part': {part}, 'len': {len}}}"
+_GROW = (
+    "tr AS (SELECT s_nationkey AS cell, -1 - s_suppkey AS n, s_acctbal AS x, (s_suppkey % 97)::DOUBLE AS y FROM supplier), "
+    "lo AS (SELECT c_nationkey AS cell, c_mktsegment AS path_id, row_number() OVER w - 1 AS j, c_custkey AS n, c_acctbal AS x, (c_custkey % 97)::DOUBLE AS y FROM customer WINDOW w AS (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey)), "
+    "en AS (SELECT cell, path_id, max(j) AS last, arg_min({'n': n, 'x': x, 'y': y}, j) AS a, arg_max({'n': n, 'x': x, 'y': y}, j) AS b FROM lo GROUP BY 1, 2), "
+    "lp AS (SELECT lo.*, last, a, b FROM lo JOIN en USING (cell, path_id)), "
+    f"g0 AS (SELECT cell, list({_TAIL.format(n='n', x='x', y='y', p='n::VARCHAR', part='0', len='1::BIGINT')}) AS tails FROM tr GROUP BY 1), "
+    "gr AS (SELECT g0.cell, tails, (SELECT list(path_id) FROM en WHERE en.cell = g0.cell) AS todo, NULL::STRUCT(path_id VARCHAR, tn BIGINT, p VARCHAR, part INTEGER, len BIGINT, j BIGINT, d DOUBLE, n BIGINT, x DOUBLE, y DOUBLE, last BIGINT, a STRUCT(n BIGINT, x DOUBLE, y DOUBLE), b STRUCT(n BIGINT, x DOUBLE, y DOUBLE)) AS h FROM g0 "
+    "UNION ALL SELECT cell, list_concat(list_filter(tails, lambda t: t.n <> h.tn), CASE WHEN h.j > 0 AND h.j < h.last THEN ["
+    + _TAIL.format(n="CASE WHEN h.d > 0 THEN h.n ELSE h.tn END", x="h.x", y="h.y", p="h.p", part="h.part", len="h.len + (h.d > 0)::BIGINT")
+    + ", " + _TAIL.format(n="h.a.n", x="h.a.x", y="h.a.y", p="h.path_id", part="1", len="h.j + 1")
+    + ", " + _TAIL.format(n="h.b.n", x="h.b.x", y="h.b.y", p="h.path_id", part="2", len="h.last - h.j + 1") + "] WHEN h.j = 0 THEN ["
+    + _TAIL.format(n="CASE WHEN h.last = 0 AND h.d = 0 THEN h.tn ELSE h.b.n END", x="h.b.x", y="h.b.y", p="h.p", part="h.part", len="h.len + h.last + (h.d > 0)::BIGINT") + "] ELSE ["
+    + _TAIL.format(n="h.a.n", x="h.a.x", y="h.a.y", p="h.p", part="h.part", len="h.len + h.last + (h.d > 0)::BIGINT")
+    + "] END), list_filter(todo, lambda q: q <> h.path_id), h FROM (SELECT cell, tails, todo, arg_min({'path_id': path_id, 'tn': t.n, 'p': t.p, 'part': t.part, 'len': t.len, 'j': j, 'd': d, 'n': n, 'x': x, 'y': y, 'last': last, 'a': a, 'b': b}, {'d': d, 'q': path_id, 't': t.n, 'j': j}) AS h "
+    "FROM (SELECT r.cell, r.tails, r.todo, r.t, lp.path_id, lp.j, lp.n, lp.x, lp.y, lp.last, lp.a, lp.b, sqrt((lp.x - r.t.x) * (lp.x - r.t.x) + (lp.y - r.t.y) * (lp.y - r.t.y)) AS d "
+    "FROM (SELECT cell, tails, todo, unnest(tails) AS t FROM gr WHERE len(todo) > 0) r JOIN lp ON lp.cell = r.cell AND list_contains(r.todo, lp.path_id)) GROUP BY cell, tails, todo))"
+)
+
+
+def _loose(spark, sf):
     """Suppliers of a nation are the tree; customers of a nation and segment form loose paths."""
     s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("cell"), (-1 - F.col("s_suppkey")).alias("n"), F.col("s_acctbal").alias("x"), (F.col("s_suppkey") % 97).cast("double").alias("y"), F.lit(0.0).alias("z"))
-    c = table(spark, sf, "customer")
-    from ..plans.scan import indexed
+    l = indexed(table(spark, sf, "customer"), ["c_nationkey", "c_mktsegment"], ["c_custkey"], "j")
+    return s, l.select(F.col("c_nationkey").alias("cell"), F.col("c_mktsegment").alias("path_id"), "j", F.col("c_custkey").alias("n"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 97).cast("double").alias("y"), F.lit(0.0).alias("z"))
+
+
+@query(
+    f"WITH RECURSIVE {_GROW} SELECT cell, h.path_id AS path_id, h.tn AS attach_to, h.p AS to_path, h.part AS to_part, h.len AS at_j, h.j AS by_j, round(h.d, 6) AS dist, h.j > 0 AND h.j < h.last AS split FROM gr WHERE h IS NOT NULL "
+    "UNION ALL SELECT cell, path_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM en WHERE cell NOT IN (SELECT cell FROM g0)"
+)
+def reconnect_paths(spark, sf):
+    """Suppliers of a nation are the tree; customers of a nation and segment form loose paths."""
+    return _r(T.reconnect_paths(*_loose(spark, sf), C), 6, "dist")
+
 
-    l = indexed(c, ["c_nationkey", "c_mktsegment"], ["c_custkey"], "j")
-    l = l.select(F.col("c_nationkey").alias("cell"), F.col("c_mktsegment").alias("path_id"), "j", F.col("c_custkey").alias("n"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 97).cast("double").alias("y"), F.lit(0.0).alias("z"))
-    return _r(T.reconnect_paths(s, l, C), 6, "dist")
+@query(
+    f"WITH RECURSIVE {_GROW}, hung AS (SELECT lp.*, h FROM lp JOIN gr ON gr.cell = lp.cell AND gr.h.path_id = lp.path_id), "
+    "pts AS (SELECT cell, n::VARCHAR AS path_id, 0 AS part, 0 AS j, n FROM tr "
+    "UNION ALL SELECT cell, h.p, h.part, h.len + abs(j - h.j) - 1 + (h.d > 0)::BIGINT, n FROM hung WHERE (h.d > 0 OR j <> h.j) AND (j = h.j OR h.j = 0 OR h.j = h.last) "
+    "UNION ALL SELECT cell, path_id, 1, h.j - j, n FROM hung WHERE h.j > 0 AND h.j < h.last AND j <= h.j "
+    "UNION ALL SELECT cell, path_id, 2, j - h.j, n FROM hung WHERE h.j > 0 AND h.j < h.last AND j >= h.j) "
+    "SELECT p.cell, p.path_id, p.part, p.j, p.n, g.h.p AS connect_to, g.h.part AS connect_part FROM pts p LEFT JOIN gr g ON p.part > 0 AND g.cell = p.cell AND g.h.path_id = p.path_id"
+)
+def reconnected_points(spark, sf):
+    """The path table after reconnection, with what the halves of split paths connect to."""
+    tree, loose = _loose(spark, sf)
+    attached = once(T.reconnect_paths(tree, loose, C))
+    points, links = T.reconnected(tree, loose, attached, C)
+    return points.join(links, [*C, "path_id", "part"], "left").select("cell", "path_id", "part", "j", "n", "connect_to", "connect_part")
+
+
+@query(
+    f"WITH RECURSIVE {_NODES}, w AS (SELECT n, [n] AS p FROM nd WHERE parent < 0 UNION ALL SELECT nd.n, list_append(w.p, nd.n) FROM nd JOIN w ON nd.parent = w.n), s AS (SELECT unnest(p) AS n, count(*) AS size FROM w GROUP BY 1), "
+    "e AS (SELECT n, row_number() OVER (ORDER BY p) - 1 AS enter FROM w) SELECT n AS id, enter, enter + size - 1 AS exit, size FROM e JOIN s USING (n)"
+)
+def tree_intervals(spark, sf):
+    n = _nodes(spark, sf).select("cell", F.col("n").alias("id"), F.when(F.col("parent") >= 0, F.col("parent")).alias("ptr"))
+    return T.tree_intervals(n, C).drop("cell")
+
+
+@query(
+    f"WITH RECURSIVE {_NODES}, a AS (SELECT n AS id, parent AS anc FROM nd WHERE parent >= 0 UNION ALL SELECT a.id, nd.parent FROM a JOIN nd ON nd.n = a.anc WHERE nd.parent >= 0), p AS (SELECT DISTINCT l_partkey AS id, l_suppkey AS anc FROM lineitem) "
+    "SELECT id, anc, CASE WHEN id IN (SELECT n FROM nd) AND anc IN (SELECT n FROM nd) THEN (id, anc) IN (SELECT (id, anc) FROM a) END AS is_ancestor FROM p"
+)
+def mark_ancestors(spark, sf):
+    n = _nodes(spark, sf).select("cell", F.col("n").alias("id"), F.when(F.col("parent") >= 0, F.col("parent")).alias("ptr"))
+    p = table(spark, sf, "lineitem").select(F.lit(0).alias("cell"), F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("anc")).distinct()
+    return T.mark_ancestors(p, T.tree_intervals(n, C), C).drop("cell")
 
 
 @query(f"WITH RECURSIVE {_NODES}, anc AS (SELECT n AS id, parent AS anc, 1 AS depth FROM nd WHERE parent >= 0 UNION ALL SELECT anc.id, nd.parent, depth + 1 FROM anc JOIN nd ON nd.n = anc.anc WHERE nd.parent >= 0) SELECT id, anc, depth::BIGINT AS depth FROM anc")
@@ -177,6 +239,26 @@ def density_center(spark, sf):
     return _r(T.density_center(d, C, 120.0, 20), 6, "mx", "my", "cx", "cy", "asymmetry")
 
 
+@query(f"WITH {_CLOUD} SELECT cell, (ceil(greatest(max(abs(x)), max(abs(y))) / 20) * 20)::DOUBLE AS lim FROM cl GROUP BY 1")
+def path_limits(spark, sf):
+    return T.path_limits(_cloud(spark, sf), C)
+
+
+@query(
+    f"WITH {_CLOUD}, lm AS (SELECT cell, (ceil(greatest(max(abs(x)), max(abs(y))) / 20) * 20)::DOUBLE AS lim FROM cl GROUP BY 1), "
+    "st AS (SELECT cell, count(*) AS n, var_samp(x) * pow(count(*), -1 / 3.0::DOUBLE) AS a, covar_samp(x, y) * pow(count(*), -1 / 3.0::DOUBLE) AS b, var_samp(y) * pow(count(*), -1 / 3.0::DOUBLE) AS c FROM cl GROUP BY 1), "
+    "g AS (SELECT cell, lim, i AS gx, j AS gy, 2 * lim / 19 * i - lim AS wx, 2 * lim / 19 * j - lim AS wy FROM lm, range(20) p(i), range(20) q(j)), "
+    "ds AS (SELECT g.cell, lim, gx, gy, sum(exp(-0.5::DOUBLE * (c * (wx - x) * (wx - x) - 2 * b * (wx - x) * (wy - y) + a * (wy - y) * (wy - y)) / (a * c - b * b))) / (2 * pi() * sqrt(any_value(a * c - b * b)) * any_value(n)) AS density FROM g JOIN st USING (cell) JOIN cl USING (cell) GROUP BY 1, 2, 3, 4), "
+    "m AS (SELECT cell, any_value(lim) AS lim, sum(gx * density) / sum(density) AS mx, sum(gy * density) / sum(density) AS my FROM ds GROUP BY 1) "
+    "SELECT cell, round(mx, 6) AS mx, round(my, 6) AS my, round(mx * 2 * lim / 20 - lim, 6) + 0.0 AS cx, round(my * 2 * lim / 20 - lim, 6) + 0.0 AS cy, round(sqrt(pow(mx * 2 * lim / 20 - lim, 2) + pow(my * 2 * lim / 20 - lim, 2)), 6) AS asymmetry FROM m"
+)
+def density_center_own_extent(spark, sf):
+    """Density maps whose extent is that of every cell's own points, and their centres."""
+    p = _cloud(spark, sf)
+    lim = once(T.path_limits(p, C))
+    return _r(T.density_center(T.density_map(p, C, lim, 20), C, lim, 20), 6, "mx", "my", "cx", "cy", "asymmetry")
+
+
 @query(
     f"WITH {_CLOUD}, u AS (SELECT DISTINCT * FROM cl), e AS (SELECT a.cell, a.x AS ax, a.y AS ay FROM u a JOIN u b ON a.cell = b.cell AND (a.x <> b.x OR a.y <> b.y) WHERE NOT EXISTS (SELECT 1 FROM u c WHERE c.cell = a.cell AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0)), "
     "ct AS (SELECT cell, avg(x) AS cx, avg(y) AS cy FROM cl GROUP BY 1), r AS (SELECT e.cell, sqrt(pow(ax - cx, 2) + pow(ay - cy, 2)) AS r, row_number() OVER (PARTITION BY e.cell ORDER BY ax, ay) AS k FROM e JOIN ct USING (cell)) "

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
@@ -33,21 +33,40 @@ def run_available(df: DataFrame, name: str, mode: str = "append", path: str | No
     return path
 
 
-def stream_populate(source: DataFrame, keys: list[str], fn: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
+BUCKET = "_bucket"
+
+
+def _bucket(keys: list[str], buckets: int) -> Column:
+    """Folder of a key in the target; of its text, so that it does not depend on the type a function gives back."""
+    return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(buckets)).cast("int")
+
+
+def populated(spark: SparkSession, path: str, only: list[int] | None = None) -> DataFrame | None:
+    """The target of :func:`stream_populate`, or only some of its folders, of which nothing else is listed; none if there are none."""
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if only is None:
+        return spark.read.parquet(path).drop(BUCKET) if fs.exists(base) else None
+    folders = [f"{path}/{BUCKET}={k}" for k in only]
+    folders = [f for f in folders if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f))]
+    return spark.read.option("basePath", path).parquet(*folders).drop(BUCKET) if folders else None
+
+
+def stream_populate(source: DataFrame, keys: list[str], fn: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, buckets: int = 64) -> None:
     """Append the results of keys that are not in the target yet, micro-batch by micro-batch.
 
-    A batch that is repeated after a failure finds its keys already there and adds nothing.
+    The target has a folder for every bucket of keys; a batch only lists and reads the key columns of the buckets that
+    its own keys fall in. A batch that is repeated after a failure finds its keys already there and adds nothing.
     """
 
     def add(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
         fresh = batch.dropDuplicates(keys)
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            # Only the key columns of the target are read.
-            fresh = antijoin(fresh, spark.read.parquet(path).select(*keys), keys)
-        fn(fresh).write.mode("append").parquet(path)
+        here = [r[0] for r in fresh.select(_bucket(keys, buckets)).distinct().collect()]
+        old = populated(batch.sparkSession, path, here)
+        if old is not None:
+            fresh = antijoin(fresh, old.select(*keys), keys)
+        out = fn(fresh).withColumn(BUCKET, _bucket(keys, buckets))
+        out.repartition(BUCKET).write.partitionBy(BUCKET).mode("append").parquet(path)
 
     source.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -77,13 +96,14 @@ def stream_bouts(events: DataFrame, keys: list[str], gap: str, delay: str) -> Da
     return g.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def stream_triggers(events: DataFrame, keys: dict[str, str], threshold: float, min_gap_s: float, delay: str, forget_s: float = 7 * 86400.0) -> DataFrame:
+def stream_triggers(events: DataFrame, keys: dict[str, str], threshold: float, min_gap_s: float, delay: str, forget_s: float | None = None) -> DataFrame:
     """Upward crossings with debounce; ``keys`` maps key columns to their types.
 
     Rows of a key wait in its state until the watermark has passed them and are then put in time order
     (by ``event_id`` at equal times), so a row that is late within ``delay`` counts like any other.
-    Besides the waiting rows the state holds the last value and crossing; it is dropped ``forget_s``
-    after the newest row.
+    Besides the waiting rows the state holds the last value and crossing, 24 bytes a key, so the first row after any
+    silence is judged like the next. With ``forget_s`` these are dropped that long after the newest row,
+    and the next row of the key is its first again.
     """
     names = list(keys)
     schema = ", ".join([*(f"`{k}` {t}" for k, t in keys.items()), "ts timestamp", "value double"])
@@ -109,12 +129,13 @@ def stream_triggers(events: DataFrame, keys: dict[str, str], threshold: float, m
             last_t, last_v = int(done_t[-1]), float(done_v[-1])
         if len(up):
             last_c = int(done_t[up[-1]])
-        if n == len(t) and mark > last_t + forget_s * 1e6:
+        if n == len(t) and forget_s is not None and mark > last_t + forget_s * 1e6:
             state.remove()
         else:
             state.update((t[n:].tolist(), e[n:].tolist(), v[n:].tolist(), last_t, last_v, last_c))
-            wake = int(t[n]) if n < len(t) else int(last_t + forget_s * 1e6)
-            state.setTimeoutTimestamp(max(wake // 1000, mark // 1000) + 1)
+            if n < len(t) or forget_s is not None:
+                wake = int(t[n]) if n < len(t) else int(last_t + forget_s * 1e6)
+                state.setTimeoutTimestamp(max(wake // 1000, mark // 1000) + 1)
         out = pd.DataFrame({c: [x] * len(kept) for c, x in zip(names, k)}, columns=names)
         out["ts"], out["value"] = pd.to_datetime(done_t[kept], unit="us"), done_v[kept]
         yield out
