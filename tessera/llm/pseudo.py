@@ -27,7 +27,9 @@ WINDOW = (-2, -1, 1, 2)
 REACH = max(WINDOW)
 #: Training: every STRIDE-th position of every text in a round, so that the rounds see every position
 #: once; positions per step, learning rate, rounds.
-STRIDE, STEP, RATE, ROUNDS = 2, 4096, 0.2, 2
+STRIDE, STEP, RATE, ROUNDS = 2, 8192, 0.2, 2
+#: Positions that are scored together: the more, the longer the runs of targets of one class.
+SCORED = 65_536
 #: Floats per row when parameters are averaged.
 CHUNK = 4096
 
@@ -77,10 +79,11 @@ class Network:
         return net
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        z = self.bias + self.embed[0][around[:, 0]]
+        z = np.take(self.embed[0], around[:, 0], axis=0)
+        z += self.bias
         for i in range(1, len(WINDOW)):
-            z += self.embed[i][around[:, i]]
-        return np.tanh(z)
+            z += np.take(self.embed[i], around[:, i], axis=0)
+        return np.tanh(z, out=z)
 
     @staticmethod
     def softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,10 +144,13 @@ class Network:
         self.step(self.to_class, memory.to_class, every, h.T @ g, rate)
         self.step(self.class_bias, memory.class_bias, every, g.sum(axis=0), rate)
         self.step(self.bias, memory.bias, every, dz.sum(axis=0), rate)
-        for i in range(len(WINDOW)):
-            order = np.argsort(around[:, i], kind="stable")
-            ids, first = np.unique(around[order, i], return_index=True)
-            self.step(self.embed[i], memory.embed[i], ids, np.add.reduceat(dz[order], first, axis=0), rate)
+        # All places of the window as one table: one sort of 16-bit rows, one sum per row.
+        places = np.arange(len(WINDOW), dtype=np.uint16) * (TOKENS + 1)
+        rows = (around.astype(np.uint16) + places).T.ravel()
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        self.step(self.embed.reshape(-1, DIM), memory.embed.reshape(-1, DIM), rows[first], np.add.reduceat(dz[order % n], first, axis=0), rate)
 
     @staticmethod
     def step(weights: np.ndarray, memory: np.ndarray, at, gradient: np.ndarray, rate: float) -> None:
@@ -152,19 +158,50 @@ class Network:
         weights[at] -= rate * gradient / (np.sqrt(memory[at]) + 1e-6)
 
 
-def positions(texts: Iterator, vocabulary: Vocabulary, find, rare: list[pa.Array] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Texts as ids with edges between them, in pieces of some 200 000 ids: (ids, number of the text or -1).
+def encoder(words: list[str], rare: bool):
+    """Task function: rows (doc_id, text) to (doc_id, ids): 16 bits a token.
 
-    ``rare`` gets the distinct words in hash buckets of every text, with their counts.
+    With ``rare`` also the distinct words in hash buckets of every text, with their counts.
     """
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, find = Vocabulary(words), re.compile(TOKEN).findall
+        nothing = pa.array([], type=pa.struct([("word", pa.string()), ("times", pa.int64())]))
+        for batch in batches:
+            coded, lists = [], []
+            for text in batch.column(1):
+                tokens = find(text.as_py().lower())
+                ids = np.fromiter(map(vocabulary.__getitem__, tokens), dtype=np.uint16, count=len(tokens))
+                coded.append(ids.tobytes())
+                if rare:
+                    times = Counter(tokens[k] for k in np.flatnonzero(ids >= WORDS).tolist())
+                    lists.append(pa.StructArray.from_arrays([pa.array(list(times), type=pa.string()), pa.array(list(times.values()), type=pa.int64())], names=["word", "times"]))
+            columns = {"doc_id": batch.column(0), "ids": pa.array(coded, type=pa.binary())}
+            if rare:
+                columns["rare"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), type=pa.int32()), pa.concat_arrays([nothing, *lists]))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return encode
+
+
+def encoded(docs: DataFrame, words: list[str], rare: bool = False) -> DataFrame:
+    """Token ids of every document: doc_id, ids and, on request, its rare words."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    more = ", rare array<struct<word: string, times: long>>" if rare else ""
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(encoder(words, rare), f"doc_id {kind}, ids binary{more}")
+
+
+def positions(texts: Iterator, vocabulary: Vocabulary | None = None, find=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts, or their ids as bytes, as ids with edges between them, in pieces of some 200 000 ids: (ids, number of the text or -1)."""
     ids, owner, held = [], [], 0
     edge = np.full(REACH, TOKENS, dtype=np.int32)
     for i, text in enumerate(texts):
-        words = find(text.as_py().lower())
-        ids += [edge, np.fromiter(map(vocabulary.__getitem__, words), dtype=np.int32, count=len(words))]
-        if rare is not None:
-            times = Counter(words[k] for k in np.flatnonzero(ids[-1] >= WORDS).tolist())
-            rare.append(pa.StructArray.from_arrays([pa.array(list(times), type=pa.string()), pa.array(list(times.values()), type=pa.int64())], names=["word", "times"]))
+        words = text.as_py()
+        if isinstance(words, bytes):
+            words = np.frombuffer(words, dtype=np.uint16).astype(np.int32)
+        else:
+            words = np.array([vocabulary[w] for w in find(words.lower())], dtype=np.int32)
+        ids += [edge, words]
         owner += [np.full(REACH, -1, dtype=np.int64), np.full(len(words), i, dtype=np.int64)]
         held += len(words)
         if held > 200_000:
@@ -186,7 +223,7 @@ def around(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def trainer(words: list[str], flat: np.ndarray, stride: int, phase: int, rate: float):
-    """Task function: trains a copy of the network on the task's texts and returns it in chunks, with its weight."""
+    """Task function: trains a copy of the network on the task's texts (or their ids) and returns it in chunks, with its weight."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, find = Vocabulary(words), re.compile(TOKEN).findall
@@ -206,10 +243,10 @@ def trainer(words: list[str], flat: np.ndarray, stride: int, phase: int, rate: f
     return train
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, rate: float = RATE, counts: DataFrame | None = None) -> tuple[list[str], np.ndarray]:
-    """Vocabulary and parameters, trained on all documents; ``counts`` are their token counts, if at hand.
+def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, rate: float = RATE, counts: DataFrame | None = None, ids: DataFrame | None = None) -> tuple[list[str], np.ndarray]:
+    """Vocabulary and parameters, trained on all documents; ``counts`` are their token counts, ``ids`` their ids, if at hand.
 
-    Word counts cover every token. In each round every task trains on every ``stride``-th position of
+    Texts become ids once, all rounds read these. Word counts cover every token. In each round every task trains on every ``stride``-th position of
     all its texts, and the copies are averaged by the positions they saw, chunk by chunk in Spark.
     Every round starts one position later, and ``stride`` may not exceed ``rounds``, so that every
     position is trained on. The driver gets one network of fixed size per round, whatever the number of tasks.
@@ -220,11 +257,12 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, rate: float
     top = most_frequent(counts, WORDS)
     rest = counts.agg(F.sum("n")).first()[0] or 0
     words = [w for w, _ in top]
+    ids = written(encoded(docs, words)) if ids is None else ids
     n = np.zeros(TOKENS)
     n[: len(top)] = [c for _, c in top]
     n[WORDS:] = max(0, rest - n.sum()) / MEMBERS
     flat = Network.start(n).flat
-    rows = docs.select(text_of().alias("text"))
+    rows = ids.select("ids")
     for k in range(rounds):
         parts = rows.mapInArrow(trainer(words, flat, stride, k % stride, rate), "chunk int, weight double, part array<double>")
         mean = parts.groupBy("chunk").agg(Summarizer.mean(array_to_vector("part"), F.col("weight")).alias("mean"))
@@ -234,23 +272,20 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, rate: float
     return words, flat
 
 
-def scorer(words: list[str], flat: np.ndarray):
-    """Task function: tokens, summed log-probability and rare words of every row (doc_id, text)."""
+def scorer(flat: np.ndarray):
+    """Task function: tokens and summed log-probability of every row (row, doc_id, ids)."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, find, net = Vocabulary(words), re.compile(TOKEN).findall, Network(flat)
-        nothing = pa.array([], type=pa.struct([("word", pa.string()), ("times", pa.int64())]))
+        net = Network(flat)
         for batch in batches:
-            n, total, rare = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows), []
-            for ids, owner in positions(batch.column(1), vocabulary, find, rare):
+            n, total = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows)
+            for ids, owner in positions(batch.column(2)):
                 every = np.flatnonzero(owner >= 0)
-                for i in range(0, len(every), 16_384):
-                    at = every[i : i + 16_384]
+                for i in range(0, len(every), SCORED):
+                    at = every[i : i + SCORED]
                     n += np.bincount(owner[at], minlength=len(n))
                     total += np.bincount(owner[at], weights=net.log_prob(around(ids, at), ids[at]), minlength=len(n))
-            edges = pa.array(np.cumsum([0, *map(len, rare)]), type=pa.int32())
-            lists = pa.ListArray.from_arrays(edges, pa.concat_arrays([nothing, *rare]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), lists], names=["doc_id", "n_tokens", "log_prob", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(total)], names=["row", "doc_id", "n_tokens", "log_prob"])
 
     return score
 
@@ -282,18 +317,19 @@ def score_table(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = No
     bucket alone. Null texts are empty; texts without tokens have log_prob 0 and a null mean. Repeated
     rows are scored each for itself; only ``doc_id`` and ``text`` are read.
     """
-    counts = None if model else token_counts(docs, TOKEN, lower=True)
-    words, flat = model or fit(docs, counts=counts)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", text_of().alias("text"))
-    scored = rows.mapInArrow(scorer(words, flat), f"doc_id {kind}, n_tokens long, log_prob double, rare array<struct<word: string, times: long>>")
+    counts = None if model else token_counts(docs, TOKEN, lower=True)
+    words = model[0] if model else [w for w, _ in most_frequent(counts, WORDS)]
+    ids = encoded(docs, words, rare=model is None).withColumn("row", F.monotonically_increasing_id())
+    # The number of a row holds once the rows are written.
+    ids = ids if model else written(ids)
+    flat = model[1] if model else fit(docs, counts=counts, ids=ids)[1]
+    scored = ids.select("row", "doc_id", "ids").mapInArrow(scorer(flat), f"row long, doc_id {kind}, n_tokens long, log_prob double")
     log_prob = F.col("log_prob")
     if counts is not None:
-        # The number of a row holds once the rows are written.
-        scored = written(scored.withColumn("row", F.monotonically_increasing_id()))
-        pairs = scored.select("row", F.inline("rare"))
+        pairs = ids.select("row", F.inline("rare"))
         inside = pairs.join(shares(counts, words).hint("merge"), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("share")).alias("inside"))
-        scored = scored.drop("rare").join(inside.hint("merge"), "row", "left")
+        scored = scored.join(inside.hint("merge"), "row", "left")
         log_prob = log_prob + F.coalesce("inside", F.lit(0.0))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
     return scored.select("doc_id", "n_tokens", log_prob.alias("log_prob")).withColumn("mean_log_prob", mean)

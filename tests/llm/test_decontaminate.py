@@ -102,3 +102,38 @@ def test_awkward_rows_and_empty_tables(spark):
     none = spark.createDataFrame([], bench.schema)
     assert passages(docs, none).collect() == [] and passages(empty(spark), bench).collect() == []
     assert decontaminate(docs, none).count() == docs.count()
+
+
+@pytest.mark.parametrize("kind", ["int", "smallint", "string", "double", "decimal(12,2)", "date"])
+def test_items_may_have_any_kind_of_id(spark, kind):
+    text = prose(random.Random(3), 30)
+    one = {"date": "date'2024-05-06'"}.get(kind, f"cast(7 as {kind})")
+    b = spark.sql(f"select {one} as item_id, '{text}' as text")
+    got = passages(spark.createDataFrame([(1, text)], "doc_id int, text string"), b).collect()
+    assert [(r["doc_id"], r["item_id"], r["similarity"]) for r in got] == [(1, b.first()["item_id"], 1.0)]
+
+
+def test_repeated_shingles_lose_no_pair():
+    """Items and texts that share 90 shingles and repeat others: their fingerprints may be far apart."""
+    from tessera.llm.decontaminate import Items
+
+    rng, similar = random.Random(12), 0
+    for n in range(300):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(88, 96))]
+        own, text = [*base, *["again"] * rng.randint(4, 14)], [*base, *["elsewhere"] * rng.randint(4, 14)]
+        want = brute([(1, " ".join(text))], [(5, " ".join(own))])
+        found = Items([" ".join(own)]).find(" ".join(text))
+        similar += len(want)
+        assert [(1, 5, *x) for x in found.values()] == want
+    assert similar > 100
+
+
+def test_repeats_are_those_of_the_window():
+    import numpy as np
+
+    from tessera.llm.decontaminate import repeats
+
+    rng = np.random.default_rng(1)
+    for size in (1, 2, 5, 30):
+        h = rng.integers(0, 12, 30).astype(np.uint64)
+        assert repeats(h, size).tolist() == [len(set(h[s : s + size].tolist())) < size for s in range(len(h) - size + 1)]

@@ -76,3 +76,69 @@ def test_awkward_rows_and_empty_table(spark):
     assert len(rows) == docs.count() and all(r["language"] in (*LANGUAGES, "und") and 0 <= r["probability"] <= 1 + 1e-9 and not math.isnan(r["probability"]) for r in rows)
     assert keep_identified(docs).columns == docs.columns and keep_identified(empty(spark)).collect() == []
     assert identify(document_rows(empty(spark)), train(empty(spark)), ["doc_id"]).collect() == []
+
+
+def buckets(text):
+    """Letter trigrams in whole numbers, one after another."""
+    import re
+
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    c, out = [ord(x) for x in f" {' '.join(words)} "] if words else [], []
+    for a, b, d in zip(c, c[1:], c[2:]):
+        h = (((a * 0x9E3779B1 ^ b * 0x85EBCA77) % 2**32) * 0xC2B2AE3D + d * 0x27D4EB2F) % 2**32
+        out.append(((h ^ h >> 15) * 0x2C1B3C6D) % 2**32 >> 17)
+    return out
+
+
+def test_query_is_brute_force(spark):
+    """Counts, likelihoods, priors, evidence and posterior once more, row by row in plain Python."""
+    import re
+    from collections import defaultdict
+
+    from tessera.llm.language import ALPHA, BUCKETS, KAPPA, NONE, TEMPER
+
+    docs, pages = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "pages"))
+    n = len(LANGUAGES) + 1
+    count = np.full((n - 1, BUCKETS), ALPHA)
+    for r in docs.collect():
+        if r["lang"] in LANGUAGES:
+            for b in buckets(r["text"] or ""):
+                count[LANGUAGES.index(r["lang"]), b] += 1
+    logs = np.vstack([np.log(count / count.sum(axis=1, keepdims=True)), np.full(BUCKETS, -np.log(BUCKETS))]).astype(np.float32).astype(float)
+    rows = []
+    for r in [*document_rows(docs).collect(), *page_rows(pages).collect()]:
+        low = {c: (r[c] or "").lower() for c in ("host", "domain", "suffix")}
+        short = (re.match(r"\s*([A-Za-z]+)", r["declared"] or "") or ["", ""])[1].lower()
+        b = buckets(r["text"] or "")
+        rows.append({"id": (r["doc_id"], None) if "doc_id" in r else (None, r["page_id"]), **low, "declared": short if short in ("", *LANGUAGES) else "other", "l": logs[:, b].sum(axis=1) * TEMPER if b else None})
+
+    def share(x):
+        p = np.exp(x - x.max())
+        return p / p.sum()
+
+    soft = {k: defaultdict(lambda: np.zeros(n)) for k in ("all", "domain", "host", "suffix", "declared")}
+    for r in rows:
+        if r["l"] is not None:
+            q = share(r["l"])
+            for k, at in (("all", ""), ("domain", r["domain"]), ("host", (r["domain"], r["host"])), ("suffix", r["suffix"]), ("declared", r["declared"])):
+                soft[k][at] += q
+    top = (soft["all"][""] + 1) / (soft["all"][""].sum() + n)
+
+    def evidence(kind, at):
+        if at == "":
+            return np.zeros(n)
+        named = [v for k, v in soft[kind].items() if k != ""]
+        return np.log((soft[kind][at] + 0.5) / (sum(named) + 0.5 * (len(named) + 1)))
+
+    got = {(r["doc_id"], r["page_id"]): r for r in QUERIES["op3_language"](spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        lang, p = NONE, 1.0
+        if r["l"] is not None:
+            d, h = soft["domain"][r["domain"]], soft["host"][r["domain"], r["host"]]
+            prior = (d + KAPPA * top) / (d.sum() + KAPPA)
+            prior = (h + KAPPA * prior) / (h.sum() + KAPPA)
+            q = share(r["l"] + np.log(prior) + evidence("suffix", r["suffix"]) + evidence("declared", r["declared"]))
+            lang, p = [*LANGUAGES, NONE][int(q.argmax())], q.max()
+        x = got[r["id"]]
+        assert (x["language"], x["accepted"]) == (lang, lang != NONE and p >= 0.5) and x["probability"] == pytest.approx(p, abs=1e-4)
