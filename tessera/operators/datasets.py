@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -186,34 +187,87 @@ def train_presence(df: DataFrame, x: str, p: str, kind: str, seed: int = 42, max
     return lambda t: fit.transform(_vec(t, x)).withColumn("p_pred", vector_to_array("_q")[1]).drop("_v", "_o", "_q", "_r")
 
 
+def _grams(d: DataFrame, x: str, targets: list[str], folds: int) -> np.ndarray:
+    """Sums of products of ``(features, 1, targets)`` per fold, from one pass; as many numbers as the models have, squared."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for pdf in batches:
+            for f, part in pdf.groupby("_f"):
+                a = np.column_stack([np.stack(part[x].to_numpy()), np.ones(len(part)), part[targets].to_numpy(float)])
+                held[f] = held[f] + a.T @ a if f in held else a.T @ a
+        yield pd.DataFrame([[f, g.ravel()] for f, g in held.items()], columns=["f", "g"])
+
+    ok = d.dropna(subset=[x, *targets]).select(F.col(x).cast("array<double>").alias(x), *[F.col(t).cast("double").alias(t) for t in targets], F.col("_f").cast("int").alias("_f"))
+    g = ok.mapInPandas(sums, "f int, g array<double>").select("f", F.posexplode("g").alias("p", "v")).groupBy("f", "p").agg(F.sum("v").alias("v"))
+    rows = g.orderBy("f", "p").collect()
+    m = math.isqrt(max((r["p"] for r in rows), default=-1) + 1)
+    out = np.zeros((folds, m * m))
+    for r in rows:
+        out[r["f"], r["p"]] = r["v"]
+    return out.reshape(folds, m, m)
+
+
+def ridge(gram: np.ndarray, target: int, width: int, alpha: float) -> tuple[np.ndarray, float]:
+    """Weights and intercept for one target: half the mean squared error plus ``alpha`` / 2 times the squares of
+    the weights of features scaled to unit spread (the shortest weights if there are several)."""
+    n = gram[width, width]
+    mean, my = gram[:width, width] / n, gram[width, width + 1 + target] / n
+    cov = gram[:width, :width] / n - np.outer(mean, mean)
+    w = np.linalg.lstsq(cov + alpha * np.diag(np.diag(cov)), gram[:width, width + 1 + target] / n - mean * my, rcond=1e-12)[0]
+    return w, float(my - mean @ w)
+
+
 def train_position(df: DataFrame, x: str, targets: list[str], kind: str, alphas: tuple = (1e-4, 1e-2, 1.0), folds: int = 3, seed: int = 42) -> Model:
-    """Model that adds ``<target>_pred``: baseline mean, linear, ridge (penalty by folds) or boosted trees."""
-    d = durable(_vec(df, x).withColumn("_f", F.pmod(F.xxhash64(F.lit(seed), x), F.lit(folds))))
-    fits = {}
-    for t in targets:
-        if kind == "baseline":
-            fits[t] = float(d.agg(F.avg(t)).first()[0])
-            continue
-        if kind == "linear":
-            est = LinearRegression(featuresCol="_v", labelCol=t, predictionCol=f"{t}_pred")
-        elif kind == "boosted":
-            est = GBTRegressor(featuresCol="_v", labelCol=t, predictionCol=f"{t}_pred", maxIter=10, seed=seed)
-        elif kind == "ridge":
-            err = {}
-            for a in alphas:
-                e = LinearRegression(featuresCol="_v", labelCol=t, predictionCol="_o", regParam=a, elasticNetParam=0.0)
-                parts = [e.fit(d.filter(F.col("_f") != f)).transform(d.filter(F.col("_f") == f)).agg(F.avg(F.pow(F.col(t) - F.col("_o"), 2))).first()[0] for f in range(folds)]
-                err[a] = float(np.mean([v for v in parts if v is not None]))
-            est = LinearRegression(featuresCol="_v", labelCol=t, predictionCol=f"{t}_pred", regParam=min(err, key=err.get), elasticNetParam=0.0)
+    """Model that adds ``<target>_pred``: baseline mean, linear, ridge (penalty by folds) or boosted trees.
+
+    The linear kinds need sums of products only: all targets, penalties and folds come from one pass. Rows without
+    features or a target are not trained on; without any, predictions are null.
+    """
+    if kind not in ("baseline", "linear", "ridge", "boosted"):
+        raise ValueError(kind)
+    if kind == "boosted":
+        d = durable(_vec(df, x))
+        fits = [GBTRegressor(featuresCol="_v", labelCol=t, predictionCol=f"{t}_pred", maxIter=10, seed=seed).fit(d) for t in targets]
+
+        def grown(data: DataFrame) -> DataFrame:
+            out = _vec(data, x)
+            for m in fits:
+                out = m.transform(out)
+            return out.drop("_v")
+
+        return grown
+    grams = _grams(df.withColumn("_f", F.pmod(F.xxhash64(F.lit(seed), x), F.lit(folds))), x, targets, folds)
+    whole, width = grams.sum(axis=0), grams.shape[1] - len(targets) - 1
+    models: list = []
+    for k in range(len(targets)):
+        if width < 0 or whole[width, width] == 0:
+            models.append(None)
+        elif kind == "baseline":
+            models.append((np.zeros(width), float(whole[width, width + 1 + k] / whole[width, width])))
         else:
-            raise ValueError(kind)
-        fits[t] = est.fit(d)
+            best = 0.0
+            if kind == "ridge":
+                error = {a: [] for a in alphas}
+                for held in grams:
+                    rest = whole - held
+                    if held[width, width] and rest[width, width]:
+                        for a in alphas:
+                            w, b = ridge(rest, k, width, a)
+                            v = np.concatenate([-w, [-b], np.eye(len(targets))[k]])
+                            error[a].append(v @ held @ v / held[width, width])
+                best = min(alphas, key=lambda a: np.mean(error[a]) if error[a] else 0.0)
+            models.append(ridge(whole, k, width, best))
 
     def apply(data: DataFrame) -> DataFrame:
-        out = _vec(data, x)
-        for t, m in fits.items():
-            out = out.withColumn(f"{t}_pred", F.lit(m)) if isinstance(m, float) else m.transform(out)
-        return out.drop("_v")
+        for t, m in zip(targets, models):
+            pred = F.lit(None).cast("double")
+            if m is not None:
+                weights = F.array(*[F.lit(float(v)) for v in m[0]]).cast("array<double>")
+                products = F.zip_with(F.col(x).cast("array<double>"), weights, lambda p, q: p * q)
+                pred = F.aggregate(products, F.lit(m[1]), lambda s, v: s + v)
+            data = data.withColumn(f"{t}_pred", pred)
+        return data
 
     return apply
 

@@ -744,6 +744,7 @@ def find_peaks(series: DataFrame, keys: list[str], height: str | float | None =
     beside it (:func:`_bases`).
     """
     r = runs(series, keys)
+    r = r if prominence is None else once(r)
     top = (F.col("before").isNull() | (F.col("before") < F.col("y"))) & (F.col("after").isNull() | (F.col("after") < F.col("y")))
     inner = F.col("before").isNotNull() & F.col("after").isNotNull()
     tops = r.filter(top).withColumn("_inner", inner)
@@ -753,9 +754,9 @@ def find_peaks(series: DataFrame, keys: list[str], height: str | float | None =
         big = largest(series, keys)
         tops = durable(indexed(tops, keys, ["run"], "p", big))
         low = scan(r.join(tops.select(*keys, "run", "p"), [*keys, "run"], "left"), keys, ["run"], big, _gap=("after", F.col("p")))
-        last = tops.groupBy(*keys).agg((F.max("p") + 1).alias("_m"))
+        last = once(tops.groupBy(*keys).agg((F.max("p") + 1).alias("_m")))
         low = low.filter("p is null").join(last, keys).withColumn("p", F.coalesce("_gap", "_m"))
-        valley = low.groupBy(*keys, "p").agg(F.min("y").alias("v"))
+        valley = once(low.groupBy(*keys, "p").agg(F.min("y").alias("v")))
         inf = F.lit(float("inf"))
         nxt = valley.withColumn("p", F.col("p") - 1)
         sides = [tops.join(v, [*keys, "p"], "left").select(*keys, F.lit(o).alias("side"), "p", "y", (F.col("p") + o).alias("q"), F.coalesce("v", inf).alias("m")) for v, o in ((valley, -1), (nxt, 1))]

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rotate
 from ..functions.special import chi2_sf, normal_sf, t_sf
 from ..plans.quantile import quantiles, rank_table, with_quantiles
-from ..plans.scan import indexed, largest
+from ..plans.scan import indexed, largest, scan
 from ..plans.stats import join_stats, nz, pearson
-from ..session import once
+from ..session import once, written
 
 
 def largest_first(df: DataFrame, by: list[str], col: str, ties: list[str], first: int) -> DataFrame:
@@ -210,7 +210,10 @@ def kruskal_wallis(df: DataFrame, value: str, group: str) -> DataFrame:
 
 
 def dunn_posthoc(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Rank z-tests of every two groups (one row per group goes in), Benjamini-Hochberg adjusted."""
+    """Rank z-tests of every two groups (one row per group goes in), Benjamini-Hochberg adjusted.
+
+    The result has a row per pair; ranks and running minima over them are ordered scans.
+    """
     g, one = _rank_sums(df, value, group)
     g = g.select(group, "n", (F.col("r") / F.col("n")).alias("m"))
     b = g.select(F.col(group).alias("group_b"), F.col("n").alias("nb"), F.col("m").alias("mb"))
@@ -220,10 +223,11 @@ def dunn_posthoc(df: DataFrame, value: str, group: str) -> DataFrame:
     z = F.abs(F.col("m") - F.col("mb")) / F.sqrt(var)
     d = pairs.select(F.col(group).alias("group_a"), "group_b", z.alias("z"))
     d = d.withColumn("p", 2 * normal_sf(F.col("z")))
-    w = Window.partitionBy(F.lit(0)).orderBy("p", "group_a", "group_b")
-    d = d.withColumn("_k", F.row_number().over(w)).withColumn("_m", F.count("*").over(Window.partitionBy(F.lit(0))))
-    adj = F.min(F.col("p") * F.col("_m") / F.col("_k")).over(w.orderBy(F.col("_k").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return d.withColumn("p_adj", F.least(adj, F.lit(1.0))).drop("_k", "_m")
+    d = indexed(d.withColumn("_o", F.coalesce("p", F.lit(-1.0))), [], ["_o", "group_a", "group_b"], "_k")
+    d = join_stats(d, [], _m=F.count("*")).withColumn("_back", F.col("_m") - F.col("_k"))
+    # The smallest adjusted value of this and all larger ones, as a running maximum from the end.
+    d = scan(d, [], ["_back"], _least=("max", -F.col("p") * F.col("_m") / (F.col("_k") + 1)))
+    return d.select("group_a", "group_b", "z", "p", F.least(-F.col("_least"), F.lit(1.0)).alias("p_adj"))
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
@@ -253,15 +257,37 @@ def permutation_p(scores: DataFrame, true: DataFrame, keys: list[str], metric: s
     return d.withColumn("p", p).select(*keys, "t", "p")
 
 
-def pairwise_corr(df: DataFrame, vec: str) -> DataFrame:
-    """Correlation of every two traces held as positions of an array column, one row per time point.
+def pairwise_corr(df: DataFrame, vec: str, tile: int = 512, rows: int = 8192) -> DataFrame:
+    """Correlation of every two traces held as positions of an array column, one row per time point: ``a, b, r``.
 
-    The sums behind it are one small square matrix per task; its size is the width of the array.
+    Positions are cut into tiles and time points into chunks; a task multiplies two tiles of a chunk, and products are
+    added by group sums, so neither a matrix of the whole width nor a whole trace is in one place. Values are
+    counted from those of the first row, which keeps digits. A trace that does not vary has no correlation.
     """
-    m = Correlation.corr(df.select(array_to_vector(F.col(vec).cast("array<double>")).alias("v")), "v").first()[0]
-    rows = [(a, row) for a, row in enumerate(m.toArray().tolist())]
-    lines = df.sparkSession.createDataFrame(rows, "a int, row array<double>")
-    return lines.select("a", F.posexplode("row").alias("b", "r")).filter("b > a")
+    d = df.select(F.col(vec).cast("array<double>").alias("_x")).filter("_x is not null")
+    first = d.first()
+    zero = first["_x"] if first else []
+    tiles = max(1, -(-len(zero) // tile))
+    pair = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(tiles) for j in range(i, tiles)]))
+    d = d.withColumn("_c", F.floor(F.monotonically_increasing_id() / rows)).withColumn("_p", pair)
+    cut = [F.slice("_x", F.col(f"_p.{t}") * tile + 1, F.lit(tile)).alias(f"_{t}") for t in "ij"]
+    d = d.select("_c", F.col("_p.i").alias("i"), F.col("_p.j").alias("j"), *cut)
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        x, y = (np.stack(pdf[c].to_numpy()).astype(float) - np.array(zero[t * tile : t * tile + tile], dtype=float) for c, t in (("_i", i), ("_j", j)))
+        at = i * tile + np.arange(x.shape[1])
+        return pd.DataFrame({"a": at, "n": len(x), "s": x.sum(axis=0), "j": j, "v": list(x.T @ y)})
+
+    g = d.groupBy("_c", "i", "j").applyInPandas(products, "a int, n long, s double, j int, v array<double>")
+    g = written(g)
+    own = g.filter(F.col("j") == F.floor(F.col("a") / tile)).select("a", "n", "s", F.get("v", F.col("a") % tile).alias("q"))
+    own = once(own.groupBy("a").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")))
+    both = g.select("a", F.col("j"), F.posexplode("v").alias("k", "v")).select("a", (F.col("j") * tile + F.col("k")).alias("b"), "v").filter("b > a")
+    both = both.groupBy("a", "b").agg(F.sum("v").alias("v")).join(own, "a").join(own.select(F.col("a").alias("b"), F.col("s").alias("_s"), F.col("q").alias("_q")), "b")
+    n = F.col("n")
+    spread = F.sqrt((F.col("q") - F.col("s") * F.col("s") / n) * (F.col("_q") - F.col("_s") * F.col("_s") / n))
+    return both.select("a", "b", ((F.col("v") - F.col("s") * F.col("_s") / n) / nz(spread)).alias("r"))
 
 
 def _z_vectors(vectors: DataFrame, keys: list[str], pos: str, value: str) -> DataFrame:

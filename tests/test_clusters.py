@@ -84,3 +84,39 @@ def test_splits_and_curves_without_a_spread(spark):
     got = {(r["g"], round(r["x"])): r["fit"] for r in D.smooth_group_curves(part, "y", "x", "g").collect()}
     assert got["b", 4] is None and got["b", 11] is None and got["b", 7] == pytest.approx(1.0, abs=1e-6)
     assert all(got["a", i] == pytest.approx(i, abs=1e-6) for i in range(21))
+
+
+@pytest.mark.parametrize("tile", [512, 3])
+def test_correlations_of_positions_in_tiles(spark, tile):
+    from tessera.operators.stats import pairwise_corr
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(50, 8)) @ rng.normal(size=(8, 8)) + 1e6
+    x[:, 5] = 4.0
+    got = {(r["a"], r["b"]): r["r"] for r in pairwise_corr(vectors(spark, x).repartition(3), "vec", tile, 16).collect()}
+    assert sorted(got) == [(a, b) for a in range(8) for b in range(a + 1, 8)]
+    for (a, b), r in got.items():
+        assert (r is None) == (5 in (a, b)) and (r is None or r == pytest.approx(np.corrcoef(x[:, a], x[:, b])[0, 1], abs=1e-6))
+    assert pairwise_corr(vectors(spark, x).limit(0), "vec").collect() == []
+
+
+def test_ridge_models_of_all_targets_come_from_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(200, 4)) * [1, 3, 0.2, 1] + 2
+    y = np.stack([x @ [1, 0, -2, 0.5] + rng.normal(size=200), x @ [0, 1, 0, 0] + 3], axis=1)
+    rows = [(i, [float(v) for v in x[i]], float(y[i, 0]), float(y[i, 1])) for i in range(200)] + [(900, None, 1.0, 1.0), (901, [0.0] * 4, None, 1.0)]
+    d = spark.createDataFrame(rows, "id int, x array<double>, a double, b double")
+    passes, grams = [], D._grams
+    monkeypatch.setattr(D, "_grams", lambda *q: passes.append(1) or grams(*q))
+    out = D.train_position(d, "x", ["a", "b"], "ridge", (0.01, 0.5))(d.filter("x is not null")).orderBy("id").collect()
+    assert len(passes) == 1
+    z = (x - x.mean(0)) / x.std(0)
+    for k, t in enumerate(("a_pred", "b_pred")):
+        fits = {a: z @ np.linalg.solve(z.T @ z / 200 + a * np.eye(4), z.T @ (y[:, k] - y[:, k].mean()) / 200) + y[:, k].mean() for a in (0.01, 0.5)}
+        got = np.array([r[t] for r in out[:200]])
+        assert min(np.abs(got - f).max() for f in fits.values()) < 1e-8
+    plain = D.train_position(d.filter("id < 200"), "x", ["b"], "linear")(d.filter("id < 200")).orderBy("id").collect()
+    np.testing.assert_allclose([r["b_pred"] for r in plain], y[:, 1], atol=1e-8)
+    mean = D.train_position(d, "x", ["a"], "baseline")(d.filter("id < 3")).collect()
+    assert {round(r["a_pred"], 9) for r in mean} == {round(float(y[:, 0].mean()), 9)}
+    assert [r["a_pred"] for r in D.train_position(d.limit(0), "x", ["a"], "ridge")(d.filter("id = 1")).collect()] == [None]
