@@ -15,13 +15,13 @@ def vectors(spark, x):
 def test_no_cluster_is_missed_without_a_limit(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(size=(60, 3)) * s + c for s, c in ((0.05, 0), (2.0, 20), (0.5, -9))] + [np.full((15, 3), 7.0)])
-    out = C.hierarchical_clusters(vectors(spark, x), "vec", None, 0.4).toPandas().sort_values("id")
+    out = C.hierarchical_clusters(vectors(spark, x), "vec", None, 1.2).toPandas().sort_values("id")
     assert not out["missed"].any() and len(out) == len(x)
     for _, part in out.groupby("cluster"):
         p = x[part["id"].to_numpy()]
-        assert np.sqrt(((p - p.mean(0)) ** 2).sum(1).mean()) <= 0.4 + 1e-12
+        assert np.sqrt(((p - p.mean(0)) ** 2).sum(1).mean()) <= 1.2 + 1e-12
     same = out["cluster"].to_numpy()[180:]
-    assert len(set(same)) == 1 and out["cluster"].nunique() > 10
+    assert len(set(same)) == 1 and out["cluster"].nunique() > 4
     assert sorted(out["cluster"].unique()) == list(range(out["cluster"].nunique()))
 
 

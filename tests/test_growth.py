@@ -90,7 +90,7 @@ def scattered(rng, cell, paths, size, step=1.0):
 @pytest.mark.parametrize("local", [20_000, 1])
 def test_growth_is_the_same_in_one_task_and_in_rounds(spark, local):
     rng = random.Random(11)
-    loose = scattered(rng, 0, 6, 6.0) + scattered(rng, 1, 5, 3.0, 2.0)
+    loose = scattered(rng, 0, 5, 6.0) + scattered(rng, 1, 3, 3.0, 2.0)
     tree = [(c, 900 + i, i, *[rng.uniform(0, 6) for _ in range(3)]) for c in (0, 1) for i in range(3)]
     points = [(c, 500 + n, 0, 5000 * (c + 1) + n, *at) for c, n, _, *at in tree]
     got = {}
