@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.asof import asof
 from ..plans.near import nearest_point
 from ..plans.stats import pearson
-from ..session import once
+from ..session import once, written
 
 
 def asof_setting(keys: DataFrame, settings: DataFrame, date: str, setup: str, columns: dict[str, str]) -> DataFrame:
@@ -46,11 +46,17 @@ def locate_on_path(points: DataFrame, path_points: DataFrame, axes: list[str]) -
     return points.join(first, axes).select(*points.columns, "_m.path_id", "_m.j")
 
 
+# Pairs that one part of a bucket compares, and tasks that parts are dealt out to.
+BUCKET_PAIRS, MOST_TASKS = 4_000_000, 2000
+
+
 def box_candidates(segments: DataFrame, cells: DataFrame, size: float) -> DataFrame:
     """Segments (``x0 y0 x1 y1``) and cells (``cx cy``, half size ``h``) whose boxes overlap.
 
     Both boxes are listed in the buckets of a grid; a pair is kept only in the bucket of the corner
-    where the overlap starts, so that it appears once.
+    where the overlap starts, so that it appears once. A bucket of many pairs is cut into parts: each of its
+    segments is in one part, its cells are in all of them. Parts are dealt out by pairs, not by bytes, as a short
+    table of boxes makes many pairs.
     """
 
     def buckets(df: DataFrame, lo_x, hi_x, lo_y, hi_y) -> DataFrame:
@@ -61,11 +67,18 @@ def box_candidates(segments: DataFrame, cells: DataFrame, size: float) -> DataFr
     s = buckets(segments, F.least("x0", "x1"), F.greatest("x0", "x1"), F.least("y0", "y1"), F.greatest("y0", "y1"))
     c = buckets(cells, F.col("cx") - F.col("h"), F.col("cx") + F.col("h"), F.col("cy") - F.col("h"), F.col("cy") + F.col("h"))
     c = c.withColumnsRenamed({f"_{p}{q}": f"_c{p}{q}" for p in "lh" for q in "xy"})
-    j = s.join(c, ["_bx", "_by"])
+    s, c, at = once(s), once(c), ["_bx", "_by"]
+    pairs = s.groupBy(*at).agg(F.count("*").alias("_s")).join(c.groupBy(*at).agg(F.count("*").alias("_c")), at)
+    pairs = written(pairs.withColumn("_parts", F.ceil(F.col("_s") * F.col("_c") / BUCKET_PAIRS)))
+    n = min(int((pairs.agg(F.sum(F.col("_s") * F.col("_c"))).first()[0] or 0) // BUCKET_PAIRS) + 1, MOST_TASKS)
+    s = s.join(pairs.select(*at, "_parts"), at).withColumn("_part", F.pmod(F.xxhash64(*segments.columns), F.col("_parts"))).drop("_parts")
+    c = c.join(pairs.select(*at, "_parts"), at).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    at = [*at, "_part"]
+    j = s.repartition(n, *at).join(c.repartition(n, *at).hint("shuffle_hash"), at).drop("_part")
     over = (F.col("_lx") <= F.col("_chx")) & (F.col("_hx") >= F.col("_clx")) & (F.col("_ly") <= F.col("_chy")) & (F.col("_hy") >= F.col("_cly"))
-    once = (F.col("_bx") == F.floor(F.greatest("_lx", "_clx") / size)) & (F.col("_by") == F.floor(F.greatest("_ly", "_cly") / size))
+    start = (F.col("_bx") == F.floor(F.greatest("_lx", "_clx") / size)) & (F.col("_by") == F.floor(F.greatest("_ly", "_cly") / size))
     inside = (F.col("_lx") > F.col("_clx")) & (F.col("_hx") < F.col("_chx")) & (F.col("_ly") > F.col("_cly")) & (F.col("_hy") < F.col("_chy"))
-    j = j.filter(over & once).withColumn("relation", F.when(inside, "inside").otherwise("may_cross"))
+    j = j.filter(over & start).withColumn("relation", F.when(inside, "inside").otherwise("may_cross"))
     return j.drop("_bx", "_by", *[f"_{p}{q}" for p in "lh" for q in "xy"], *[f"_c{p}{q}" for p in "lh" for q in "xy"])
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import joins as J
 from tessera.operators import trees as R
 from tessera.plans.near import nearest_point
 
@@ -199,3 +200,15 @@ def test_a_lost_label_finds_a_free_pixel_far_away(spark):
     with pytest.raises(RuntimeError):
         one = full.filter("y = 0")
         G.keep_lost_labels(one.unionByName(spark.createDataFrame([(1, 0, 0, 5)], full.schema)), one, ["k"], (1, 1), (1, 1))
+
+
+def test_a_bucket_of_many_pairs_is_cut(spark, monkeypatch):
+    """All boxes in one bucket: its pairs are compared in several tasks, and every pair appears once."""
+    monkeypatch.setattr(J, "BUCKET_PAIRS", 50)
+    s = [(i, 1 + i % 5 * 0.7, 2.0, 1.5 + i % 3, 2.5 + i % 4) for i in range(40)]
+    c = [(i, 1.0 + i % 6, 1.0 + i % 7 * 0.9, 0.8) for i in range(30)]
+    out = J.box_candidates(spark.createDataFrame(s, "sid long, x0 double, y0 double, x1 double, y1 double"), spark.createDataFrame(c, "cell long, cx double, cy double, h double"), 100.0)
+    rows = out.select("sid", "cell", F.spark_partition_id().alias("task")).collect()
+    want = [(i, k) for i, x0, y0, x1, y1 in s for k, cx, cy, h in c if min(x0, x1) <= cx + h and max(x0, x1) >= cx - h and min(y0, y1) <= cy + h and max(y0, y1) >= cy - h]
+    assert sorted((r["sid"], r["cell"]) for r in rows) == want
+    assert len({r["task"] for r in rows}) > 1
