@@ -613,21 +613,25 @@ def length_per_cell(candidates: DataFrame, ri: float, by: list[str]) -> DataFram
     The segment is cut by the three pairs of parallel sides: the smallest leaving minus the largest
     entering share of it.
     """
+    # Each step is a column of its own and nothing is filtered on the way: in one expression with the conditions of the
+    # join they are too long to be compiled. Pairs without a length add zero and cells of length zero go at the end.
     t0, t1 = [F.lit(0.0)], [F.lit(1.0)]
-    empty = F.lit(False)
+    empty, d = F.lit(False), candidates
     for deg in (30, 90, 150):
         nx, ny = math.cos(math.radians(deg)), math.sin(math.radians(deg))
         a = nx * (F.col("x0") - F.col("cx")) + ny * (F.col("y0") - F.col("cy"))
         v = nx * (F.col("x1") - F.col("x0")) + ny * (F.col("y1") - F.col("y0"))
+        d = d.withColumns({f"_a{deg}": a, f"_v{deg}": v})
+        a, v = F.col(f"_a{deg}"), F.col(f"_v{deg}")
         flat = F.abs(v) < 1e-12
-        p, q = (-ri - a) / v, (ri - a) / v
+        d = d.withColumns({f"_p{deg}": F.when(~flat, (-ri - a) / v), f"_q{deg}": F.when(~flat, (ri - a) / v)})
+        p, q = F.col(f"_p{deg}"), F.col(f"_q{deg}")
         t0.append(F.when(flat, 0.0).otherwise(F.least(p, q)))
         t1.append(F.when(flat, 1.0).otherwise(F.greatest(p, q)))
         empty = empty | (flat & (F.abs(a) > ri))
+    d = d.withColumn("_l", F.greatest(F.least(*t1) - F.greatest(*t0), F.lit(0.0)))
     whole = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    part = F.greatest(F.least(*t1) - F.greatest(*t0), F.lit(0.0)) * whole
-    d = candidates.withColumn("_l", F.when(empty, 0.0).otherwise(part)).filter("_l > 0")
-    return d.groupBy(*by).agg(F.sum("_l").alias("length"))
+    return d.groupBy(*by).agg(F.sum(F.when(empty, 0.0).otherwise(F.col("_l") * whole)).alias("length")).filter("length > 0")
 
 
 def _terms(x: Column, y: Column, kind: str) -> list[Column]:
