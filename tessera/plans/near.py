@@ -46,7 +46,8 @@ def nearest_point(points: DataFrame, cloud: DataFrame, pid: list[str], axes: lis
     Z-order curve, each with its bounding box. A point's own block, found by one ordered scan, gives an
     upper bound; a grid whose cells are as wide as that bound leads to the blocks around it, and of
     these only blocks whose box is within the bound are compared. The number of joins does not
-    depend on the data. With ``keys`` points meet only cloud rows of their key; points whose key has none are missing.
+    depend on the data. These joins are shuffles: written tables are small as files, not as rows, so the planner
+    would broadcast them whole. With ``keys`` points meet only cloud rows of their key; points whose key has none are missing.
     Rows whose column ``other`` equals the point's do not count, nor, with ``within``, rows
     farther than the point's column of that name; points left without a row are missing then.
     An empty cloud has no nearest row: everything about it is null.
@@ -87,7 +88,7 @@ def nearest_point(points: DataFrame, cloud: DataFrame, pid: list[str], axes: lis
     def apart(df: DataFrame) -> DataFrame:
         """Distances to the rows of joined blocks; offsets of the row are ``_q_a``."""
         row = leaf.select(*keys, "_block", *[F.col(c).alias(f"_q{c}") for c in inside], *place, "_cid", *(["_label"] if other else []))
-        d = df.join(row, [*keys, "_block"])
+        d = df.join(row.hint("merge"), [*keys, "_block"])
         if other:
             d = d.filter(~F.col("_label").eqNullSafe(F.col(other)))
         return d.withColumn("dist", F.sqrt(_sq([(F.col(a).cast("double") - F.col(c)) * s[a] for a, c in zip(axes, place)])))
@@ -108,10 +109,11 @@ def nearest_point(points: DataFrame, cloud: DataFrame, pid: list[str], axes: lis
     around = ask.select(*pid, *extra, *axes, "_level", "_ub", *inside)
     for c, g in zip(inside, cells):
         around = around.withColumn(g, F.explode(F.sequence(cell(F.col(c) - F.col("_ub")), cell(F.col(c) + F.col("_ub")))))
-    found = around.join(near, [*keys, "_level", *cells]).select(*pid, *extra, *axes, "_ub", *inside, "_block").distinct()
+    found = around.join(near.hint("merge"), [*keys, "_level", *cells]).select(*pid, *extra, *axes, "_ub", *inside, "_block").distinct()
     found = found.join(blocks.drop("_z"), [*keys, "_block"])
     gap = F.sqrt(_sq([F.greatest(F.col(f"_a{c}") - F.col(c), F.col(c) - F.col(f"_b{c}"), F.lit(0.0)) for c in inside]))
-    hit = apart(found.filter(gap <= F.col("_ub") * SLACK).select(*pid, *extra, *axes, "_block"))
+    # Only rows within the bound are sorted for the smallest, not whole blocks.
+    hit = apart(found.filter(gap <= F.col("_ub") * SLACK).select(*pid, *extra, *axes, "_ub", "_block")).filter(F.col("dist") <= F.col("_ub") * SLACK)
     if within:
         hit = hit.filter(F.col("dist") <= F.col(within))
     out = hit.groupBy(*pid).agg(F.min_by(F.struct("_cid", "dist", *place), F.struct("dist", "_cid")).alias("_m"))

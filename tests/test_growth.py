@@ -212,3 +212,11 @@ def test_a_bucket_of_many_pairs_is_cut(spark, monkeypatch):
     want = [(i, k) for i, x0, y0, x1, y1 in s for k, cx, cy, h in c if min(x0, x1) <= cx + h and max(x0, x1) >= cx - h and min(y0, y1) <= cy + h and max(y0, y1) >= cy - h]
     assert sorted((r["sid"], r["cell"]) for r in rows) == want
     assert len({r["task"] for r in rows}) > 1
+
+
+def test_nearest_point_neither_broadcasts_the_cloud_nor_sorts_whole_blocks(spark):
+    p = spark.range(300).select("id", (F.col("id") % 17).cast("double").alias("x"), (F.col("id") % 23).cast("double").alias("y"))
+    plan = nearest_point(p, p, ["id"], ["x", "y"], "id")._jdf.queryExecution().sparkPlan().toString()
+    lines = plan.splitlines()
+    assert sum("SortMergeJoin" in l for l in lines) >= 2
+    assert any("_ub" in l and "<=" in l and "SQRT" in l and "greatest" not in l for l in lines)
