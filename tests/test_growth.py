@@ -220,3 +220,13 @@ def test_nearest_point_neither_broadcasts_the_cloud_nor_sorts_whole_blocks(spark
     lines = plan.splitlines()
     assert sum("SortMergeJoin" in l for l in lines) >= 2
     assert any("_ub" in l and "<=" in l and "SQRT" in l and "greatest" not in l for l in lines)
+
+
+def test_hexagon_lengths_are_no_condition_of_the_join(spark):
+    """Together with the join's conditions they would be too long to be compiled."""
+    s = spark.range(9).selectExpr("id AS sid", "id * 1.0D AS x0", "1.0D AS y0", "id + 2.0D AS x1", "3.0D AS y1")
+    c = spark.range(5).selectExpr("id AS cell", "id * 2.0D AS cx", "2.0D AS cy", "3.0D AS h")
+    out = R.length_per_cell(J.box_candidates(s, c, 8.0), 2.5, ["cell"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("HYPOT" in l.upper() for l in plan if "Join" in l or "Filter" in l)
+    assert out.count() == 5
