@@ -760,7 +760,7 @@ def find_peaks(series: DataFrame, keys: list[str], height: str | float | None =
         inf = F.lit(float("inf"))
         nxt = valley.withColumn("p", F.col("p") - 1)
         sides = [tops.join(v, [*keys, "p"], "left").select(*keys, F.lit(o).alias("side"), "p", "y", (F.col("p") + o).alias("q"), F.coalesce("v", inf).alias("m")) for v, o in ((valley, -1), (nxt, 1))]
-        base = _bases(sides[0].unionByName(sides[1]), last, keys)
+        base = _bases(sides[0].unionByName(sides[1]), last, keys, rows=2 * tops.count())
         base = base.groupBy(*keys, "p").agg(F.max("m").alias("_base"))
         out = tops.filter("_inner").join(base, [*keys, "p"])
         out = out.withColumn("prominence", F.col("y") - F.col("_base")).filter(F.col("prominence") >= prominence)
@@ -769,34 +769,43 @@ def find_peaks(series: DataFrame, keys: list[str], height: str | float | None =
     return out.select(*keys, F.expr("(i0 + i1) div 2").alias("i"), "y", *(["prominence"] if prominence is not None else []))
 
 
-def _bases(sides: DataFrame, last: DataFrame, keys: list[str], block: int = CHUNK) -> DataFrame:
+def _bases(sides: DataFrame, last: DataFrame, keys: list[str], block: int = CHUNK, rows: int = 0) -> DataFrame:
     """Lowest value ``m`` between every maximum ``p`` and the next higher one (or the end) on each side.
 
     Within a block of consecutive maxima a stack of those not exceeded so far gives the answer in one pass. A maximum
     left open looks on from the border of its block, along the maxima that are open towards it
-    in the blocks there; without such borders there are no rounds.
+    in the blocks there; without such borders there are no rounds. Blocks of several keys share a call,
+    so short series do not cost a call each; ``rows`` sets how many lots the keys are dealt into.
     """
     block = min(block, task_rows(sides))
+    lots = rows // block + 1
     own = [f for f in sides.schema.fields if f.name in keys]
     schema = StructType([*own, *[StructField(n, t) for n, t in (("side", IntegerType()), ("p", LongType()), ("y", DoubleType()), ("q", LongType()), ("m", DoubleType()), ("open", BooleanType()), ("seen", BooleanType()))]])
 
     def stack(pdf: pd.DataFrame) -> pd.DataFrame:
         step = -int(pdf["side"].iloc[0])
-        pdf = pdf.sort_values("p", ascending=step > 0)
-        at, y, low = pdf["p"].to_numpy(), pdf["y"].to_numpy(float), pdf["m"].to_numpy(float).copy()
-        to, higher = np.empty(len(at), dtype=np.int64), []
-        for k in range(len(at)):
-            while higher and y[higher[-1]] <= y[k]:
-                low[k] = min(low[k], low[higher.pop()])
-            to[k] = at[higher[-1]] if higher else at[0] - step
-            higher.append(k)
+        code = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy() if keys else np.zeros(len(pdf), dtype=np.int64)
+        order = np.lexsort((step * pdf["p"].to_numpy(), code))
+        pdf, code = pdf.iloc[order], code[order]
+        at, y, low = pdf["p"].to_numpy(), pdf["y"].to_numpy(float).tolist(), pdf["m"].to_numpy(float).tolist()
+        to, seen = np.empty(len(at), dtype=np.int64), np.zeros(len(at), dtype=bool)
+        cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(at)]
+        for a, b in zip(cuts, cuts[1:]):
+            higher, out = [], at[a] - step
+            for k in range(a, b):
+                while higher and y[higher[-1]] <= y[k]:
+                    low[k] = min(low[k], low[higher.pop()])
+                to[k] = at[higher[-1]] if higher else out
+                higher.append(k)
+            seen[higher] = True
+        first = np.repeat(at[cuts[:-1]], np.diff(cuts))
         out = pdf[[*keys, "side", "p", "y"]].copy()
-        out["q"], out["m"], out["open"] = to, low, to == at[0] - step
-        out["seen"] = np.isin(np.arange(len(at)), higher)
+        out["q"], out["m"], out["open"], out["seen"] = to, low, to == first - step, seen
         return out[schema.names]
 
     d = sides.withColumn("side", F.col("side").cast("int")).withColumn("_blk", F.floor(F.col("p") / block))
-    d = written(d.groupBy(*keys, "side", "_blk").applyInPandas(stack, schema))
+    lot = F.pmod(F.xxhash64(*keys), F.lit(lots)) if keys else F.lit(0).cast("long")
+    d = written(d.withColumn("_lot", lot).groupBy("_lot", "side", "_blk").applyInPandas(stack, schema))
     d = d.join(last, keys).withColumn("open", F.col("open") & (F.col("q") >= 0) & (F.col("q") < F.col("_m"))).drop("_m")
     going = d.filter("open")
     if going.isEmpty():

@@ -230,3 +230,29 @@ def test_hexagon_lengths_are_no_condition_of_the_join(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert not any("HYPOT" in l.upper() for l in plan if "Join" in l or "Filter" in l)
     assert out.count() == 5
+
+
+def test_short_series_share_a_call(spark, monkeypatch):
+    """Peaks of many short series: right, and not a call of Python for each of them."""
+    from tessera.operators import series as S
+
+    plans, write = [], S.written
+    monkeypatch.setattr(S, "written", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, *a))
+    rng = random.Random(4)
+    lines = {k: [rng.randint(0, 9) / 2 for _ in range(rng.randint(1, 25))] for k in range(60)}
+    d = spark.createDataFrame([(k, i, v) for k, y in lines.items() for i, v in enumerate(y)], "k int, i long, y double")
+    got = {(r["k"], r["i"]): r["prominence"] for r in S.find_peaks(d, ["k"], prominence=1.0).collect()}
+    want = {}
+    for k, y in lines.items():
+        for a in range(1, len(y) - 1):
+            b = a
+            while b + 1 < len(y) and y[b + 1] == y[a]:
+                b += 1
+            if y[a - 1] < y[a] and b + 1 < len(y) and y[b + 1] < y[a]:
+                left = next((j for j in range(a, -1, -1) if y[j] > y[a]), -1)
+                right = next((j for j in range(b, len(y)) if y[j] > y[a]), len(y))
+                high = y[a] - max(min(y[left + 1 : a]), min(y[b + 1 : right]))
+                if high >= 1.0:
+                    want[k, (a + b) // 2] = high
+    assert got == want
+    assert [p for p in plans if "FlatMapGroupsInPandas" in p] and not any("FlatMapGroupsInPandas [k" in p for p in plans)
