@@ -157,11 +157,40 @@ def compare_masks(a: DataFrame, b: DataFrame, keys: list[str], nx: int, ny: int,
     )
 
 
+# Width of the tiles in which shifted images are compared.
+TILE = 16
+
+
 def shift_scores(img: DataFrame, ref: DataFrame, keys: list[str], ref_keys: list[str], max_shift: int, metric: str) -> DataFrame:
-    """Score of every shift over the pixels both images share (``corr`` or ``mse`` = minus mean square)."""
-    sh = img.select(*keys, "x", "y", "v", F.explode(_shifts(max_shift)).alias("_s"))
-    sh = sh.select(*keys, "_s.dx", "_s.dy", (F.col("x") + F.col("_s.dx")).alias("x"), (F.col("y") + F.col("_s.dy")).alias("y"), "v")
-    j = sh.join(ref.select(*ref_keys, "x", "y", F.col("v").alias("_w")), [*ref_keys, "x", "y"])
+    """Score of every shift over the pixels both images share (``corr`` or ``mse`` = minus mean square).
+
+    Images meet their reference tile by tile, a reference tile with a border as wide as the largest shift. So a pixel
+    travels once, and its pairs of all shifts are summed up where they arise.
+    """
+    m, wide = max_shift, TILE + 2 * max_shift
+    tx, ty = F.floor(F.col("x") / TILE), F.floor(F.col("y") / TILE)
+    tiles = img.select(*keys, tx.alias("_tx"), ty.alias("_ty"), F.struct(F.pmod("x", F.lit(TILE)).cast("int").alias("x"), F.pmod("y", F.lit(TILE)).cast("int").alias("y"), "v").alias("_p"))
+    tiles = tiles.groupBy(*keys, "_tx", "_ty").agg(F.collect_list("_p").alias("_p"))
+
+    def reach(c: str) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(c) - m) / TILE), F.floor((F.col(c) + m) / TILE)))
+
+    r = ref.select(*ref_keys, "x", "y", F.col("v").alias("_w"), reach("x").alias("_tx")).withColumn("_ty", reach("y"))
+    at = (F.col("x") - F.col("_tx") * TILE + m) * wide + F.col("y") - F.col("_ty") * TILE + m
+    r = r.select(*ref_keys, "_tx", "_ty", at.cast("int").alias("_at"), "_w").groupBy(*ref_keys, "_tx", "_ty", "_at").agg(F.collect_list(F.struct("_w")).alias("_w"))
+    r = r.groupBy(*ref_keys, "_tx", "_ty").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_w"))).alias("_m"))
+    # Dense, so that a pixel is found by its place.
+    r = r.select(*ref_keys, "_tx", "_ty", F.transform(F.sequence(F.lit(0), F.lit(wide * wide - 1)), lambda k: F.try_element_at("_m", k)).alias("_r"))
+
+    def pairs(p: Column) -> Column:
+        def one(s: Column) -> Column:
+            there = F.get("_r", (p["x"] + s["dx"] + m) * wide + p["y"] + s["dy"] + m)
+            return F.transform(F.coalesce(there, F.array().cast(r.schema["_r"].dataType.elementType)), lambda w: F.struct(s["dx"].alias("dx"), s["dy"].alias("dy"), p["v"].alias("v"), w["_w"].alias("_w")))
+
+        return F.flatten(F.transform(F.col("_shift"), one))
+
+    j = tiles.join(r, [*ref_keys, "_tx", "_ty"]).withColumn("_shift", _shifts(m))
+    j = j.select(*keys, F.inline(F.flatten(F.transform("_p", pairs))))
     score = pearson("v", "_w") if metric == "corr" else -F.avg((F.col("v") - F.col("_w")) * (F.col("v") - F.col("_w")))
     return j.groupBy(*keys, "dx", "dy").agg(score.alias("score"))
 

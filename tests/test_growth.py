@@ -256,3 +256,26 @@ def test_short_series_share_a_call(spark, monkeypatch):
                     want[k, (a + b) // 2] = high
     assert got == want
     assert [p for p in plans if "FlatMapGroupsInPandas" in p] and not any("FlatMapGroupsInPandas [k" in p for p in plans)
+
+
+def test_shifted_images_meet_their_reference_tile_by_tile(spark):
+    """Larger than a tile, with gaps, nulls, places below zero and a pixel twice; only whole tiles are shuffled, not every shift of a pixel."""
+    rng = random.Random(6)
+    img = [(k, "a", x, y, rng.choice([None, 1.0, 2.0, 4.0])) for k in (1, 2) for x in range(-5, 21) for y in range(14, 20) if rng.random() < 0.8]
+    ref = [("a", x, y, rng.choice([None, 0.0, 3.0])) for x in range(-4, 19) for y in range(13, 19) if rng.random() < 0.9] + [("a", 16, 16, 7.0), ("b", 0, 15, 1.0)]
+    i = spark.createDataFrame(img, "k int, l string, x int, y int, v double")
+    r = spark.createDataFrame(ref, "l string, x int, y int, v double")
+    out = J.shift_scores(i, r, ["k", "l"], ["l"], 2, "mse")
+    got = {(q["k"], q["dx"], q["dy"]): q["score"] for q in out.collect()}
+    want = {}
+    for k, _, x, y, v in img:
+        for l, a, b, w in ref:
+            if l == "a" and abs(a - x) <= 2 and abs(b - y) <= 2:
+                want.setdefault((k, a - x, b - y), []).append(None if v is None or w is None else -((v - w) ** 2))
+    for at, d in want.items():
+        d = [q for q in d if q is not None]
+        assert got.pop(at) == pytest.approx(sum(d) / len(d))
+    assert not got
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(n for n, line in enumerate(plan) if "Join" in line)
+    assert "collect_list" in "".join(plan[join + 1 : join + 4])
