@@ -425,11 +425,14 @@ def region_moments(region: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def region_irregularity(region: DataFrame, keys: list[str]) -> DataFrame:
-    """1 minus area over convex hull area, the hull taken around whole pixels; with the centroid."""
+    """1 minus area over convex hull area, the hull taken around whole pixels; with the centroid.
+
+    Pixels share corners; the hull drops the copies, so they are not aggregated before the shuffle.
+    """
     from .trees import hull_area
 
     corners = region.withColumn("_s", F.explode(_offsets([(0, 0), (1, 0), (0, 1), (1, 1)])))
-    corners = corners.select(*keys, (F.col("x") + F.col("_s.dx")).cast("double").alias("x"), (F.col("y") + F.col("_s.dy")).cast("double").alias("y")).distinct()
+    corners = corners.select(*keys, (F.col("x") + F.col("_s.dx")).cast("double").alias("x"), (F.col("y") + F.col("_s.dy")).cast("double").alias("y"))
     d = region_moments(region, keys).join(hull_area(corners, keys).select(*keys, "hull_area"), keys)
     return d.withColumn("irregularity", 1 - F.col("area") / F.col("hull_area"))
 

@@ -15,7 +15,7 @@ from pyspark.sql.types import BooleanType, DataType, DoubleType, IntegerType, In
 
 from ..plans.near import nearest_point
 from ..plans.quantile import quantiles
-from ..plans.scan import scan, task_rows
+from ..plans.scan import group_sizes, is_hot, scan, task_rows
 from ..plans.stats import join_stats, nz
 from ..session import durable, once, written
 from .joins import locate_on_path
@@ -462,24 +462,23 @@ def soma_position(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return nodes.groupBy(*keys).agg(best.alias("_m")).select(*keys, "_m.*")
 
 
-def _hull(p: np.ndarray) -> np.ndarray:
-    """Corners of the convex hull, counter-clockwise."""
-    p = np.unique(p, axis=0)
-    if len(p) < 3:
-        return p
+def _hull(x: list[float], y: list[float]) -> list[int]:
+    """Corners of the convex hull, counter-clockwise, as places in points that are sorted and distinct."""
+    if len(x) < 3:
+        return list(range(len(x)))
 
-    def half(points):
+    def half(places):
         out: list = []
-        for q in points:
+        for q in places:
             while len(out) > 1:
                 a, b = out[-2], out[-1]
-                if (b[0] - a[0]) * (q[1] - a[1]) - (b[1] - a[1]) * (q[0] - a[0]) > 0:
+                if (x[b] - x[a]) * (y[q] - y[a]) - (y[b] - y[a]) * (x[q] - x[a]) > 0:
                     break
                 out.pop()
             out.append(q)
         return out[:-1]
 
-    return np.array(half(p) + half(p[::-1]))
+    return half(range(len(x))) + half(range(len(x) - 1, -1, -1))
 
 
 def _outside(points: DataFrame, keys: list[str], directions: int = 16) -> DataFrame:
@@ -502,33 +501,52 @@ def _outside(points: DataFrame, keys: list[str], directions: int = 16) -> DataFr
     return d.filter(flat | ~F.coalesce(inside, F.lit(False))).select(*keys, "x", "y")
 
 
+# Points that share a call of Python.
+LOT_ROWS = 65_536
+
+
 def hull_points(points: DataFrame, keys: list[str]) -> DataFrame:
     """Corner points of each key's convex hull, in order.
 
-    Points inside the polygon of the extremes in 16 directions go first. Then hulls of hulls: rows are
+    Many keys share a call of Python, so small regions do not cost a call each. If a key has more points than a task should
+    sort, points inside the polygon of the extremes in 16 directions go first. Then hulls of hulls: rows are
     spread over parts of bounded size, every part sends on its own corners, and the corners of all
-    parts go to one task per key.
+    parts of a key go to one task.
     """
-    points = once(_outside(points, keys))
-    schema = points.select(*keys, "x", "y").schema
-    rows = task_rows(points)
-    n = points.groupBy(*keys).agg(F.count("*").alias("_n"))
-    d = points.select(*keys, "x", "y").join(n, keys).withColumn("_part", F.pmod(F.xxhash64("x", "y"), F.ceil(F.col("_n") / rows))).drop("_n")
+    points = once(points.select(*keys, "x", "y"))
+    schema = StructType([*points.schema.fields, StructField("k", IntegerType())])
 
     def corners(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = _hull(pdf[["x", "y"]].to_numpy(float))
-        out = pd.DataFrame({k: [pdf[k].iloc[0]] * len(h) for k in keys})
-        out["x"], out["y"] = h[:, 0], h[:, 1]
-        return out
-
-    part = d.groupBy(*keys, "_part").applyInPandas(corners, schema)
-
-    def last(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = corners(pdf)
-        out["k"] = range(len(out))
+        code = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy() if keys else np.zeros(len(pdf), dtype=np.int64)
+        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
+        order = np.lexsort((y, x, code))
+        code, x, y = code[order], x[order], y[order]
+        new = np.concatenate([[True], (np.diff(code) != 0) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        order, code, x, y = order[new], code[new], x[new].tolist(), y[new].tolist()
+        cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+        at, k = [], []
+        for a, b in zip(cuts, cuts[1:]):
+            h = _hull(x[a:b], y[a:b])
+            at += [a + q for q in h]
+            k += range(len(h))
+        out = pdf.iloc[order[at]][[*keys, "x", "y"]].copy()
+        out["k"] = np.array(k, dtype="int32")
         return out
 
-    return part.groupBy(*keys).applyInPandas(last, StructType([*schema.fields, StructField("k", IntegerType())]))
+    def hulls(rows: DataFrame, parts: list[str], n: int) -> DataFrame:
+        """Hulls per key and part, dealt into lots of ``LOT_ROWS`` of ``n`` rows."""
+        lots = n // LOT_ROWS + 1
+        lot = F.pmod(F.xxhash64(*keys, *parts), F.lit(lots)) if keys or parts else F.lit(0).cast("long")
+        return rows.withColumn("_lot", lot).repartition(lots, "_lot", *parts).groupBy("_lot", *parts).applyInPandas(corners, schema)
+
+    if is_hot(points, keys):
+        points = once(_outside(points, keys))
+        rows = task_rows(points)
+        n = points.groupBy(*keys).agg(F.count("*").alias("_n"))
+        cut = points.join(n, keys) if keys else points.crossJoin(F.broadcast(n))
+        cut = cut.withColumn("_part", F.pmod(F.xxhash64("x", "y"), F.ceil(F.col("_n") / rows))).drop("_n")
+        points = written(hulls(cut, ["_part"], group_sizes(points, keys)[1]).drop("k"))
+    return hulls(points, [], group_sizes(points, keys)[1])
 
 
 def hull_area(points: DataFrame, keys: list[str]) -> DataFrame:

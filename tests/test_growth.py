@@ -279,3 +279,22 @@ def test_shifted_images_meet_their_reference_tile_by_tile(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
     join = next(n for n, line in enumerate(plan) if "Join" in line)
     assert "collect_list" in "".join(plan[join + 1 : join + 4])
+
+
+def test_small_regions_share_a_call(spark):
+    """Hulls of many regions: right, and not a call of Python for each of them."""
+    from tessera.operators import grids as G
+
+    rng = random.Random(5)
+    shapes = {k: {(rng.randint(0, 4), rng.randint(0, 4)) for _ in range(rng.randint(1, 9))} for k in range(50)}
+    d = spark.createDataFrame([(k, x, y) for k, s in shapes.items() for x, y in s], "id int, x int, y int")
+    out = G.region_irregularity(d, ["id"])
+    got = {r["id"]: r["irregularity"] for r in out.collect()}
+    for k, s in shapes.items():
+        p = sorted({(x + a, y + b) for x, y in s for a in (0, 1) for b in (0, 1)})
+        # Twice the area: edges of the hull are the pairs with no point to their right, cut at the farthest on the line.
+        edges = [(a, b) for a in p for b in p if a != b and all((c := (b[0] - a[0]) * (q[1] - a[1]) - (b[1] - a[1]) * (q[0] - a[0])) > 0 or (c == 0 and min(a, b) <= q <= max(a, b)) for q in p)]
+        area = sum(a[0] * b[1] - a[1] * b[0] for a, b in edges) / 2
+        assert got[k] == pytest.approx(1 - len(s) / area)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas [_lot" in plan and "FlatMapGroupsInPandas [id" not in plan
