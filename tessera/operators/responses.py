@@ -18,7 +18,7 @@ from ..plans.quantile import quantiles
 from ..plans.scan import indexed, largest
 from ..plans.stats import join_stats, nz
 from ..session import once
-from .series import nearest_index, resample_linear, snippet_join
+from .series import nearest_index, resample_linear, snippet_join, window_ends
 from .stats import repeat_quality
 
 
@@ -32,11 +32,9 @@ def _mean(cond: Column) -> Column:
 
 def window_mean(avg: DataFrame, events: DataFrame, keys: list[str], a: float, b: float, tol: float | None = None) -> DataFrame:
     """Mean between the samples nearest to two offsets of each event (the second one excluded)."""
-    s = avg.select(*keys, F.col("j").alias("i"), "t", "y")
-    e = events.select(*keys, F.col("k").alias("rep"), F.col("t").alias("_t0"))
-    big = largest(events, keys)
-    for n, off in (("_lo", a), ("_hi", b)):
-        e = nearest_index(e.withColumn("t", F.col("_t0") + off), s, keys, tol, bound=big).withColumnRenamed("si", n).drop("t")
+    s = once(avg.select(*keys, F.col("j").alias("i"), "t", "y"))
+    events = once(events.select(*keys, F.col("k").alias("rep"), F.col("t").alias("_t0")))
+    e = window_ends(events, s, keys, tol, largest(events, keys), _lo=a, _hi=b)
     w = e.select(*keys, "rep", F.col("_lo").alias("i0"), (F.col("_hi") - F.col("_lo")).alias("n_frames"))
     return snippet_join(w, s, keys).groupBy(*keys, F.col("rep").alias("k")).agg(F.avg("y").alias("r"))
 

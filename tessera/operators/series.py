@@ -104,6 +104,18 @@ def nearest_index(points: DataFrame, samples: DataFrame, keys: list[str], tol: f
     return d.withColumn("si", F.when(near, F.col("_ns.i"))).drop("_ns")
 
 
+def window_ends(events: DataFrame, samples: DataFrame, keys: list[str], tol: float | None, bound: int, **offsets: float) -> DataFrame:
+    """Index of the sample nearest to each offset from the time ``_t0`` of every event, in columns ``name=offset``.
+
+    The ends are written one by one: a search sorts all samples of its keys, and in one stage a task would hold the
+    sorts of all searches.
+    """
+    for name, off in offsets.items():
+        at = nearest_index(events.withColumn("t", F.col("_t0") + off), samples, keys, tol, bound=bound)
+        events = written(at.withColumnRenamed("si", name).drop("t"))
+    return events
+
+
 def _within(at: DataFrame, tol: float | None) -> DataFrame:
     """A point without a sample within the tolerance is an error; without a tolerance, a key without samples has none."""
     if tol is None:
@@ -138,25 +150,29 @@ def repetition_starts(samples: DataFrame, triggers: DataFrame, keys: list[str],
 
 
 def snippet_join(starts: DataFrame, samples: DataFrame, keys: list[str], extra: list[str] | None = None) -> DataFrame:
-    """Samples at offsets 0..n_frames-1 after each start; a sample may serve several starts."""
+    """Samples at offsets 0..n_frames-1 after each start; a sample may serve several starts.
+
+    Starts written to a file are small, the rows they ask for are not, so these are never broadcast.
+    """
     extra = extra or []
     want = explode_range(starts.select(*keys, "rep", *extra, "i0", "n_frames"), F.col("n_frames"), "j")
     want = want.select(*keys, "rep", *extra, "j", (F.col("i0") + F.col("j")).alias("i"))
-    return want.join(samples.select(*keys, "i", "t", "y"), [*keys, "i"]).select(*keys, "rep", *extra, "j", "t", "y")
+    return want.join(samples.select(*keys, "i", "t", "y").hint("merge"), [*keys, "i"]).select(*keys, "rep", *extra, "j", "t", "y")
 
 
 def snippets(samples: DataFrame, triggers: DataFrame, keys: list[str], n_per_rep: int, delay: float = 0.0, tol: float | None = None, base: tuple[float, float] | None = None, pad: bool = False) -> DataFrame:
     """Cut the samples into repetitions; ``base`` subtracts the mean of a window around the trigger."""
+    samples, triggers = once(samples), once(triggers)
     starts = repetition_starts(samples, triggers, keys, n_per_rep, delay, tol, pad)
-    snips = snippet_join(starts, samples, keys)
     if base is None:
-        return snips
+        return snippet_join(starts, samples, keys)
+    starts = written(starts)
+    snips = snippet_join(starts, samples, keys)
     ends = starts.select(*keys, "rep", F.col("t0").alias("_t0"))
-    for n, off in zip(("_a", "_b"), base):
-        ends = nearest_index(ends.withColumn("t", F.col("_t0") + off), samples, keys, tol, bound=largest(triggers, keys)).withColumnRenamed("si", n).drop("t")
+    ends = window_ends(ends, samples, keys, tol, largest(triggers, keys), _a=base[0], _b=base[1])
     win = ends.select(*keys, "rep", F.col("_a").alias("i0"), (F.col("_b") - F.col("_a")).alias("n_frames"))
     mean = snippet_join(win, samples, keys).groupBy(*keys, "rep").agg(F.avg("y").alias("_base"))
-    return snips.join(mean, [*keys, "rep"]).withColumn("y", F.col("y") - F.col("_base")).drop("_base")
+    return snips.join(mean.hint("merge"), [*keys, "rep"]).withColumn("y", F.col("y") - F.col("_base")).drop("_base")
 
 
 def snippet_triggers(triggers: DataFrame, starts: DataFrame, keys: list[str], n_per_rep: int) -> DataFrame:

@@ -298,3 +298,31 @@ def test_small_regions_share_a_call(spark):
         assert got[k] == pytest.approx(1 - len(s) / area)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInPandas [_lot" in plan and "FlatMapGroupsInPandas [id" not in plan
+
+
+def test_ends_of_windows_are_searched_one_by_one(spark, monkeypatch):
+    """No stage holds the sorts of two searches, and the rows that windows ask for are not broadcast."""
+    from tessera.operators import responses as W
+    from tessera.operators import series as S
+
+    plans, write = [], S.written
+    monkeypatch.setattr(S, "written", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, *a))
+    rng = random.Random(6)
+    lines = {k: sorted(rng.uniform(0, 100) for _ in range(rng.randint(12, 40))) for k in range(8)}
+    s = spark.createDataFrame([(k, i, t, t * t) for k, ts in lines.items() for i, t in enumerate(ts)], "k_ int, j long, t double, y double")
+    e = spark.createDataFrame([(k, n, ts[3 * n]) for k, ts in lines.items() for n in range(4)], "k_ int, k long, t double")
+    out = W.window_mean(s, e, ["k_"], 2.0, 30.0)
+    got = {(r["k_"], r["k"]): r["r"] for r in out.collect()}
+    want = {}
+    for k, ts in lines.items():
+        for n in range(4):
+            lo, hi = (min(range(len(ts)), key=lambda i: (abs(ts[i] - ts[3 * n] - off), i)) for off in (2.0, 30.0))
+            if hi > lo:
+                want[k, n] = pytest.approx(sum(t * t for t in ts[lo:hi]) / (hi - lo))
+    assert got == want
+    snips = S.snippets(s.withColumnRenamed("j", "i"), e, ["k_"], 1, base=(-5.0, 5.0))
+    assert snips.count() > 0
+    assert len(plans) >= 4 and all(p.count("Union") <= 1 for p in plans)
+    for df in (out, snips):
+        plan = df._jdf.queryExecution()
+        assert "Union" not in plan.optimizedPlan().toString() and "BroadcastHashJoin" not in plan.sparkPlan().toString()
