@@ -7,14 +7,16 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from ..plans.components import components
-from ..plans.scan import indexed
+from ..plans.scan import indexed, task_rows
 from ..plans.stats import join_stats, nz, pearson
 from ..session import durable, once, written
 from .stats import pairwise_corr
@@ -131,7 +133,7 @@ def _cluster_stats(rows: DataFrame, max_distance: float) -> DataFrame:
     j = -F.col("_w.j")
     lo, hi = F.get("_min", j), F.get("_max", j)
     mid = lo + (hi - lo) / 2
-    return d.select("_path", "_n", "_cost", far.alias("missed"), (far & F.col("_w").isNotNull()).alias("_open"), j.alias("_j"), F.when(mid < hi, mid).otherwise(lo).alias("_cut"))
+    return d.select("_path", "_n", (F.col("_n") * F.size("_variance")).alias("_numbers"), "_cost", far.alias("missed"), (far & F.col("_w").isNotNull()).alias("_open"), j.alias("_j"), F.when(mid < hi, mid).otherwise(lo).alias("_cut"))
 
 
 def _nearer(a: str, b: str) -> Column:
@@ -151,19 +153,63 @@ def _two_means(rows: DataFrame, open_: DataFrame, rounds: int) -> DataFrame:
 
     pair = written(centres(inside.withColumn("_side", (F.get("_x", F.col("_j")) > F.col("_cut")).cast("int"))))
     for _ in range(rounds):
-        new = written(centres(rows.join(pair, "_path").withColumn("_side", _nearer("a", "b"))))
-        if new.join(pair.withColumnsRenamed({"a": "_a", "b": "_b"}), "_path").filter("a <> _a or b <> _b").isEmpty():
-            break
+        new = centres(rows.join(pair, "_path").withColumn("_side", _nearer("a", "b"))).withColumnsRenamed({"a": "_a", "b": "_b"})
         # A pair that lost a side stays as it was.
-        pair = written(new.unionByName(pair.join(new, "_path", "left_anti")))
-    return pair
+        moved = F.coalesce((F.col("_a") != F.col("a")) | (F.col("_b") != F.col("b")), F.lit(False))
+        pair = written(pair.join(new, "_path", "left").select("_path", F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"), moved.alias("_moved")))
+        if pair.filter("_moved").isEmpty():
+            break
+        pair = pair.drop("_moved")
+    return pair.select("_path", "a", "b")
+
+
+# Numbers of a cluster up to which one task splits it to the end (at most four for a row that a task may sort).
+SPLIT_NUMBERS = 8_000_000
+
+
+def _split_up(x: np.ndarray, path: str, max_distance: float, rounds: int) -> tuple[list[str], np.ndarray]:
+    """Paths of the final clusters below ``path`` and whether they are too wide, by the steps of the levels over all tasks."""
+    paths, missed, todo = [path] * len(x), np.zeros(len(x), dtype=bool), [(np.arange(len(x)), path)]
+
+    def second(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return ((v - a) ** 2 - (v - b) ** 2).sum(axis=1) > 0
+
+    while todo:
+        at, name = todo.pop()
+        v = x[at]
+        lo, hi = v.min(axis=0), v.max(axis=0)
+        var, vary = ((v - v.mean(axis=0)) ** 2).sum(axis=0), hi > lo
+        far = not math.sqrt(var.sum() / len(v)) <= max_distance
+        if not far or not vary.any():
+            missed[at] = far
+            for i in at:
+                paths[i] = name
+            continue
+        j = int(np.argmax(np.where(vary, var, -1.0)))
+        mid = lo[j] + (hi[j] - lo[j]) / 2
+        first = side = v[:, j] > (mid if mid < hi[j] else lo[j])
+        a, b = v[~side].mean(axis=0), v[side].mean(axis=0)
+        for _ in range(rounds):
+            side = second(v, a, b)
+            if side.all() or not side.any():
+                break
+            new = v[~side].mean(axis=0), v[side].mean(axis=0)
+            if np.array_equal(new[0], a) and np.array_equal(new[1], b):
+                break
+            a, b = new
+        side = second(v, a, b)
+        if side.all() or not side.any():
+            side = first
+        todo += [(at[~side], name + "0"), (at[side], name + "1")]
+    return paths, missed
 
 
 def hierarchical_clusters(df: DataFrame, vec: str, most: int | None, max_distance: float, rounds: int = 8) -> DataFrame:
     """Divisive clusters: split until the root mean squared distance to the mean is small enough.
 
     Two-means splits in place of bottom-up linkage. A level splits all clusters that miss the distance at once and leaves
-    the others; rows are rewritten once a level. Returns the rows with ``cluster`` (numbered in the order of the
+    the others; rows are rewritten once a level. Without ``most`` clusters of up to ``SPLIT_NUMBERS`` numbers need no more levels: each is
+    split to the end in one task, so levels grow with the larger ones only. Returns the rows with ``cluster`` (numbered in the order of the
     splits) and ``missed``: whether their cluster is wider than ``max_distance``. ``most`` limits the number of clusters, the
     costliest are split first; without it none is missed. Rows without a vector are left out, as are null components' rows.
     """
@@ -172,8 +218,21 @@ def hierarchical_clusters(df: DataFrame, vec: str, most: int | None, max_distanc
     rows = written(ok.select(*df.columns, x.alias("_x"), F.lit("").alias("_path")))
     vector = array_to_vector("_x")
     done, count = [], 1
+    out_type = StructType([*df.schema.fields, StructField("_path", StringType()), StructField("missed", BooleanType())])
+    whole = 0 if most is not None else min(SPLIT_NUMBERS, 4 * task_rows(df))
+
+    def split_up(t: pa.Table) -> pa.Table:
+        x = t["_x"].combine_chunks()
+        paths, missed = _split_up(x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1), t["_path"][0].as_py(), max_distance, rounds)
+        return t.select(df_columns).append_column("_path", pa.array(paths, pa.string())).append_column("missed", pa.array(missed))
+
+    df_columns = df.columns
     while True:
         stats = written(_cluster_stats(rows.withColumn("_v", vector), max_distance))
+        if whole:
+            small = stats.filter(F.col("_numbers") <= whole)
+            done.append(written(rows.join(small.select("_path"), "_path", "left_semi").groupBy("_path").applyInArrow(split_up, out_type)))
+            stats = stats.filter(F.col("_numbers") > whole)
         open_ = stats.filter("_open")
         if most is not None:
             open_ = written(open_.orderBy(F.col("_cost").desc(), "_path").limit(max(0, most - count)))

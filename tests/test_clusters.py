@@ -120,3 +120,17 @@ def test_ridge_models_of_all_targets_come_from_one_pass(spark, monkeypatch):
     mean = D.train_position(d, "x", ["a"], "baseline")(d.filter("id < 3")).collect()
     assert {round(r["a_pred"], 9) for r in mean} == {round(float(y[:, 0].mean()), 9)}
     assert [r["a_pred"] for r in D.train_position(d.limit(0), "x", ["a"], "ridge")(d.filter("id = 1")).collect()] == [None]
+
+
+def test_clusters_split_in_one_task_are_those_of_the_levels(spark, monkeypatch):
+    """The same clusters and numbers, and no rounds over all tasks where a task holds the cluster."""
+    rng = np.random.default_rng(12)
+    df = vectors(spark, np.concatenate([rng.normal(size=(60, 4)) * s + rng.normal(size=4) * 5 for s in (0.2, 1.0, 2.0)]))
+    calls, means = [], C._two_means
+    monkeypatch.setattr(C, "_two_means", lambda *a: calls.append(1) or means(*a))
+    got = {r["id"]: (r["cluster"], r["missed"]) for r in C.hierarchical_clusters(df, "vec", None, 1.0).collect()}
+    assert not calls and len(set(got.values())) > 10
+    for numbers in (0, 120):
+        monkeypatch.setattr(C, "SPLIT_NUMBERS", numbers)
+        want = {r["id"]: (r["cluster"], r["missed"]) for r in C.hierarchical_clusters(df, "vec", None, 1.0).collect()}
+        assert calls and got == want
