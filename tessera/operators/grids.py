@@ -293,27 +293,28 @@ def keep_lost_labels(before: DataFrame, after: DataFrame, keys: list[str], shape
 
     A free pixel is preferred; an image without one gives a pixel of a label that has more. Each round every lost
     label asks for its nearest pixel, however far, and the smallest label asking for a pixel gets it; a label gives up one
-    pixel a round, so it cannot vanish itself. If no pixel is left to give, that is an error.
+    pixel a round, so it cannot vanish itself. If no pixel is left to give, that is an error. Written tables are small as files, not as
+    rows, so their joins are shuffles: a round sends none of them through the driver.
     """
     cols = [*keys, "x", "y", "roi_id"]
     out = written(after.select(*keys, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "roi_id"))
     place = [F.greatest(F.least(F.avg(a) * (m / n), F.lit(float(m - 1))), F.lit(0.0)).alias(a) for a, n, m in zip("xy", shape_b, shape_a)]
-    want = written(before.join(out, [*keys, "roi_id"], "left_anti").groupBy(*keys, "roi_id").agg(*place))
+    want = written(before.join(out.hint("merge"), [*keys, "roi_id"], "left_anti").groupBy(*keys, "roi_id").agg(*place))
     grid = want.select(*keys).distinct().withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(shape_a[0] - 1)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(shape_a[1] - 1))))
     number = F.col("x") * shape_a[1] + F.col("y")
     while not want.isEmpty():
-        free = written(grid.join(out, [*keys, "x", "y"], "left_anti").withColumn("_n", number))
-        given = join_stats(out.join(free, keys, "left_anti"), [*keys, "roi_id"], _k=F.count("*")).filter("_k > 1")
+        free = written(grid.join(out.hint("merge"), [*keys, "x", "y"], "left_anti").withColumn("_n", number))
+        given = join_stats(out.join(free.hint("merge"), keys, "left_anti"), [*keys, "roi_id"], _k=F.count("*")).filter("_k > 1")
         spare = free.withColumn("_held", F.lit(None).cast(out.schema["roi_id"].dataType)).unionByName(given.select(*keys, "x", "y", number.alias("_n"), F.col("roi_id").alias("_held")))
         ask = nearest_point(want, spare, [*keys, "roi_id"], ["x", "y"], "_n", keys=keys)
-        won = ask.groupBy(*keys, "_n").agg(F.min("roi_id").alias("roi_id")).join(spare, [*keys, "_n"])
+        won = ask.groupBy(*keys, "_n").agg(F.min("roi_id").alias("roi_id")).join(spare.hint("merge"), [*keys, "_n"])
         one = won.filter("_held is not null").groupBy(*keys, "_held").agg(F.min(F.struct("_n", "x", "y", "roi_id")).alias("_b"))
         won = won.filter("_held is null").select(*cols).unionByName(one.select(*keys, "_b.x", "_b.y", "_b.roi_id").select(*cols))
         won = written(won)
         if won.isEmpty():
             raise RuntimeError("no free pixel for a lost label")
-        out = written(out.join(won, [*keys, "x", "y"], "left_anti").select(*cols).unionByName(won))
-        want = written(want.join(won.select(*keys, "roi_id"), [*keys, "roi_id"], "left_anti"))
+        out = written(out.join(won.hint("merge"), [*keys, "x", "y"], "left_anti").select(*cols).unionByName(won))
+        want = written(want.join(won.select(*keys, "roi_id").hint("merge"), [*keys, "roi_id"], "left_anti"))
     return out.select(*cols)
 
 

@@ -36,7 +36,7 @@ def _curve(axes: list[str]) -> Column:
 
 def _with(df: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with the row of their key; without keys the single row is sent to all."""
-    return df.join(one, keys) if keys else df.crossJoin(F.broadcast(one))
+    return df.join(one.hint("merge"), keys) if keys else df.crossJoin(F.broadcast(one))
 
 
 def nearest_point(points: DataFrame, cloud: DataFrame, pid: list[str], axes: list[str], cid: str, scale: dict[str, float] | None = None, keys: list[str] | None = None, other: str | None = None, within: str | None = None) -> DataFrame:
@@ -96,7 +96,7 @@ def nearest_point(points: DataFrame, cloud: DataFrame, pid: list[str], axes: lis
     own = apart(ask).groupBy(*pid).agg(F.min("dist").alias("_own"))
     limit = [F.col("_own"), *([F.col(within)] if within else [])]
     far = F.sqrt(_sq([F.greatest(F.abs(F.col(c)), F.abs(F.col(c) - F.col("_w"))) for c in inside]))
-    ask = ask.drop("_block").join(own, pid, "left").withColumn("_ub", F.coalesce(F.least(*limit) if within else F.col("_own"), far) * SLACK)
+    ask = ask.drop("_block").join(own.hint("merge"), pid, "left").withColumn("_ub", F.coalesce(F.least(*limit) if within else F.col("_own"), far) * SLACK)
     ask = ask.withColumn("_level", F.ceil(F.log2(F.greatest(F.col("_ub"), F.col("_w") * 2.0**-FINEST))).cast("int"))
     ask = written(ask.drop("_own", "_w"))
 
@@ -110,7 +110,7 @@ def nearest_point(points: DataFrame, cloud: DataFrame, pid: list[str], axes: lis
     for c, g in zip(inside, cells):
         around = around.withColumn(g, F.explode(F.sequence(cell(F.col(c) - F.col("_ub")), cell(F.col(c) + F.col("_ub")))))
     found = around.join(near.hint("merge"), [*keys, "_level", *cells]).select(*pid, *extra, *axes, "_ub", *inside, "_block").distinct()
-    found = found.join(blocks.drop("_z"), [*keys, "_block"])
+    found = found.join(blocks.drop("_z").hint("merge"), [*keys, "_block"])
     gap = F.sqrt(_sq([F.greatest(F.col(f"_a{c}") - F.col(c), F.col(c) - F.col(f"_b{c}"), F.lit(0.0)) for c in inside]))
     # Only rows within the bound are sorted for the smallest, not whole blocks.
     hit = apart(found.filter(gap <= F.col("_ub") * SLACK).select(*pid, *extra, *axes, "_ub", "_block")).filter(F.col("dist") <= F.col("_ub") * SLACK)
@@ -123,5 +123,5 @@ def nearest_point(points: DataFrame, cloud: DataFrame, pid: list[str], axes: lis
 def _levelled(leaf: DataFrame, levels: DataFrame, keys: list[str]) -> DataFrame:
     """Cloud rows once for every level that a point of their key asks for: at most one per power of two."""
     if keys:
-        return leaf.join(levels, keys)
+        return leaf.join(levels.hint("merge"), keys)
     return leaf.withColumn("_level", F.explode(F.array(*[F.lit(r[0]) for r in levels.collect()]) if not levels.isEmpty() else F.array().cast("array<int>")))

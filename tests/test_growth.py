@@ -326,3 +326,15 @@ def test_ends_of_windows_are_searched_one_by_one(spark, monkeypatch):
     for df in (out, snips):
         plan = df._jdf.queryExecution()
         assert "Union" not in plan.optimizedPlan().toString() and "BroadcastHashJoin" not in plan.sparkPlan().toString()
+
+
+def test_lost_labels_are_not_broadcast(spark, monkeypatch):
+    """Tables of a round are small as files, not as rows: none of them goes through the driver."""
+    from tessera.operators import grids as G
+
+    plans, write = [], G.written
+    monkeypatch.setattr(G, "written", lambda df, *a: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or write(df, *a))
+    before = spark.createDataFrame([(k, x, 0, x) for k in range(3) for x in range(4)], "id int, x int, y int, roi_id int")
+    out = G.keep_lost_labels(before, before.filter("x > 0"), ["id"], (4, 1), (4, 1))
+    assert sorted(tuple(r) for r in out.collect()) == sorted((k, x, 0, x) for k in range(3) for x in range(4))
+    assert sum("Join" in p for p in plans) > 3 and not any("BroadcastHashJoin" in p and "LeftAnti" in p for p in plans)
