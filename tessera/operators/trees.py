@@ -70,18 +70,41 @@ def follow(links: DataFrame, keys: list[str]) -> DataFrame:
 def chain_totals(links: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
     """Number of ancestors (``steps``) of every ``id`` and the sum of their ``weight`` (``total``).
 
-    The reach doubles each round and a row is all an id carries, so there are as many rows as ids.
+    The reach doubles each round and a row is all an id carries, so there are as many rows as ids. Rows whose chain
+    has ended take no part in the join but as its targets, so their null pointers do not meet in one task. Rounds are
+    written, not checkpointed: a checkpoint keeps the size that the planner guessed, which squares with every join.
     """
     w = F.col(weight) if weight else F.lit(0.0)
     above = links.select(*keys, F.col("id").alias("ptr"), w.cast("double").alias("_w"))
-    d = links.select(*keys, "id", "ptr").join(above, [*keys, "ptr"], "left")
-    d = durable(d.select(*keys, "id", "ptr", F.when(F.col("ptr").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.coalesce("_w", F.lit(0.0)).alias("total")))
+    d = links.select(*keys, "id", "ptr").join(above.hint("merge"), [*keys, "ptr"], "left")
+    d = written(d.select(*keys, "id", "ptr", F.when(F.col("ptr").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.coalesce("_w", F.lit(0.0)).alias("total")))
     for _ in range(_doublings(d, keys)):
-        if d.filter("ptr is not null").isEmpty():
+        going = d.filter("ptr is not null")
+        if going.isEmpty():
             return d.drop("ptr")
         o = d.select(*keys, F.col("id").alias("ptr"), F.col("ptr").alias("_p"), F.col("steps").alias("_s"), F.col("total").alias("_t"))
-        d = d.join(o, [*keys, "ptr"], "left")
-        d = durable(d.select(*keys, "id", F.col("_p").alias("ptr"), (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("_t", F.lit(0.0))).alias("total")))
+        going = going.join(o.hint("merge"), [*keys, "ptr"], "left")
+        going = going.select(*keys, "id", F.col("_p").alias("ptr"), (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("_t", F.lit(0.0))).alias("total"))
+        d = written(d.filter("ptr is null").unionByName(going))
+    raise RuntimeError("the links contain a cycle")
+
+
+def subtree_sizes(links: DataFrame, keys: list[str]) -> DataFrame:
+    """Number of nodes at or below every ``id`` (``size``).
+
+    After k rounds a node knows how many are less than 2^k steps below it and points 2^k steps up. Each round it adds what
+    those pointing to it know, so the rounds are as many as the depth has binary digits, with a row a node.
+    """
+    d = written(links.select(*keys, "id", "ptr", F.lit(1).cast("long").alias("size")))
+    for _ in range(_doublings(d, keys)):
+        going = d.filter("ptr is not null")
+        if going.isEmpty():
+            return d.drop("ptr")
+        below = going.groupBy(*keys, F.col("ptr").alias("id")).agg(F.sum("size").alias("_more"))
+        o = d.filter("ptr is not null").select(*keys, F.col("id").alias("_at"), F.col("ptr").alias("_p"))
+        ahead = going.select(*keys, "id", F.col("ptr").alias("_at")).join(o.hint("merge"), [*keys, "_at"]).select(*keys, "id", "_p")
+        d = d.select(*keys, "id", "size").join(below.hint("merge"), [*keys, "id"], "left").join(ahead.hint("merge"), [*keys, "id"], "left")
+        d = written(d.select(*keys, "id", F.col("_p").alias("ptr"), (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size")))
     raise RuntimeError("the links contain a cycle")
 
 
@@ -385,26 +408,26 @@ def ancestors(links: DataFrame, keys: list[str]) -> DataFrame:
 def tree_intervals(links: DataFrame, keys: list[str]) -> DataFrame:
     """Entry and exit number of every ``id``: an ancestor's interval holds those of all below it.
 
-    A walk around the tree enters and leaves every node once, children in the order of their ids, roots
-    likewise. Its steps are followed by doubling, so two rows per node are all there is at any depth.
+    A walk around the tree enters every node once, children in the order of their ids, roots likewise, and after
+    these the nodes whose ``ptr`` is no ``id``, as roots of trees of their own. A node is entered after its parent and
+    all that is below its earlier siblings, so its number is a sum of such steps along its ancestors: rounds in the
+    logarithm of the depth, not of the length of the walk.
     ``enter`` counts the nodes entered before, ``exit`` is the number of the last one entered
     at or below the node, ``size`` how many these are.
     """
     links = once(links.select(*keys, "id", "ptr"))
-    family = once(scan(links, [*keys, "ptr"], ["id"], _next=("next", F.col("id"))))
-    child = links.filter("ptr is not null").groupBy(*keys, F.col("ptr").alias("id")).agg(F.min("id").alias("_child"))
-
-    def visit(node: Column, leaving: int) -> Column:
-        return F.struct(node.alias("node"), F.lit(leaving).alias("leaving"))
-
-    d = family.join(child, [*keys, "id"], "left")
-    down = d.select(*keys, visit(F.col("id"), 0).alias("id"), F.coalesce(F.when(F.col("_child").isNotNull(), visit(F.col("_child"), 0)), visit(F.col("id"), 1)).alias("ptr"), F.lit(1.0).alias("w"))
-    up = d.select(*keys, visit(F.col("id"), 1).alias("id"), F.when(F.col("_next").isNotNull(), visit(F.col("_next"), 0)).when(F.col("ptr").isNotNull(), visit(F.col("ptr"), 1)).alias("ptr"), F.lit(0.0).alias("w"))
-    left = chain_totals(durable(down.unionByName(up)), keys, "w")
-    left = left.groupBy(*keys, F.col("id.node").alias("id")).agg(F.max(F.when(F.col("id.leaving") == 0, F.col("total"))).alias("_in"), F.max(F.when(F.col("id.leaving") == 1, F.col("total"))).alias("_out"))
-    left = join_stats(left, keys, _all=F.count("*"))
-    enter, exit_ = (F.col("_all") - 1 - F.col("_in")).cast("long"), (F.col("_all") - 1 - F.col("_out")).cast("long")
-    return left.select(*keys, "id", enter.alias("enter"), exit_.alias("exit"), (exit_ - enter + 1).alias("size"))
+    # Roots look for themselves, so that their null pointers do not meet in one task.
+    known = links.select(*keys, F.col("id").alias("_at"), F.lit(True).alias("_known"))
+    links = links.withColumn("_at", F.coalesce("ptr", "id")).join(known.hint("merge"), [*keys, "_at"], "left")
+    links = written(links.select(*keys, "id", F.when(F.col("_known"), F.col("ptr")).alias("ptr"), F.col("_known").isNull().alias("_lost")))
+    d = links.join(subtree_sizes(links, keys).hint("merge"), [*keys, "id"])
+    d = scan(d, [*keys, "ptr"], ["_lost", "id"], _run=("sum", F.col("size")))
+    # Steps from the parent, which is entered itself, to the node; roots follow each other.
+    step = F.col("_run") - F.col("size") + F.when(F.col("ptr").isNull(), 0).otherwise(1)
+    d = written(d.select(*keys, "id", "ptr", "size", step.alias("_step")))
+    above = chain_totals(d, keys, "_step").select(*keys, "id", F.col("total").cast("long").alias("_above"))
+    enter = F.col("_above") + F.col("_step")
+    return d.join(above.hint("merge"), [*keys, "id"]).select(*keys, "id", enter.alias("enter"), (enter + F.col("size") - 1).alias("exit"), "size")
 
 
 def mark_ancestors(pairs: DataFrame, intervals: DataFrame, keys: list[str], name: str = "is_ancestor") -> DataFrame:

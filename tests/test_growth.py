@@ -164,6 +164,28 @@ def test_intervals_of_a_long_chain_and_a_bush(spark):
     iv.unpersist()
 
 
+def test_intervals_take_rounds_by_depth_not_by_length(spark, monkeypatch):
+    """A bush of 4000 leaves is two deep: its walk has 8000 steps, which took 13 rounds of doubling."""
+    cuts, durable, written = [], R.durable, R.written
+    monkeypatch.setattr(R, "durable", lambda df: cuts.append(1) or durable(df))
+    monkeypatch.setattr(R, "written", lambda df: cuts.append(1) or written(df))
+    links = spark.createDataFrame([(1, 0, None)] + [(1, i, 0) for i in range(1, 4001)], "k int, id long, ptr long")
+    got = R.tree_intervals(links, ["k"])
+    assert len(cuts) <= 8
+    assert got.filter("enter <> id or exit <> if(id = 0, 4000, id) or size <> if(id = 0, 4001, 1)").isEmpty() and got.count() == 4001
+    with pytest.raises(RuntimeError):
+        R.tree_intervals(spark.createDataFrame([(1, 1, 2), (1, 2, 1), (1, 3, None)], "k int, id long, ptr long"), ["k"])
+
+
+def test_intervals_of_trees_without_their_root_do_not_overlap(spark):
+    """Node 2 hangs on 9 and node 4 on 8, which are not there: they come after the tree of 1, and nobody is above them."""
+    links = spark.createDataFrame([(1, 1, None), (1, 2, 9), (1, 3, 2), (1, 4, 8), (1, 5, 1), (1, 6, 1)], "k int, id long, ptr long")
+    iv = R.tree_intervals(links, ["k"])
+    assert sorted((r["id"], r["enter"], r["exit"], r["size"]) for r in iv.collect()) == [(1, 0, 2, 3), (2, 3, 4, 2), (3, 4, 4, 1), (4, 5, 5, 1), (5, 1, 1, 1), (6, 2, 2, 1)]
+    pairs = spark.createDataFrame([(1, a, i) for a in range(1, 7) for i in range(1, 7)], "k int, anc long, id long")
+    assert sorted((r["anc"], r["id"]) for r in R.mark_ancestors(pairs, iv, ["k"]).filter("is_ancestor").collect()) == [(1, 5), (1, 6), (2, 3)]
+
+
 def test_levels_are_put_together_as_in_a_counter(spark):
     """A chain of paths takes a level each, the result is whole."""
     paths = [(1, i, i, i + 1) if i % 3 else (1, i, i + 1, i) for i in range(12)]
