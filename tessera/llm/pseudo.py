@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ REACH = max(WINDOW)
 STRIDE, STEP, RATE, ROUNDS = 2, 8192, 0.2, 2
 #: Positions that are scored together: the more, the longer the runs of targets of one class.
 SCORED = 65_536
+#: Rows of logits at a time, so that they stay in a core's cache, and logits that need no shift before exp, in either sign.
+BLOCK, SAFE = 2048, 60.0
 #: Floats per row when parameters are averaged.
 CHUNK = 4096
 
@@ -85,14 +88,31 @@ class Network:
             z += np.take(self.embed[i], around[:, i], axis=0)
         return np.tanh(z, out=z)
 
+    def large(self) -> tuple[bool, np.ndarray]:
+        """Whether logits of classes, and of the tokens of each class, may be too large to exponentiate as they are: |h| is at most 1."""
+        every = np.ones(DIM, dtype=self.flat.dtype)
+        classes = every @ np.abs(self.to_class) + np.abs(self.class_bias)
+        words = np.abs(self.to_word) @ every + np.abs(self.word_bias)
+        return bool((classes > SAFE).any()), (words.reshape(CLASSES, MEMBERS) > SAFE).any(axis=1)
+
+    @staticmethod
+    def logits(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, large: bool) -> np.ndarray:
+        """Logits up to a constant a row, such that none overflows."""
+        x = h @ weights
+        x += bias
+        if large:
+            x -= x.max(axis=1, keepdims=True)
+        return x
+
     @staticmethod
-    def softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Unscaled probabilities (in place of ``x``), their sums, and through ``at`` the log-probability of one entry a row."""
-        x -= x.max(axis=1, keepdims=True)
-        picked = x[np.arange(len(x)), at]
+    def exponentials(x: np.ndarray) -> np.ndarray:
+        """Exponentials in place of ``x``; returns their sums."""
         np.exp(x, out=x)
-        whole = x.sum(axis=1)
-        return whole, picked - np.log(whole)
+        return x @ np.ones(x.shape[1], dtype=x.dtype)
+
+    @staticmethod
+    def blocks(rows: slice) -> list[slice]:
+        return [slice(i, min(i + BLOCK, rows.stop)) for i in range(rows.start, rows.stop, BLOCK)]
 
     @staticmethod
     def by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
@@ -106,14 +126,21 @@ class Network:
         """Log-probability of every target given its neighbours."""
         order, runs = self.by_class(target)
         h, target = self.hidden(around[order]), target[order]
-        x = h @ self.to_class
-        x += self.class_bias
-        sorted_out = self.softmax(x, target // MEMBERS)[1]
-        for c, rows in runs:
+        large, large_of = self.large()
+        sorted_out, at = np.empty(len(h), dtype=h.dtype), np.arange(BLOCK)
+
+        def picked(rows: slice, weights: np.ndarray, bias: np.ndarray, entry: np.ndarray, large: bool) -> np.ndarray:
+            x = self.logits(h[rows], weights, bias, large)
+            own = x[at[: len(x)], entry]
+            own -= np.log(self.exponentials(x))
+            return own
+
+        for rows in self.blocks(slice(0, len(h))):
+            sorted_out[rows] = picked(rows, self.to_class, self.class_bias, target[rows] // MEMBERS, large)
+        for c, run in runs:
             own = slice(c * MEMBERS, (c + 1) * MEMBERS)
-            x = h[rows] @ self.to_word[own].T
-            x += self.word_bias[own]
-            sorted_out[rows] += self.softmax(x, target[rows] - c * MEMBERS)[1]
+            for rows in self.blocks(run):
+                sorted_out[rows] += picked(rows, self.to_word[own].T, self.word_bias[own], target[rows] - c * MEMBERS, large_of[c])
         out = np.empty_like(sorted_out)
         out[order] = sorted_out
         return out
@@ -124,38 +151,47 @@ class Network:
         order, runs = self.by_class(target)
         around, target = around[order], target[order]
         h = self.hidden(around)
-
-        def error(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-            x /= self.softmax(x, at)[0][:, None]
-            x[np.arange(len(x)), at] -= 1
-            x /= n
+        large, large_of = self.large()
+        dh, at, ones = np.empty_like(h), np.arange(BLOCK), np.ones(BLOCK, dtype=h.dtype)
+        change = Network(np.zeros_like(self.flat))
+
+        def error(rows: slice, weights: np.ndarray, bias: np.ndarray, entry: np.ndarray, large: bool) -> np.ndarray:
+            x = self.logits(h[rows], weights, bias, large)
+            x *= (1 / (n * self.exponentials(x)))[:, None]
+            x[at[: len(x)], entry] -= 1 / n
             return x
 
-        g = error(h @ self.to_class + self.class_bias, target // MEMBERS)
-        dh = g @ self.to_class.T
-        for c, rows in runs:
+        for rows in self.blocks(slice(0, n)):
+            g = error(rows, self.to_class, self.class_bias, target[rows] // MEMBERS, large)
+            np.matmul(g, self.to_class.T, out=dh[rows])
+            change.to_class += h[rows].T @ g
+            change.class_bias += ones[: len(g)] @ g
+        for c, run in runs:
             own = slice(c * MEMBERS, (c + 1) * MEMBERS)
-            p = error(h[rows] @ self.to_word[own].T + self.word_bias[own], target[rows] - c * MEMBERS)
-            dh[rows] += p @ self.to_word[own]
-            self.step(self.to_word, memory.to_word, own, p.T @ h[rows], rate)
-            self.step(self.word_bias, memory.word_bias, own, p.sum(axis=0), rate)
+            for rows in self.blocks(run):
+                p = error(rows, self.to_word[own].T, self.word_bias[own], target[rows] - c * MEMBERS, large_of[c])
+                dh[rows] += p @ self.to_word[own]
+                change.to_word[own] += p.T @ h[rows]
+                change.word_bias[own] += ones[: len(p)] @ p
         dz = dh * (1 - h * h)
-        every = slice(None)
-        self.step(self.to_class, memory.to_class, every, h.T @ g, rate)
-        self.step(self.class_bias, memory.class_bias, every, g.sum(axis=0), rate)
-        self.step(self.bias, memory.bias, every, dz.sum(axis=0), rate)
+        change.bias[:] = dz.sum(axis=0)
+        # Entries without a gradient stay as they are. Those of the embeddings, the most, follow by rows.
+        rest = slice(self.embed.size, None)
+        self.step(self.flat, memory.flat, rest, change.flat[rest], rate)
         # All places of the window as one table: one sort of 16-bit rows, one sum per row.
         places = np.arange(len(WINDOW), dtype=np.uint16) * (TOKENS + 1)
         rows = (around.astype(np.uint16) + places).T.ravel()
         order = np.argsort(rows, kind="stable")
         rows = rows[order]
         first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-        self.step(self.embed.reshape(-1, DIM), memory.embed.reshape(-1, DIM), rows[first], np.add.reduceat(dz[order % n], first, axis=0), rate)
+        self.step(self.embed.reshape(-1, DIM), memory.embed.reshape(-1, DIM), rows[first], np.add.reduceat(np.take(dz, order % n, axis=0), first, axis=0), rate)
 
     @staticmethod
     def step(weights: np.ndarray, memory: np.ndarray, at, gradient: np.ndarray, rate: float) -> None:
-        memory[at] += gradient * gradient
-        weights[at] -= rate * gradient / (np.sqrt(memory[at]) + 1e-6)
+        seen = memory[at]
+        seen += gradient * gradient
+        memory[at] = seen
+        weights[at] -= rate * gradient / (np.sqrt(seen) + 1e-6)
 
 
 def encoder(words: list[str], rare: bool):
@@ -166,19 +202,21 @@ def encoder(words: list[str], rare: bool):
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, find = Vocabulary(words), re.compile(TOKEN).findall
-        nothing = pa.array([], type=pa.struct([("word", pa.string()), ("times", pa.int64())]))
         for batch in batches:
-            coded, lists = [], []
-            for text in batch.column(1):
-                tokens = find(text.as_py().lower())
+            coded, rare_words, rare_times, ends = [], [], [], [0]
+            for text in batch.column(1).to_pylist():
+                tokens = find(text.lower())
                 ids = np.fromiter(map(vocabulary.__getitem__, tokens), dtype=np.uint16, count=len(tokens))
                 coded.append(ids.tobytes())
                 if rare:
-                    times = Counter(tokens[k] for k in np.flatnonzero(ids >= WORDS).tolist())
-                    lists.append(pa.StructArray.from_arrays([pa.array(list(times), type=pa.string()), pa.array(list(times.values()), type=pa.int64())], names=["word", "times"]))
+                    times = Counter(compress(tokens, (ids >= WORDS).tobytes()))
+                    rare_words.extend(times)
+                    rare_times.extend(times.values())
+                    ends.append(len(rare_words))
             columns = {"doc_id": batch.column(0), "ids": pa.array(coded, type=pa.binary())}
             if rare:
-                columns["rare"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), type=pa.int32()), pa.concat_arrays([nothing, *lists]))
+                pairs = pa.StructArray.from_arrays([pa.array(rare_words, type=pa.string()), pa.array(rare_times, type=pa.int64())], names=["word", "times"])
+                columns["rare"] = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pairs)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return encode
@@ -328,7 +366,8 @@ def score_table(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = No
     log_prob = F.col("log_prob")
     if counts is not None:
         pairs = ids.select("row", F.inline("rare"))
-        inside = pairs.join(shares(counts, words).hint("merge"), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("share")).alias("inside"))
+        # Distinct words are the smaller side by far: hashed, so that the pairs are not sorted by their words.
+        inside = pairs.join(shares(counts, words).hint("shuffle_hash"), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("share")).alias("inside"))
         scored = scored.join(inside.hint("merge"), "row", "left")
         log_prob = log_prob + F.coalesce("inside", F.lit(0.0))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))

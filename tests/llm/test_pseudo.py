@@ -133,3 +133,34 @@ def test_rounds_train_on_every_position(spark, monkeypatch):
     assert seen == ids
     with pytest.raises(ValueError):
         fit(spark.read.parquet(f"{SF}/documents.parquet"), rounds=2, stride=3)
+
+
+@pytest.mark.parametrize("scale", [1, 300])
+def test_logits_come_in_blocks_and_may_be_of_any_size(monkeypatch, scale):
+    """Small logits are exponentiated as they are, large ones after a shift; no array of them is longer than a block."""
+    from tessera.llm import pseudo
+
+    net = Network.start(np.arange(TOKENS)[::-1].astype(float))
+    net.to_class[:] *= scale
+    net.to_word[:] *= scale
+    rng = np.random.default_rng(2)
+    ctx, target = rng.integers(0, TOKENS, (5000, len(WINDOW))), rng.integers(0, 200, 5000)
+    sizes, plain = [], Network.exponentials
+    monkeypatch.setattr(Network, "exponentials", staticmethod(lambda x: sizes.append(len(x)) or plain(x)))
+    got = net.log_prob(ctx, target)
+    assert max(sizes) == pseudo.BLOCK and bool(net.large()[0]) == bool(net.large()[1].any()) == (scale > 1)
+    h, c = net.hidden(ctx).astype(float), target // pseudo.MEMBERS
+    rows = np.arange(len(target))
+    first = h @ net.to_class + net.class_bias
+    members = c[:, None] * pseudo.MEMBERS + np.arange(pseudo.MEMBERS)
+    second = np.einsum("nd,nmd->nm", h, net.to_word[members]) + net.word_bias[members]
+    want = sum(x[rows, at] - np.logaddexp.reduce(x, axis=1) for x, at in ((first, c), (second, target % pseudo.MEMBERS)))
+    assert got == pytest.approx(want, rel=1e-3, abs=1e-3)
+    before = net.flat.copy()
+    net.learn(ctx, target, Network(np.full_like(net.flat, 1e-8)), 0.1)
+    assert np.isfinite(net.flat).all() and (net.flat != before).any()
+
+
+def test_pairs_of_rare_words_are_not_sorted_by_their_words(spark):
+    plan = score_table(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [word" in plan and "Sort [word" not in plan
